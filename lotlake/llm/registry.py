@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotlake.llm import bpe_automaton
+from lotlake.llm import bpe_automaton, chat_format, ppm_language, sharding, warc_revisits
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_revisits": warc_revisits.op1_warc_revisits,
+        "op2_ppm_language": ppm_language.op2_ppm_language,
+        "op3_chat_format": chat_format.op3_chat_format,
+        "op6_rendezvous_shards": sharding.op6_rendezvous_shards,
         "op8_bpe_automaton": bpe_automaton.op8_bpe_automaton,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_revisits": warc_revisits.OP1_SQL, "op3_chat_format": chat_format.OP3_SQL}
