@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotlake.llm import bpe_automaton, chat_format, ppm_language, sharding, warc_revisits
+from lotlake.llm import bpe_automaton, chat_format, decontamination, jaccard_tree, ppm_language, sharding, substring_dedup, warc_revisits
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc_revisits": warc_revisits.op1_warc_revisits,
         "op2_ppm_language": ppm_language.op2_ppm_language,
         "op3_chat_format": chat_format.op3_chat_format,
+        "op4_jaccard_tree": jaccard_tree.op4_jaccard_tree,
+        "op5_benchmark_leaks": decontamination.op5_benchmark_leaks,
         "op6_rendezvous_shards": sharding.op6_rendezvous_shards,
         "op8_bpe_automaton": bpe_automaton.op8_bpe_automaton,
+        "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisits": warc_revisits.OP1_SQL, "op3_chat_format": chat_format.OP3_SQL}
+    return {
+        "op1_warc_revisits": warc_revisits.OP1_SQL,
+        "op3_chat_format": chat_format.OP3_SQL,
+        "op5_benchmark_leaks": decontamination.OP5_SQL,
+        "op10_substring_dedup": substring_dedup.OP10_SQL,
+    }
