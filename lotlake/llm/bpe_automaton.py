@@ -213,7 +213,7 @@ class Tokenizer:
 
 def _usual(pattern: str) -> str:
     """The pattern in the standard library's classes: letters are word characters but digits and _."""
-    return pattern.replace("[^\\s\\p{L}\\p{N}]", "(?:[^\\s\\w]|_)").replace("[\\p{L}]", "[^\\W\\d_]").replace("[\\p{N}]", "\\d")
+    return pattern.replace("[^\\s\\p{L}\\p{N}]", "(?:[^\\s\\w]|_)").replace("[\\p{L}]", "[^\\W\\d_]").replace("[\\p{N}]", "\\d").replace("\\p{L}", "[^\\W\\d_]").replace("\\p{N}", "\\d")
 
 
 @functools.cache

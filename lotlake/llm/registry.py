@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotlake.llm import bpe_automaton, chat_format, decontamination, jaccard_tree, ppm_language, sharding, substring_dedup, warc_revisits
+from lotlake.llm import bpe_automaton, chat_format, decontamination, edit_counts, jaccard_tree, metric_join, ppm_language, sharding, substring_dedup, warc_revisits
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,7 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_jaccard_tree": jaccard_tree.op4_jaccard_tree,
         "op5_benchmark_leaks": decontamination.op5_benchmark_leaks,
         "op6_rendezvous_shards": sharding.op6_rendezvous_shards,
+        "op7_metric_join": metric_join.op7_metric_join,
         "op8_bpe_automaton": bpe_automaton.op8_bpe_automaton,
+        "op9_edit_counts": edit_counts.op9_edit_counts,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
 
@@ -27,5 +29,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc_revisits": warc_revisits.OP1_SQL,
         "op3_chat_format": chat_format.OP3_SQL,
         "op5_benchmark_leaks": decontamination.OP5_SQL,
+        "op9_edit_counts": edit_counts.op9_edit_counts,
+        "op7_metric_join": metric_join.OP7_SQL,
         "op10_substring_dedup": substring_dedup.OP10_SQL,
     }
