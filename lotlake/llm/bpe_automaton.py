@@ -266,13 +266,21 @@ def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    out = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return out.select(
+def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256), one per row of `docs`."""
+    return encode_decode(docs, vocabulary).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         hex_sha256(F.array_join("ids", " ")).alias("ids_sha256"),
         hex_sha256(F.col("decoded")).alias("decoded_sha256"),
     )
+
+
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"), word_vocabulary())

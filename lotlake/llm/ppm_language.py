@@ -184,6 +184,25 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return build(list(zip(*(most.column(c).to_pylist() for c in ("lang", "code", "n")))), order)
 
 
+def _scored(model: Model | None, text: pa.Array, letters: pa.Array) -> tuple[np.ndarray, np.ndarray, list]:
+    """Language, score and bits per byte of each text."""
+    n = len(text)
+    lang, score, rate = np.full(n, "und", dtype=object), np.zeros(n), [None] * n
+    if model is not None and n:
+        data, offsets = utf8_buffers(text)
+        bits = model.bits(data, offsets)
+        best = bits.argmin(1)
+        share = 1 / np.exp2(np.minimum(bits.min(1, keepdims=True) - bits, 0)).sum(1)
+        for k in np.flatnonzero(letters.to_numpy(zero_copy_only=False).astype(bool)):
+            lang[k], score[k] = model.languages[best[k]], share[k]
+            rate[k] = bits[k, best[k]] / (offsets[k + 1] - offsets[k])
+    return lang, score, rate
+
+
+def _letters(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False))
+
+
 def predict(rows: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, lang_pred, score, bits_per_byte), one per row of `rows`, in one narrow pass over whole texts.
 
@@ -195,22 +214,31 @@ def predict(rows: DataFrame, model: Model | None, key: str = "doc_id", text: str
     fields = [T.StructField("key", rows.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
 
     def run(batches):
-        known = held.value
         for batch in sized(batches, "text", 1 << 20):
-            n = batch.num_rows
-            lang, score, rate = np.full(n, "und", dtype=object), np.zeros(n), [None] * n
-            if known is not None:
-                data, offsets = utf8_buffers(batch.column(1))
-                bits = known.bits(data, offsets)
-                best = bits.argmin(1)
-                share = 1 / np.exp2(np.minimum(bits.min(1, keepdims=True) - bits, 0)).sum(1)
-                for k in np.flatnonzero(np.array(batch.column(2).to_pylist(), dtype=bool)):
-                    lang[k], score[k] = known.languages[best[k]], share[k]
-                    rate[k] = bits[k, best[k]] / (offsets[k + 1] - offsets[k])
+            lang, score, rate = _scored(held.value, batch.column(1), batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rate, pa.float64())], [f.name for f in fields])
 
-    letters = F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False))
-    return rows.select(F.col(key).alias("key"), F.col(text).alias("text"), letters.alias("letters")).mapInArrow(run, T.StructType(fields)).withColumnRenamed("key", key)
+    return rows.select(F.col(key).alias("key"), F.col(text).alias("text"), _letters(text).alias("letters")).mapInArrow(run, T.StructType(fields)).withColumnRenamed("key", key)
+
+
+def keep_languages(rows: DataFrame, model: Model | None, most_bits: float, text: str = "text") -> DataFrame:
+    """The rows of `rows`, all columns as they are, whose text is in a learned language.
+
+    Rejected are texts that `predict` calls `und`, and those whose best language needs over `most_bits` bits a
+    byte. Without a model (nothing to learn from) only null texts and texts without a letter are rejected.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    flag = "letters of " + "".join(rows.columns)
+
+    def run(batches):
+        for batch in sized(batches, text, 1 << 20):
+            ok = batch.column(batch.num_columns - 1)
+            if held.value is not None:
+                rate = _scored(held.value, batch.column(batch.schema.get_field_index(text)), ok)[2]
+                ok = pa.array([r is not None and r <= most_bits for r in rate], pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(ok)
+
+    return rows.withColumn(flag, _letters(text)).mapInArrow(run, rows.schema)
 
 
 def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,35 +167,51 @@ def _mark(window: int):
     return run
 
 
+def _kept(text: pa.Array, spans: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words, words outside the spans, and those joined by one blank, for each text."""
+    data, offsets = utf8_buffers(text)
+    starts, stops, first = word_spans(data, offsets)
+    delta = np.zeros(len(starts) + 1, dtype=np.int64)
+    if spans.null_count < len(spans):
+        flat = spans.flatten()
+        lengths = np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+        base = np.repeat(first[:-1], lengths)
+        np.add.at(delta, flat.field(0).to_numpy() + base, 1)
+        np.add.at(delta, flat.field(1).to_numpy() + base, -1)
+    word = np.flatnonzero(np.cumsum(delta)[:-1] == 0)
+    row = np.searchsorted(first, word, side="right") - 1
+    edge = np.zeros(len(data) + 1, dtype=np.int8)
+    np.add.at(edge, starts[word], 1)
+    np.add.at(edge, stops[word], -1)
+    mask = np.cumsum(edge[:-1]) > 0
+    out = data.copy()
+    between = stops[word[:-1]][row[1:] == row[:-1]] if len(word) else word
+    mask[between] = True
+    out[between] = 0x20
+    ends = np.concatenate([[0], np.cumsum(mask)])[offsets]
+    joined = pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(out[mask].tobytes())).cast(pa.string())
+    return np.diff(first).astype(np.int64), np.bincount(row, minlength=len(text)).astype(np.int64), joined
+
+
 def _keep(batches):
-    """Arrow function over (doc_id, text, spans): the kept words joined by one blank."""
+    """Arrow function over (doc_id, text, spans)."""
     for batch in sized(batches, "text", CHUNK):
-        data, offsets = utf8_buffers(batch.column(1))
-        starts, stops, first = word_spans(data, offsets)
-        delta = np.zeros(len(starts) + 1, dtype=np.int64)
-        spans = batch.column(2)
-        if spans.null_count < len(spans):
-            flat = spans.flatten()
-            lengths = np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
-            base = np.repeat(first[:-1], lengths)
-            np.add.at(delta, flat.field(0).to_numpy() + base, 1)
-            np.add.at(delta, flat.field(1).to_numpy() + base, -1)
-        kept = np.cumsum(delta)[:-1] == 0
-        word = np.flatnonzero(kept)
-        row = np.searchsorted(first, word, side="right") - 1
-        edge = np.zeros(len(data) + 1, dtype=np.int8)
-        np.add.at(edge, starts[word], 1)
-        np.add.at(edge, stops[word], -1)
-        mask = np.cumsum(edge[:-1]) > 0
-        out = data.copy()
-        between = stops[word[:-1]][row[1:] == row[:-1]] if len(word) else word
-        mask[between] = True
-        out[between] = 0x20
-        ends = np.concatenate([[0], np.cumsum(mask)])[offsets]
-        text = pa.LargeStringArray.from_buffers(len(batch), pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(out[mask].tobytes())).cast(pa.string())
-        counts = np.diff(first)
-        left = np.bincount(row, minlength=len(counts)) if len(word) else np.zeros(len(counts), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.astype(np.int64)), pa.array((counts - left).astype(np.int64)), text], ["doc_id", "n_words", "n_removed", "kept"])
+        words, left, text = _kept(batch.column(1), batch.column(2))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(words - left), text], ["doc_id", "n_words", "n_removed", "kept"])
+
+
+def _rewrite(batches):
+    """Arrow function over whole rows with spans last: rows that lost words get the rest as text, those that lost all go."""
+    for batch in sized(batches, "text", CHUNK):
+        names, columns = batch.schema.names[:-1], batch.columns[:-1]
+        at = names.index("text")
+        words, left, text = _kept(columns[at], batch.column(len(names)))
+        lost = pa.array(left < words)
+        columns[at] = pc.if_else(lost, text, columns[at])
+        if "n_chars" in names:
+            k = names.index("n_chars")
+            columns[k] = pc.if_else(lost, pc.utf8_length(text).cast(columns[k].type), columns[k])
+        yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array((left > 0) | (words == 0)))
 
 
 def hot_minimisers(rows: DataFrame, window: int, gram: int, hot_rows: int) -> list[int]:
@@ -236,10 +253,26 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram
     nothing. Rows that share a doc_id don't remove each other's words. Other columns are not read; an
     empty table gives an empty one.
     """
-    spans = repeated_spans(docs, scratch, window, gram, hot_rows)
-    listed = spans.distinct().groupBy("doc_id", "version").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), "text").join(listed, ["doc_id", "version"], "left")
-    return rows.select("doc_id", "text", "spans").mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept string")
+    rows = _with_spans(docs.select("doc_id", "text"), repeated_spans(docs, scratch, window, gram, hot_rows))
+    return rows.select("doc_id", "text", "spans of words").mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept string")
+
+
+def rewrite_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """`docs` (doc_id long, text, and any others) without repeated passages, under the same columns.
+
+    Documents that lose nothing stay as they are; others hold their remaining words joined by one blank, with
+    n_chars to match; those of which no word is left go.
+    """
+    rows = _with_spans(docs, repeated_spans(docs, scratch))
+    return rows.select(*docs.columns, "spans of words").mapInArrow(_rewrite, docs.schema)
+
+
+def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Every row with the list of its spans, null if it has none."""
+    listed = spans.distinct().groupBy("doc_id", "version").agg(F.collect_list(F.struct("begin", "end")).alias("spans of words"))
+    listed = listed.select(F.col("doc_id").alias("id of spans"), F.col("version").alias("version of spans"), "spans of words")
+    same = (F.col("doc_id") == F.col("id of spans")) & (F.xxhash64("text") == F.col("version of spans"))
+    return docs.join(listed, same, "left").drop("id of spans", "version of spans")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
