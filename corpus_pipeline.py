@@ -1,12 +1,64 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and reread by the next."""
+"""The corpus pipeline: five stages over `documents`, each written as Parquet and reread by the next.
+
+Every stage works on all that the one before has kept, and returns the columns of `documents`; the last
+returns a row of token digests per document that is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lotlake.llm import bpe_automaton, decontamination, jaccard_tree, ppm_language, substring_dedup
+from lotlake.llm.common import Scratch, table
+
+#: Bits a byte beyond which a text is in no learned language. Prose takes 2 to 3, evenly drawn bytes 8.
+MOST_BITS = 6.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop texts without a letter and texts that no learned language explains."""
+    known = docs.where(F.col("doc_id").isNotNull() & ~ppm_language.held_out(F.col("doc_id")))
+    return ppm_language.keep_languages(docs, ppm_language.fit(known), MOST_BITS)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates keep the document with the smallest id."""
+    found = jaccard_tree.jaccard_components(docs, Scratch(spark, "jaccard"))
+    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of 50 words and more that also stand in a document with a smaller id."""
+    return substring_dedup.rewrite_documents(docs, Scratch(spark, "substrings"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold three quarters of a benchmark item."""
+    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"), Scratch(spark, "leaks"))
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token digests of the texts that are left."""
+    return bpe_automaton.digests(docs, bpe_automaton.word_vocabulary())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard", ngram_jaccard),
+    ("substring_dedup", substring),
+    ("decontaminate", decontaminate),
+    ("bpe", encode),
+]
 
-STAGES: list = []
+#: SQL can't express the first and the last stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
