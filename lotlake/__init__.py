@@ -1,0 +1 @@
+"""Spark jobs over auction-lot pages: extraction, dedup, change-data merge, reports and models."""
