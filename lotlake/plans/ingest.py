@@ -24,17 +24,15 @@ def crawl(pages: DataFrame, scratch: str, limit: int | None = None, short: int =
     Decisions are made on slim rows, which are stored under `scratch` (a shared folder) so that the pages are
     parsed twice in all: for them, and for the payloads of the lots that are taken.
     """
-    spark = pages.sparkSession
     states = entities.page_states(pages)
     lots = entities.lots(states)
     # a page without lots keeps its row, with a null position
     rows = states.select(*entities.KEY, "status", "errors", "state")
     listed = entities.lots(rows.where("status = 'ok'")).select(*entities.KEY, F.lit("ok").alias("status"), F.lit(0).alias("errors"), "pos", "item_id")
     bare = rows.select(*entities.KEY, "status", "errors", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("item_id"))
-    listed.unionByName(bare).write.parquet(f"{scratch}/slim")
-    stored = spark.read.parquet(f"{scratch}/slim")
-    states = stored.where("pos IS NULL").select(*entities.KEY, "status", "errors")
-    slim = stored.where("pos IS NOT NULL").select(*entities.KEY, "pos", "item_id")
+    found = stored(listed.unionByName(bare), f"{scratch}/slim")
+    states = found.where("pos IS NULL").select(*entities.KEY, "status", "errors")
+    slim = found.where("pos IS NOT NULL").select(*entities.KEY, "pos", "item_id")
     firsts = dedup.first_seen(slim)
     got = dedup.reached(dedup.page_counts(states, slim, firsts), short, limit)
     if limit is not None:
@@ -62,8 +60,18 @@ def observations(observed: DataFrame, zip_code: str, radius_miles: int, scraped_
     )
 
 
-def upsert(stored: DataFrame, batch: DataFrame, mode: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The item table after a batch, and the batch's counters by run."""
-    items = merge.with_ids(merge.merged(stored, batch, mode)).drop("inserted_seq")
-    classes = merge.change_classes(stored, batch, mode).join(batch.select("item_id", "seq", "run_id"), ["item_id", "seq"])
-    return items, runs.change_totals(classes)
+def stored(rows: DataFrame, path: str) -> DataFrame:
+    """`rows` written and read again, so that what uses them twice doesn't work them out twice."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def upsert(items: DataFrame, batch: DataFrame, scratch: str, mode: str = "text") -> DataFrame:
+    """The item table after a batch. What is merged is stored under `scratch`, as numbering new items reads it again."""
+    return merge.with_ids(stored(merge.merged(items, batch, mode), f"{scratch}/merged")).drop("inserted_seq")
+
+
+def counters(items: DataFrame, batch: DataFrame, mode: str = "text") -> DataFrame:
+    """What a batch adds and changes, by run."""
+    classes = merge.change_classes(items, batch, mode).join(batch.select("item_id", "seq", "run_id"), ["item_id", "seq"])
+    return runs.change_totals(classes)

@@ -105,8 +105,9 @@ def _lots(spark: SparkSession, sf_dir: str, **kind) -> DataFrame:
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    states = entities.page_states(fixtures.pages(spark, sf_dir, faults=True))
-    slim = entities.lots(states).select(*entities.KEY, "pos", "item_id")
+    pages = ingest.stored(fixtures.pages(spark, sf_dir, faults=True), f"{scratch_dir(spark, 'pages')}/pages")
+    states = entities.page_states(pages)
+    slim = ingest.stored(entities.lots(states).select(*entities.KEY, "pos", "item_id"), f"{scratch_dir(spark, 'lots')}/slim")
     firsts = dedup.first_seen(slim)
     return firsts, dedup.page_counts(states, slim, firsts)
 
@@ -215,9 +216,10 @@ def limit_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT category_idx, pages_seen, errors, count(item_id) AS n_items FROM page_sum LEFT JOIN all_taken USING (category_idx) GROUP BY ALL""")
 def full_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to item table in one job, counted by category."""
-    done = ingest.crawl(fixtures.pages(spark, sf_dir, faults=True), scratch_dir(spark, "crawl"))
-    batch = ingest.observations(done.observed, "78414", 50, F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    items, _ = ingest.upsert(_no_items(spark), batch)
+    scratch = scratch_dir(spark, "crawl")
+    done = ingest.crawl(ingest.stored(fixtures.pages(spark, sf_dir, faults=True), f"{scratch}/pages"), scratch)
+    batch = ingest.stored(ingest.observations(done.observed, "78414", 50, F.lit("2024-01-01 00:00:00").cast("timestamp")), f"{scratch}/observations")
+    items = ingest.upsert(_no_items(spark), batch, scratch)
     per_page = done.pages.groupBy("category_idx").agg(F.count("*").alias("pages_seen"), F.sum("errors").alias("errors"))
     # an item that several categories show is one row; it counts where it was last changed, so count observations
     per_item = batch.join(items.select("item_id"), "item_id", "left_semi").groupBy((F.shiftright("seq", 30) % (1 << 20)).cast("int").alias("category_idx")).agg(F.count("*").alias("n_items"))
@@ -244,8 +246,8 @@ def merge_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = obs.agg(F.floor(F.max("seq") / 2).alias("half"))
     cut = obs.crossJoin(F.broadcast(half))
     root = scratch_dir(spark, "items")
-    tables.write_items(ingest.upsert(_no_items(spark), cut.where("seq <= half").drop("half"))[0], root, 1)
-    items, _ = ingest.upsert(tables.read_items(spark, root), cut.where("seq > half").drop("half"))
+    tables.write_items(ingest.upsert(_no_items(spark), cut.where("seq <= half").drop("half"), f"{root}/first"), root, 1)
+    items = ingest.upsert(tables.read_items(spark, root), cut.where("seq > half").drop("half"), f"{root}/second")
     tables.write_items(items, root, 2)
     return tables.read_items(spark, root).select("id", "item_id", "raw_json", _text("scraped_at"), "zip_code", "radius_miles", "category", _text("created_at"))
 
@@ -271,7 +273,7 @@ def surrogate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_CLASSES} SELECT run_id, count(*) AS items_found, count(*) FILTER (change = 'new') AS items_added, count(*) FILTER (change = 'updated') AS items_updated FROM classed GROUP BY run_id")
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = fixtures.observations(spark, sf_dir)
-    return runs.change_totals(merge.change_classes(_no_items(spark), obs).join(obs.select("item_id", "seq", "run_id"), ["item_id", "seq"]))
+    return ingest.counters(_no_items(spark), obs)
 
 
 @query(f"""WITH {_RUNS} SELECT id, status, zip_code, radius_miles, CASE WHEN test_mode THEN 'Yes' ELSE 'No' END AS test_mode, CASE WHEN id % 3 = 0 THEN 'all' ELSE 'art, coins' END AS categories,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lotlake.operators import merge
+from lotlake.plans.ingest import upsert
 from lotlake.sources.tables import current_version, read_items, write_items
 
 
@@ -32,7 +34,7 @@ def merge_batch(root: str, counters: str, mode: str = "text") -> Callable[[DataF
         classes = merge.change_classes(stored, batch, mode)
         totals = classes.agg(F.count("*").alias("items_found"), F.count_if(F.col("change") == "new").alias("items_added"), F.count_if(F.col("change") == "updated").alias("items_updated"))
         totals.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{counters}/batch_id={batch_id}")
-        write_items(merge.with_ids(merge.merged(stored, batch, mode)).drop("inserted_seq"), root, batch_id + 1)
+        write_items(upsert(stored, batch, f"{root}/work-{uuid.uuid4().hex}", mode), root, batch_id + 1)
 
     return run
 
