@@ -1,0 +1,509 @@
+"""Each operator on the small tables against SQL or brute force, and on tables made of edge cases."""
+
+import collections
+import hashlib
+import json
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from lotlake.llm import bpe_automaton, chat_format, common, decontamination, edit_counts, graph, jaccard_tree, metric_join, ppm_language, registry, sharding, substring_dedup, warc_revisits
+from lotlake.llm.common import Scratch
+from tests.oracle import DATA, assert_same
+
+LONG = " ".join(f"word{k % 977}" for k in range(30_000))
+#: Nulls, blanks, short texts, repeated rows, equal texts, a very long text; columns whose names the operators use themselves.
+TEXTS = [
+    (1, "The quick brown fox jumps over the lazy dog near the river bank today."),
+    (2, "The quick brown fox jumps over the lazy dog near the river bank today."),
+    (2, "The quick brown fox jumps over the lazy dog near the river bank today."),
+    (3, None),
+    (4, ""),
+    (5, " \t\n "),
+    (6, "one two"),
+    (7, "ONE two"),
+    (8, "12345 67890 !!"),
+    (9, LONG),
+    (10, LONG + " end"),
+    (None, "A row without an id, but with words enough for a shingle."),
+    (11, "é" * 300),
+]
+CLASHES = {"key": "k", "ids": "i", "version": "v", "n": "n", "bits": "b", "spans": "s", "begin": "b", "w": "w", "h": "h", "label": "l", "item": "t", "letters": "x", "_best": "y", "_bucket": "z"}
+
+
+def frame(spark, rows, schema="doc_id long, text string"):
+    out = spark.createDataFrame(rows, schema)
+    return out.select("*", *[F.lit(v).alias(k) for k, v in CLASHES.items()])
+
+
+@pytest.fixture()
+def scratch(spark):
+    return Scratch(spark, "test")
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    assert_same(spark, registry.queries()[name], registry.oracle_sql()[name])
+
+
+def documents(spark):
+    return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def words(text):
+    return [w for w in re.split(r"[ \t-\r]+", text or "") if w]
+
+
+# 1
+
+
+def test_archives_keep_every_page(spark, scratch):
+    big = "x" * 200_000 + "\r\n\r\nWARC/1.1\r\n"
+    rows = [(1, "u", "a" * 100), (2, None, "a" * 100), (2, None, "a" * 100), (3, "a\r\nb", "a" * 99), (4, "u", "a" * 99), (None, "u", "a" * 100), (5, "u", None), (6, "u", ""), (7, "é", big), (8, "u", big), (1, "u", "a" * 100)]
+    path = scratch.path("archives")
+    warc_revisits.write_archives(frame(spark, rows, "page_id long, url string, html string"), scratch, path, file_records=3)
+    got = collections.Counter(tuple(r) for r in warc_revisits.read_archives(spark, path).select("page_id", "payload_bytes", "record_type", "refers_to").collect())
+    size = len(big)
+    assert got == collections.Counter(
+        [(1, 100, "response", None)] * 2 + [(2, 100, "revisit", 1)] * 2 + [(3, 99, "response", None), (4, 99, "response", None), (None, 100, "response", None), (5, 0, "response", None), (6, 0, "response", None), (7, size, "response", None), (8, size, "revisit", 7)]
+    )
+    none = scratch.path("none")
+    warc_revisits.write_archives(frame(spark, [], "page_id long, url string, html string"), scratch, none)
+    assert warc_revisits.read_archives(spark, none).count() == 0
+
+
+# 2
+
+
+def counted(texts_by_lang, order=3):
+    out = collections.Counter()
+    for lang, text in texts_by_lang:
+        data = bytes([10] * order) + text.encode()
+        for k in range(order, len(data)):
+            out[lang, int.from_bytes(data[k - order : k + 1], "big")] += 1
+    return [(lang, code, n) for (lang, code), n in out.items()]
+
+
+def brute_bits(train, text, order=3):
+    """Code length by method C with exclusion, straight from the definition."""
+    seen = collections.defaultdict(collections.Counter)
+    data = bytes([10] * order) + train.encode()
+    for k in range(order, len(data)):
+        for d in range(order + 1):
+            seen[data[k - d : k]][data[k]] += 1
+    total, data = 0.0, bytes([10] * order) + text.encode()
+    for k in range(order, len(data)):
+        out = set()
+        for d in range(order, -1, -1):
+            counts = {s: n for s, n in seen.get(data[k - d : k], {}).items() if s not in out}
+            if not counts:
+                continue
+            mass = sum(counts.values()) + len(counts)
+            if data[k] in counts:
+                total -= math.log2(counts[data[k]] / mass)
+                break
+            total -= math.log2(len(counts) / mass)
+            out |= set(counts)
+        else:
+            total += math.log2(256 - len(out))
+    return total
+
+
+def test_code_lengths_equal_the_definition():
+    train = {"en": "the cat sat on the mat and the dog ran to the cat", "de": "der hund und die katze sind auf der matte, über dem hund"}
+    model = ppm_language.build(counted(train.items()))
+    for text in ("the dog", "", "über", "zzz\x00\xff", "mat", "t"):
+        data, offsets = common.utf8_buffers(pa.array([text, "between", text]))
+        bits = model.bits(data, offsets)
+        for k, lang in enumerate(model.languages):
+            assert bits[0, k] == pytest.approx(brute_bits(train[lang], text), rel=1e-5, abs=1e-4)
+            assert bits[2, k] == pytest.approx(bits[0, k], rel=1e-6, abs=1e-4)
+
+
+def test_code_lengths_are_a_distribution():
+    model = ppm_language.build(counted([("a", "abracadabra"), ("b", "bananas and more")]))
+    many = np.ones(model.costs.shape[1])
+    many[0] = 256 - (len(many) - 1)
+    assert np.allclose((np.exp2(-model.costs.astype(float)) * many[None, :, None]).sum(1), 1, atol=1e-4)
+
+
+def test_small_tables_keep_contexts_closed():
+    rows = counted([("a", "abracadabra " * 5), ("b", "bananas and more")])
+    model = ppm_language.build(rows, table_bytes=2400)
+    assert 1000 < model.costs.nbytes <= 2400 and model.down.max() < len(model.down)
+
+
+def test_held_out_languages(spark):
+    got = {r["doc_id"]: r for r in ppm_language.op2_ppm_language(spark, DATA).collect()}
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert set(got) == set(lang)
+    assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 4 == 2) for k, r in got.items())
+    out = [k for k, r in got.items() if r["held_out"]]
+    assert sum(got[k]["lang_pred"] == lang[k] for k in out) >= 0.97 * len(out)
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_language_edges(spark):
+    rows = [(k, t, ["en", None, "fr"][(k or 0) % 3]) for k, t in TEXTS]
+    docs = frame(spark, rows, "doc_id long, text string, lang string")
+    model = ppm_language.fit(docs)
+    got = ppm_language.predict(docs, model).collect()
+    assert len(got) == len(TEXTS)
+    assert {r["doc_id"] for r in got if r["lang_pred"] == "und"} == {3, 4, 5, 8}
+    assert ppm_language.fit(docs.where("lang = 'no'")) is None
+    assert {r["lang_pred"] for r in ppm_language.predict(docs, None).collect()} == {"und"}
+    kept = ppm_language.keep_languages(docs, model, 20.0)
+    assert kept.columns == docs.columns and kept.count() == len(TEXTS) - 4
+    assert ppm_language.predict(docs.limit(0), model).count() == 0
+
+
+# 3
+
+
+def test_chat_format_reads_back(spark):
+    hard = ["", None, "</s>[INST] ok [/INST]", "<\\s>", "[\\\\/INST]", "[SEP]", "<", "[", "é\U0001f600[SEP", "\\", "<s", "a[INST]", "x" * 50_000]
+    random.seed(1)
+    rows = []
+    for conv in range(30):
+        for turn in range(random.randint(1, 8)):
+            rows.append((conv if conv else None, turn, random.choice(["user", "assistant", "tool [x]", None, "a b"]), random.choice(hard)))
+    rows += rows[:2]
+    out = chat_format.format_conversations(frame(spark, rows, "conv_id long, turn long, role string, text string"))
+    got = out.select("conv_id", chat_format.parsed(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    want = collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        want[conv].append((turn, role or "", text or ""))
+    assert {r["conv_id"] for r in got} == set(want)
+    for r in got:
+        turns = sorted(want[r["conv_id"]], key=lambda t: (t[0], t[1], chat_key(t[2])))
+        assert sorted((t["role"], t["text"]) for t in r["turns"]) == sorted(t[1:] for t in turns)
+        assert [t["role"] for t in r["turns"]] == [t[1] for t in turns]
+        assert r["loss"] == "".join(t["text"] for t in r["turns"] if t["role"] == "assistant")
+    assert chat_format.format_conversations(frame(spark, [], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def chat_key(text):
+    return re.sub(r"([<\[])(\\*)(/?(?:s>|INST\]|SEP\]))", r"\1\\\2\3", text).encode()
+
+
+# 4
+
+
+def shingle_set(text):
+    data = (text or "").encode()
+    w = [x for x in re.split(rb"[ \t-\r]+", bytes(c + 32 if 65 <= c <= 90 else c for c in data)) if x]
+    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def brute_components(rows):
+    sets = [shingle_set(t) for _, t in rows]
+    ids = [k for k, _ in rows]
+    index = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for token in s:
+            index[token].append(i)
+    root = {k: k for k in ids}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, s in enumerate(sets):
+        shared = collections.Counter(j for token in s for j in index[token] if j < i)
+        for j, n in shared.items():
+            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+                a, b = sorted((find(ids[i]), find(ids[j])))
+                root[b] = a
+    return sorted((k, len(s), find(k)) for k, s in zip(ids, sets))
+
+
+@pytest.mark.parametrize("sizes", [{}, {"group": 5, "hot_docs": 33}])
+def test_jaccard_components(spark, scratch, sizes):
+    rows = documents(spark)
+    random.seed(2)
+    for k in range(60):  # near copies on both sides of the threshold
+        w = words(random.choice(rows)[1])[:200]
+        for _ in range(random.randint(0, 8)):
+            w[random.randrange(len(w))] = random.choice(["x", "Y", w[0]])
+        rows.append((10_000 + k, " ".join(w)))
+    got = jaccard_tree.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), scratch, **sizes)
+    assert sorted(tuple(r) for r in got.collect()) == brute_components(rows)
+
+
+def test_jaccard_edges(spark, scratch):
+    got = collections.Counter(tuple(r) for r in jaccard_tree.jaccard_components(frame(spark, TEXTS), scratch).collect())
+    n = len(shingle_set(LONG))
+    assert got == collections.Counter(
+        {(1, 10, 1): 1, (2, 10, 1): 2, (3, 0, 3): 1, (4, 0, 4): 1, (5, 0, 5): 1, (6, 1, 6): 1, (7, 1, 6): 1, (8, 1, 8): 1, (9, n, 9): 1, (10, n + 1, 9): 1, (None, 8, None): 1, (11, 1, 11): 1}
+    )
+    assert jaccard_tree.jaccard_components(frame(spark, []), scratch).count() == 0
+
+
+def test_tree_misses_no_pair():
+    random.seed(3)
+    sets = []
+    for _ in range(300):
+        base = np.random.default_rng(random.randrange(12)).integers(0, 2**63, 400, dtype=np.uint64)[: random.choice([8, 40, 52, 300, 400])]
+        own = np.array([random.getrandbits(63) for _ in range(random.randint(0, max(1, len(base) // 5)))], dtype=np.uint64)
+        sets.append(np.unique(np.concatenate([base[: len(base) - len(own) // 2], own])))
+    labels = np.array([random.choice([0, k + 1]) for k in range(300)])
+    i, j = jaccard_tree.candidates(np.array([len(s) for s in sets]), labels, [jaccard_tree.bitmap(s) for s in sets])
+    found = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
+    links = 0
+    for a in range(300):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if labels[a] != labels[b] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                links += 1
+                assert (b, a) in found
+    assert links > 100 and len(found) < 300 * 299 / 4
+
+
+def test_components_of_long_chains(spark, scratch):
+    links = [(k, k + 1) for k in range(300)] + [(1000, 1000), (500, 400), (400, 500)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "u long, v long"), scratch).collect()}
+    assert got == {**{k: 0 for k in range(301)}, 400: 400, 500: 400}
+
+
+# 5
+
+
+def test_leaks(spark, scratch):
+    items = [(1, " ".join(f"q{k}" for k in range(30))), (2, "a b c"), (3, None), (4, ""), (None, "q1 q2 q3 q4 q5 q6"), (5, "alone here five words exactly now")]
+    item = words(items[0][1])
+    docs = [
+        (1, "x " * 2000 + " ".join(item) + " y" * 20_000),
+        (2, " ".join(item[:24])),  # 20 of 26 shingles
+        (3, " ".join(item[:23])),  # 19 of 26
+        (4, "A b  C"),
+        (5, "a b c d"),
+        (6, None),
+        (None, items[0][1]),
+        (7, "Alone HERE five words exactly now and then"),
+        (7, "Alone HERE five words exactly now and then"),
+    ]
+    got = sorted(tuple(r) for r in decontamination.find_leaks(frame(spark, docs), frame(spark, items, "item_id long, text string"), scratch).collect())
+    assert got == [(1, 1, 26, 26), (2, 1, 26, 20), (4, 2, 1, 1), (7, 5, 2, 2)]
+    assert decontamination.find_leaks(frame(spark, []), frame(spark, items, "item_id long, text string"), scratch).count() == 0
+    assert decontamination.find_leaks(frame(spark, docs), frame(spark, [], "item_id long, text string"), scratch).count() == 0
+
+
+# 6
+
+
+def test_shards(spark, scratch):
+    rows = sharding.op6_rendezvous_shards(spark, DATA).collect()
+    texts = dict(documents(spark))
+    assert {r["doc_id"] for r in rows} == set(texts)
+    slots = collections.defaultdict(list)
+    for r in rows:
+        data = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(data) + 8, zlib.crc32(data), "key")
+        assert r["grown_shard"] in (r["shard"], 24) and 0 <= r["shard"] < 24
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    edge = sharding.shard_documents(frame(spark, TEXTS), scratch, [1.0] * 24).collect()
+    assert len(edge) == len(TEXTS) and len({(r["shard"], r["slot"]) for r in edge}) == len(TEXTS)
+    assert sharding.shard_documents(frame(spark, []), scratch, [1.0] * 24).count() == 0
+
+
+def test_shards_follow_weights(spark):
+    keys = spark.range(20_000).withColumnRenamed("id", "k")
+    got = sharding.assign(keys, ["k"], [1.0, 0.0, 3.0], 4.0)
+    n = {r["shard"]: r["count"] for r in got.groupBy("shard").count().collect()}
+    assert set(n) == {0, 2} and abs(n[2] / 20_000 - 0.75) < 0.02
+    moved = got.where("grown_shard <> shard")
+    assert moved.where("grown_shard <> 3").count() == 0 and abs(moved.count() / 20_000 - 0.5) < 0.02
+    with pytest.raises(ValueError):
+        sharding.assign(keys, ["k"], [0.0])
+
+
+# 7
+
+
+def test_vectors(spark, scratch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 8))
+    x[200:] = x[:200] + rng.normal(size=(200, 8)) * 0.35
+    rows = [(k, [float(v) for v in x[k]]) for k in range(400)]
+    rows += [(900, None), (901, [0.0] * 8), (902, [None] + [1.0] * 7), (903, [float("nan")] + [1.0] * 7), (904, [float("inf")] * 8), (905, [1.0, 2.0]), (906, [2.0, 4.0]), (907, []), (908, [v * 1e200 for v in rows[0][1]]), (909, [v * 1e-200 for v in rows[0][1]])]
+    got = {r["vec_id"]: r for r in metric_join.near_vectors(frame(spark, rows, "vec_id long, embedding array<double>"), scratch, cell=20, block=32).collect()}
+    usable = {k: np.array(v) for k, v in rows if v and not any(c is None or not math.isfinite(c) for c in v) and any(v)}
+    links = collections.defaultdict(set)
+    for a in usable:
+        for b in usable:
+            if a < b and len(usable[a]) == len(usable[b]):
+                u, v = usable[a] / np.abs(usable[a]).max(), usable[b] / np.abs(usable[b]).max()
+                if u @ v / np.linalg.norm(u) / np.linalg.norm(v) >= 0.9:
+                    links[a].add(b)
+                    links[b].add(a)
+    assert {k: r["n_links"] for k, r in got.items()} == {k: len(links[k]) for k, _ in rows}
+    for k, _ in rows:
+        seen, todo = {k}, [k]
+        while todo:
+            for b in links[todo.pop()] - seen:
+                seen.add(b)
+                todo.append(b)
+        assert got[k]["component_id"] == min(seen) and got[k]["kept"] == (k == min(seen))
+    assert metric_join.near_vectors(frame(spark, [], "vec_id long, embedding array<double>"), scratch).count() == 0
+
+
+# 8
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_encoding_equals_the_library(spark, vocabulary):
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(vocabulary), bpe_automaton.Tokenizer(json.loads(bpe_automaton.load_spec(vocabulary)))
+    random.seed(7)
+    alphabet = ["a", "b", "'", "é", "é", "Σ", "ς", "İ", "ß", "<|endoftext|>", "<|startoftext|>", "<|", "1", "½", "²", "٣", "_", "-", "!", "\n", "\x1c", "\x85", "\xa0", "　", "'re", "'LL", "ing", "the", "日", "😀", "aaaa", "Ǆ", "ͅ", "\x00"]
+    texts = [t or "" for _, t in documents(spark)] + ["".join(random.choice(alphabet) for _ in range(random.randint(0, 14))) for _ in range(3000)] + ["a" * 3000, "the" * 2000]
+    for text in texts:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert list(own.encode(text)) == want
+        assert own.decode(want) == library.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_edges(spark, vocabulary):
+    got = bpe_automaton.encode_decode(frame(spark, TEXTS), vocabulary)
+    assert got.columns == ["doc_id", "ids", "decoded"]
+    rows = got.collect()
+    assert len(rows) == len(TEXTS) and {r["doc_id"] for r in rows if not r["ids"]} == {3, 4, 5}
+    assert bpe_automaton.encode_decode(frame(spark, []), vocabulary).count() == 0
+    digest = {r["doc_id"]: r for r in bpe_automaton.digests(frame(spark, TEXTS), vocabulary).collect()}
+    assert digest[4]["ids_sha256"] == digest[4]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+# 9
+
+
+def test_counts_follow_edits(spark):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    counter = edit_counts.Counter(open(path, "rb").read(), pattern)
+    full = lambda t: len(counter.encoding.encode_ordinary(t))
+    random.seed(8)
+    pieces = [" ", "  ", "'", "s", "'re", "r", "e", "1", "½", "\n", "\x1c", "a", "the", "é", "　", "!!", "_", " \n "]
+    texts = [t or "" for _, t in documents(spark)][:100] + ["".join(random.choice(pieces) for _ in range(random.randint(0, 300))) for _ in range(200)]
+    for text in texts:
+        doc = edit_counts.Document(text, *edit_counts.build(text, counter), counter)
+        for _ in range(5):
+            at, gone, new = random.randint(0, len(text) + 2), random.choice([0, 1, 2, 5, 30, 4000]), "".join(random.choice(pieces) for _ in range(random.choice([0, 1, 4, 60])))
+            text = text[:at] + new + text[at + gone :]
+            doc.edit(at, gone, new)
+            assert (doc.text, doc.tokens[1], doc.chars[1]) == (text, full(text), len(text))
+    far = edit_counts.Document(LONG, *edit_counts.build(LONG, counter), counter)
+    far.edit(100_000, 3, "new")
+    assert far.encoded < 200 and far.tokens[1] == full(far.text)
+
+
+def test_edit_edges(spark):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    state = edit_counts.build_trees(frame(spark, TEXTS), *vocabulary)
+    edits = spark.createDataFrame([(4, 1, 0, 0, "now"), (6, 2, 99, 1, "!"), (6, 1, -5, 3, None), (9, 1, None, None, "x")], "key long, seq int, at int, deleted int, inserted string")
+    got = {r["key"]: r for r in edit_counts.apply_edits(edit_counts.with_edits(state, edits), *vocabulary).collect()}
+    assert got[4]["text"] == "now" and got[6]["text"] == " two!" and got[9]["text"] == "x" + LONG and got[3]["text"] == ""
+    assert got[3]["tokens"][1] == 0 and got[1]["n_encoded"] == 0
+    assert edit_counts.apply_edits(edit_counts.with_edits(edit_counts.build_trees(frame(spark, []), *vocabulary), edits), *vocabulary).count() == 0
+
+
+def test_edit_query_equals_full_counts(spark):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    counter = edit_counts.Counter(open(vocabulary[0], "rb").read(), vocabulary[1])
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.withColumn("edits", edit_counts.sample_edits(F.col("doc_id"), F.col("text"))).collect()
+    want = {}
+    for r in rows:
+        text = r["text"]
+        for e in r["edits"]:
+            text = text[: e["at"]] + e["inserted"] + text[e["at"] + e["deleted"] :]
+        want[r["doc_id"]] = (len(counter.encoding.encode_ordinary(r["text"])), len(counter.encoding.encode_ordinary(text)), len(text))
+    got = {r["doc_id"]: (r["n_tokens"], r["n_tokens_edited"], r["n_chars_edited"]) for r in edit_counts.op9_edit_counts(spark, DATA).collect()}
+    assert got == want
+
+
+# 10
+
+
+def brute_repeats(rows, window=50):
+    first = {}
+    split = [(k, words(t)) for k, t in rows]
+    for k, w in split:
+        for i in range(len(w) - window + 1):
+            at = " ".join(w[i : i + window])
+            if k is not None:
+                first[at] = min(first.get(at, k), k)
+    out = []
+    for k, w in split:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if k is not None and first[" ".join(w[i : i + window])] < k:
+                gone |= set(range(i, i + window))
+        out.append((k, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("hot_rows", [20_000, 2])
+def test_repeated_passages(spark, scratch, hot_rows):
+    random.seed(9)
+    passage = [f"p{k}" for k in range(120)]
+    rows = list(TEXTS)
+    for k in range(80):
+        w = [random.choice("abcdefgh") + str(random.randrange(40)) for _ in range(random.randint(0, 150))]
+        at, n = random.randint(0, len(w)), random.choice([0, 49, 50, 51, 120])
+        start = random.randint(0, 120 - n)
+        rows.append((100 + random.randrange(60), random.choice([" ", "\n", " \t "]).join(w[:at] + passage[start : start + n] + w[at:])))
+    got = substring_dedup.remove_repeats(frame(spark, rows), scratch, hot_rows=hot_rows).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_repeats(rows)
+
+
+def test_rewritten_documents(spark, scratch):
+    shared = " ".join(f"s{k}" for k in range(60))
+    rows = [(1, f"start {shared}\nend", 5), (2, f"two  words {shared}", 9), (3, shared, 7), (4, "stays  as\nit is", 1), (5, None, 0), (None, shared, 2)]
+    docs = frame(spark, rows, "doc_id long, text string, n_chars int")
+    got = substring_dedup.rewrite_documents(docs, scratch)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in got.collect()), key=repr) == sorted([rows[0], (2, "two words", 9), rows[3], rows[4], rows[5]], key=repr)
+    assert substring_dedup.rewrite_documents(frame(spark, [], "doc_id long, text string, n_chars int"), scratch).count() == 0
+
+
+# pipeline
+
+
+def test_pipeline_stages(spark, scratch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    at = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = scratch.save(stage(spark, docs, DATA), name)
+        at[name] = docs
+    columns = spark.read.parquet(f"{DATA}/documents.parquet").columns
+    assert all(at[name].columns == columns for name, _ in corpus_pipeline.STAGES[:-1])
+    read = lambda name: [(r["doc_id"], r["text"]) for r in at[name].select("doc_id", "text").collect()]
+    assert sorted(k for k, _ in read("language_id")) == sorted(k for k, t in documents(spark) if re.search(r"[^\W\d_]", t or ""))
+    assert sorted(k for k, _ in read("ngram_jaccard")) == sorted({c for _, _, c in brute_components(read("language_id"))})
+    cut = {k: kept if gone else None for k, _, gone, kept in brute_repeats(read("ngram_jaccard"))}
+    before = dict(read("ngram_jaccard"))
+    assert sorted(read("substring_dedup")) == sorted((k, before[k] if kept is None else kept) for k, kept in cut.items() if kept != "")
+    items = [s for s in (leak_set(r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()) if s]
+    clean = [k for k, t in read("substring_dedup") if not any(100 * len(i & leak_set(t)) >= 75 * len(i) for i in items)]
+    assert sorted(k for k, in at["decontaminate"].select("doc_id").collect()) == sorted(clean)
+    assert sorted(k for k, in at["bpe"].select("doc_id").collect()) == sorted(clean)
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, DATA).collect()) == sorted(tuple(r) for r in at["bpe"].collect())
+
+
+def leak_set(text):
+    w = words((text or "").lower())
+    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
