@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Id of the script element that holds the state (fixed value), and the key of the cache in it.
-SCRIPT_ID, STATE_KEY = "hibid-state", "apollo.state"
+#: Id of the script element that holds the state (each site has its own, so it is a parameter), and the key of the cache in it (fixed value).
+SCRIPT_ID, STATE_KEY = "page-state", "apollo.state"
 MAP = "map<string,variant>"
 
 

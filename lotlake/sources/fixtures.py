@@ -127,7 +127,7 @@ def pages(spark: SparkSession, sf_dir: str, ids: str = "plain", faults: bool = F
         F.transform(F.array_sort(F.collect_list(F.struct("pos", lot.alias("x")))), lambda e: e["x"]).alias("lots"), F.array_sort(F.collect_set(auction)).alias("auctions"), F.array_sort(F.collect_set(lot_state)).alias("states")
     )
     doc = F.concat(F.lit('{"apollo.state":{'), F.array_join(F.concat("lots", "auctions", "states"), ","), F.lit("}}"))
-    page = lambda text: F.concat(F.lit('<html><body><script>var a=1;</script><script id="hibid-state" type="application/json">'), text, F.lit("</script></body></html>"))
+    page = lambda text: F.concat(F.lit('<html><body><script>var a=1;</script><script id="page-state" type="application/json">'), text, F.lit("</script></body></html>"))
     html = page(doc)
     if faults:
         at = lambda kind, n: (F.col("p_type") == kind) & (F.col("page") == n)

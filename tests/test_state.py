@@ -14,7 +14,7 @@ def page(spark, *htmls):
 
 def script(doc):
     text = doc if isinstance(doc, str) else json.dumps({"apollo.state": doc})
-    return f'<html><SCRIPT type="a" id=hibid-state>{text}</SCRIPT></html>'
+    return f'<html><SCRIPT type="a" id=page-state>{text}</SCRIPT></html>'
 
 
 def test_page_status(spark):
@@ -22,7 +22,7 @@ def test_page_status(spark):
     htmls = {
         "fetch_failed": None,
         "empty_body": "",
-        "no_script": '<script id="other">{}</script><script data-id="hibid-state">{}</script><script id="HIBID-STATE">{}</script>',
+        "no_script": '<script id="other">{}</script><script data-id="page-state">{}</script><script id="PAGE-STATE">{}</script>',
         "bad_json": script('{"apollo.state": {"a": 1}'),
         "not_object": script("[1]"),
         "empty_state": script({}),
@@ -31,7 +31,7 @@ def test_page_status(spark):
     got = entities.page_states(page(spark, *htmls.values())).orderBy("page").collect()
     assert [r["status"] for r in got] == list(htmls)
     assert [r["errors"] for r in got] == [1, 0, 0, 1, 1, 0, 0]
-    more = entities.page_states(page(spark, script('{"a":1} xyz'), script('{"other":1}'), script({"a": 1}).replace('{"a": 1}', "[1]"), script('{"apollo.state":null}'), '<script id="hibid-state"></script>')).orderBy("page").collect()
+    more = entities.page_states(page(spark, script('{"a":1} xyz'), script('{"other":1}'), script({"a": 1}).replace('{"a": 1}', "[1]"), script('{"apollo.state":null}'), '<script id="page-state"></script>')).orderBy("page").collect()
     assert [r["status"] for r in more] == ["bad_json", "empty_state", "not_object", "empty_state", "no_script"]
 
 
