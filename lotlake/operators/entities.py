@@ -35,7 +35,8 @@ def lots(states: DataFrame) -> DataFrame:
             F.try_element_at("state", state_ref).alias("lot_state"),
         )
 
-    rows = states.where(F.col("state").isNotNull()).withColumn("auctions", S.auction_index(F.col("state")))
+    # pages without a state give no row; a filter would be pushed below the parse and parse again
+    rows = states.withColumn("auctions", S.auction_index(F.col("state")))
     numbered = F.transform(F.map_entries("state"), lambda e, i: F.struct(i.alias("pos"), e["key"].alias("key"), e["value"].alias("value")))
     found = F.transform(F.filter(numbered, lambda e: S.is_kind(e["key"], e["value"], "Lot")), resolved)
     return rows.select(*KEY, F.inline(found)).withColumn("item_id", S.item_id(F.col("lot")))

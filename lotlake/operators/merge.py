@@ -49,14 +49,15 @@ def with_ids(rows: DataFrame, order: str = "inserted_seq", buckets: int = 64) ->
     """`rows` with ids for those that have none, after the largest, in the order of `order`; present ids stay.
 
     Ids run through ranges of the order: each range is numbered by itself and starts behind the ranges before
-    it, so no task sees all rows. The table of starts has one row per range.
+    it, so no task sees all rows. The driver reads one row, and the table of starts has one row per range.
     """
+    top, low, high = rows.agg(F.max("id"), F.min(order), F.max(order)).first()
     new = rows.where(F.col("id").isNull())
-    top = rows.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"), F.min(order).alias("lo"), F.max(order).alias("hi"))
-    width = F.greatest(F.lit(1.0), (F.col("hi") - F.col("lo") + 1) / F.lit(float(buckets)))
-    cut = new.crossJoin(F.broadcast(top)).withColumn("range", F.floor((F.col(order) - F.col("lo")) / width).cast("int")).drop("lo", "hi")
+    width = max(1.0, ((high or 0) - (low or 0) + 1) / buckets)
+    cut = new.withColumn("range", F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width)).cast("int"))
     starts = cut.groupBy("range").agg(F.count("*").alias("n"))
-    starts = starts.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over at most `buckets` rows
+    starts = starts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = F.row_number().over(Window.partitionBy("range").orderBy(order, "item_id"))
-    numbered = cut.withColumn("at", inside).join(F.broadcast(starts), "range").withColumn("id", F.col("top") + F.col("start") + F.col("at"))
+    numbered = cut.withColumn("at", inside).join(F.broadcast(starts), "range").withColumn("id", F.lit(top or 0) + F.col("start") + F.col("at"))
     return rows.where(F.col("id").isNotNull()).unionByName(numbered.select(rows.columns))

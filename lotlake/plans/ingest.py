@@ -26,10 +26,9 @@ def crawl(pages: DataFrame, scratch: str, limit: int | None = None, short: int =
     """
     states = entities.page_states(pages)
     lots = entities.lots(states)
-    # a page without lots keeps its row, with a null position
-    rows = states.select(*entities.KEY, "status", "errors", "state")
-    listed = entities.lots(rows.where("status = 'ok'")).select(*entities.KEY, F.lit("ok").alias("status"), F.lit(0).alias("errors"), "pos", "item_id")
-    bare = rows.select(*entities.KEY, "status", "errors", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("item_id"))
+    # one row per lot, and one with a null position per page
+    listed = lots.select(*entities.KEY, F.lit("ok").alias("status"), F.lit(0).alias("errors"), "pos", "item_id")
+    bare = states.select(*entities.KEY, "status", "errors", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("item_id"))
     found = stored(listed.unionByName(bare), f"{scratch}/slim")
     states = found.where("pos IS NULL").select(*entities.KEY, "status", "errors")
     slim = found.where("pos IS NOT NULL").select(*entities.KEY, "pos", "item_id")

@@ -243,11 +243,10 @@ _MERGED_SQL = f"""WITH {_CLASSES}, f AS (SELECT item_id, row_number() OVER (ORDE
 def merge_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The earlier half becomes a stored snapshot, the later half is merged into it as read back."""
     obs = fixtures.observations(spark, sf_dir)
-    half = obs.agg(F.floor(F.max("seq") / 2).alias("half"))
-    cut = obs.crossJoin(F.broadcast(half))
+    half = (obs.agg(F.max("seq")).first()[0] or 0) // 2
     root = scratch_dir(spark, "items")
-    tables.write_items(ingest.upsert(_no_items(spark), cut.where("seq <= half").drop("half"), f"{root}/first"), root, 1)
-    items = ingest.upsert(tables.read_items(spark, root), cut.where("seq > half").drop("half"), f"{root}/second")
+    tables.write_items(ingest.upsert(_no_items(spark), obs.where(F.col("seq") <= half), f"{root}/first"), root, 1)
+    items = ingest.upsert(tables.read_items(spark, root), obs.where(F.col("seq") > half), f"{root}/second")
     tables.write_items(items, root, 2)
     return tables.read_items(spark, root).select("id", "item_id", "raw_json", _text("scraped_at"), "zip_code", "radius_miles", "category", _text("created_at"))
 
@@ -264,7 +263,8 @@ def merge_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_OBS} SELECT item_id, row_number() OVER (ORDER BY min(seq)) AS id FROM obs GROUP BY item_id")
 def surrogate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.with_ids(merge.merged(_no_items(spark), fixtures.observations(spark, sf_dir))).select("item_id", F.col("id").cast("bigint").alias("id"))
+    new = ingest.stored(merge.merged(_no_items(spark), fixtures.observations(spark, sf_dir)), f"{scratch_dir(spark, 'ids')}/merged")
+    return merge.with_ids(new).select("item_id", F.col("id").cast("bigint").alias("id"))
 
 
 # runs
