@@ -248,8 +248,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
     length are encoded whole; memory follows the longest text of a batch piece of about 4 MB.
     """
     spec = docs.sparkSession.sparkContext.broadcast(load_spec(vocabulary))
-    schema = T.StructType([docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    schema[0].name = schema.names[0] = "key"
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches):
         made = tokenizer(spec.value)
