@@ -11,20 +11,20 @@ from lotlake.llm.common import Scratch
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (node, component) for every node of `links` (u, v); component is the smallest node reachable.
 
-    Each round every node hooks to the neighbour with the least hash, if that is below its own, and links
-    are rewritten to hooks; rounds grow with the logarithm of the nodes. Hooks are found by an aggregate,
+    Each round every node hooks to its least neighbour, if that is below itself, and links are rewritten to
+    hooks. Least goes by id in one round, which ends stars, and by hash in the next, which halves chains, so
+    rounds grow with the logarithm of the nodes. Hooks are found by an aggregate,
     which combines on the map side; the joins read stored tables, so a node with very many links can be
     split. Loops are ignored; links may repeat and come in either direction.
     """
-    spark = links.sparkSession
     edges = scratch.save(links.where("u <> v").select("u", "v").distinct(), "links")
     hooks = []
     while True:
         k = len(hooks)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        best = both.groupBy("u").agg(F.min(F.struct(F.xxhash64("v", F.lit(k)).alias("h"), F.col("v").alias("to"))).alias("best"))
-        own = F.struct(F.xxhash64("u", F.lit(k)).alias("h"), F.col("u").alias("to"))
-        hooks.append(scratch.save(best.select(F.col("u").alias("node"), F.least("best", own)["to"].alias("hook")), f"hooks{k}"))
+        rank = lambda node: F.struct((F.xxhash64(node, F.lit(k)) if k % 2 else F.lit(0).cast("long")).alias("h"), F.col(node).alias("to"))
+        best = both.groupBy("u").agg(F.min(rank("v")).alias("best"))
+        hooks.append(scratch.save(best.select(F.col("u").alias("node"), F.least("best", rank("u"))["to"].alias("hook")), f"hooks{k}"))
         if edges.isEmpty():
             break
         left = hooks[-1].select(F.col("node").alias("u"), F.col("hook").alias("a"))

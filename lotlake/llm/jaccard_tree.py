@@ -3,13 +3,15 @@
 1. Every text becomes its set of shingle hashes; of equal sets the smallest id stands for all.
 2. Sets that share one of their least hashes are held against the first and the last id that has it.
    This finds nearly all links of large groups without making their pairs. It decides nothing: what it
-   links is verified, what it misses is found below.
+   links is verified (after a look at the bitmaps of step 3), what it misses is found below.
 3. Exact search: two sets that link share a token of their prefixes, the first n - ceil(0.75 n) + 1 tokens
    in one global order. Tokens whose documents are all in one component already are left out (an
    aggregate tells). The others make groups, and each group a signature tree: nodes hold the OR of their
    members' token bitmaps and their range of sizes, and a dual traversal drops node pairs whose largest
-   possible overlap is too small, or that are linked already.
-4. Pairs that remain are verified on the texts' whole sets; components follow from the links.
+   possible overlap is too small, or that are in one component already. The search runs twice. The first
+   round takes each set's most promising pair and joins most of what belongs together, so that the second,
+   which takes all pairs that are left, meets few.
+4. Pairs are verified on the texts' whole sets; components follow from the links.
 
 The global order puts frequent tokens last. They are listed from a share of the documents, at most
 HOT_LIST of them; which tokens are listed changes the work, never the result.
@@ -34,6 +36,8 @@ LEADS = 3
 HOT_SHARE, HOT_DOCS, HOT_LIST = 32, 256, 200_000
 #: Members of a tree; a larger group is cut into blocks and all pairs of blocks are searched.
 GROUP = 256
+#: Bits of a bitmap per token. Few shared bits by chance keep pairs with half their tokens in common from verification.
+WIDE = 4
 #: Members of a lowest node, and nodes under a node.
 LEAF, FAN = 16, 4
 CHUNK = 4 << 20
@@ -60,8 +64,8 @@ def token_sets(column: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """One bit per token in the least power of two bits (64 at least) that holds the set."""
-    bits = max(64, 1 << max(0, (len(tokens) - 1)).bit_length())
+    """One bit per token in the least power of two bits (64 at least) that is WIDE times the set."""
+    bits = max(64, 1 << max(0, (WIDE * len(tokens) - 1)).bit_length())
     flags = np.zeros(bits, dtype=np.uint8)
     flags[(mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").tobytes()
@@ -121,81 +125,128 @@ def frequent_tokens(docs: DataFrame, shingle: int, hot_docs: int) -> list[int]:
     return sorted(t & (2**64 - 1) for t in top.select("token").toArrow().column(0).to_pylist())
 
 
-class _Node:
-    __slots__ = ("bits", "least", "most", "excess", "label", "parts", "members")
-
-
-def _tree(n: np.ndarray, labels: np.ndarray, bits: np.ndarray) -> _Node:
-    """Lowest nodes of LEAF members in order of size, then FAN nodes under one, up to a root."""
-    ones = np.bitwise_count(bits).sum(1, dtype=np.int64)
-    level = []
-    for a in range(0, len(n), LEAF):
-        node, at = _Node(), np.arange(a, min(a + LEAF, len(n)))
-        node.members, node.parts = at, None
-        node.bits, node.least, node.most = np.bitwise_or.reduce(bits[at]), int(n[at].min()), int(n[at].max())
-        node.excess = int((n[at] - ones[at]).max())  # tokens beyond one per bit
-        node.label = int(labels[a]) if (labels[at] == labels[a]).all() else None
-        level.append(node)
-    while len(level) > 1:
-        above = []
-        for a in range(0, len(level), FAN):
-            parts, node = level[a : a + FAN], _Node()
-            node.members, node.parts = None, parts
-            node.bits = np.bitwise_or.reduce([p.bits for p in parts])
-            node.least, node.most, node.excess = min(p.least for p in parts), max(p.most for p in parts), max(p.excess for p in parts)
-            node.label = parts[0].label if all(p.label == parts[0].label for p in parts) else None
-            above.append(node)
-        level = above
-    return level[0]
-
-
-def _apart(x: _Node, y: _Node, percent: int) -> bool:
-    """No member of x can link with one of y, or all are in one component."""
-    if x.label is not None and x.label == y.label:
-        return True
-    if 100 * x.most < percent * y.least or 100 * y.most < percent * x.least:
-        return True
-    overlap = int(np.bitwise_count(x.bits & y.bits).sum()) + min(x.excess, y.excess)
-    return overlap * (100 + percent) < percent * (x.least + y.least)
-
-
-def candidates(n: np.ndarray, labels: np.ndarray, bitmaps: list[bytes], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a group that may link and aren't in one component; no pair that links is missing."""
+class _Tree:
+    """Signature tree of a group whose members are in order of size: lowest nodes of LEAF members, FAN nodes under one.
+
+    A node is a range of members. Its signature at a width (64-bit words) is the OR of its members' bitmaps
+    folded to that width, with the most tokens that one member has beyond one per bit.
+    """
+
+    def __init__(self, n: np.ndarray, labels: np.ndarray, bitmaps: list[np.ndarray]):
+        self.n, self.labels, self.bitmaps = n, labels, bitmaps
+        self.widths = np.array([len(b) for b in bitmaps])  # grow with size
+        self.folds: dict[int, tuple[int, np.ndarray]] = {}
+        self.seen: dict[tuple[int, int, int], tuple[np.ndarray, int]] = {}
+
+    def rows(self, lo: int, hi: int, width: int) -> np.ndarray:
+        if width not in self.folds:
+            start = int(np.searchsorted(self.widths, width))
+            self.folds[width] = start, np.stack([folded(b, width) for b in self.bitmaps[start:]])
+        start, all_rows = self.folds[width]
+        return all_rows[lo - start : hi - start]
+
+    def signature(self, lo: int, hi: int, width: int) -> tuple[np.ndarray, int]:
+        if (lo, hi, width) not in self.seen:
+            rows = self.rows(lo, hi, width)
+            excess = int((self.n[lo:hi] - np.bitwise_count(rows).sum(1, dtype=np.int64)).max())
+            self.seen[lo, hi, width] = np.bitwise_or.reduce(rows), excess
+        return self.seen[lo, hi, width]
+
+    def parts(self, lo: int, hi: int) -> list[tuple[int, int]]:
+        """The nodes under a node; none for a lowest one."""
+        if hi - lo <= LEAF:
+            return []
+        step = LEAF
+        while step * FAN < hi - lo:
+            step *= FAN
+        return [(k, min(k + step, hi)) for k in range(lo, hi, step)]
+
+    def apart(self, x: tuple[int, int], y: tuple[int, int], percent: int) -> bool:
+        """No member of node x can link with one of y, or all are in one component."""
+        least, most = (self.n[x[0]], self.n[y[0]]), (self.n[x[1] - 1], self.n[y[1] - 1])
+        if 100 * most[0] < percent * least[1] or 100 * most[1] < percent * least[0]:
+            return True
+        label = self.labels[x[0]]
+        if (self.labels[x[0] : x[1]] == label).all() and (self.labels[y[0] : y[1]] == label).all():
+            return True
+        width = int(min(self.widths[x[0]], self.widths[y[0]]))
+        (a, more_a), (b, more_b) = self.signature(*x, width), self.signature(*y, width)
+        overlap = int(np.bitwise_count(a & b).sum()) + min(more_a, more_b)
+        return overlap * (100 + percent) < percent * int(least[0] + least[1])
+
+    def pairs(self, x: tuple[int, int], y: tuple[int, int], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Members of two lowest nodes that may link, with the most that they can share: tokens whose bit the other lacks can't be."""
+        width = int(min(self.widths[x[0]], self.widths[y[0]]))
+        a, b = self.rows(*x, width)[:, None], self.rows(*y, width)[None]
+        na, nb = self.n[x[0] : x[1], None], self.n[None, y[0] : y[1]]
+        both = a & b
+        most = np.minimum(na - np.bitwise_count(a ^ both).sum(2, dtype=np.int64), nb - np.bitwise_count(b ^ both).sum(2, dtype=np.int64))
+        i, j = np.nonzero((most * (100 + percent) >= percent * (na + nb)) & (self.labels[x[0] : x[1], None] != self.labels[None, y[0] : y[1]]))
+        share = (most / (na + nb))[i, j]
+        i, j = i + x[0], j + y[0]
+        ok = i < j if x == y else slice(None)
+        return i[ok], j[ok], share[ok]
+
+
+def candidates(n: np.ndarray, labels: np.ndarray, bitmaps: list[bytes], percent: int = PERCENT, best: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a group that may link and aren't in one component; no pair that links is missing.
+
+    best: only each member's most promising pair, for a first round.
+    """
     order = np.argsort(n, kind="stable")
     sizes = n[order]
     cuts = np.flatnonzero(100 * sizes[:-1] < percent * sizes[1:]) + 1  # nothing links over such a gap
-    one, two = [], []
+    one, two, share = [], [], []
     for part in np.split(order, cuts):
         if len(part) < 2 or (labels[part] == labels[part[0]]).all():
             continue
-        raw = [np.frombuffer(bitmaps[k], dtype=np.uint64) for k in part]
-        width = min(len(r) for r in raw)
-        bits, m, l = np.stack([folded(r, width) for r in raw]), n[part], labels[part]
-        root = _tree(m, l, bits)
-        stack = [(root, root)]
+        tree = _Tree(n[part], labels[part], [np.frombuffer(bitmaps[k], dtype=np.uint64) for k in part])
+        stack = [((0, len(part)), (0, len(part)))]
         while stack:
             x, y = stack.pop()
-            if _apart(x, y, percent):
+            if tree.apart(x, y, percent):
                 continue
-            if x.parts is None and y.parts is None:
-                a, b = bits[x.members][:, None], bits[y.members][None]
-                na, nb = m[x.members][:, None], m[y.members][None]
-                most = np.minimum(na - np.bitwise_count(a & ~b).sum(2, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(2, dtype=np.int64))
-                ok = (most * (100 + percent) >= percent * (na + nb)) & (l[x.members][:, None] != l[y.members][None])
-                i, j = np.nonzero(ok)
-                i, j = x.members[i], y.members[j]
-                if x is y:
-                    i, j = i[i < j], j[i < j]
+            under_x, under_y = tree.parts(*x), tree.parts(*y)
+            if not under_x and not under_y:
+                i, j, most = tree.pairs(x, y, percent)
                 one.append(part[i])
                 two.append(part[j])
-            elif x is y:
-                stack += [(p, q) for a, p in enumerate(x.parts) for q in x.parts[a:]]
-            elif y.parts is None or (x.parts is not None and x.most - x.least >= y.most - y.least):
-                stack += [(p, y) for p in x.parts]
+                share.append(most)
+            elif x == y:
+                stack += [(p, q) for a, p in enumerate(under_x) for q in under_x[a:]]
+            elif not under_y or (under_x and x[1] - x[0] >= y[1] - y[0]):
+                stack += [(p, y) for p in under_x]
             else:
-                stack += [(x, q) for q in y.parts]
-    none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(one), np.concatenate(two)) if one else (none, none)
+                stack += [(x, q) for q in under_y]
+    if not one:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    a, b = np.concatenate(one), np.concatenate(two)
+    if best and len(a):
+        order = np.argsort(-np.concatenate(share), kind="stable")
+        ends = np.stack([a[order], b[order]], axis=1).ravel()
+        first = np.unique(ends, return_index=True)[1] // 2
+        kept = order[np.unique(first)]
+        a, b = a[kept], b[kept]
+    return a, b
+
+
+def _plausible(percent: int):
+    """Arrow function over pairs (a, b, n of a, n of b, bitmaps): those whose largest possible overlap is enough."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ok = []
+            for m, n, x, y in zip(na, nb, batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                width = min(len(x), len(y))
+                x, y = folded(x, width), folded(y, width)
+                both = x & y
+                most = min(m - int(np.bitwise_count(x ^ both).sum()), n - int(np.bitwise_count(y ^ both).sum()))
+                ok.append(most * (100 + percent) >= percent * (m + n))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
 
 
 def _groups(batches, keys: int):
@@ -220,7 +271,7 @@ def _edges(columns: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(new) + 1, [len(columns[0])]])
 
 
-def _search(percent: int):
+def _search(percent: int, best: bool):
     """Arrow function over (gid, rep, n, label, bits) sorted by gid: candidate pairs."""
 
     def run(batches):
@@ -230,7 +281,7 @@ def _search(percent: int):
             a, b = [], []
             edges = _edges([gid]).tolist()
             for s, e in zip(edges[:-1], edges[1:]):
-                i, j = candidates(n[s:e], label[s:e], bits[s:e], percent)
+                i, j = candidates(n[s:e], label[s:e], bits[s:e], percent, best)
                 a.append(rep[s + i])
                 b.append(rep[s + j])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
@@ -288,6 +339,12 @@ def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, per
     return scratch.save(blocks.mapInArrow(_verify(percent, shingle), "u long, v long").distinct(), f"{name}links")
 
 
+def _labels(small: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows (rep, label): the component of every set under the links so far."""
+    found = components(links, scratch).select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    return scratch.save(small.select("rep").join(found, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")), name)
+
+
 def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, shingle: int = SHINGLE, group: int = GROUP, hot_docs: int = HOT_DOCS) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one per row of `docs` (doc_id long, text).
 
@@ -315,12 +372,17 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT
     ends = scratch.save(ends, "ends")
     seen = shown.join(ends, "token")
     stars = seen.select(F.col("first").alias("a"), F.col("rep").alias("b")).unionByName(seen.select(F.col("last").alias("a"), F.col("rep").alias("b")))
-    near = verified(stars.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), known, scratch, "near", percent, shingle)
+    stars = stars.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda k: reps.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
+    met = stars.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    stars = met.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_plausible(percent), "a long, b long")
+    near = verified(stars, known, scratch, "near", percent, shingle)
     release(spark)
 
-    labels = components(near, scratch).select(F.col("node").alias("rep"), F.col("component").alias("label"))
-    small = scratch.save(reps.select("rep", "n", "bits").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "small")
-    tokens = reps.select("rep", F.explode("prefix").alias("token")).join(small.select("rep", "label"), "rep")
+    known_links = near
+    small = scratch.save(reps.select("rep", "n", "bits"), "small")
+    labels = _labels(small, known_links, scratch, "labels0")
+    tokens = reps.select("rep", "prefix").join(labels, "rep").select("label", F.explode("prefix").alias("token"))
     open_tokens = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi")
     open_tokens = scratch.save(open_tokens.select("token", "size"), "open")
     members = scratch.save(reps.select("rep", F.explode("prefix").alias("token")).join(open_tokens, "token"), "members")
@@ -331,13 +393,19 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT
     own = members.where(F.col("size") > group).select("token", "rep", blocks.alias("blocks"), F.pmod(F.xxhash64("rep", F.lit("block")), blocks.cast("long")).cast("int").alias("block"))
     cut = own.select("token", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cut = cut.select(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("gid"), "rep")
+    groups = scratch.save(fit.unionByName(cut), "groups")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    trees = fit.unionByName(cut).join(small, "rep").select("gid", "rep", "n", "label", "bits").repartition(parts, "gid").sortWithinPartitions("gid")
-    pairs = trees.mapInArrow(_search(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    rest = verified(pairs, known, scratch, "rest", percent, shingle)
-    release(spark)
-
-    whole = components(near.unionByName(rest), scratch).select(F.col("node").alias("rep"), "component")
+    for name, best in (("best", True), ("rest", False)):
+        labelled = groups.join(labels, "rep")
+        live = scratch.save(labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gid"), f"{name}live")
+        trees = labelled.join(live, "gid").join(small, "rep").select("gid", "rep", "n", "label", "bits").repartition(parts, "gid").sortWithinPartitions("gid")
+        pairs = trees.mapInArrow(_search(percent, best), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        known_links = known_links.unionByName(verified(pairs, known, scratch, name, percent, shingle))
+        if best:
+            labels = _labels(small, known_links, scratch, "labels1")
+        release(spark)
+
+    whole = components(known_links, scratch).select(F.col("node").alias("rep"), "component")
     classes = reps.select("d1", "d2", "rep").join(whole, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     classes = scratch.save(classes, "classes")
     out = heads.join(classes, ["d1", "d2"], "left")
