@@ -221,11 +221,12 @@ def predict(rows: DataFrame, model: Model | None, key: str = "doc_id", text: str
     return rows.select(F.col(key).alias("key"), F.col(text).alias("text"), _letters(text).alias("letters")).mapInArrow(run, T.StructType(fields)).withColumnRenamed("key", key)
 
 
-def keep_languages(rows: DataFrame, model: Model | None, most_bits: float, text: str = "text") -> DataFrame:
+def keep_languages(rows: DataFrame, model: Model | None, most_excess: float, text: str = "text") -> DataFrame:
     """The rows of `rows`, all columns as they are, whose text is in a learned language.
 
-    Rejected are texts that `predict` calls `und`, and those whose best language needs over `most_bits` bits a
-    byte. Without a model (nothing to learn from) only null texts and texts without a letter are rejected.
+    Rejected are texts that `predict` calls `und`, and those that a flat code of 8 bits a byte describes in fewer
+    bits than the best language by more than `most_excess`. Short texts can't be rejected so, whatever keys or
+    numbers they hold. Without a model (nothing to learn from) only null texts and texts without a letter are rejected.
     """
     held = rows.sparkSession.sparkContext.broadcast(model)
     flag = "letters of " + "".join(rows.columns)
@@ -234,8 +235,9 @@ def keep_languages(rows: DataFrame, model: Model | None, most_bits: float, text:
         for batch in sized(batches, text, 1 << 20):
             ok = batch.column(batch.num_columns - 1)
             if held.value is not None:
-                rate = _scored(held.value, batch.column(batch.schema.get_field_index(text)), ok)[2]
-                ok = pa.array([r is not None and r <= most_bits for r in rate], pa.bool_())
+                column = batch.column(batch.schema.get_field_index(text))
+                rate, sizes = _scored(held.value, column, ok)[2], np.diff(utf8_buffers(column)[1])
+                ok = pa.array([r is not None and (r - 8) * n <= most_excess for r, n in zip(rate, sizes.tolist())], pa.bool_())
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(ok)
 
     return rows.withColumn(flag, _letters(text)).mapInArrow(run, rows.schema)
