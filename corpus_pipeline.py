@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from lotlake.llm import bpe_automaton, decontamination, jaccard_tree, ppm_language, substring_dedup
 from lotlake.llm.common import Scratch, table
 
-#: Bits a byte beyond which a text is in no learned language. Prose takes 2 to 3, evenly drawn bytes 8.
-MOST_BITS = 6.5
+#: Bits by which a flat code may beat the best learned language before a text counts as in none of them.
+MOST_EXCESS = 1_000.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a letter and texts that no learned language explains."""
     known = docs.where(F.col("doc_id").isNotNull() & ~ppm_language.held_out(F.col("doc_id")))
-    return ppm_language.keep_languages(docs, ppm_language.fit(known), MOST_BITS)
+    return ppm_language.keep_languages(docs, ppm_language.fit(known), MOST_EXCESS)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
