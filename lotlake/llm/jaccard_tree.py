@@ -9,8 +9,8 @@
    aggregate tells). The others make groups, and each group a signature tree: nodes hold the OR of their
    members' token bitmaps and their range of sizes, and a dual traversal drops node pairs whose largest
    possible overlap is too small, or that are in one component already. The search runs twice. The first
-   round takes each set's most promising pair and joins most of what belongs together, so that the second,
-   which takes all pairs that are left, meets few.
+   round takes each set's most promising pair in a share of the groups and joins most of what belongs
+   together, so that the second, which takes all pairs that are left in all groups, meets few.
 4. Pairs are verified on the texts' whole sets; components follow from the links.
 
 The global order puts frequent tokens last. They are listed from a share of the documents, at most
@@ -36,6 +36,8 @@ LEADS = 3
 HOT_SHARE, HOT_DOCS, HOT_LIST = 32, 256, 200_000
 #: Members of a tree; a larger group is cut into blocks and all pairs of blocks are searched.
 GROUP = 256
+#: Groups that a set is known by (see _search), and the share of groups that the first round searches.
+FIRST, BEST_SHARE = 8, 8
 #: Bits of a bitmap per token. Few shared bits by chance keep pairs with half their tokens in common from verification.
 WIDE = 4
 #: Members of a lowest node, and nodes under a node.
@@ -272,16 +274,24 @@ def _edges(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def _search(percent: int, best: bool):
-    """Arrow function over (gid, rep, n, label, bits) sorted by gid: candidate pairs."""
+    """Arrow function over (gid, rep, n, label, bits, first) sorted by gid: candidate pairs.
+
+    first: the smallest gids of the set's groups. If two sets have one in common there, the least of those is
+    the least group that holds both, and only that group gives the pair.
+    """
 
     def run(batches):
         for whole in _groups(batches, 1):
             gid, rep, n, label = (whole.column(k).to_numpy() for k in range(4))
             bits = whole.column(4).to_pylist()
+            first = whole.column(5).to_pylist()
             a, b = [], []
             edges = _edges([gid]).tolist()
             for s, e in zip(edges[:-1], edges[1:]):
                 i, j = candidates(n[s:e], label[s:e], bits[s:e], percent, best)
+                if not best:
+                    own = [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())) if min(set(first[s + x]).intersection(first[s + y]), default=gid[s]) == gid[s]]
+                    i, j = i[own], j[own]
                 a.append(rep[s + i])
                 b.append(rep[s + j])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
@@ -334,7 +344,8 @@ def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, per
     salted = scratch.save(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int")), f"{name}pairs")
     left = salted.select("a", "salt", F.lit(0).alias("side"), F.col("a").alias("doc")).distinct()
     sides = left.unionByName(salted.select("a", "salt", F.lit(1).alias("side"), F.col("b").alias("doc")))
-    met = sides.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").select("a", "salt", "side", "doc", "text")
+    # by a shuffle at every size: what is joined grows with the documents
+    met = sides.hint("merge").join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").select("a", "salt", "side", "doc", "text")
     blocks = met.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "side")
     return scratch.save(blocks.mapInArrow(_verify(percent, shingle), "u long, v long").distinct(), f"{name}links")
 
@@ -395,10 +406,12 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT
     cut = cut.select(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("gid"), "rep")
     groups = scratch.save(fit.unionByName(cut), "groups")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = scratch.save(groups.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set("gid")), 1, FIRST).alias("first")), "first")
     for name, best in (("best", True), ("rest", False)):
-        labelled = groups.join(labels, "rep")
+        part = groups.where(F.pmod("gid", F.lit(BEST_SHARE)) == 0) if best else groups
+        labelled = part.join(labels, "rep")
         live = scratch.save(labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gid"), f"{name}live")
-        trees = labelled.join(live, "gid").join(small, "rep").select("gid", "rep", "n", "label", "bits").repartition(parts, "gid").sortWithinPartitions("gid")
+        trees = labelled.join(live, "gid").join(small, "rep").join(first, "rep").select("gid", "rep", "n", "label", "bits", "first").repartition(parts, "gid").sortWithinPartitions("gid")
         pairs = trees.mapInArrow(_search(percent, best), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         known_links = known_links.unionByName(verified(pairs, known, scratch, name, percent, shingle))
         if best:
