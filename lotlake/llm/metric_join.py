@@ -5,7 +5,7 @@ from the vectors; a vector's home is the cell of its nearest pivot. If two vecto
 the triangle inequality the one lies within r of the other's cell. Vector x is at least
 max(d(x, q) - radius(q), (d(x, q)^2 - d(x, p)^2) / (2 d(p, q))) from cell q, where p is x's nearest pivot: the
 first from the cell's covering radius, the second from the plane halfway between the pivots. x is copied to
-every cell for which this bound is at most r, so each cell finds all links of its home vectors by itself.
+every cell for which this bound, less what rounding may add, is at most r, so each cell finds all links of its home vectors by itself.
 
 A cell is joined in blocks: at most about BLOCK of its home vectors against at most about BLOCK of its members.
 How many cells a vector is copied to depends on the data: where vectors spread in all of many dimensions,
@@ -27,8 +27,6 @@ COSINE = 0.9
 CELL, BLOCK = 4_096, 8_192
 #: Pivots at most: they are broadcast, with 8 bytes a component.
 PIVOTS = 1_024
-#: Slack on distances, above the rounding of double precision.
-_SLACK = 1e-9
 #: Rows of a block that are compared at a time.
 _STRIP = 512
 
@@ -39,6 +37,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
 
 
+def _noise(width: int) -> float:
+    """More than squared distances of scaled vectors are off by rounding: in lengths, in products and in their sums."""
+    return 4 * (width + 8) * float(np.finfo(np.float64).eps)
+
+
 def scaled(vectors: DataFrame) -> DataFrame:
     """Rows (vec_id, width, v array<double>) of the usable vectors, scaled to length one.
 
@@ -71,16 +74,17 @@ def _spread(pivots, radius, reach: float):
 
     def run(batches):
         p, radii = pivots.value, radius.value
-        between = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))
+        noise = _noise(p.shape[1])
+        # near or equal pivots: rounding must not decide, so no gap is taken for less than it is and no difference for more
+        between = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0) + noise)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 piece = batch.slice(at, 1024)
                 x, home = _matrix(piece.column(3)), piece.column(1).to_numpy()
                 d = np.sqrt(np.maximum(2 - 2 * (x @ p.T), 0))
                 own = d[np.arange(len(x)), home][:, None]
-                gap = np.maximum(between[home], 1e-300)
-                bound = np.maximum(d - radii[None], (d * d - own * own) / (2 * gap))
-                keep = bound <= reach + _SLACK
+                bound = np.maximum(d - radii[None], (d * d - own * own - 4 * noise) / (2 * between[home]))
+                keep = bound <= reach + 4 * np.sqrt(noise)  # a distance near zero is off by the root
                 keep[:, radii < 0] = False  # cells without a home vector
                 keep[np.arange(len(x)), home] = True
                 row, cell = np.nonzero(keep)
@@ -160,7 +164,7 @@ def _links(unit: DataFrame, n: int, scratch: Scratch, cosine: float, reach: floa
     spark = unit.sparkSession
     wanted = max(1, min(PIVOTS, -(-n // cell)))
     drawn = unit.orderBy(F.xxhash64("vec_id", F.lit("pivot"))).limit(wanted).toArrow()  # at most PIVOTS rows
-    pivots = spark.sparkContext.broadcast(_matrix(drawn.column("v").combine_chunks()))
+    pivots = spark.sparkContext.broadcast(np.unique(_matrix(drawn.column("v").combine_chunks()), axis=0))  # equal vectors are one pivot
     homes = scratch.save(unit.select("vec_id", "v").mapInArrow(_nearest(pivots), "vec_id long, home int, dist double, v array<double>"), "homes")
     stats = homes.groupBy("home").agg(F.max("dist").alias("radius"), F.count("*").alias("n")).collect()  # at most PIVOTS rows
     radii = np.full(len(pivots.value), -1.0)

@@ -358,6 +358,19 @@ def test_vectors(spark, scratch):
     assert metric_join.near_vectors(frame(spark, [], "vec_id long, embedding array<double>"), scratch).count() == 0
 
 
+@pytest.mark.parametrize("exact", [True, False])
+def test_vectors_with_near_equal_pivots(spark, scratch, exact):
+    """A third of the vectors are one vector, as it is or at other lengths (equal up to the last bits): so are many pivots."""
+    rng = np.random.default_rng(7)
+    one, n = rng.normal(size=64), 600
+    x = one + rng.uniform(0, 0.6, size=(n, 1)) * rng.normal(size=(n, 64))
+    x[::3] = one if exact else one * rng.uniform(0.1, 10, size=(n // 3, 1))
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)]
+    got = metric_join.near_vectors(frame(spark, rows, "vec_id long, embedding array<double>"), scratch, cell=12, block=128).collect()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(((unit @ unit.T >= 0.9).sum(1) - 1).tolist()))
+
+
 # 8
 
 
