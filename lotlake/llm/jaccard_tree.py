@@ -43,7 +43,8 @@ WIDE = 4
 #: Members of a lowest node, and nodes under a node.
 LEAF, FAN = 16, 4
 CHUNK = 4 << 20
-_SALTS = 32
+#: Partners of a document that one block of _verify holds against it, on average.
+PARTNERS = 256
 
 
 def token_sets(column: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -300,48 +301,49 @@ def _search(percent: int, best: bool):
 
 
 def _verify(percent: int, shingle: int):
-    """Arrow function over (a, salt, side, doc, text) sorted by the first two: links between side 0 and side 1."""
+    """Arrow function over (a, salt, side, doc, text) sorted by the first three: links between side 0 and side 1.
+
+    Side 0 is the document `a`: the sets of its rows are held while its partners pass, a piece of a batch at a time.
+    """
 
     def run(batches):
-        for whole in _groups(batches, 2):
-            for batch in whole.to_batches():
-                a, salt, side, doc = (batch.column(k).to_numpy() for k in range(4))
-                edges = _edges([a, salt]).tolist()
-                one, two = [], []
-                sets: list = []
-                piece, base = 0, 0
-                pieces = [(0, 0)]
-                lengths = np.cumsum(np.diff(utf8_buffers(batch.column(4))[1]))
-                for e in edges[1:]:  # whole groups of about CHUNK bytes are cut into words at a time
-                    if lengths[e - 1] - piece >= CHUNK or e == edges[-1]:
-                        pieces.append((base, e))
-                        base, piece = e, int(lengths[e - 1])
-                for lo, hi in pieces[1:]:
-                    sets = token_sets(batch.column(4).slice(lo, hi - lo), shingle)
-                    for s, e in zip(edges[:-1], edges[1:]):
-                        if s < lo or e > hi:
-                            continue
-                        leads = [k for k in range(s, e) if not side[k]]
-                        for k in range(s, e):
-                            if side[k]:
-                                y = sets[k - lo]
-                                for q in leads:
-                                    x = sets[q - lo]
-                                    if 100 * len(x) < percent * len(y) or 100 * len(y) < percent * len(x):
-                                        continue
-                                    both = len(np.intersect1d(x, y, assume_unique=True))
-                                    if 100 * both >= percent * (len(x) + len(y) - both) and both:
-                                        one.append(doc[q])
-                                        two.append(doc[k])
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(one, dtype=np.int64)), pa.array(np.array(two, dtype=np.int64))], ["u", "v"])
+        key, leads = None, []
+        for batch in sized(batches, "text", CHUNK):
+            a, salt, side, doc = (batch.column(k).to_pylist() for k in range(4))
+            sets = token_sets(batch.column(4), shingle)
+            one, two = [], []
+            for k, y in enumerate(sets):
+                if (a[k], salt[k]) != key:
+                    key, leads = (a[k], salt[k]), []
+                if not side[k]:
+                    leads.append(y)
+                    continue
+                for x in leads:
+                    if 100 * len(x) < percent * len(y) or 100 * len(y) < percent * len(x):
+                        continue
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both) and both:
+                        one.append(a[k])
+                        two.append(doc[k])
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["u", "v"])
 
     return run
 
 
+def _dealt(pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows (a, b, salt): the partners of one `a` in blocks of about PARTNERS. `pairs` is read twice.
+
+    What is broadcast is a row per `a` of more than PARTNERS partners.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).alias("salts")).where("salts > 1")
+    many = F.broadcast(scratch.save(many, f"{name}salts"))
+    return pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1).cast("long"))).alias("salt"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, percent: int, shingle: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose whole texts link, as (u, v). Pairs of one `a` are spread over _SALTS blocks."""
+    """The pairs (a, b) of doc_ids whose whole texts link, as (u, v). A hot document should be the `a` of its pairs."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = scratch.save(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int")), f"{name}pairs")
+    salted = _dealt(scratch.save(pairs, f"{name}pairs"), scratch, name)
     left = salted.select("a", "salt", F.lit(0).alias("side"), F.col("a").alias("doc")).distinct()
     sides = left.unionByName(salted.select("a", "salt", F.lit(1).alias("side"), F.col("b").alias("doc")))
     # by a shuffle at every size: what is joined grows with the documents
@@ -383,7 +385,8 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT
     ends = scratch.save(ends, "ends")
     seen = shown.join(ends, "token")
     stars = seen.select(F.col("first").alias("a"), F.col("rep").alias("b")).unionByName(seen.select(F.col("last").alias("a"), F.col("rep").alias("b")))
-    stars = stars.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # each pair once, with the id that many are held against as `a`
+    stars = stars.where("a <> b").groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("a").alias("a")).select("a", (F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x"))).alias("b"))
     side = lambda k: reps.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
     met = stars.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     stars = met.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_plausible(percent), "a long, b long")

@@ -249,6 +249,31 @@ def test_jaccard_edges(spark, scratch):
     assert jaccard_tree.jaccard_components(frame(spark, []), scratch).count() == 0
 
 
+def test_verification_holds_no_group():
+    """Links come out while the batches of one group are still read, and its later batches have theirs."""
+    text, read = " ".join(f"w{k}" for k in range(40)), []
+
+    def batches():
+        for k in range(6):
+            read.append(k)
+            ids = [100 * k + q for q in range(3)]
+            yield pa.RecordBatch.from_pydict({"a": [0] * 3, "salt": [0] * 3, "side": [min(1, i) for i in ids], "doc": ids, "text": [f"{text} end{i}" for i in ids]})
+
+    out = jaccard_tree._verify(75, 5)(batches())
+    first = next(b for b in out if b.num_rows)
+    assert len(read) <= 2
+    links = [tuple(r.values()) for b in [first, *out] for r in b.to_pylist()]
+    assert links == [(0, 100 * k + q) for k in range(6) for q in range(3) if k or q]
+
+
+def test_blocks_follow_partners(spark, scratch):
+    pairs = spark.range(50_000).select(F.lit(0).cast("long").alias("a"), (F.col("id") + 10).alias("b")).unionByName(spark.range(5).select(F.lit(1).cast("long").alias("a"), (F.col("id") + 10).alias("b")))
+    blocks = jaccard_tree._dealt(scratch.save(pairs, "pairs"), scratch, "test").groupBy("a", "salt").count().collect()
+    assert sum(r["count"] for r in blocks) == 50_005
+    assert max(r["count"] for r in blocks) < 2 * jaccard_tree.PARTNERS
+    assert [r["count"] for r in blocks if r["a"] == 1] == [5]
+
+
 def test_tree_misses_no_pair():
     random.seed(3)
     sets = []
