@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotlake.llm.common import sized, table, utf8_buffers
+from lotlake.llm.common import lowered, sized, table, utf8_buffers, word_spans
 
 #: Longest context in bytes.
 ORDER = 3
@@ -221,12 +221,45 @@ def predict(rows: DataFrame, model: Model | None, key: str = "doc_id", text: str
     return rows.select(F.col(key).alias("key"), F.col(text).alias("text"), _letters(text).alias("letters")).mapInArrow(run, T.StructType(fields)).withColumnRenamed("key", key)
 
 
-def keep_languages(rows: DataFrame, model: Model | None, most_excess: float, text: str = "text") -> DataFrame:
+_PLAIN = np.zeros(256, dtype=bool)
+_PLAIN[97:123] = True
+_PLAIN[128:] = True
+
+
+def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of each row, A-Z as a-z, with a blank after each run of them.
+
+    Words that hold a digit lose their ASCII letters (keys, hashes, addresses); bytes beyond ASCII always stay.
+    """
+    data = lowered(data)
+    starts, stops, _ = word_spans(data, offsets)
+    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data < 58))])
+    coded = digits[stops] > digits[starts]
+    edge = np.zeros(len(data) + 1, dtype=np.int64)
+    np.add.at(edge, starts[coded], 1)
+    np.add.at(edge, stops[coded], -1)
+    letter = _PLAIN[data] & ((np.cumsum(edge[:-1]) == 0) | (data >= 128))
+    gap = np.zeros(len(data), dtype=bool)
+    gap[1:] = letter[:-1] & ~letter[1:]
+    gap[offsets[:-1][offsets[:-1] < len(data)]] = False
+    take = letter | gap
+    return np.where(letter, data, 0x20).astype(np.uint8)[take], np.concatenate([[0], np.cumsum(take)])[offsets]
+
+
+def _foreign(model: Model, text: pa.Array, rate: float, margin: float) -> np.ndarray:
+    """Texts whose n bytes of plain words take more than rate * n + margin * sqrt(n) bits in every language."""
+    data, offsets = plain_words(*utf8_buffers(text))
+    n = np.diff(offsets)
+    return model.bits(data, offsets).min(1) > rate * n + margin * np.sqrt(n)
+
+
+def keep_languages(rows: DataFrame, model: Model | None, most_excess: float, text: str = "text", plain: tuple[float, float] | None = None) -> DataFrame:
     """The rows of `rows`, all columns as they are, whose text is in a learned language.
 
-    Rejected are texts that `predict` calls `und`, and those that a flat code of 8 bits a byte describes in fewer
-    bits than the best language by more than `most_excess`. Short texts can't be rejected so, whatever keys or
-    numbers they hold. Without a model (nothing to learn from) only null texts and texts without a letter are rejected.
+    Rejected are texts that `predict` calls `und`; those that a flat code of 8 bits a byte describes in fewer
+    bits than the best language by more than `most_excess`; and, with `plain` = (rate, margin), those whose plain
+    words take more bits than the rate allows at their length (see _foreign), so that keys and numbers don't decide
+    there. Without a model (nothing to learn from) only null texts and texts without a letter are rejected.
     """
     held = rows.sparkSession.sparkContext.broadcast(model)
     flag = "letters of " + "".join(rows.columns)
@@ -237,7 +270,8 @@ def keep_languages(rows: DataFrame, model: Model | None, most_excess: float, tex
             if held.value is not None:
                 column = batch.column(batch.schema.get_field_index(text))
                 rate, sizes = _scored(held.value, column, ok)[2], np.diff(utf8_buffers(column)[1])
-                ok = pa.array([r is not None and (r - 8) * n <= most_excess for r, n in zip(rate, sizes.tolist())], pa.bool_())
+                fits = np.array([r is not None and (r - 8) * n <= most_excess for r, n in zip(rate, sizes.tolist())], dtype=bool)
+                ok = pa.array(fits & ~_foreign(held.value, column, *plain) if plain else fits)
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(ok)
 
     return rows.withColumn(flag, _letters(text)).mapInArrow(run, rows.schema)
