@@ -361,6 +361,8 @@ def _labels(small: DataFrame, links: DataFrame, scratch: Scratch, name: str) ->
 def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, shingle: int = SHINGLE, group: int = GROUP, hot_docs: int = HOT_DOCS) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one per row of `docs` (doc_id long, text).
 
+    These are the components of the join and not its links: pairs that are in one component already aren't verified.
+
     Words are split by blanks and the controls from tab to carriage return, A-Z in lower case. Null texts
     and texts without words have no shingle and link with nothing, so their component is their own id.
     Rows that share a doc_id are one node: what links one links all. Rows without doc_id have a size and
