@@ -8,10 +8,17 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; a session without that setting (a test) gets a local folder."""
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. A session on this machine alone (a test) gets a local folder if it is unset; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return root.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
