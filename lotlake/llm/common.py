@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
+import time
 import uuid
 
 import numpy as np
@@ -10,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotlake.sources.scratch import shared_dir
+
+#: Bytes of an Arrow batch between Spark and its Python workers, which bounds what both hold of it.
+BATCH_BYTES = 8 << 20
 #: Bytes that separate words: space and the five controls from tab to carriage return.
 WORD_GAPS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: The same set as a Java and RE2 regular expression.
@@ -17,18 +22,10 @@ GAP_PATTERN = "[ \\t-\\r]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. Only a session without one (a test) gets a local folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 class Scratch:
     """Intermediate tables in the shared folder: they cut lineage, so a lost executor costs a reread."""
 
@@ -45,21 +42,21 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later step reads."""
         jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
-        for path in [p for p in self.paths if p.rsplit("-", 1)[-1] == name]:
+        for path in [p for p in self.paths if p.rsplit("-", 1)[-1] in names]:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
             self.paths.remove(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let the context cleaner find shuffles whose frames are gone."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the context cleaner find shuffles whose frames are gone: they are seen by the second collection at the earliest."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def hex_sha256(column: Column) -> Column:
@@ -138,6 +135,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: i
     return out
 
 
+def word_ids(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A number for each word, equal for equal words only; good for these words alone. `data` holds nothing but them and gaps."""
+    ends = np.concatenate([[0], np.cumsum(stops - starts)])
+    flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[~_GAP[data]])])
+    return flat.dictionary_encode().indices.to_numpy().astype(np.uint64)
+
+
 def run_hashes(words: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of `length` words inside a row, and the number of runs before each row.
 

@@ -3,12 +3,13 @@
 A window is `WINDOW` consecutive words. Its minimiser is the least hash of its runs of `GRAM` words, so
 equal windows have equal minimisers. Consecutive windows of a document that share a minimiser travel
 together: one row with the packed piece of text that they cover goes to the minimiser's bucket. There
-the windows are unpacked, sorted by a 128-bit hash, and every window that also starts in a document with
-a smaller id is marked. Only marked spans come back to the documents.
+the windows are unpacked, sorted by a 128-bit hash of their exact words, and every window that also starts
+in a document with a smaller id is marked. Only marked spans come back to the documents.
 
-A minimiser that very many windows share (a passage in a third of all documents, say) would fill one
-bucket. Such minimisers are listed from a share of the documents; the list only routes. Their windows
-are grouped by window instead, which combines on the map side, and their results are the same.
+Only minimisers that stand under two ids or more can mark anything. A slim table of (minimiser, id) tells
+which those are and how many rows each would get; documents learn theirs before anything is packed.
+A minimiser of over HOT_ROWS rows (a passage in a third of all documents, say) has its windows grouped by
+window instead, which combines on the map side, so no bucket outgrows that bound; results are the same.
 """
 
 from __future__ import annotations
@@ -16,31 +17,34 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotlake.llm.common import Scratch, hex_sha256, mixed, release, run_hashes, sized, table, utf8_buffers, word_hashes, word_spans
+from lotlake.llm.common import Scratch, hex_sha256, mixed, release, run_hashes, sized, table, utf8_buffers, word_hashes, word_ids, word_spans
 
-WINDOW, GRAM = 50, 3
+WINDOW, GRAM = 50, 8
 #: Longest run of windows in one row, which bounds the row's size.
 RUN = 1_024
-#: Rows of a bucket above which its minimiser is routed by window, the share of documents that tells, and the most such minimisers.
-HOT_ROWS, HOT_SHARE, HOT_LIST = 20_000, 16, 10_000
-#: Text bytes that a task splits at a time; a bucket task unpacks as many packed bytes, about twice that in text.
+#: Rows above which a minimiser has no bucket and its windows are grouped one by one.
+HOT_ROWS = 2_000
+#: Text bytes that a task splits, or unpacks from buckets, at a time.
 CHUNK = 4 << 20
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+PACKED = "doc_id long, version long, mini long, at long, packed binary, one long, two long"
 
 
-def _windows(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of every window inside a row, and the windows before each row: sums of word times power, shifted back."""
+def _windows(words: tuple[np.ndarray, np.ndarray], first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every window inside a row, and the windows before each row: sums of word times power, shifted back.
+
+    words: two numbers of each word, one for each hash.
+    """
     counts = np.maximum(np.diff(first) - window + 1, 0)
     before = np.concatenate([[0], np.cumsum(counts)])
     at = np.arange(before[-1]) + np.repeat(first[:-1] - before[:-1], counts)
     out = []
     for k, base in enumerate(_BASES):
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        own = mixed(words + np.uint64(k))
+        own = mixed(words[k] * _BASES[0] + np.uint64(k + 1))
         up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(own), base))])
         down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(own), inverse))])
         sums = np.concatenate([[np.uint64(0)], np.cumsum(own * up[:-1])])
@@ -64,48 +68,60 @@ def _minimisers(words: np.ndarray, first: np.ndarray, window: int, gram: int) ->
     return least[np.arange(ends[-1]) - ends[rows] + before[rows]], rows, ends
 
 
-def _split(hot, window: int, gram: int, want: str):
-    """Arrow function over (doc_id, version, text). want: `runs`, `hot` (windows of listed minimisers) or `counts`."""
+class _Runs:
+    """The super-k-mers of a batch of texts: runs of windows of a row that share a minimiser."""
+
+    def __init__(self, text: pa.Array, window: int, gram: int):
+        self.data, offsets = utf8_buffers(text)
+        self.starts, self.stops, self.first = word_spans(self.data, offsets)
+        self.words = word_hashes(self.data, self.starts, self.stops)
+        self.least, self.rows, ends = _minimisers(self.words, self.first, window, gram)
+        self.inside = np.arange(len(self.least)) - ends[self.rows]
+        new = np.ones(len(self.least), dtype=bool)
+        new[1:] = (self.least[1:] != self.least[:-1]) | (self.rows[1:] != self.rows[:-1]) | (self.inside[1:] % RUN == 0)
+        self.cuts = np.flatnonzero(new)
+        self.sizes = np.diff(np.concatenate([self.cuts, [len(self.least)]]))
+
+
+def _list(window: int, gram: int):
+    """Arrow function over (doc_id, text): the id and minimiser of every super-k-mer."""
 
     def run(batches):
-        listed = np.array(hot.value, dtype=np.uint64) if hot is not None else np.zeros(0, dtype=np.uint64)
         for batch in sized(batches, "text", CHUNK):
-            data, offsets = utf8_buffers(batch.column(2))
-            starts, stops, first = word_spans(data, offsets)
-            words = word_hashes(data, starts, stops)
-            least, rows, ends = _minimisers(words, first, window, gram)
-            if not len(least):
-                continue
-            inside = np.arange(len(least)) - ends[rows]
-            cuts = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (rows[1:] != rows[:-1]) | (inside[1:] % RUN == 0)]))
-            sizes = np.diff(np.concatenate([cuts, [len(least)]]))
-            if want == "counts":
-                values, counts = np.unique(least[cuts], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["mini", "n"])
-                continue
-            apart = np.isin(least[cuts], listed)
-            if want == "hot":
-                picked = np.flatnonzero(np.repeat(apart, sizes))
-                if len(picked):
-                    one, two, _ = _windows(words, first, window)
-                    take = pa.array(rows[picked])
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(take), batch.column(1).take(take), pa.array(inside[picked]), pa.array(one[picked].view(np.int64)), pa.array(two[picked].view(np.int64))],
-                        ["doc_id", "version", "at", "one", "two"],
-                    )
-                continue
-            cuts, sizes = cuts[~apart], sizes[~apart]
-            if not len(cuts):
-                continue
-            word = first[rows[cuts]] + inside[cuts]
-            text = data.tobytes()
-            pack = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
-            packed = [pack(text[a:b]) for a, b in zip(starts[word].tolist(), stops[word + sizes + window - 2].tolist())]
-            take = pa.array(rows[cuts])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(least[cuts].view(np.int64)), pa.array(inside[cuts]), pa.array(packed, pa.binary())],
-                ["doc_id", "version", "mini", "at", "packed"],
-            )
+            found = _Runs(batch.column(1), window, gram)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found.rows[found.cuts])), pa.array(found.least[found.cuts].view(np.int64))], ["doc_id", "mini"])
+
+    return run
+
+
+def _pack(window: int, gram: int):
+    """Arrow function over (doc_id, version, text, minis, hot): PACKED rows, a super-k-mer of a listed minimiser each, or a window if it is hot."""
+
+    def run(batches):
+        for batch in sized(batches, "text", CHUNK):
+            found = _Runs(batch.column(2), window, gram)
+            cold, hot = (np.unique(batch.column(k).flatten().to_numpy().view(np.uint64)) for k in (3, 4))
+            least = found.least[found.cuts]
+            apart = np.isin(least, hot)
+            take = np.isin(least, cold) & ~apart
+            cuts, sizes = found.cuts[take], found.sizes[take]
+            if len(cuts):
+                word = found.first[found.rows[cuts]] + found.inside[cuts]
+                text = found.data.tobytes()
+                packed = [text[a:b] for a, b in zip(found.starts[word].tolist(), found.stops[word + sizes + window - 2].tolist())]
+                rows, none = pa.array(found.rows[cuts]), pa.nulls(len(cuts), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(found.least[cuts].view(np.int64)), pa.array(found.inside[cuts]), pa.array(packed, pa.binary()), none, none],
+                    ["doc_id", "version", "mini", "at", "packed", "one", "two"],
+                )
+            picked = np.flatnonzero(np.repeat(apart, found.sizes))
+            if len(picked):
+                one, two, _ = _windows((found.words, word_hashes(found.data, found.starts, found.stops, 1)), found.first, window)
+                rows = pa.array(found.rows[picked])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(found.least[picked].view(np.int64)), pa.array(found.inside[picked]), pa.nulls(len(picked), pa.binary()), pa.array(one[picked].view(np.int64)), pa.array(two[picked].view(np.int64))],
+                    ["doc_id", "version", "mini", "at", "packed", "one", "two"],
+                )
 
     return run
 
@@ -116,10 +132,10 @@ def _mark(window: int):
     def solved(rows: list[pa.RecordBatch]):
         whole = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         docs = whole.column(0).to_numpy(zero_copy_only=False)
-        unpack = zstandard.ZstdDecompressor().decompress
-        data, offsets = utf8_buffers(pa.array([unpack(x) for x in whole.column(4).to_pylist()], pa.large_binary()))
+        data, offsets = utf8_buffers(whole.column(4))
         starts, stops, first = word_spans(data, offsets)
-        one, two, before = _windows(word_hashes(data, starts, stops), first, window)
+        ids = word_ids(data, starts, stops)
+        one, two, before = _windows((ids, ids), first, window)
         if not len(one):
             return None
         row = np.repeat(np.arange(len(docs)), np.diff(before))
@@ -217,33 +233,32 @@ def _rewrite(batches):
         yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array((left > 0) | (words == 0)))
 
 
-def hot_minimisers(rows: DataFrame, window: int, gram: int, hot_rows: int) -> list[int]:
-    """At most HOT_LIST minimisers that would have over `hot_rows` rows, judged by a share of the documents."""
-    part = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("route")), F.lit(HOT_SHARE)) == 0)
-    counted = part.mapInArrow(_split(None, window, gram, "counts"), "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") * HOT_SHARE > hot_rows).orderBy(F.desc("n"), "mini").limit(HOT_LIST)
-    return [r["mini"] & (2**64 - 1) for r in top.collect()]
-
-
 def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows (doc_id, version, begin, end): words covered by windows that also start under a smaller doc_id.
 
     version is a hash of the text, so rows that repeat a doc_id are told apart.
     """
     spark = docs.sparkSession
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("version"), "text")
-    listed = hot_minimisers(rows, window, gram, hot_rows)
-    hot = spark.sparkContext.broadcast(listed)
-    runs = rows.mapInArrow(_split(hot, window, gram, "runs"), "doc_id long, version long, mini long, at long, packed binary")
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    slim = scratch.save(rows.mapInArrow(_list(window, gram), "doc_id long, mini long"), "slim")
+    # what the join reads is stored, so its sides are plain shuffles and a hot minimiser can be split
+    shared = slim.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.count("*") > hot_rows).alias("hot")).where("lo < hi")
+    shared = scratch.save(shared.select("mini", "hot"), "shared")
+    listed = slim.join(shared, "mini").groupBy("doc_id").agg(F.collect_set(F.when(~F.col("hot"), F.col("mini"))).alias("minis"), F.collect_set(F.when(F.col("hot"), F.col("mini"))).alias("hot"))
+    listed = scratch.save(listed, "listed")
+    met = rows.hint("merge").join(listed, "doc_id").select("doc_id", F.xxhash64("text").alias("version"), "text", "minis", "hot")
+    packed = scratch.save(met.mapInArrow(_pack(window, gram), PACKED), "packed")
+    scratch.drop("slim", "shared", "listed")
+    release(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = runs.repartition(parts, "mini").sortWithinPartitions("mini")
+    buckets = packed.where("packed IS NOT NULL").select("doc_id", "version", "mini", "at", "packed").repartition(parts, "mini").sortWithinPartitions("mini")
     spans = scratch.save(buckets.mapInArrow(_mark(window), "doc_id long, version long, begin long, end long"), "spans")
-    if listed:
-        apart = rows.mapInArrow(_split(hot, window, gram, "hot"), "doc_id long, version long, at long, one long, two long")
-        least = apart.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-        least = scratch.save(least, "least")  # stored, so that the join's sides are plain shuffles and hot windows can be split
-        more = apart.join(least, ["one", "two"]).where("doc_id > least").select("doc_id", "version", F.col("at").alias("begin"), (F.col("at") + window).alias("end"))
-        spans = spans.unionByName(scratch.save(more, "more"))
+    apart = packed.where("packed IS NULL").select("doc_id", "version", "at", "one", "two")
+    least = apart.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    least = scratch.save(least, "least")  # stored as `shared` is
+    more = apart.join(least, ["one", "two"]).where("doc_id > least").select("doc_id", "version", F.col("at").alias("begin"), (F.col("at") + window).alias("end"))
+    spans = spans.unionByName(scratch.save(more, "more"))
+    scratch.drop("packed", "least")
     release(spark)
     return spans
 
