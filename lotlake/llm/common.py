@@ -56,7 +56,7 @@ def release(spark: SparkSession) -> None:
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(0.2)
 
 
 def hex_sha256(column: Column) -> Column:

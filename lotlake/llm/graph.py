@@ -35,6 +35,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     for nxt in hooks[1:-1]:
         at = at.join(nxt.select(F.col("node").alias("hook"), F.col("hook").alias("to")), "hook", "left").select("node", F.coalesce("to", "hook").alias("hook"))
     at = scratch.save(at, "roots")
+    scratch.drop("links", *[f"{name}{k}" for k in range(len(hooks)) for name in ("links", "hooks")])
     least = scratch.save(at.groupBy("hook").agg(F.min("node").alias("least")), "least")
     # the root itself may be the smallest
     return at.join(least, "hook").select("node", F.least("hook", "least").alias("component"))

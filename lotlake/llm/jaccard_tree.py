@@ -5,16 +5,20 @@
    This finds nearly all links of large groups without making their pairs. It decides nothing: what it
    links is verified (after a look at the bitmaps of step 3), what it misses is found below.
 3. Exact search: two sets that link share a token of their prefixes, the first n - ceil(0.75 n) + 1 tokens
-   in one global order. Tokens whose documents are all in one component already are left out (an
-   aggregate tells). The others make groups, and each group a signature tree: nodes hold the OR of their
+   in one global order. Tokens whose documents are all in one component already are left out. The others
+   make groups, and each group a signature tree: nodes hold the OR of their
    members' token bitmaps and their range of sizes, and a dual traversal drops node pairs whose largest
-   possible overlap is too small, or that are in one component already. The search runs twice. The first
+   possible overlap is too small, or that are in one component already. A group of over GROUP members has
+   upper levels in a table, a row per block of members with its range of sizes and of components (a bitmap of
+   so many is full): members are dealt to blocks by component, if it is a large one, or else by size, and only
+   the pairs of blocks that those ranges leave become trees. The search runs twice. The first
    round takes each set's most promising pair in a share of the groups and joins most of what belongs
    together, so that the second, which takes all pairs that are left in all groups, meets few.
 4. Pairs are verified on the texts' whole sets; components follow from the links.
 
 The global order puts frequent tokens last. They are listed from a share of the documents, at most
-HOT_LIST of them; which tokens are listed changes the work, never the result.
+HOT_LIST of them; which tokens are listed changes the work, never the result. Unlisted tokens meet in one
+shuffle, sorted by token; listed ones are counted by an aggregate and joined, so that they can be split.
 Tokens are 64-bit hashes of five words; two different shingles of one pair of documents would have to
 agree in all 64 bits to be taken for one.
 """
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +39,7 @@ SHINGLE, PERCENT = 5, 75
 LEADS = 3
 #: Share of documents from which frequent tokens are listed, the documents that make a token frequent, and the longest list.
 HOT_SHARE, HOT_DOCS, HOT_LIST = 32, 256, 200_000
-#: Members of a tree; a larger group is cut into blocks and all pairs of blocks are searched.
+#: Members of a tree; a larger group is cut into blocks of about as many, and pairs of blocks are searched.
 GROUP = 256
 #: Groups that a set is known by (see _search), and the share of groups that the first round searches.
 FIRST, BEST_SHARE = 8, 8
@@ -43,6 +48,8 @@ WIDE = 4
 #: Members of a lowest node, and nodes under a node.
 LEAF, FAN = 16, 4
 CHUNK = 4 << 20
+#: No gid, and pairs that are looked at at a time.
+_NONE, _PAIRS = np.iinfo(np.int64).max, 1 << 14
 #: Partners of a document that one block of _verify holds against it, on average.
 PARTNERS = 256
 
@@ -87,25 +94,23 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
 
 
 def _describe(hot, percent: int, shingle: int):
-    """Arrow function (doc_id, text) -> set size, 128-bit set digest, least tokens, prefix and bitmap."""
+    """Arrow function (doc_id, text) -> set size, 128-bit set digest, least tokens, prefix (unlisted and listed tokens) and bitmap."""
 
     def run(batches):
         listed = np.array(hot.value, dtype=np.uint64)
         for batch in sized(batches, "text", CHUNK):
             sets = token_sets(batch.column(1), shingle)
             n = np.array([len(s) for s in sets], dtype=np.int64)
-            prefixes = []
+            prefixes, common = [], []
             for s in sets:
                 take = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                if len(listed) and len(s):
-                    at = np.minimum(np.searchsorted(listed, s), len(listed) - 1)
-                    last = listed[at] == s
-                    s = np.concatenate([s[~last], s[last]])
-                prefixes.append(s[:take])
+                last = listed[np.minimum(np.searchsorted(listed, s), len(listed) - 1)] == s if len(listed) else np.zeros(len(s), dtype=bool)
+                prefixes.append(s[~last][:take])
+                common.append(s[last][: take - len(prefixes[-1])])
             sums = [np.array([int(mixed(s ^ np.uint64(k)).sum(dtype=np.uint64)) for s in sets], dtype=np.uint64).view(np.int64) for k in (1, 2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), _lists([s[:LEADS] for s in sets]), _lists(prefixes), pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary())],
-                ["doc_id", "n", "d1", "d2", "leads", "prefix", "bits"],
+                [batch.column(0), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), _lists([s[:LEADS] for s in sets]), _lists(prefixes), _lists(common), pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary())],
+                ["doc_id", "n", "d1", "d2", "leads", "prefix", "common", "bits"],
             )
 
     return run
@@ -238,16 +243,40 @@ def _plausible(percent: int):
 
     def run(batches):
         for batch in batches:
-            na, nb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = []
-            for m, n, x, y in zip(na, nb, batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                width = min(len(x), len(y))
-                x, y = folded(x, width), folded(y, width)
+            na, nb = (batch.column(k).to_numpy() for k in (2, 3))
+            sizes = np.stack([pc.binary_length(batch.column(k)).to_numpy() // 8 for k in (4, 5)], axis=1).reshape(-1, 2)
+            most = np.zeros(len(na), dtype=np.int64)
+            for pair in np.unique(sizes, axis=0):
+                at = np.flatnonzero((sizes == pair).all(1))
+                x, y = (np.frombuffer(b"".join(batch.column(k).take(pa.array(at)).to_pylist()), dtype=np.uint64).reshape(len(at), -1) for k in (4, 5))
+                width = int(pair.min())
+                x, y = (np.bitwise_or.reduce(z.reshape(len(at), -1, width), axis=1) for z in (x, y))
                 both = x & y
-                most = min(m - int(np.bitwise_count(x ^ both).sum()), n - int(np.bitwise_count(y ^ both).sum()))
-                ok.append(most * (100 + percent) >= percent * (m + n))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                most[at] = np.minimum(na[at] - np.bitwise_count(x ^ both).sum(1, dtype=np.int64), nb[at] - np.bitwise_count(y ^ both).sum(1, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(most * (100 + percent) >= percent * (na + nb)))
+
+    return run
+
+
+def _open(group: int):
+    """Arrow function over (token, rep, label) sorted by token: the members of the tokens that hold two components or more.
+
+    A token of up to `group` members gives rows (gid, rep), where tokens with the same members have the same gid; a larger
+    one (token, rep, label). The rows of a token are held until it ends.
+    """
+
+    def run(batches):
+        for whole in _groups(batches, 1):
+            token, rep, label = (whole.column(k).to_numpy() for k in range(3))
+            edges = _edges([token])
+            sizes = np.diff(edges)
+            many = np.maximum.reduceat(label, edges[:-1]) > np.minimum.reduceat(label, edges[:-1])
+            sums = np.add.reduceat(mixed(rep.view(np.uint64)), edges[:-1])
+            gid = mixed(sums + sizes.astype(np.uint64)).view(np.int64)
+            keep, big = np.repeat(many, sizes), np.repeat(sizes > group, sizes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(gid, sizes)[keep], mask=big[keep]), pa.array(token[keep]), pa.array(rep[keep]), pa.array(label[keep])], ["gid", "token", "rep", "label"]
+            )
 
     return run
 
@@ -285,17 +314,23 @@ def _search(percent: int, best: bool):
         for whole in _groups(batches, 1):
             gid, rep, n, label = (whole.column(k).to_numpy() for k in range(4))
             bits = whole.column(4).to_pylist()
-            first = whole.column(5).to_pylist()
+            first = np.full((len(gid), FIRST), _NONE)
+            lists = whole.column(5).combine_chunks()
+            first[np.arange(FIRST) < lists.value_lengths().to_numpy()[:, None]] = lists.flatten().to_numpy()
             a, b = [], []
             edges = _edges([gid]).tolist()
             for s, e in zip(edges[:-1], edges[1:]):
                 i, j = candidates(n[s:e], label[s:e], bits[s:e], percent, best)
-                if not best:
-                    own = [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())) if min(set(first[s + x]).intersection(first[s + y]), default=gid[s]) == gid[s]]
-                    i, j = i[own], j[own]
-                a.append(rep[s + i])
-                b.append(rep[s + j])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                for c in range(0, len(i), _PAIRS):
+                    x, y = i[c : c + _PAIRS] + s, j[c : c + _PAIRS] + s
+                    if not best:
+                        shared = np.where(first[x][:, :, None] == first[y][:, None, :], first[x][:, :, None], _NONE).min((1, 2))
+                        own = (shared == gid[s]) | (shared == _NONE)
+                        x, y = x[own], y[own]
+                    a.append(rep[x])
+                    b.append(rep[y])
+            none = [np.zeros(0, dtype=np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or none)), pa.array(np.concatenate(b or none))], ["a", "b"])
 
     return run
 
@@ -349,13 +384,40 @@ def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, per
     # by a shuffle at every size: what is joined grows with the documents
     met = sides.hint("merge").join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").select("a", "salt", "side", "doc", "text")
     blocks = met.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "side")
-    return scratch.save(blocks.mapInArrow(_verify(percent, shingle), "u long, v long").distinct(), f"{name}links")
+    found = scratch.save(blocks.mapInArrow(_verify(percent, shingle), "u long, v long").distinct(), f"{name}links")
+    scratch.drop(f"{name}pairs", f"{name}salts")
+    return found
 
 
 def _labels(small: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Rows (rep, label): the component of every set under the links so far."""
     found = components(links, scratch).select(F.col("node").alias("rep"), F.col("component").alias("label"))
-    return scratch.save(small.select("rep").join(found, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")), name)
+    found = scratch.save(small.select("rep").join(found, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")), name)
+    scratch.drop("roots", "least")
+    return found
+
+
+def _blocks(members: DataFrame, small: DataFrame, scratch: Scratch, percent: int, group: int) -> DataFrame:
+    """Rows (gid, rep): the members (token, rep, label) of large groups, once for each pair of blocks that may hold a link."""
+    sized_members = scratch.save(members.join(small.select("rep", "n"), "rep").select("token", "rep", "label", "n"), "large")
+    # sets that link are in one band of sizes or in neighbouring ones
+    band = F.floor(F.log("n") / F.lit(np.log(100 / percent)) + 1e-9).cast("int")
+    own = scratch.save(sized_members.groupBy("token", "label").agg(F.count("*").alias("c")).where(F.col("c") >= group // 2), "own")
+    dealt = sized_members.join(own, ["token", "label"], "left").withColumn("band", F.when(F.col("c").isNull(), band))
+    mixed_bands = dealt.where("c IS NULL").groupBy("token", "band").agg(F.count("*").alias("m"))
+    mixed_bands = scratch.save(mixed_bands, "bands")
+    dealt = dealt.join(mixed_bands, ["token", "band"], "left")
+    part = F.pmod(F.xxhash64("rep", F.lit("block")), F.ceil(F.coalesce("c", "m") / F.lit(group)).cast("long"))
+    dealt = scratch.save(dealt.select("token", "rep", "label", "n", F.xxhash64(F.when(F.col("c").isNotNull(), F.col("label")), "band", part).alias("block")), "dealt")
+    ranges = dealt.groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    ranges = scratch.save(ranges, "ranges")
+    x, y = (ranges.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("block", "low", "high", "lo", "hi")]) for k in "xy")
+    near = (100 * F.col("highx") >= percent * F.col("lowy")) & (100 * F.col("highy") >= percent * F.col("lowx"))
+    one = (F.col("lox") == F.col("hix")) & (F.col("loy") == F.col("hiy")) & (F.col("lox") == F.col("loy"))
+    pairs = x.join(y, "token").where((F.col("blockx") <= F.col("blocky")) & near & ~one)
+    pairs = pairs.select("token", F.xxhash64("token", "blockx", "blocky").alias("gid"), F.explode(F.array_distinct(F.array("blockx", "blocky"))).alias("block"))
+    pairs = scratch.save(pairs, "blockpairs")
+    return dealt.join(pairs, ["token", "block"]).select("gid", "rep")
 
 
 def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, shingle: int = SHINGLE, group: int = GROUP, hot_docs: int = HOT_DOCS) -> DataFrame:
@@ -373,14 +435,16 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT
     known = docs.where(F.col("doc_id").isNotNull())
     hot = spark.sparkContext.broadcast(frequent_tokens(known, shingle, hot_docs))
     sets = scratch.save(
-        docs.mapInArrow(_describe(hot, percent, shingle), "doc_id long, n long, d1 long, d2 long, leads array<long>, prefix array<long>, bits binary"), "sets"
+        docs.mapInArrow(_describe(hot, percent, shingle), "doc_id long, n long, d1 long, d2 long, leads array<long>, prefix array<long>, common array<long>, bits binary"), "sets"
     )
     full = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    reps = full.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "leads", "prefix", "bits")).alias("x"))
-    reps = scratch.save(reps.select("d1", "d2", F.col("x.doc_id").alias("rep"), "x.n", "x.leads", "x.prefix", "x.bits"), "reps")
+    reps = full.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "leads", "prefix", "common", "bits")).alias("x"))
+    reps = scratch.save(reps.select("d1", "d2", F.col("x.doc_id").alias("rep"), "x.n", "x.leads", "x.prefix", "x.common", "x.bits"), "reps")
     heads = scratch.save(sets.select("doc_id", "n", "d1", "d2"), "heads")
-    release(spark)
+    ids = scratch.save(reps.select("d1", "d2", "rep"), "ids")
+    small = scratch.save(reps.select("rep", "n", "bits"), "small")
     scratch.drop("sets")
+    release(spark)
 
     shown = reps.select("rep", "n", F.explode("leads").alias("token"))
     ends = shown.groupBy("token").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
@@ -389,28 +453,26 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT
     stars = seen.select(F.col("first").alias("a"), F.col("rep").alias("b")).unionByName(seen.select(F.col("last").alias("a"), F.col("rep").alias("b")))
     # each pair once, with the id that many are held against as `a`
     stars = stars.where("a <> b").groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("a").alias("a")).select("a", (F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x"))).alias("b"))
-    side = lambda k: reps.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
+    side = lambda k: small.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
     met = stars.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     stars = met.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_plausible(percent), "a long, b long")
     near = verified(stars, known, scratch, "near", percent, shingle)
+    scratch.drop("ends")
     release(spark)
 
     known_links = near
-    small = scratch.save(reps.select("rep", "n", "bits"), "small")
     labels = _labels(small, known_links, scratch, "labels0")
-    tokens = reps.select("rep", "prefix").join(labels, "rep").select("label", F.explode("prefix").alias("token"))
-    open_tokens = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    open_tokens = scratch.save(open_tokens.select("token", "size"), "open")
-    members = scratch.save(reps.select("rep", F.explode("prefix").alias("token")).join(open_tokens, "token"), "members")
-    release(spark)
-    fit = members.where(F.col("size") <= group).groupBy("token").agg(F.array_sort(F.collect_set("rep")).alias("all"))
-    fit = fit.select("all").distinct().select(F.xxhash64("all", F.lit("group")).alias("gid"), F.explode("all").alias("rep"))
-    blocks = F.ceil(F.col("size") / F.lit(group)).cast("int")
-    own = members.where(F.col("size") > group).select("token", "rep", blocks.alias("blocks"), F.pmod(F.xxhash64("rep", F.lit("block")), blocks.cast("long")).cast("int").alias("block"))
-    cut = own.select("token", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cut = cut.select(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("gid"), "rep")
-    groups = scratch.save(fit.unionByName(cut), "groups")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tokens = lambda column: reps.select("rep", column).join(labels, "rep").select(F.explode(column).alias("token"), "rep", "label")
+    members = tokens("prefix").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_open(group), "gid long, token long, rep long, label long")
+    members = scratch.save(members, "members")
+    common = scratch.save(tokens("common"), "common")
+    open_tokens = scratch.save(common.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token"), "open")
+    large = members.where("gid IS NULL").select("token", "rep", "label").unionByName(common.join(open_tokens, "token").select("token", "rep", "label"))
+    groups = members.where("gid IS NOT NULL").select("gid", "rep").unionByName(_blocks(large, small, scratch, percent, group))
+    groups = scratch.save(groups.distinct(), "groups")
+    scratch.drop("reps", "members", "common", "open", "large", "own", "bands", "dealt", "ranges", "blockpairs")
+    release(spark)
     first = scratch.save(groups.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set("gid")), 1, FIRST).alias("first")), "first")
     for name, best in (("best", True), ("rest", False)):
         part = groups.where(F.pmod("gid", F.lit(BEST_SHARE)) == 0) if best else groups
@@ -418,13 +480,18 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT
         live = scratch.save(labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gid"), f"{name}live")
         trees = labelled.join(live, "gid").join(small, "rep").join(first, "rep").select("gid", "rep", "n", "label", "bits", "first").repartition(parts, "gid").sortWithinPartitions("gid")
         pairs = trees.mapInArrow(_search(percent, best), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        pairs = scratch.save(pairs, f"{name}found")
+        del labelled, trees
+        release(spark)
         known_links = known_links.unionByName(verified(pairs, known, scratch, name, percent, shingle))
+        scratch.drop(f"{name}live", f"{name}found")
         if best:
             labels = _labels(small, known_links, scratch, "labels1")
         release(spark)
+    scratch.drop("groups", "first", "small", "labels0", "labels1")
 
     whole = components(known_links, scratch).select(F.col("node").alias("rep"), "component")
-    classes = reps.select("d1", "d2", "rep").join(whole, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    classes = ids.join(whole, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     classes = scratch.save(classes, "classes")
     out = heads.join(classes, ["d1", "d2"], "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
@@ -433,3 +500,20 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT
 
 def op4_jaccard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), Scratch(spark, "jaccard"))
+
+
+OP4_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w
+), ids AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS rep FROM sets),
+one AS (SELECT doc_id AS a, len(s) AS n, unnest(s) AS x FROM sets JOIN ids USING (doc_id) WHERE rep = doc_id),
+l AS (
+  SELECT p.a AS a, q.a AS b FROM one p JOIN one q USING (x) WHERE p.a <> q.a GROUP BY p.a, q.a, p.n, q.n
+  HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))
+), r AS (SELECT a, b AS c FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.c)
+SELECT i.doc_id, CAST(i.n AS BIGINT) AS n_shingles, least(i.rep, coalesce(c, i.rep)) AS component_id
+FROM ids i LEFT JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = i.rep
+"""

@@ -28,6 +28,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_revisits": warc_revisits.OP1_SQL,
         "op3_chat_format": chat_format.OP3_SQL,
+        "op4_jaccard_tree": jaccard_tree.OP4_SQL,
         "op5_benchmark_leaks": decontamination.OP5_SQL,
         "op7_metric_join": metric_join.OP7_SQL,
         "op10_substring_dedup": substring_dedup.OP10_SQL,
