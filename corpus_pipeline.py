@@ -20,9 +20,9 @@ PLAIN = 6.5, 12.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a letter and texts that no learned language explains."""
+    """Drop texts without a letter and texts that no learned language explains; a row without language gets the one found."""
     known = docs.where(F.col("doc_id").isNotNull() & ~ppm_language.held_out(F.col("doc_id")))
-    return ppm_language.keep_languages(docs, ppm_language.fit(known), MOST_EXCESS, plain=PLAIN)
+    return ppm_language.keep_languages(docs, ppm_language.fit(known), MOST_EXCESS, plain=PLAIN, fill="lang")
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

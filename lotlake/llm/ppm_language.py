@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,11 +21,13 @@ from lotlake.llm.common import lowered, sized, table, utf8_buffers, word_spans
 
 #: Longest context in bytes.
 ORDER = 3
-#: The fit's bounds. Text bytes read per language (expected; rows are drawn by a hash), languages (those
-#: with most text), different runs of order + 1 bytes (the most frequent), and bytes of the cost table.
+#: The fit's bounds. Text bytes read per language (expected; rows are drawn by a hash), languages (more are an
+#: error), different runs of order + 1 bytes (each language has an equal share, its most frequent), and bytes of the cost table.
 SAMPLE_BYTES, LANGUAGES, RUNS, TABLE_BYTES = 1_500_000, 200, 400_000, 64 << 20
 #: What stands before a text.
 _PAD = 0x0A
+#: Bytes that are scored at a time.
+STRIP = 1 << 16
 
 
 def _padded(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,21 +74,31 @@ class Model:
         self.languages, self.order, self.classes, self.down, self.costs = languages, order, classes, down, costs
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Code length of each row under each language."""
-        padded, begins = _padded(data, offsets, self.order)
-        symbols = self.classes[padded].astype(np.int64)
-        width, down = self.down.shape[1], self.down.ravel()
-        n = len(symbols) - self.order
-        node, known = np.zeros(max(n, 0), dtype=np.int64), np.ones(max(n, 0), dtype=bool)
-        for k in range(1, self.order + 1):
-            longer = down[node * width + symbols[self.order - k : self.order - k + n]]
-            known &= longer > 0
-            node = np.where(known, longer, node)
-        flat = self.costs.reshape(-1, len(self.languages))
-        sums = np.zeros((max(n, 0) + 1, len(self.languages)))
-        np.cumsum(flat[node * width + symbols[self.order :]], axis=0, dtype=np.float64, out=sums[1:])
-        first = begins - self.order
-        return sums[first + np.diff(offsets)] - sums[first]
+        """Code length of each row under each language, worked out in strips of STRIP bytes, so memory doesn't follow a row's length."""
+        order, width, down = self.order, self.down.shape[1], self.down.ravel()
+        flat, pad = self.costs.reshape(-1, len(self.languages)), int(self.classes[_PAD])
+        out = np.zeros((len(offsets) - 1, len(self.languages)))
+        sums = np.zeros((STRIP + 1, len(self.languages)))
+        for s in range(0, len(data), STRIP):
+            e = min(s + STRIP, len(data))
+            back = min(order, s)
+            symbols = self.classes[np.concatenate([np.full(order - back, _PAD, dtype=np.uint8), data[s - back : e]])].astype(np.int64)
+            rows = np.searchsorted(offsets, (s - order, e))
+            begins = np.unique(offsets[rows[0] : rows[1]]) - s
+            node, known = np.zeros(e - s, dtype=np.int64), np.ones(e - s, dtype=bool)
+            for k in range(1, order + 1):
+                before = symbols[order - k : order - k + e - s].copy()
+                for j in range(k):  # the row's first k bytes look back before its begin
+                    at = begins + j
+                    before[at[(at >= 0) & (at < e - s)]] = pad
+                longer = down[node * width + before]
+                known &= longer > 0
+                node = np.where(known, longer, node)
+            np.cumsum(flat[node * width + symbols[order:]], axis=0, dtype=np.float64, out=sums[1 : e - s + 1])
+            first, last = np.searchsorted(offsets, s, side="right") - 1, np.searchsorted(offsets, e)
+            edges = np.clip(offsets[first : last + 1], s, e) - s
+            out[first:last] += sums[edges[1:]] - sums[edges[:-1]]
+        return out
 
 
 def build(rows: list[tuple[str, int, int]], order: int = ORDER, table_bytes: int = TABLE_BYTES) -> Model | None:
@@ -168,19 +181,22 @@ def held_out(key: Column) -> Column:
 
 
 def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
-    """Count runs over a sample of `rows`; None if no row has text and language.
+    """Count runs over a sample of `rows`; None if no row has text and language, an error if there are over LANGUAGES languages.
 
-    The driver receives one size per language (200 at most) and at most RUNS counted runs.
+    The driver receives one size per language and at most RUNS counted runs, shared out evenly over the languages.
     """
     known = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("n")).limit(LANGUAGES + 1).collect()
     if not sizes:
         return None
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages; LANGUAGES bounds the model")
     part = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_bytes / max(1, r["n"])))])
     share = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     drawn = known.where(share < F.coalesce(part[F.col("lang")], F.lit(0.0))).select("lang", "text")
     counted = drawn.mapInArrow(_count_runs(order), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    most = counted.orderBy(F.desc("n"), "lang", "code").limit(RUNS).toArrow()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))  # over one language's sample
+    most = counted.withColumn("place", place).where(F.col("place") <= RUNS // len(sizes)).toArrow()
     return build(list(zip(*(most.column(c).to_pylist() for c in ("lang", "code", "n")))), order)
 
 
@@ -233,17 +249,20 @@ def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """
     data = lowered(data)
     starts, stops, _ = word_spans(data, offsets)
-    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data < 58))])
-    coded = digits[stops] > digits[starts]
-    edge = np.zeros(len(data) + 1, dtype=np.int64)
-    np.add.at(edge, starts[coded], 1)
-    np.add.at(edge, stops[coded], -1)
-    letter = _PLAIN[data] & ((np.cumsum(edge[:-1]) == 0) | (data >= 128))
+    letter = _PLAIN[data]
+    if len(starts):
+        coded = np.logical_or.reduceat((data >= 48) & (data < 58), starts)  # gaps hold no digit
+        edge = np.zeros(len(data) + 1, dtype=np.int8)
+        edge[starts[coded]] += 1
+        edge[stops[coded]] -= 1
+        letter &= (np.cumsum(edge[:-1], dtype=np.int8) == 0) | (data >= 128)
     gap = np.zeros(len(data), dtype=bool)
     gap[1:] = letter[:-1] & ~letter[1:]
     gap[offsets[:-1][offsets[:-1] < len(data)]] = False
     take = letter | gap
-    return np.where(letter, data, 0x20).astype(np.uint8)[take], np.concatenate([[0], np.cumsum(take)])[offsets]
+    kept = [np.count_nonzero(take[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    data[~letter] = 0x20
+    return data[take], np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])
 
 
 def _foreign(model: Model, text: pa.Array, rate: float, margin: float) -> np.ndarray:
@@ -253,8 +272,8 @@ def _foreign(model: Model, text: pa.Array, rate: float, margin: float) -> np.nda
     return model.bits(data, offsets).min(1) > rate * n + margin * np.sqrt(n)
 
 
-def keep_languages(rows: DataFrame, model: Model | None, most_excess: float, text: str = "text", plain: tuple[float, float] | None = None) -> DataFrame:
-    """The rows of `rows`, all columns as they are, whose text is in a learned language.
+def keep_languages(rows: DataFrame, model: Model | None, most_excess: float, text: str = "text", plain: tuple[float, float] | None = None, fill: str | None = None) -> DataFrame:
+    """The rows of `rows` whose text is in a learned language; a null in the text column `fill` becomes that language, all else stays.
 
     Rejected are texts that `predict` calls `und`; those that a flat code of 8 bits a byte describes in fewer
     bits than the best language by more than `most_excess`; and, with `plain` = (rate, margin), those whose plain
@@ -269,7 +288,10 @@ def keep_languages(rows: DataFrame, model: Model | None, most_excess: float, tex
             ok = batch.column(batch.num_columns - 1)
             if held.value is not None:
                 column = batch.column(batch.schema.get_field_index(text))
-                rate, sizes = _scored(held.value, column, ok)[2], np.diff(utf8_buffers(column)[1])
+                (lang, _, rate), sizes = _scored(held.value, column, ok), np.diff(utf8_buffers(column)[1])
+                if fill:
+                    at = batch.schema.get_field_index(fill)
+                    batch = batch.set_column(at, batch.schema.field(at), pc.coalesce(batch.column(at), pa.array(lang, batch.schema.field(at).type)))
                 fits = np.array([r is not None and (r - 8) * n <= most_excess for r, n in zip(rate, sizes.tolist())], dtype=bool)
                 ok = pa.array(fits & ~_foreign(held.value, column, *plain) if plain else fits)
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(ok)
