@@ -4,8 +4,9 @@ Which documents hold at least a share t of a benchmark item's word shingles? An
 smallest part of its hash-ordered shingles (a bottom-k MinHash). Its depth follows from the item's size:
 a document that holds need = ceil(t * m) of m shingles misses at most m - need, so it holds one of the
 m - need + 1 smallest. With that depth no pair is lost, where banded signatures lose short items in long
-documents. Sizes partition the search: a document is only held against items whose `need` its own size
-reaches. Candidates are then verified by counting shared shingles as strings.
+documents. Sizes partition the search: items and documents fall into bands of doubling size, the band is part of
+the join's key, and an item's sketch stands in the bands of the documents that are large enough for it. Candidates
+are then verified by counting shared shingles as strings.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from lotlake.llm.common import GAP_PATTERN, Scratch, table
 
 SHINGLE, PERCENT = 5, 75
-#: Sketch rows that are broadcast (24 bytes each); larger sketches meet the documents by a shuffle.
+#: Sketch rows, bands counted, that are broadcast (32 bytes each); larger sketches meet the documents by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
@@ -45,6 +46,11 @@ def hashes(w: Column) -> Column:
     return F.when(F.size(w) < SHINGLE, F.transform(whole, lambda x: F.xxhash64(x))).otherwise(long)
 
 
+def band(n: Column) -> Column:
+    """The size band of n shingles: 1, 2 to 3, 4 to 7, ..."""
+    return F.length(F.bin(n))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """Rows (doc_id, item_id, n_item, n_shared), one per pair of ids of which the document holds `percent` of the item.
 
@@ -57,11 +63,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, scratch: Scratch, percent: int
     stored = scratch.save(test.withColumn("item", F.xxhash64("item_id", "set")).dropDuplicates(["item"]), "items").where(F.size("set") > 0)
     sized = stored.withColumn("m", F.size("set")).withColumn("need", F.ceil(F.col("m") * F.lit(percent) / 100.0).cast("int"))
     depth = F.greatest(F.lit(1), F.size("h") - F.col("need") + 1)
-    sketch = scratch.save(sized.select("item", "need", F.explode(F.slice(F.sort_array("h"), F.lit(1), depth)).alias("h")), "sketch")
+    top = sized.agg(F.max(band(F.col("need")))).first()[0] or 1  # all larger documents share the last band
+    least = sized.select("item", "need", F.slice(F.sort_array("h"), F.lit(1), depth).alias("h"), F.explode(F.sequence(band(F.col("need")), F.lit(top))).alias("band"))
+    sketch = scratch.save(least.select("band", "item", "need", F.explode("h").alias("h")), "sketch")
     small = sketch.count() <= BROADCAST_ROWS
     held = docs.where(F.col("doc_id").isNotNull()).select("doc_id", words(F.col("text")).alias("w"))
-    probes = held.select("doc_id", F.greatest(F.lit(1), F.size("w") - SHINGLE + 1).alias("n"), F.explode(hashes(F.col("w"))).alias("h"))
-    met = probes.join(F.broadcast(sketch) if small else sketch, "h").where("n >= need")
+    held = held.withColumn("n", F.greatest(F.lit(1), F.size("w") - SHINGLE + 1))
+    probes = held.select("doc_id", "n", F.least(band(F.col("n")), F.lit(top)).alias("band"), F.explode(hashes(F.col("w"))).alias("h"))
+    met = probes.join(F.broadcast(sketch) if small else sketch, ["band", "h"]).where("n >= need")
     pairs = scratch.save(met.select("doc_id", "item").distinct(), "pairs")
     wanted = pairs.join(sized.select("item", "item_id", "set", "m", "need"), "item")
     checked = (
