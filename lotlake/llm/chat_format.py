@@ -1,6 +1,6 @@
 """Operator 3: relational chat formatting, in Spark expressions only.
 
-The turns of a conversation are collected as structs, sorted, cut into runs of one role, and each run
+The turns of a conversation are collected as structs, sorted, merged into runs of one role, and each run
 becomes one block of the output:
 
     <s>ROLE[INST]TEXT[SEP]TEXT ...[/INST]</s>
@@ -8,14 +8,15 @@ becomes one block of the output:
 ROLE is URL-encoded. Inside a text, a control string gets a backslash after its first character, and one
 that already has some there gets one more, so that no text holds a control string and reading back
 removes exactly what was added. The loss mask is a list of spans of the output, in code points: one for
-each text of the trained role, in order.
+each text of the trained role, in order. Where a span starts is a running sum over the turns, taken by a window
+before they are collected, so work is linear in the length of a conversation.
 
-A conversation is one output row, so one task holds it; collecting combines on the map side first.
+A conversation is one output row, so one task holds it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotlake.llm.common import hex_sha256, table
@@ -24,6 +25,8 @@ OPEN, BODY, BETWEEN, END = "<s>", "[INST]", "[SEP]", "[/INST]</s>"
 #: A control string with any number of backslashes after its first character.
 _CONTROL = r"([<\[])(\\*)(/?(?:s>|INST\]|SEP\]))"
 _ESCAPED = r"([<\[])\\(\\*)(/?(?:s>|INST\]|SEP\]))"
+#: Code points of a piece of output that a span is looked up in.
+PIECE = 1_024
 _BLOCK = r"(?s)<s>([^\[<]*)\[INST\](.*?)\[/INST\]</s>"
 
 
@@ -42,54 +45,34 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     stay. A null text or role is empty; rows with a null conversation form one conversation. Other
     columns are not read, whatever their names; an empty table gives an empty one.
     """
-    rows = turns.select(
-        F.col(conv).alias("conv"),
-        F.struct(F.col(turn).alias("at"), F.coalesce(F.col(role), F.lit("")).alias("role"), escaped(F.coalesce(F.col(text), F.lit(""))).alias("text")).alias("turn"),
-    )
-    sorted_turns = rows.groupBy("conv").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    starts = sorted_turns.withColumn(
-        "starts",
-        F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"])),
-    )
-    runs = starts.select(
-        "conv",
-        F.transform(
-            "starts",
-            lambda at, k: F.struct(
-                F.get("turns", at)["role"].alias("role"),
-                F.transform(F.slice("turns", at + 1, F.coalesce(F.get("starts", k + 1), F.size("turns")) - at), lambda t: t["text"]).alias("texts"),
-            ),
-        ).alias("runs"),
-    )
-    head = lambda run: F.concat(F.lit(OPEN), F.url_encode(run["role"]), F.lit(BODY))
-    blocks = runs.select(
+    rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("at"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    order = Window.partitionBy("conv").orderBy("at", "role", "text")
+    head = lambda role: F.concat(F.lit(OPEN), F.url_encode(role), F.lit(BODY))
+    placed = rows.select(
         "conv",
-        F.array_join(F.transform("runs", lambda run: F.concat(head(run), F.array_join(run["texts"], BETWEEN), F.lit(END))), "").alias("formatted"),
-        # the lengths of what stands before each text, of the text, and whether it is trained
-        F.flatten(
-            F.transform(
-                "runs",
-                lambda run, k: F.transform(
-                    run["texts"],
-                    lambda x, i: F.struct(
-                        F.when(i > 0, F.lit(len(BETWEEN))).otherwise(F.length(head(run)) + F.when(k > 0, F.lit(len(END))).otherwise(0)).alias("gap"),
-                        F.length(x).alias("size"),
-                        (run["role"] == trained).alias("loss"),
-                    ),
-                ),
-            )
-        ).alias("parts"),
+        F.row_number().over(order).alias("place"),
+        "role",
+        F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True)).alias("opens"),
+        F.coalesce(F.lead("role").over(order) != F.col("role"), F.lit(True)).alias("closes"),
+        escaped(F.col("text")).alias("text"),
     )
-    spans = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,size:int>>)").alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + p["gap"] + p["size"]).alias("at"),
-            F.when(p["loss"], F.array_append(a["spans"], F.struct((a["at"] + p["gap"]).alias("start"), p["size"].alias("size")))).otherwise(a["spans"]).alias("spans"),
+    lead = F.when(F.col("opens"), F.length(head(F.col("role")))).otherwise(len(BETWEEN))
+    tail = F.when(F.col("closes"), len(END)).otherwise(0)
+    sized = placed.select("*", F.length("text").alias("size"), tail.alias("tail"), (lead + F.length("text") + tail).alias("all"))
+    upto = F.sum("all").over(Window.partitionBy("conv").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    spanned = sized.select("conv", F.struct("place", "role", "opens", "text", (upto - F.col("size") - F.col("tail")).alias("start"), "size").alias("turn"))
+    sorted_turns = spanned.groupBy("conv").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    starts = sorted_turns.withColumn("starts", F.transform(F.filter("turns", lambda t: t["opens"]), lambda t: t["place"]))
+    merged = F.transform(
+        "starts",
+        lambda at, k: F.concat(
+            head(F.get("turns", at - 1)["role"]),
+            F.array_join(F.transform(F.slice("turns", at, F.coalesce(F.get("starts", k + 1), F.size("turns") + 1) - at), lambda t: t["text"]), BETWEEN),
+            F.lit(END),
         ),
-        lambda a: a["spans"],
     )
-    return blocks.select(F.col("conv").alias(conv), "formatted", spans.alias("loss_spans"))
+    spans = F.transform(F.filter("turns", lambda t: t["role"] == trained), lambda t: F.struct(t["start"].alias("start"), t["size"].alias("size")))
+    return starts.select(F.col("conv").alias(conv), F.array_join(merged, "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def parsed(formatted: Column) -> Column:
@@ -104,8 +87,18 @@ def parsed(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the mask, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(F.substr(formatted, s["start"] + 1, s["size"]))), "")
+    """All text under the mask, unescaped, nothing between. The output is cut into pieces once; a span looks at its own pieces only."""
+
+    def under(pieces: Column) -> Column:
+        def one(s: Column) -> Column:
+            first = F.floor(s["start"] / PIECE).cast("int")
+            last = F.floor((s["start"] + F.greatest(s["size"], F.lit(1)) - 1) / PIECE).cast("int")
+            return unescaped(F.substr(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), s["start"] - first * PIECE + 1, s["size"]))
+
+        return F.array_join(F.transform(spans, one), "")
+
+    pieces = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.get(F.transform(F.array(pieces), under), F.lit(0))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
