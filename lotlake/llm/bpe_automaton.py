@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 
 from lotlake.llm.common import hex_sha256, sized, table
 
-#: Words kept in a worker's memo; it is emptied when full. Longer words are not kept.
-MEMO_WORDS, MEMO_CHARS = 400_000, 40
+#: Words, and answers about arcs, that a worker keeps (some 30 MB each); either is emptied when full. Longer words are not kept.
+MEMO_WORDS, MEMO_CHARS, MEMO_ARCS = 120_000, 40, 300_000
 
 #: White space as the vocabulary's pattern library has it (the Unicode property White_Space).
 _BLANKS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -105,7 +105,7 @@ class Automaton:
         key = x * self.size + y
         found = self.table.get(key)
         if found is None:
-            if len(self.table) > 2_000_000:
+            if len(self.table) >= MEMO_ARCS:
                 self.table.clear()
             found = self.table[key] = self.live[y] and self._has(x, y, self.end)
         return found

@@ -25,7 +25,8 @@ from lotlake.llm.common import Scratch, sized, table
 
 #: Pre-tokens of a leaf when built; a leaf that edits have grown beyond LARGEST makes the tree be built anew.
 LEAF, LARGEST = 32, 512
-MEMO_WORDS, MEMO_CHARS = 400_000, 40
+#: Pre-tokens kept in a worker's memo, which is emptied when full; longer ones are not kept.
+MEMO_WORDS, MEMO_CHARS = 200_000, 40
 STATE = "key long, text string, chars array<int>, tokens array<int>"
 
 
