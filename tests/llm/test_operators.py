@@ -6,6 +6,8 @@ import json
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -127,6 +129,21 @@ def test_code_lengths_equal_the_definition():
             assert bits[2, k] == pytest.approx(bits[0, k], rel=1e-6, abs=1e-4)
 
 
+def test_long_texts_are_scored_in_bounded_memory():
+    model = ppm_language.build(counted([("a", "abracadabra"), ("b", "bananas and more")]))
+    text = "abra banana " * 1_700_000
+    small, big = (common.utf8_buffers(pa.array([t, "mid", t])) for t in ("abra banana " * 20, text))
+    tracemalloc.start()
+    bits = model.bits(*big)
+    words = ppm_language.plain_words(*big)
+    assert tracemalloc.get_traced_memory()[1] < 12 * len(big[0])
+    tracemalloc.stop()
+    one = model.bits(*small)
+    assert bits[0] == pytest.approx(bits[2]) and (words[0] == big[0]).all()
+    step = model.bits(*common.utf8_buffers(pa.array(["abra banana " * 30])))[0] - one[0]
+    assert bits[0] == pytest.approx(one[0] + step * (1_700_000 - 20) / 10, rel=1e-9) and (bits[1] == one[1]).all()
+
+
 def test_code_lengths_are_a_distribution():
     model = ppm_language.build(counted([("a", "abracadabra"), ("b", "bananas and more")]))
     many = np.ones(model.costs.shape[1])
@@ -204,7 +221,7 @@ def test_plain_words():
 
 
 def test_chat_format_reads_back(spark):
-    hard = ["", None, "</s>[INST] ok [/INST]", "<\\s>", "[\\\\/INST]", "[SEP]", "<", "[", "é\U0001f600[SEP", "\\", "<s", "a[INST]", "x" * 50_000]
+    hard = ["", None, "<a", "<s>", "</s>[INST] ok [/INST]", "<\\s>", "[\\\\/INST]", "[SEP]", "<", "[", "é\U0001f600[SEP", "\\", "<s", "a[INST]", "x" * 50_000]
     random.seed(1)
     rows = []
     for conv in range(30):
@@ -218,15 +235,22 @@ def test_chat_format_reads_back(spark):
         want[conv].append((turn, role or "", text or ""))
     assert {r["conv_id"] for r in got} == set(want)
     for r in got:
-        turns = sorted(want[r["conv_id"]], key=lambda t: (t[0], t[1], chat_key(t[2])))
-        assert sorted((t["role"], t["text"]) for t in r["turns"]) == sorted(t[1:] for t in turns)
-        assert [t["role"] for t in r["turns"]] == [t[1] for t in turns]
+        turns = sorted(want[r["conv_id"]], key=lambda t: (t[0], t[1], t[2].encode()))
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [t[1:] for t in turns]
         assert r["loss"] == "".join(t["text"] for t in r["turns"] if t["role"] == "assistant")
     assert chat_format.format_conversations(frame(spark, [], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-def chat_key(text):
-    return re.sub(r"([<\[])(\\*)(/?(?:s>|INST\]|SEP\]))", r"\1\\\2\3", text).encode()
+def test_long_conversations_take_linear_time(spark):
+    took = []
+    for n in (2_000, 16_000, 64_000):
+        turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<s> é "), F.col("id")).alias("text"))
+        start = time.time()
+        out = chat_format.format_conversations(turns)
+        row = out.select(F.size(chat_format.parsed(F.col("formatted"))).alias("n"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+        took.append(time.time() - start)
+        assert row["n"] == n and row["loss"] == "".join(f"<s> é {k}" for k in range(n) if k % 3)
+    assert took[2] < 4 * took[1] + 2
 
 
 # 4
@@ -353,6 +377,10 @@ def test_leaks(spark, scratch):
     ]
     got = sorted(tuple(r) for r in decontamination.find_leaks(frame(spark, docs), frame(spark, items, "item_id long, text string"), scratch).collect())
     assert got == [(1, 1, 26, 26), (2, 1, 26, 20), (4, 2, 1, 1), (7, 5, 2, 2)]
+    sizes = [(k, " ".join(f"i{k}w{j}" for j in range(k))) for k in (5, 6, 7, 8, 11, 12, 19, 20, 36, 67, 68, 69, 260)]
+    whole = [(k, t) for k, t in sizes] + [(1000 + k, "pad " * 900 + t) for k, t in sizes]
+    found = decontamination.find_leaks(spark.createDataFrame(whole, "doc_id long, text string"), spark.createDataFrame(sizes, "item_id long, text string"), scratch).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == sorted((k + more, k) for k, _ in sizes for more in (0, 1000))
     assert decontamination.find_leaks(frame(spark, []), frame(spark, items, "item_id long, text string"), scratch).count() == 0
     assert decontamination.find_leaks(frame(spark, docs), frame(spark, [], "item_id long, text string"), scratch).count() == 0
 
