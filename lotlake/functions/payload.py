@@ -54,6 +54,9 @@ def contains(raw: Column, pattern: dict[str, str | int | float | bool | None]) -
     return found
 
 
+# Display defaults and lengths: fixed values.
+
+
 def title(lead: Column, size: int) -> Column:
     return F.left(F.coalesce(lead, F.lit("No title")), F.lit(size))
 
@@ -75,6 +78,11 @@ def iso_seconds(ts: Column) -> Column:
     return F.coalesce(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("N/A"))
 
 
+def stored_time(text: Column) -> Column:
+    """A stored time as a timestamp: ISO text with T or a blank between date and time, with or without a fraction; null if it is neither."""
+    return F.try_to_timestamp(F.replace(text, F.lit("T"), F.lit(" ")))
+
+
 def seconds_between(start: Column, end: Column) -> Column:
     return (F.unix_micros(end) - F.unix_micros(start)) / 1e6
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotlake.operators.numbering import numbered
+
 COLUMNS = ["item_id", "seq", "raw_json", "scraped_at", "zip_code", "radius_miles", "category"]
 
 
@@ -16,11 +18,15 @@ def fingerprint(raw: Column, mode: str = "text") -> Column:
 
 
 def _with_stored(stored: DataFrame, batch: DataFrame, mode: str) -> DataFrame:
-    """Stored rows (at seq -1) and observations together, with the fingerprint before each, so one shuffle by item serves all."""
-    old = stored.select("item_id", F.lit(-1).cast("bigint").alias("seq"), *COLUMNS[2:], "id", "created_at", F.lit(True).alias("stored"))
+    """Stored rows and observations together, with the fingerprint before each, so one shuffle by item serves all.
+
+    when: what rows are ordered by, stored ones first. seq may be of any type that has an order.
+    """
+    no_seq = F.lit(None).cast(batch.schema["seq"].dataType)
+    old = stored.select("item_id", no_seq.alias("seq"), *COLUMNS[2:], "id", "created_at", F.lit(True).alias("stored"))
     new = batch.select(*COLUMNS, F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(False).alias("stored"))
-    rows = old.unionByName(new).withColumn("mark", fingerprint(F.col("raw_json"), mode))
-    return rows.withColumn("before", F.lag("mark").over(Window.partitionBy("item_id").orderBy("seq")))
+    rows = old.unionByName(new).withColumn("mark", fingerprint(F.col("raw_json"), mode)).withColumn("when", F.struct((~F.col("stored")).alias("observed"), "seq"))
+    return rows.withColumn("before", F.lag("mark").over(Window.partitionBy("item_id").orderBy("when")))
 
 
 def _kind() -> Column:
@@ -39,25 +45,17 @@ def merged(stored: DataFrame, batch: DataFrame, mode: str = "text") -> DataFrame
     creation stay those of the first insert.
     """
     rows = _with_stored(stored, batch, mode).withColumn("change", F.when(F.col("stored"), "stored").otherwise(_kind())).where("change <> 'unchanged'")
-    now = F.max_by(F.struct(*COLUMNS[2:]), "seq")
-    first = F.min_by(F.struct("id", F.coalesce("created_at", "scraped_at").alias("created_at"), "seq"), "seq")
+    now = F.max_by(F.struct(*COLUMNS[2:]), "when")
+    first = F.min_by(F.struct("id", F.coalesce("created_at", "scraped_at").alias("created_at"), "seq"), "when")
     out = rows.groupBy("item_id").agg(now.alias("now"), first.alias("first"))
-    return out.select("first.id", "item_id", "now.*", "first.created_at", F.when(F.col("first.seq") >= 0, F.col("first.seq")).alias("inserted_seq"))
+    return out.select("first.id", "item_id", "now.*", "first.created_at", F.col("first.seq").alias("inserted_seq"))
 
 
-def with_ids(rows: DataFrame, order: str = "inserted_seq", buckets: int = 64) -> DataFrame:
+def with_ids(rows: DataFrame, path: str, order: str = "inserted_seq") -> DataFrame:
     """`rows` with ids for those that have none, after the largest, in the order of `order`; present ids stay.
 
-    Ids run through ranges of the order: each range is numbered by itself and starts behind the ranges before
-    it, so no task sees all rows. The driver reads one row, and the table of starts has one row per range.
+    New rows are numbered by ranges, stored under `path`. The driver reads one row.
     """
-    top, low, high = rows.agg(F.max("id"), F.min(order), F.max(order)).first()
-    new = rows.where(F.col("id").isNull())
-    width = max(1.0, ((high or 0) - (low or 0) + 1) / buckets)
-    cut = new.withColumn("range", F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width)).cast("int"))
-    starts = cut.groupBy("range").agg(F.count("*").alias("n"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over at most `buckets` rows
-    starts = starts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("range").orderBy(order, "item_id"))
-    numbered = cut.withColumn("at", inside).join(F.broadcast(starts), "range").withColumn("id", F.lit(top or 0) + F.col("start") + F.col("at"))
-    return rows.where(F.col("id").isNotNull()).unionByName(numbered.select(rows.columns))
+    top = rows.agg(F.max("id")).first()[0] or 0
+    fresh = numbered(rows.where(F.col("id").isNull()), [order, "item_id"], path)
+    return rows.where(F.col("id").isNotNull()).unionByName(fresh.withColumn("id", F.lit(top) + F.col("place")).select(rows.columns))

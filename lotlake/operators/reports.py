@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lotlake.functions import payload as P
 
 
-def item_by_id(items: DataFrame, item_id: str) -> DataFrame:
-    return items.where(F.col("item_id") == item_id)
+def items_by_id(items: DataFrame, *item_ids: str) -> DataFrame:
+    """The items of the ids, all columns, payload included."""
+    return items.where(F.col("item_id").isin(*item_ids))
 
 
 def items_in_zip(items: DataFrame, zip_code: str) -> DataFrame:

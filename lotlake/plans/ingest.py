@@ -42,11 +42,8 @@ def crawl(pages: DataFrame, scratch: str, limit: int | None = None, short: int =
 
 
 def observations(observed: DataFrame, zip_code: str, radius_miles: int, scraped_at) -> DataFrame:
-    """Observations in arrival order: by run, category and place in its results.
-
-    seq holds the three in one number: up to 2^20 categories of up to 2^30 lots in a run.
-    """
-    seq = F.shiftleft(F.col("run_id"), 50) + F.shiftleft(F.col("category_idx").cast("bigint"), 30) + F.col("nth").cast("bigint")
+    """Observations in arrival order: seq is (run, category, place in its results)."""
+    seq = F.struct("run_id", "category_idx", F.col("nth").cast("bigint").alias("nth"))
     return observed.select(
         "run_id",
         seq.alias("seq"),
@@ -67,7 +64,7 @@ def stored(rows: DataFrame, path: str) -> DataFrame:
 
 def upsert(items: DataFrame, batch: DataFrame, scratch: str, mode: str = "text") -> DataFrame:
     """The item table after a batch. What is merged is stored under `scratch`, as numbering new items reads it again."""
-    return merge.with_ids(stored(merge.merged(items, batch, mode), f"{scratch}/merged")).drop("inserted_seq")
+    return merge.with_ids(stored(merge.merged(items, batch, mode), f"{scratch}/merged"), f"{scratch}/ranges").drop("inserted_seq")
 
 
 def counters(items: DataFrame, batch: DataFrame, mode: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotlake.operators.reports import flat
@@ -36,6 +36,7 @@ def append_runs(source: DataFrame, target_path: str, name: str = "sys_run_name")
     source.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(target_path)
 
 
-def tagged(rows: DataFrame, term: str) -> DataFrame:
-    """Rows with the search term that found them."""
-    return rows.withColumn("search_term", F.lit(term))
+def tagged(rows: DataFrame, terms: list[str], text: Column) -> DataFrame:
+    """A row for each search term that `text` holds, in one scan."""
+    hits = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.lower(text), F.lower(t)))
+    return rows.withColumn("search_term", F.explode(hits))

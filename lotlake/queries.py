@@ -13,7 +13,7 @@ from lotlake.plans import ingest, models
 from lotlake.schemas import ITEMS
 from lotlake.session import prepare
 from lotlake.sources import fixtures, tables
-from lotlake.sources.pages import frontier
+from lotlake.sources.pages import frontier, read_pages
 from lotlake.sources.scratch import scratch_dir
 from lotlake.streaming import upsert
 
@@ -69,7 +69,7 @@ taken AS (SELECT * EXCLUDE (r) FROM (SELECT f.*, take, before + row_number() OVE
 run_limit AS (SELECT category_idx FROM (SELECT category_idx, coalesce(sum(n) OVER (ORDER BY category_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
   FROM (SELECT category_idx, sum(take) AS n FROM limited GROUP BY 1)) WHERE earlier < {LIMIT})"""
 _RUNS = f"""{_CLASSES}, runs AS (
-  SELECT run_id AS id, min(scraped_at) AS started_at, max(scraped_at) AS completed_at, '78414' AS zip_code, 50 AS radius_miles, run_id % 2 = 0 AS test_mode,
+  SELECT run_id AS id, min(scraped_at) AS started_at, max(scraped_at) AS completed_at, '04217' AS zip_code, 25 AS radius_miles, run_id % 2 = 0 AS test_mode,
     CASE run_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'interrupted' ELSE 'completed' END AS status, count(*) AS items_found,
     CASE WHEN run_id % 5 > 1 THEN count(*) FILTER (change = 'new') ELSE 0 END AS items_added, CASE WHEN run_id % 5 > 1 THEN count(*) FILTER (change = 'updated') ELSE 0 END AS items_updated,
     CASE WHEN run_id % 5 = 0 THEN 1 ELSE 0 END AS errors FROM classed GROUP BY run_id)"""
@@ -116,7 +116,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = fixtures.observations(spark, sf_dir)
     status = F.when(F.col("run_id") % 5 == 0, "failed").when(F.col("run_id") % 5 == 1, "interrupted").otherwise("completed")
     started = obs.groupBy("run_id").agg(F.min("scraped_at").alias("started_at"), F.max("scraped_at").alias("completed_at")).select(
-        "*", F.lit("78414").alias("zip_code"), F.lit(50).alias("radius_miles"), (F.col("run_id") % 2 == 0).alias("test_mode"), status.alias("status")
+        "*", F.lit("04217").alias("zip_code"), F.lit(25).alias("radius_miles"), (F.col("run_id") % 2 == 0).alias("test_mode"), status.alias("status")
     )
     classes = merge.change_classes(_no_items(spark), obs).join(obs.select("item_id", "seq", "run_id"), ["item_id", "seq"])
     no_pages = started.select("run_id", F.lit(0).alias("errors"), F.lit(0).alias("pages_scraped"), F.lit(0).alias("lots_found"))
@@ -131,13 +131,13 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c AS (SELECT p_type AS category, CAST(row_number() OVER (ORDER BY p_type) - 1 AS INTEGER) AS category_idx FROM kinds),
     r AS (SELECT CAST(1 AS BIGINT) AS run_id, category_idx, category FROM c UNION ALL SELECT 2, 0, NULL)
     SELECT run_id, category_idx, category, CAST(n AS INTEGER) AS page,
-      'https://lots.example/lots/' || coalesce(category || '/', '') || '?status=open&zip=78414&miles=50&apage=' || n || '&ipp=100' AS url FROM r, range(1, 21) t(n)"""
+      'https://lots.example/lots/' || coalesce(category || '/', '') || '?status=open&zip=04217&miles=25&apage=' || n || '&ipp=100' AS url FROM r, range(1, 21) t(n)"""
 )
 def search_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = fixtures.table(spark, sf_dir, "part").select("p_type").distinct()
     listed = kinds.agg(F.array_join(F.array_sort(F.collect_list("p_type")), " , ,").alias("categories"))
     requests = listed.select(F.lit(1).cast("bigint").alias("run_id"), "categories").unionByName(listed.select(F.lit(2).cast("bigint").alias("run_id"), F.lit(None).cast("string").alias("categories")))
-    return frontier(requests.withColumns({"zip_code": F.lit("78414"), "radius_miles": F.lit(50)}), "https://lots.example", 20)
+    return frontier(requests.withColumns({"zip_code": F.lit("04217"), "radius_miles": F.lit(25)}), "https://lots.example", 20)
 
 
 @query(f"""WITH {_FAULTS} SELECT status, count(*) AS n_pages, CAST(sum(errors) AS BIGINT) AS errors FROM (
@@ -147,7 +147,9 @@ def page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = fixtures.table(spark, sf_dir, "pages").select(
         F.lit(2).cast("bigint").alias("run_id"), F.lit(0).alias("category_idx"), F.lit(None).cast("string").alias("category"), F.col("page_id").cast("int").alias("page"), "url", "html", F.lit(None).cast("timestamp").alias("fetched_at")
     )
-    states = entities.page_states(fixtures.pages(spark, sf_dir, faults=True).unionByName(raw))
+    path = scratch_dir(spark, "fetched")
+    fixtures.pages(spark, sf_dir, faults=True).unionByName(raw).write.parquet(path)
+    states = entities.page_states(read_pages(spark, path))
     return states.groupBy("status").agg(F.count("*").alias("n_pages"), F.sum("errors").alias("errors"))
 
 
@@ -218,14 +220,45 @@ def full_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to item table in one job, counted by category."""
     scratch = scratch_dir(spark, "crawl")
     done = ingest.crawl(ingest.stored(fixtures.pages(spark, sf_dir, faults=True), f"{scratch}/pages"), scratch)
-    batch = ingest.stored(ingest.observations(done.observed, "78414", 50, F.lit("2024-01-01 00:00:00").cast("timestamp")), f"{scratch}/observations")
+    batch = ingest.stored(ingest.observations(done.observed, "04217", 25, F.lit("2024-01-01 00:00:00").cast("timestamp")), f"{scratch}/observations")
     items = ingest.upsert(_no_items(spark), batch, scratch)
     per_page = done.pages.groupBy("category_idx").agg(F.count("*").alias("pages_seen"), F.sum("errors").alias("errors"))
     # an item that several categories show is one row; it counts where it was last changed, so count observations
-    per_item = batch.join(items.select("item_id"), "item_id", "left_semi").groupBy((F.shiftright("seq", 30) % (1 << 20)).cast("int").alias("category_idx")).agg(F.count("*").alias("n_items"))
+    per_item = batch.join(items.select("item_id"), "item_id", "left_semi").groupBy("seq.category_idx").agg(F.count("*").alias("n_items"))
     return per_page.join(per_item, "category_idx", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
 
 
+@query(f"""WITH {_LOTS} SELECT p_type AS category, count(*) AS n_lots, count(DISTINCT number) AS n_items FROM placed WHERE p_type IN ('PROMO', 'SMALL') GROUP BY p_type
+    UNION ALL SELECT NULL, count(*), count(DISTINCT number) FROM placed WHERE p_type = 'LARGE'""")
+def gather_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lots of two categories and of a pass without one, one after the other; repeats stay."""
+    found = ingest.stored(_lots(spark, sf_dir).select("category", "item_id"), f"{scratch_dir(spark, 'gather')}/lots")
+    parts = [(label, found.where(F.col("category") == kind).drop("category")) for label, kind in (("PROMO", "PROMO"), ("SMALL", "SMALL"), (None, "LARGE"))]
+    return dedup.gathered(*parts).groupBy("category").agg(F.count("*").alias("n_lots"), F.count_distinct("item_id").alias("n_items"))
+
+
+@query(f"""WITH {_FAULTS}, page_sum AS (SELECT CAST(sum(errors) AS BIGINT) AS errors, count(*) FILTER (status = 'ok') AS pages_scraped, CAST(sum(CASE WHEN emits THEN n_new ELSE 0 END) AS BIGINT) AS lots_found FROM seen),
+    got_lots AS (
+      SELECT *, lag(payload) OVER (PARTITION BY item_id ORDER BY category_idx, page, pos) AS prior
+      FROM (SELECT f.*, p_name || '|' || round(l_extendedprice * 100) || '|' || l_returnflag || l_linestatus AS payload
+        FROM firsts f JOIN seen USING (category_idx, page) JOIN rows USING (category_idx, page, pos) WHERE emits))
+    SELECT CAST(1 AS BIGINT) AS id, 'completed' AS status, CAST(count(*) AS INTEGER) AS items_found, CAST(count(*) FILTER (prior IS NULL) AS INTEGER) AS items_added,
+      CAST(count(*) FILTER (prior <> payload) AS INTEGER) AS items_updated, CAST(any_value(errors) AS INTEGER) AS errors, any_value(pages_scraped) AS pages_scraped, any_value(lots_found) AS lots_found
+    FROM got_lots, page_sum""")
+def run_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit row of a crawl: what it stored, and the errors, pages and lots that it met."""
+    scratch = scratch_dir(spark, "crawl")
+    done = ingest.crawl(ingest.stored(fixtures.pages(spark, sf_dir, faults=True), f"{scratch}/pages"), scratch)
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    batch = ingest.stored(ingest.observations(done.observed, "04217", 25, at), f"{scratch}/observations")
+    started = spark.range(1, 2).select(
+        F.col("id").alias("run_id"), at.alias("started_at"), at.alias("completed_at"), F.lit("04217").alias("zip_code"), F.lit(25).alias("radius_miles"), F.lit(False).alias("test_mode"), F.lit("completed").alias("status")
+    )
+    met = ingest.stored(runs.page_totals(done.pages), f"{scratch}/met")
+    audit = runs.finished(started, ingest.counters(_no_items(spark), batch), met)
+    return audit.join(met.select(F.col("run_id").alias("id"), "pages_scraped", "lots_found"), "id").select("id", "status", "items_found", "items_added", "items_updated", "errors", "pages_scraped", "lots_found")
+
+
 # merge
 
 
@@ -263,8 +296,9 @@ def merge_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_OBS} SELECT item_id, row_number() OVER (ORDER BY min(seq)) AS id FROM obs GROUP BY item_id")
 def surrogate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = ingest.stored(merge.merged(_no_items(spark), fixtures.observations(spark, sf_dir)), f"{scratch_dir(spark, 'ids')}/merged")
-    return merge.with_ids(new).select("item_id", F.col("id").cast("bigint").alias("id"))
+    scratch = scratch_dir(spark, "ids")
+    new = ingest.stored(merge.merged(_no_items(spark), fixtures.observations(spark, sf_dir)), f"{scratch}/merged")
+    return merge.with_ids(new, f"{scratch}/ranges").select("item_id", F.col("id").cast("bigint").alias("id"))
 
 
 # runs
@@ -307,8 +341,23 @@ def run_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_ITEMS} SELECT item_id, lead, zip_code, radius_miles, category, {_sql_text('scraped_at')} FROM items WHERE item_id = '1001' OR item_id = '10'")
 def item_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = fixtures.items(spark, sf_dir)
-    both = reports.item_by_id(items, "1001").unionByName(reports.item_by_id(items, "10"))
-    return both.select("item_id", P.field(F.col("raw_json"), "lead").alias("lead"), "zip_code", "radius_miles", "category", _text("scraped_at"))
+    return reports.items_by_id(items, "1001", "10").select("item_id", P.field(F.col("raw_json"), "lead").alias("lead"), "zip_code", "radius_miles", "category", _text("scraped_at"))
+
+
+@query(f"""WITH {_ITEMS} SELECT item_id, CAST(json_object('lead', lead, 'bidAmount', bid, 'shippingOffered', shipping, 'auction_ref', auction_ref,
+    'auction_data', json_object('eventName', event_name, 'eventCity', event_city, 'eventState', event_state)) AS VARCHAR) AS raw_json FROM items WHERE item_id IN ('1001', '10', '20001')""")
+def item_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.items_by_id(fixtures.items(spark, sf_dir), "1001", "10", "20001").select("item_id", "raw_json")
+
+
+@query(f"WITH {_OBS} SELECT seq, {_sql_text('scraped_at')}, epoch_us(scraped_at) % 1000000 AS micros FROM obs")
+def text_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times stored as text in either form, read back."""
+    form = lambda pattern: F.date_format("scraped_at", pattern)
+    text = F.when(F.col("seq") % 2 == 0, form("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).otherwise(form("yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    text = F.when(F.unix_micros("scraped_at") % 1_000_000 == 0, F.left(text, F.lit(19))).otherwise(text)
+    read = fixtures.observations(spark, sf_dir).withColumn("scraped_at", P.stored_time(text))
+    return read.select("seq", _text("scraped_at"), (F.unix_micros("scraped_at") % 1_000_000).alias("micros"))
 
 
 @query(f"WITH {_ITEMS} SELECT item_id, category FROM items WHERE zip_code = '00007'")
@@ -439,12 +488,7 @@ def incremental_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_ITEMS} SELECT term AS search_term, category, count(*) AS n FROM items JOIN (VALUES ('red'), ('gear'), ('plate')) t(term) ON lead ILIKE '%' || term || '%' GROUP BY ALL")
 def search_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.items(spark, sf_dir)
-    found = None
-    for term in ("red", "gear", "plate"):
-        lead = P.field(F.col("raw_json"), "lead")
-        one = models.tagged(rows.where(lead.ilike(f"%{term}%")), term)
-        found = one if found is None else found.unionByName(one)
+    found = models.tagged(fixtures.items(spark, sf_dir), ["red", "gear", "plate"], P.field(F.col("raw_json"), "lead"))
     return found.groupBy("search_term", "category").agg(F.count("*").alias("n"))
 
 

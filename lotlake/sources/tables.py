@@ -2,34 +2,63 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotlake.schemas import ITEMS, RUNS
+from lotlake.sources.scratch import remove
+
+#: The table that names the finished snapshots.
+POINTER = "current_versions"
+
+
+#: Snapshots that stay, so that readers of the one before aren't disturbed.
+KEPT = 2
 
 
 def write_items(items: DataFrame, root: str, version: int) -> str:
-    """Write a snapshot to its own folder, then append it to the pointer; readers of older ones aren't disturbed."""
-    path = f"{root}/v{version:08d}"
-    items.write.parquet(path)
-    items.sparkSession.sql(f"SELECT CAST({version} AS BIGINT) AS version").coalesce(1).write.mode("append").parquet(f"{root}/current_versions")
-    return path
+    """Write a snapshot to a folder of its own, then append its name to the pointer.
 
+    What a writer that died has left behind is never read and never in the way; folders but for those of the newest
+    KEPT versions go.
+    """
+    spark = items.sparkSession
+    folder = f"v{version:08d}-{uuid.uuid4().hex[:12]}"
+    items.write.parquet(f"{root}/{folder}")
+    spark.sql(f"SELECT CAST({version} AS BIGINT) AS version, '{folder}' AS folder").coalesce(1).write.mode("append").parquet(f"{root}/{POINTER}")
+    newest = {r["folder"] for r in _pointer(spark, root).orderBy(F.desc("version"), F.desc("folder")).limit(KEPT).collect()}
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    for found in where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(where):
+        name = found.getPath().getName()
+        if name.startswith("v") and name < folder[:9] and name not in newest:
+            remove(spark, f"{root}/{name}")
+    return f"{root}/{folder}"
 
-def current_version(spark: SparkSession, root: str) -> int | None:
-    """The newest finished snapshot, None before the first."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{root}/current_versions")
+
+def _pointer(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("version bigint, folder string").parquet(f"{root}/{POINTER}")
+
+
+def _current(spark: SparkSession, root: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}")
     if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
         return None
-    return spark.read.schema("version bigint").parquet(f"{root}/current_versions").agg(F.max("version")).first()[0]
+    return _pointer(spark, root).agg(F.max(F.struct("version", "folder"))).first()[0]
+
+
+def current_version(spark: SparkSession, root: str) -> int | None:
+    """The newest finished snapshot, None before the first."""
+    found = _current(spark, root)
+    return found and found["version"]
 
 
 def read_items(spark: SparkSession, root: str) -> DataFrame:
-    version = current_version(spark, root)
-    if version is None:
+    found = _current(spark, root)
+    if found is None:
         return spark.createDataFrame([], ITEMS)
-    return spark.read.schema(ITEMS).parquet(f"{root}/v{version:08d}")
+    return spark.read.schema(ITEMS).parquet(f"{root}/{found['folder']}")
 
 
 def append_runs(runs: DataFrame, path: str) -> None:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lotlake.operators import merge
-from lotlake.plans.ingest import upsert
+from lotlake.plans.ingest import stored, upsert
+from lotlake.sources.scratch import remove
 from lotlake.sources.tables import current_version, read_items, write_items
 
 
@@ -22,19 +23,22 @@ def first_arrivals(lots: DataFrame, late: str = "1 hour", time: str = "fetched_a
 def merge_batch(root: str, counters: str, mode: str = "text") -> Callable[[DataFrame, int], None]:
     """foreachBatch function: merge into the next snapshot under `root` and append the counters.
 
-    The snapshot's version is the batch id plus one, so a batch that is run again after a failure starts from
-    the same snapshot and writes none if it is there.
+    The snapshot's version is the batch id plus one. A batch that is run again after a failure starts from the same
+    snapshot and writes none if its own is finished; one that was cut off is written anew. The batch is stored, as it
+    is read twice.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if (current_version(spark, root) or 0) > batch_id:
             return
-        stored = read_items(spark, root)
-        classes = merge.change_classes(stored, batch, mode)
+        work = f"{root}/work-{uuid.uuid4().hex}"
+        items, batch = read_items(spark, root), stored(batch, f"{work}/batch")
+        classes = merge.change_classes(items, batch, mode)
         totals = classes.agg(F.count("*").alias("items_found"), F.count_if(F.col("change") == "new").alias("items_added"), F.count_if(F.col("change") == "updated").alias("items_updated"))
         totals.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{counters}/batch_id={batch_id}")
-        write_items(upsert(stored, batch, f"{root}/work-{uuid.uuid4().hex}", mode), root, batch_id + 1)
+        write_items(upsert(items, batch, work, mode), root, batch_id + 1)
+        remove(spark, work)
 
     return run
 

@@ -1,12 +1,20 @@
 """Random crawls and change streams against a sequential model."""
 
+import os
 import random
 from collections import defaultdict
 
-from lotlake.operators import dedup, merge
+import pytest
+from pyspark.sql import functions as F
+
+from lotlake.functions import payload
+from lotlake.operators import dedup, merge, numbering
 from lotlake.plans import ingest
 from lotlake.schemas import ITEMS, OBSERVATIONS
+from lotlake.sources import tables
+from lotlake.sources.pages import read_html
 from lotlake.sources.scratch import scratch_dir
+from lotlake.streaming import upsert
 
 SHORT = 3
 
@@ -130,3 +138,65 @@ def test_top_n_is_taken_without_a_sort(spark):
 
     items = spark.createDataFrame([], ITEMS)
     assert "TakeOrderedAndProject" in reports.recent(items)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_of_any_number_stay_in_order(spark):
+    """The last run to see an item decides, however large run numbers get; ids follow the runs."""
+    ids = [8_191, 8_192, 16_384, 2**40]
+    rows = [(run, 0, "c", 1, k, f"i{k}" if k else "same", f"{run}", k + 1) for run in ids for k in (0, run % 7 + 1)]
+    seen = spark.createDataFrame(rows, "run_id long, category_idx int, category string, page int, pos int, item_id string, raw_json string, nth int")
+    batch = ingest.observations(seen, "z", 10, F.lit(None).cast("timestamp"))
+    items = {r["item_id"]: r for r in ingest.upsert(spark.createDataFrame([], ITEMS), batch, scratch_dir(spark, "t")).collect()}
+    assert items["same"]["raw_json"] == str(2**40) and items["same"]["id"] == 1
+    order = list(dict.fromkeys(r[5] for r in sorted(rows, key=lambda r: (r[0], r[7]))))
+    assert sorted(items, key=lambda k: items[k]["id"]) == order
+
+
+def test_ranges_hold_about_as_many_rows(spark):
+    rows = spark.range(24_000).select(F.struct(F.expr("id % 3 * 5000").alias("run"), F.expr("id % 2").cast("int").alias("category"), F.col("id").alias("nth")).alias("seq"), F.lit(1).alias("place of"))
+    path = scratch_dir(spark, "ranges")
+    got = numbering.numbered(rows, ["seq"], path)
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(numbering.RANGE).count().collect()]
+    assert max(sizes) < 2 * 24_000 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [r["place"] for r in got.orderBy("seq").collect()] == list(range(1, 24_001))
+    by = numbering.numbered(rows.select("seq.*").withColumn("run", F.nullif("run", F.lit(0))), ["nth"], scratch_dir(spark, "ranges"), ["run"]).groupBy("run").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count_distinct("place").alias("n")).collect()
+    assert {(r["run"], r["a"], r["b"], r["n"]) for r in by} == {(None, 1, 8000, 8000), (5000, 1, 8000, 8000), (10000, 1, 8000, 8000)}
+
+
+def test_a_batch_that_was_cut_off_runs_again(spark, monkeypatch):
+    root, counters = scratch_dir(spark, "items"), scratch_dir(spark, "counters")
+    batch = lambda raw: spark.createDataFrame([(1, 5, "x", raw, None, "z", 10, None), (1, 6, raw, "p", None, "z", 10, None)], OBSERVATIONS)
+    run = upsert.merge_batch(root, counters)
+    run(batch("a"), 0)
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(tables, "_pointer", dies)  # read before and after writing
+        m.setattr(tables, "_current", lambda s, r: {"version": 1, "folder": first})
+        first = [r["folder"] for r in spark.read.parquet(f"{root}/{tables.POINTER}").collect()][0]
+        m.setattr(tables, "POINTER", "elsewhere")  # the snapshot is written, the pointer isn't
+        with pytest.raises(KeyboardInterrupt):
+            run(batch("b"), 1)
+    assert tables.current_version(spark, root) == 1
+    for k in range(1, 5):
+        run(batch("abcde"[k]), k)
+        run(batch("never"), k)  # finished already
+    items = {r["item_id"]: r["raw_json"] for r in tables.read_items(spark, root).collect()}
+    assert items == {"x": "e", **{k: "p" for k in "abcde"}} and tables.current_version(spark, root) == 5
+    left = [f for f in os.listdir(root.removeprefix("file://")) if f.startswith(("v", "work"))]
+    assert len([f for f in left if f.startswith("v")]) == tables.KEPT and len([f for f in left if f.startswith("work")]) <= 1
+
+
+def test_page_files_and_display(spark, tmp_path):
+    for k, text in enumerate(["<a>\n</a>", "", "é"]):
+        (tmp_path / f"{k}.html").write_text(text, encoding="utf-8")
+    got = {r["url"][-6:]: r["html"] for r in read_html(spark, str(tmp_path)).collect()}
+    assert got == {"0.html": "<a>\n</a>", "1.html": "", "2.html": "é"} or got == {"0.html": "<a>\n</a>", "2.html": "é"}
+    row = spark.range(1).select(
+        payload.category_list(F.lit(" a,,b ,")).alias("set"), payload.category_list(F.lit(" a,,b ,"), keep_empty=True).alias("line"), payload.title(F.lit("x" * 80), 60).alias("title"), payload.title(F.lit(None).cast("string"), 60).alias("none"),
+        *[payload.stored_time(F.lit(t)).cast("string").alias(f"t{k}") for k, t in enumerate(["2024-01-02T03:04:05", "2024-01-02 03:04:05.25", "later"])],
+    ).first()
+    assert row["set"] == ["a", "b"] and row["line"] == ["a", "", "b", ""] and row["title"] == "x" * 60 and row["none"] == "No title"
+    assert (row["t0"], row["t1"], row["t2"]) == ("2024-01-02 03:04:05", "2024-01-02 03:04:05.25", None)
