@@ -30,6 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_chat_format": chat_format.OP3_SQL,
         "op4_jaccard_tree": jaccard_tree.OP4_SQL,
         "op5_benchmark_leaks": decontamination.OP5_SQL,
+        "op6_rendezvous_shards": sharding.OP6_SQL,
         "op7_metric_join": metric_join.OP7_SQL,
         "op10_substring_dedup": substring_dedup.OP10_SQL,
     }

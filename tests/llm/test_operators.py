@@ -399,6 +399,8 @@ def test_shards(spark, scratch):
         assert r["grown_shard"] in (r["shard"], 24) and 0 <= r["shard"] < 24
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    same = sharding.shard_documents(frame(spark, [(1, "x")] * 300), scratch, [1.0] * 24).collect()
+    assert sorted(r["slot"] for r in same) == list(range(300)) and len({r["shard"] for r in same}) == 1
     edge = sharding.shard_documents(frame(spark, TEXTS), scratch, [1.0] * 24).collect()
     assert len(edge) == len(TEXTS) and len({(r["shard"], r["slot"]) for r in edge}) == len(TEXTS)
     assert sharding.shard_documents(frame(spark, []), scratch, [1.0] * 24).count() == 0
