@@ -2,31 +2,32 @@
 
 Only headers (id, payload digest, size) are shuffled by digest to find each payload's first record;
 the pages then meet their decision by page id, and the archive is written by Spark's text writer,
-whose line separator is the two line ends that close a WARC record. Reading takes whole files, each of
-a bounded number of records, and walks them by Content-Length.
+whose line separator is the two line ends that close a WARC record. A file holds FILE_RECORDS small records
+or one large one, so its bytes are bounded. Reading streams through a file by Content-Length and holds no record.
 """
 
 from __future__ import annotations
 
+import datetime
 import gzip
 import hashlib
+import io
+import itertools
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotlake.llm.common import Scratch, hex_sha256, table
 
 #: Payloads below this many bytes are never revisits.
 LEAST_BYTES = 100
-#: Records per archive file; it bounds what a reading task holds.
-FILE_RECORDS = 1_000
-#: Date of the fresh records, as the input has none.
-DATE = "1970-01-01T00:00:00Z"
+#: Records per archive file, and payload bytes above which a record has a file to itself.
+FILE_RECORDS, LARGE = 1_000, 256 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_RECORD = re.compile(rb"<urn:page:(-?\d+|null):([0-9a-f]{64})>")
-READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_RECORD = re.compile(rb"<urn:page:(-?\d+|null):([0-9a-f]{64})(?::\d+)?>")
+READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string"
 
 
 def decisions(pages: DataFrame, scratch: Scratch, least: int = LEAST_BYTES) -> DataFrame:
@@ -43,17 +44,22 @@ def decisions(pages: DataFrame, scratch: Scratch, least: int = LEAST_BYTES) -> D
     return heads.join(groups, "payload_digest").where("page_id > refers_to").select("page_id", "payload_digest", "refers_to").distinct()
 
 
-def write_archives(pages: DataFrame, scratch: Scratch, path: str, least: int = LEAST_BYTES, file_records: int = FILE_RECORDS) -> None:
-    """One WARC/1.1 record per row of `pages` (page_id, url, html), gzip files of `file_records` records.
+def write_archives(pages: DataFrame, scratch: Scratch, path: str, least: int = LEAST_BYTES, file_records: int = FILE_RECORDS, large: int = LARGE) -> None:
+    """One WARC/1.1 record per row of `pages` (page_id, url, html), in gzip files under `path`.
 
     A null html is an empty payload, a null url an empty target. Of repeated rows with the smallest
-    page_id each is a response; a null page_id is always a response. An empty table gives no record.
+    page_id each is a response; a null page_id is always a response. Record ids are made of page id and digest, with a
+    number behind them for repeated rows, so they are unique and a rerun makes the same. An empty table gives no record.
+    The date of the fresh records is that of the job, as the input has none.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload"), hex_sha256(payload).alias("payload_digest"))
     rows = rows.join(decisions(pages, scratch, least), ["page_id", "payload_digest"], "left")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    record = lambda page: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), F.col("payload_digest"), F.lit(">"))
+    record = lambda page, end: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), F.col("payload_digest"), end)
+    copy = F.row_number().over(Window.partitionBy("page_id", "payload_digest").orderBy("url"))  # dealt by these keys already
+    rows = rows.withColumn("end", F.when(copy > 1, F.concat(F.lit(":"), copy.cast("string"), F.lit(">"))).otherwise(">"))
+    now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     revisit = F.col("refers_to").isNotNull()
     # control characters and blanks can't stand in a header line
     target = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "[\\x00-\\x20\\x7f]+", "%20")
@@ -64,71 +70,76 @@ def write_archives(pages: DataFrame, scratch: Scratch, path: str, least: int = L
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", record(F.col("page_id"))),
-        line("WARC-Date", F.lit(DATE)),
+        line("WARC-Record-ID", record(F.col("page_id"), F.col("end"))),
+        line("WARC-Date", F.lit(now)),
         line("WARC-Target-URI", target),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record(F.col("refers_to"))))).otherwise(""),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record(F.col("refers_to"), F.lit(">"))))).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length("block").cast("string")),
         F.lit("\r\n"),
     )
-    out = rows.withColumn("http", http).withColumn("block", block).select(F.concat(head, "block").alias("value"))
-    out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    out = rows.withColumn("http", http).withColumn("block", block).select((F.octet_length("payload") > large).alias("large"), F.concat(head, "block").alias("value"))
+    write = lambda part, records, to: part.select("value").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records).text(f"{path}/{to}")
+    write(out.where("NOT large"), file_records, "small")
+    if not pages.where(F.octet_length("html") > large).isEmpty():
+        write(out.where("large"), 1, "large")
 
 
-def _walk(content: bytes):
-    """(header fields, block) of each record of an archive file."""
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].split(b"\r\n")
-        if not lines[0].startswith(b"WARC/"):
-            raise ValueError("no WARC record where one should start")
-        fields = dict(x.split(b": ", 1) for x in lines[1:])
-        start = end + 4
-        stop = start + int(fields[b"Content-Length"])
-        if content[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError("a WARC record doesn't end where it says")
-        yield fields, content[start:stop]
-        at = stop + 4
+def _lines(stream) -> list[bytes]:
+    """Header lines up to the empty one."""
+    return list(itertools.takewhile(lambda x: x not in (b"\r\n", b""), iter(stream.readline, None)))
 
 
-def _read(content: bytes) -> list[dict]:
-    out = []
-    for fields, block in _walk(gzip.decompress(content)):
+def _read(content: bytes):
+    """A dict for each record of an archive file, which is decompressed as it is read."""
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)))
+    while head := _lines(stream):
+        if not head[0].startswith(b"WARC/"):
+            raise ValueError("no WARC record where one should start")
+        fields = dict(x.rstrip(b"\r\n").split(b": ", 1) for x in head[1:])
         kind, own = fields[b"WARC-Type"].decode(), _RECORD.fullmatch(fields[b"WARC-Record-ID"])
         digest = fields[b"WARC-Payload-Digest"].removeprefix(b"sha256:").decode()
-        http, _, payload = block.partition(b"\r\n\r\n")
-        size = int(re.search(rb"\r\nContent-Length: (\d+)", http)[1])
+        http = _lines(stream)
+        size = int(next(x for x in http if x.startswith(b"Content-Length: "))[16:])
+        left = length = int(fields[b"Content-Length"]) - sum(map(len, http)) - 2
+        found = hashlib.sha256()
+        while left > 0:
+            part = stream.read(min(left, 1 << 20))
+            if not part:
+                raise ValueError("a WARC record doesn't end where it says")
+            found.update(part)
+            left -= len(part)
+        if stream.read(4) != b"\r\n\r\n":
+            raise ValueError("a WARC record doesn't end where it says")
         refers = None
         if kind == "revisit":
             refers = int(_RECORD.fullmatch(fields[b"WARC-Refers-To"])[1])
-        elif (size, digest) != (len(payload), hashlib.sha256(payload).hexdigest()):
+        elif (size, digest) != (length, found.hexdigest()):
             raise ValueError("a payload differs from its headers")
-        out.append(
-            {
-                "page_id": None if own[1] == b"null" else int(own[1]),
-                "url": fields[b"WARC-Target-URI"].decode(),
-                "payload_bytes": size,
-                "payload_digest": digest,
-                "record_type": kind,
-                "refers_to": refers,
-            }
-        )
-    return out
+        yield {
+            "page_id": None if own[1] == b"null" else int(own[1]),
+            "url": fields[b"WARC-Target-URI"].decode(),
+            "payload_bytes": size,
+            "payload_digest": digest,
+            "record_type": kind,
+            "refers_to": refers,
+            "record_id": fields[b"WARC-Record-ID"].decode(),
+        }
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives under `path`; payloads of responses are held against size and digest."""
 
     def run(batches):
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string())])
         for batch in batches:
             for content in batch.column(0):
-                yield pa.RecordBatch.from_pylist(_read(content.as_py()), schema=schema)
+                records = _read(content.as_py())
+                while some := list(itertools.islice(records, 1_000)):
+                    yield pa.RecordBatch.from_pylist(some, schema=schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, READ_SCHEMA)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, READ_SCHEMA)
 
 
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import math
+import os
 import random
 import re
 import time
@@ -70,8 +71,11 @@ def test_archives_keep_every_page(spark, scratch):
     big = "x" * 200_000 + "\r\n\r\nWARC/1.1\r\n"
     rows = [(1, "u", "a" * 100), (2, None, "a" * 100), (2, None, "a" * 100), (3, "a\r\nb", "a" * 99), (4, "u", "a" * 99), (None, "u", "a" * 100), (5, "u", None), (6, "u", ""), (7, "é", big), (8, "u", big), (1, "u", "a" * 100)]
     path = scratch.path("archives")
-    warc_revisits.write_archives(frame(spark, rows, "page_id long, url string, html string"), scratch, path, file_records=3)
-    got = collections.Counter(tuple(r) for r in warc_revisits.read_archives(spark, path).select("page_id", "payload_bytes", "record_type", "refers_to").collect())
+    warc_revisits.write_archives(frame(spark, rows, "page_id long, url string, html string"), scratch, path, file_records=3, large=150_000)
+    read = warc_revisits.read_archives(spark, path)
+    got = collections.Counter(tuple(r) for r in read.select("page_id", "payload_bytes", "record_type", "refers_to").collect())
+    assert read.select("record_id").distinct().count() == len(rows)
+    assert sum(f.endswith(".gz") for f in os.listdir(f"{path.removeprefix('file://')}/large")) == 2
     size = len(big)
     assert got == collections.Counter(
         [(1, 100, "response", None)] * 2 + [(2, 100, "revisit", 1)] * 2 + [(3, 99, "response", None), (4, 99, "response", None), (None, 100, "response", None), (5, 0, "response", None), (6, 0, "response", None), (7, size, "response", None), (8, size, "revisit", 7)]
