@@ -3,9 +3,10 @@
 The automaton reads tokens and accepts exactly the token sequences that BPE produces. It starts
 with one state whose arcs are the base symbols and takes one gadget per merge (u, v), in order: every
 state with an arc u whose target has an arc v gets an arc uv; the target of u loses its arc v. All arcs
-with one label share their target, so a state is named by the label that leads to it, and whether
-state x has an arc y follows from the gadget that made the younger of the two (see `Automaton._has`).
-Transitions so found are kept in a table. A word's encoding is the one path whose labels spell the word.
+with one label share their target, so a state is named by the label that leads to it, and the whole
+automaton is a table of bits, state by label, that the gadgets fill (`_gadgets`). Equal columns are kept once, which
+leaves some 26 MB for 49,000 labels. The driver compiles it, and workers get it as a broadcast. A word's encoding is the
+one path whose labels spell the word; a second table steps through the labels' bytes.
 
 Text handling is that of the vocabulary file: NFC, one blank for white space, lower case, the pre-token
 pattern, byte-level symbols and a word-end suffix on the last symbol; strings of special tokens in a
@@ -31,8 +32,8 @@ from pyspark.sql import types as T
 
 from lotlake.llm.common import hex_sha256, sized, table
 
-#: Words, and answers about arcs, that a worker keeps (some 30 MB each); either is emptied when full. Longer words are not kept.
-MEMO_WORDS, MEMO_CHARS, MEMO_ARCS = 120_000, 40, 300_000
+#: Words that a worker keeps (some 30 MB); they are dropped when full. Longer words are not kept.
+MEMO_WORDS, MEMO_CHARS = 120_000, 40
 
 #: White space as the vocabulary's pattern library has it (the Unicode property White_Space).
 _BLANKS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -49,120 +50,109 @@ def byte_symbols() -> list[str]:
 
 
 class Automaton:
-    """Compiled from an ordered merge list; `encode` runs it over one pre-token, `labels` has the arcs' labels."""
+    """Compiled from an ordered merge list; `encode` runs it over one pre-token, `labels` has the arcs' labels by id.
+
+    States: 0 is the start, then one for each label that a word can go on after (labels with the word-end
+    suffix end the word). Whether state s has an arc y is bit s of y's column; equal columns are kept once.
+    """
 
     def __init__(self, spec: dict):
         model = spec["model"]
-        self.suffix = model["end_of_word_suffix"] or ""
-        self.ids: dict[str, int] = dict(model["vocab"])
-        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.special = special
-        size = 1 + max(*self.ids.values(), *special.values())
-        self.labels = [""] * size
-        for text, i in chain(self.ids.items(), special.items()):
+        suffix = model["end_of_word_suffix"] or ""
+        ids: dict[str, int] = model["vocab"]
+        self.special: dict[str, int] = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.labels = [""] * (1 + max(*ids.values(), *self.special.values()))
+        for text, i in chain(ids.items(), self.special.items()):
             self.labels[i] = text
-        self.left, self.right, self.made = [0] * size, [0] * size, [-1] * size
-        self.rule: dict[int, int] = {}
-        self.size = size
-        self.table: dict[int, bool] = {}
-        self.live = [False] * size
-        merged = set()
-        pairs = []
-        for u, v in model["merges"]:
-            a, b, c = self.ids[u], self.ids[v], self.ids[u + v]
-            pairs.append((a, b, c))
-            merged.add(c)
-        for i in self.ids.values():
-            self.live[i] = i not in merged
-        for rank, (a, b, c) in enumerate(pairs):  # one gadget each
-            self.left[c], self.right[c], self.made[c] = a, b, rank
-            self.live[c] = self.live[a] and self.live[b] and self._has(a, b, rank)
-            self.rule[a * size + b] = rank
-        self.end = len(pairs)
-        self.symbols = byte_symbols()
-        self.root = self._spelt()
-
-    def _has(self, x: int, y: int, t: int) -> bool:
-        """Whether the state that x leads to has an arc y after the gadgets before t."""
-        made = self.made
-        while True:
-            rank = self.rule.get(x * self.size + y)
-            rx, ry = made[x], made[y]
-            if rank is not None and max(rx, ry) < rank < t:
-                return False  # gadget (x, y) took the arc away
-            if rx < 0 and ry < 0:
-                return True
-            if x == y:  # its state is the former state of its right part
-                x, y, t = self.right[x], self.left[x], rx
-            elif rx > ry:  # x came later: its state is what its right part led to
-                x, t = self.right[x], rx
-            else:  # y came later: the arc stands where its left part's does
-                if not self.live[y] or (x == self.left[y] == self.right[y]):
-                    return False
-                y, t = self.left[y], ry
-
-    def has(self, x: int, y: int) -> bool:
-        key = x * self.size + y
-        found = self.table.get(key)
-        if found is None:
-            if len(self.table) >= MEMO_ARCS:
-                self.table.clear()
-            found = self.table[key] = self.live[y] and self._has(x, y, self.end)
-        return found
-
-    def _spelt(self) -> list:
-        """Nodes [next nodes, label, label at a word's end] of the tree of all live labels' bytes."""
-        code = {s: b for b, s in enumerate(self.symbols)}
-        root: list = [{}, -1, -1]
-        for token, i in self.ids.items():
-            if self.live[i]:
-                node, ends = root, bool(self.suffix) and token.endswith(self.suffix)
-                for s in token[: -len(self.suffix)] if ends else token:
-                    node = node[0].setdefault(code[s], [{}, -1, -1])
-                node[1 + ends] = i
-        return root
+        made = [u + v for u, v in model["merges"]]
+        merged = set(made)
+        if len(merged) < len(made):
+            raise ValueError("two merges make one label")
+        bases = [t for t in ids if t not in merged]
+        order = bases + made
+        state = {t: s for s, t in enumerate((t for t in order if not suffix or not t.endswith(suffix)), 1)}
+        columns = _gadgets(model["merges"], order, state, len(bases))
+        self.width = columns.shape[1]
+        kept: dict[bytes, int] = {}
+        places = [kept.setdefault(c.tobytes(), len(kept)) * self.width for c in columns]
+        self.arcs = b"".join(kept)
+        self._spell(order, state, places, ids, suffix)
+
+    def _spell(self, order: list[str], state: dict[str, int], places: list[int], ids: dict[str, int], suffix: str) -> None:
+        """The byte table: `step` leads from node and byte to the next node; what a node spells is an arc (column, state, id)."""
+        code = {s: b for b, s in enumerate(byte_symbols())}
+        self.step: dict[int, int] = {}
+        self.inner: list = [None]
+        self.last: list = [None]
+        for token, place in zip(order, places, strict=True):
+            ends = bool(suffix) and token.endswith(suffix)
+            node = 0
+            for s in token[: -len(suffix)] if ends else token:
+                node = self.step.setdefault(node << 8 | code[s], len(self.inner))
+                if node == len(self.inner):
+                    self.inner.append(None)
+                    self.last.append(None)
+            (self.last if ends else self.inner)[node] = (place, state.get(token, 0), ids[token])
+        if not suffix:
+            self.last = self.inner
 
     def encode(self, word: str) -> tuple[int, ...]:
         """The labels of the accepted path that spells the pre-token.
 
-        Longest arcs are tried first. At most one path reaches a position, so none is entered twice and
-        work is linear in the length of the word.
+        One sweep over the bytes: an arc whose label starts at a position is taken if the state there has it. At most
+        one path reaches a position, so nothing is tried twice, and work is linear in the length of the word.
         """
-        data, known, factor = word.encode(), self.table.get, self.size
+        step, arcs = self.step.get, self.arcs
+        data = word.encode()
         n = len(data)
-        at, state, seen = 0, -1, bytearray(n + 1)
-        path: list = []  # the arcs taken: start, label, shorter arcs yet untried
-        while at < n:
-            node, to, arcs = self.root, at, []
-            while to < n:
-                node = node[0].get(data[to])
-                if node is None:
+        reached: list = [None] * (n + 1)  # by which arc: from, state, id
+        reached[0] = (0, 0, -1)
+        for at in range(n):
+            if reached[at] is None:
+                continue
+            state = reached[at][1]
+            byte, bit = state >> 3, state & 7
+            node = 0
+            for to in range(at + 1, n + 1):
+                node = step(node << 8 | data[to - 1], 0)
+                if not node:
                     break
-                to += 1
-                token = node[1] if to < n or not self.suffix else node[2]
-                if token >= 0:
-                    arcs.append((to, token))
-            while True:
-                while arcs:
-                    to, token = arcs.pop()
-                    if seen[to]:
-                        continue
-                    if state < 0:
-                        break
-                    allowed = known(state * factor + token)
-                    if self.has(state, token) if allowed is None else allowed:
-                        break
-                else:  # no arc leads on: try a shorter one in place of the last
-                    if not path:
-                        raise ValueError("the vocabulary has no path for a word")
-                    at, _, arcs = path.pop()
-                    state = path[-1][1] if path else -1
-                    continue
-                break
-            path.append((at, token, arcs))
-            seen[to] = 1
-            at, state = to, token
-        return tuple([token for _, token, _ in path])
+                arc = self.inner[node] if to < n else self.last[node]
+                if arc is not None and arcs[arc[0] + byte] >> bit & 1:
+                    reached[to] = (at, arc[1], arc[2])
+        if reached[n] is None:
+            raise ValueError("the vocabulary has no path for a word")
+        path = []
+        while n:
+            n, _, label = reached[n]
+            path.append(label)
+        return tuple(reversed(path))
+
+
+def _gadgets(merges: list, order: list[str], state: dict[str, int], n: int) -> np.ndarray:
+    """Columns (one per label of `order`, a bit per state) after all gadgets; the first n labels are the base symbols."""
+    label = {t: k for k, t in enumerate(order)}
+    columns = np.zeros((len(order), len(state) // 8 + 1), dtype=np.uint8)
+    first = np.zeros(columns.shape[1] * 8, dtype=np.uint8)
+    first[[0, *(state[t] for t in order[:n] if t in state)]] = 1
+    columns[:n] = np.packbits(first, bitorder="little")
+    for w, (u, v) in enumerate(merges, n):
+        a, b, s = label[u], label[v], state.get(u, 0)
+        at, bit = s >> 3, 1 << (s & 7)
+        if not s or not columns[b, at] & bit:
+            continue  # no path has u and v next to each other
+        columns[w] = columns[a]
+        if a == b:
+            columns[w, at] &= 255 - bit  # of three equal labels the first two merge
+        new = state.get(u + v)
+        if new is not None:  # its state goes on as v's did
+            old = state[v]
+            row = columns[: w + 1, old >> 3] >> (old & 7) & 1
+            if a == b:
+                row[w] = 1
+            columns[: w + 1, new >> 3] |= row << (new & 7)
+        columns[b, at] &= 255 - bit
+    return columns
 
 
 class Memo(dict):
@@ -223,23 +213,11 @@ def _differing() -> frozenset[str]:
 
 
 def load_spec(path: str) -> str:
-    """The vocabulary file's text, read on the driver; its size bounds what is broadcast."""
+    """The vocabulary file's text, read on the driver; its labels bound what is broadcast."""
     with open(path, encoding="utf-8") as f:
         return f.read()
 
 
-_made: dict[int, Tokenizer] = {}
-
-
-def tokenizer(spec: str) -> Tokenizer:
-    """One per worker and vocabulary."""
-    key = hash(spec)
-    if key not in _made:
-        _made.clear()
-        _made[key] = Tokenizer(json.loads(spec))
-    return _made[key]
-
-
 def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, ids array<int>, decoded string), one per input row, in one narrow pass.
 
@@ -247,11 +225,11 @@ def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
     null, other columns of `docs` are not read, and an empty table gives an empty one. Texts of any
     length are encoded whole; memory follows the longest text of a batch piece of about 4 MB.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(load_spec(vocabulary))
+    compiled = docs.sparkSession.sparkContext.broadcast(Tokenizer(json.loads(load_spec(vocabulary))))
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches):
-        made = tokenizer(spec.value)
+        made = compiled.value  # kept, with its memo, as long as the worker has the broadcast
         for batch in sized(batches, "text"):
             flat, ends, decoded = [], [0], []
             for value in batch.column(1).to_pylist():
