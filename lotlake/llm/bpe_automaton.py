@@ -4,9 +4,9 @@ The automaton reads tokens and accepts exactly the token sequences that BPE prod
 with one state whose arcs are the base symbols and takes one gadget per merge (u, v), in order: every
 state with an arc u whose target has an arc v gets an arc uv; the target of u loses its arc v. All arcs
 with one label share their target, so a state is named by the label that leads to it, and the whole
-automaton is a table of bits, state by label, that the gadgets fill (`_gadgets`). Equal columns are kept once, which
-leaves some 26 MB for 49,000 labels. The driver compiles it, and workers get it as a broadcast. A word's encoding is the
-one path whose labels spell the word; a second table steps through the labels' bytes.
+automaton is a table of bits, state by label, that the gadgets fill (`_gadgets`). Labels with equal arcs share a
+column, which leaves some 30 MB for 49,000 labels; each worker compiles it once, in seconds. A word's encoding is the
+one path whose labels spell the word; a second table steps over bytes and knows the labels that end there.
 
 Text handling is that of the vocabulary file: NFC, one blank for white space, lower case, the pre-token
 pattern, byte-level symbols and a word-end suffix on the last symbol; strings of special tokens in a
@@ -53,7 +53,7 @@ class Automaton:
     """Compiled from an ordered merge list; `encode` runs it over one pre-token, `labels` has the arcs' labels by id.
 
     States: 0 is the start, then one for each label that a word can go on after (labels with the word-end
-    suffix end the word). Whether state s has an arc y is bit s of y's column; equal columns are kept once.
+    suffix end the word). Whether state s has an arc y is bit s of y's column; labels may share a column.
     """
 
     def __init__(self, spec: dict):
@@ -71,88 +71,136 @@ class Automaton:
         bases = [t for t in ids if t not in merged]
         order = bases + made
         state = {t: s for s, t in enumerate((t for t in order if not suffix or not t.endswith(suffix)), 1)}
-        columns = _gadgets(model["merges"], order, state, len(bases))
-        self.width = columns.shape[1]
-        kept: dict[bytes, int] = {}
-        places = [kept.setdefault(c.tobytes(), len(kept)) * self.width for c in columns]
-        self.arcs = b"".join(kept)
+        self.dead = len(state) + 1  # the state of positions that no path reaches
+        columns, group = _gadgets(model["merges"], order, state, len(bases))
+        self.arcs, width = columns.tobytes(), columns.shape[1]
+        places = [g * width for g in group]
         self._spell(order, state, places, ids, suffix)
 
     def _spell(self, order: list[str], state: dict[str, int], places: list[int], ids: dict[str, int], suffix: str) -> None:
-        """The byte table: `step` leads from node and byte to the next node; what a node spells is an arc (column, state, id)."""
+        """The byte table: `step` leads from node and byte to the next node, `back` where no step does.
+
+        A node's arcs (length, column, state, id) are those whose labels end at the byte just read, the longest first:
+        `inner` within a word, `last` at its end.
+        """
         code = {s: b for b, s in enumerate(byte_symbols())}
         self.step: dict[int, int] = {}
-        self.inner: list = [None]
-        self.last: list = [None]
+        inner: list = [()]
+        last: list = [()]
         for token, place in zip(order, places, strict=True):
             ends = bool(suffix) and token.endswith(suffix)
+            spelt = token[: -len(suffix)] if ends else token
             node = 0
-            for s in token[: -len(suffix)] if ends else token:
-                node = self.step.setdefault(node << 8 | code[s], len(self.inner))
-                if node == len(self.inner):
-                    self.inner.append(None)
-                    self.last.append(None)
-            (self.last if ends else self.inner)[node] = (place, state.get(token, 0), ids[token])
-        if not suffix:
-            self.last = self.inner
+            for s in spelt:
+                node = self.step.setdefault(node << 8 | code[s], len(inner))
+                if node == len(inner):
+                    inner.append(())
+                    last.append(())
+            (last if ends else inner)[node] = ((len(spelt), place, state.get(token, self.dead), ids[token]),)
+        self.inner, self.last = inner, last if suffix else inner
+        self.back = [0] * len(inner)
+        level = [(0, key, node) for key, node in self.step.items() if key < 256]
+        below: dict[int, list] = {}
+        for key, node in self.step.items():
+            below.setdefault(key >> 8, []).append((key & 255, node))
+        while level:
+            for parent, key, node in level:
+                if parent:
+                    self.back[node] = self._next(self.back[parent], key & 255)
+                inner[node] += inner[self.back[node]]
+                if suffix:
+                    last[node] += last[self.back[node]]
+            level = [(node, byte, child) for _, _, node in level for byte, child in below.get(node, ())]
+
+    def _next(self, node: int, byte: int) -> int:
+        found = self.step.get(node << 8 | byte, 0)
+        while not found and node:
+            node = self.back[node]
+            found = self.step.get(node << 8 | byte, 0)
+        return found
 
     def encode(self, word: str) -> tuple[int, ...]:
         """The labels of the accepted path that spells the pre-token.
 
-        One sweep over the bytes: an arc whose label starts at a position is taken if the state there has it. At most
-        one path reaches a position, so nothing is tried twice, and work is linear in the length of the word.
+        One sweep over the bytes: of the arcs whose labels end at a byte, the one is taken that the state at its start
+        has. At most one path reaches a position, so there is nothing to go back to, and work is linear in the length.
         """
-        step, arcs = self.step.get, self.arcs
+        step, back, arcs, inner, dead = self.step.get, self.back, self.arcs, self.inner, self.dead
         data = word.encode()
         n = len(data)
-        reached: list = [None] * (n + 1)  # by which arc: from, state, id
-        reached[0] = (0, 0, -1)
-        for at in range(n):
-            if reached[at] is None:
-                continue
-            state = reached[at][1]
-            byte, bit = state >> 3, state & 7
-            node = 0
-            for to in range(at + 1, n + 1):
-                node = step(node << 8 | data[to - 1], 0)
-                if not node:
+        states, taken = [0], [(0, 0, 0, -1)]
+        node = to = 0
+        for byte in data:
+            found = step(node << 8 | byte, 0)
+            while not found and node:
+                node = back[node]
+                found = step(node << 8 | byte, 0)
+            node = found
+            to += 1
+            for arc in inner[node] if to < n else self.last[node]:
+                s = states[-arc[0]]
+                if arcs[arc[1] + (s >> 3)] >> (s & 7) & 1:
+                    states.append(arc[2])
+                    taken.append(arc)
                     break
-                arc = self.inner[node] if to < n else self.last[node]
-                if arc is not None and arcs[arc[0] + byte] >> bit & 1:
-                    reached[to] = (at, arc[1], arc[2])
-        if reached[n] is None:
-            raise ValueError("the vocabulary has no path for a word")
+            else:
+                states.append(dead)
+                taken.append(None)
         path = []
         while n:
-            n, _, label = reached[n]
-            path.append(label)
+            arc = taken[n]
+            if arc is None:
+                raise ValueError("the vocabulary has no path for a word")
+            path.append(arc[3])
+            n -= arc[0]
         return tuple(reversed(path))
 
 
-def _gadgets(merges: list, order: list[str], state: dict[str, int], n: int) -> np.ndarray:
-    """Columns (one per label of `order`, a bit per state) after all gadgets; the first n labels are the base symbols."""
+def _gadgets(merges: list, order: list[str], state: dict[str, int], n: int) -> tuple[np.ndarray, list[int]]:
+    """Columns after all gadgets, a bit per state, and the column of each label of `order`; the first n are the base symbols.
+
+    Labels share a column until a gadget takes an arc from one of them.
+    """
     label = {t: k for k, t in enumerate(order)}
-    columns = np.zeros((len(order), len(state) // 8 + 1), dtype=np.uint8)
+    columns = np.zeros((4096, (len(state) + 1) // 8 + 1), dtype=np.uint8)
     first = np.zeros(columns.shape[1] * 8, dtype=np.uint8)
     first[[0, *(state[t] for t in order[:n] if t in state)]] = 1
-    columns[:n] = np.packbits(first, bitorder="little")
-    for w, (u, v) in enumerate(merges, n):
+    columns[1] = np.packbits(first, bitorder="little")  # column 0 is that of labels without an arc
+    used, group, sharing = 2, [1] * n, {0: 0, 1: n}
+
+    def own(g: int) -> int:
+        """A copy of a column for one label."""
+        nonlocal columns, used
+        if used == len(columns):
+            columns = np.concatenate([columns, np.zeros_like(columns[: used // 4])])
+        columns[used] = columns[g]
+        sharing[used] = 1
+        used += 1
+        return used - 1
+
+    for u, v in merges:
         a, b, s = label[u], label[v], state.get(u, 0)
         at, bit = s >> 3, 1 << (s & 7)
-        if not s or not columns[b, at] & bit:
-            continue  # no path has u and v next to each other
-        columns[w] = columns[a]
-        if a == b:
-            columns[w, at] &= 255 - bit  # of three equal labels the first two merge
+        if not s or not columns[group[b], at] & bit:
+            group.append(0)  # no path has u and v next to each other
+            continue
+        if a == b:  # of three equal labels the first two merge
+            group.append(own(group[a]))
+            columns[group[-1], at] &= 255 - bit
+        else:
+            group.append(group[a])
+            sharing[group[a]] += 1
         new = state.get(u + v)
         if new is not None:  # its state goes on as v's did
-            old = state[v]
-            row = columns[: w + 1, old >> 3] >> (old & 7) & 1
+            row = columns[:used, state[v] >> 3] >> (state[v] & 7) & 1
             if a == b:
-                row[w] = 1
-            columns[: w + 1, new >> 3] |= row << (new & 7)
-        columns[b, at] &= 255 - bit
-    return columns
+                row[group[-1]] = 1
+            columns[:used, new >> 3] |= row << (new & 7)
+        if sharing[group[b]] > 1:
+            sharing[group[b]] -= 1
+            group[b] = own(group[b])
+        columns[group[b], at] &= 255 - bit
+    return columns[:used], group
 
 
 class Memo(dict):
@@ -213,11 +261,23 @@ def _differing() -> frozenset[str]:
 
 
 def load_spec(path: str) -> str:
-    """The vocabulary file's text, read on the driver; its labels bound what is broadcast."""
+    """The vocabulary file's text, read on the driver; its size bounds what is broadcast."""
     with open(path, encoding="utf-8") as f:
         return f.read()
 
 
+_made: dict[int, Tokenizer] = {}
+
+
+def tokenizer(spec: str) -> Tokenizer:
+    """One per worker and vocabulary."""
+    key = hash(spec)
+    if key not in _made:
+        _made.clear()
+        _made[key] = Tokenizer(json.loads(spec))
+    return _made[key]
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, ids array<int>, decoded string), one per input row, in one narrow pass.
 
@@ -225,11 +285,11 @@ def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
     null, other columns of `docs` are not read, and an empty table gives an empty one. Texts of any
     length are encoded whole; memory follows the longest text of a batch piece of about 4 MB.
     """
-    compiled = docs.sparkSession.sparkContext.broadcast(Tokenizer(json.loads(load_spec(vocabulary))))
+    spec = docs.sparkSession.sparkContext.broadcast(load_spec(vocabulary))
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches):
-        made = compiled.value  # kept, with its memo, as long as the worker has the broadcast
+        made = tokenizer(spec.value)
         for batch in sized(batches, "text"):
             flat, ends, decoded = [], [0], []
             for value in batch.column(1).to_pylist():

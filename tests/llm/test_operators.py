@@ -485,6 +485,29 @@ def test_encoding_equals_the_library(spark, vocabulary):
         assert own.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def test_automaton_of_any_merges():
+    """Against merging by rank, the leftmost pair first, with and without a word-end suffix."""
+    random.seed(11)
+    for k in range(150):
+        suffix = "$" if k % 2 else None
+        parts = list("abc") + [c + "$" for c in "abc"] * (k % 2)
+        merges: list[list[str]] = []
+        for _ in range(random.randint(0, 12)):
+            u, v = random.choice([p for p in parts if not p.endswith("$")]), random.choice(parts)
+            if u + v not in parts:
+                merges.append([u, v])
+                parts.append(u + v)
+        ids = {t: i for i, t in enumerate(parts)}
+        machine = bpe_automaton.Automaton({"model": {"vocab": ids, "merges": merges, "end_of_word_suffix": suffix}, "added_tokens": [{"content": "<|x|>", "id": len(ids)}]})
+        for _ in range(40):
+            word = "".join(random.choice("abc"[: 1 + k % 3]) for _ in range(random.randint(1, 14)))
+            want = list(word[:-1]) + [word[-1] + (suffix or "")]
+            while pairs := [(merges.index([x, y]), i) for i, (x, y) in enumerate(zip(want, want[1:])) if [x, y] in merges]:
+                i = min(pairs)[1]
+                want[i : i + 2] = [want[i] + want[i + 1]]
+            assert list(machine.encode(word)) == [ids[t] for t in want], (merges, word)
+
+
 def test_bpe_edges(spark, vocabulary):
     got = bpe_automaton.encode_decode(frame(spark, TEXTS), vocabulary)
     assert got.columns == ["doc_id", "ids", "decoded"]
