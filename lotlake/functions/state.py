@@ -96,7 +96,7 @@ def auction_index(state: Column) -> Column:
 def enriched(lot: Column, has_auction: Column, auction: Column, auction_ref: Column, has_state: Column, lot_state: Column, state_ref: Column) -> Column:
     """The payload text: references taken out, what they lead to and the references themselves appended."""
     own = F.map_filter(
-        F.from_json(F.to_json(lot), MAP), lambda k, v: ~((k == "auction") & auction_ref.isNotNull()) & ~((k == "lotState") & state_ref.isNotNull())
+        F.try_variant_get(lot, "$", MAP), lambda k, v: ~((k == "auction") & auction_ref.isNotNull()) & ~((k == "lotState") & state_ref.isNotNull())
     )
     more = F.array(
         F.struct(F.lit("auction_data").alias("key"), auction.alias("value"), has_auction.alias("there")),
