@@ -51,11 +51,13 @@ def merged(stored: DataFrame, batch: DataFrame, mode: str = "text") -> DataFrame
     return out.select("first.id", "item_id", "now.*", "first.created_at", F.col("first.seq").alias("inserted_seq"))
 
 
-def with_ids(rows: DataFrame, path: str, order: str = "inserted_seq") -> DataFrame:
-    """`rows` with ids for those that have none, after the largest, in the order of `order`; present ids stay.
+def with_ids(rows: DataFrame, path: str, order: str = "inserted_seq", top: int | None = None) -> DataFrame:
+    """`rows` with ids for those that have none, in the order of `order`; present ids stay.
 
-    New rows are numbered by ranges, stored under `path`. The driver reads one row.
+    New ids follow `top`, or the largest of `rows` if that is None. New rows are numbered by ranges, stored under
+    `path`. The driver reads one row.
     """
-    top = rows.agg(F.max("id")).first()[0] or 0
+    if top is None:
+        top = rows.agg(F.max("id")).first()[0] or 0
     fresh = numbered(rows.where(F.col("id").isNull()), [order, "item_id"], path)
     return rows.where(F.col("id").isNotNull()).unionByName(fresh.withColumn("id", F.lit(top) + F.col("place")).select(rows.columns))

@@ -62,9 +62,12 @@ def stored(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def upsert(items: DataFrame, batch: DataFrame, scratch: str, mode: str = "text") -> DataFrame:
-    """The item table after a batch. What is merged is stored under `scratch`, as numbering new items reads it again."""
-    return merge.with_ids(stored(merge.merged(items, batch, mode), f"{scratch}/merged"), f"{scratch}/ranges").drop("inserted_seq")
+def upsert(items: DataFrame, batch: DataFrame, scratch: str, mode: str = "text", top: int | None = None) -> DataFrame:
+    """The item table after a batch. What is merged is stored under `scratch`, as numbering new items reads it again.
+
+    top: the largest id so far, if `items` is only the part of the table that the batch touches.
+    """
+    return merge.with_ids(stored(merge.merged(items, batch, mode), f"{scratch}/merged"), f"{scratch}/ranges", top=top).drop("inserted_seq")
 
 
 def counters(items: DataFrame, batch: DataFrame, mode: str = "text") -> DataFrame:

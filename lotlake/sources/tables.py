@@ -1,51 +1,87 @@
-"""Item and run tables on Parquet: versioned snapshots behind a pointer, and an appended audit log."""
+"""Item and run tables on Parquet: versioned snapshots in buckets behind a pointer, and an appended audit log."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotlake.schemas import ITEMS, RUNS
 from lotlake.sources.scratch import remove
 
-#: The table that names the finished snapshots.
+#: The table that names the finished snapshots: a row each, with the folder of every bucket and the largest id so far.
 POINTER = "current_versions"
-
+_POINTER_ROW = "version bigint, folder string, parts array<string>, last_id bigint"
 
 #: Snapshots that stay, so that readers of the one before aren't disturbed.
 KEPT = 2
 
+#: Column of a written snapshot: the bucket, by hash of item_id. A table keeps the number of buckets of its first snapshot.
+BUCKET = "bucket_no"
+
+
+def _bucket(item_id: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(item_id), F.lit(buckets)).cast("int")
+
 
-def write_items(items: DataFrame, root: str, version: int) -> str:
-    """Write a snapshot to a folder of its own, then append its name to the pointer.
+def touched_buckets(batch: DataFrame, root: str, buckets: int = 1) -> list[int]:
+    """The buckets that the items of `batch` fall into; `buckets` is for a table that isn't there yet."""
+    found = _current(batch.sparkSession, root)
+    n = len(found["parts"]) if found else buckets
+    return sorted(r[0] for r in batch.select(_bucket("item_id", n)).distinct().collect())  # at most a row a bucket
 
-    What a writer that died has left behind is never read and never in the way; folders but for those of the newest
-    KEPT versions go.
+
+def write_items(items: DataFrame, root: str, version: int, touched: list[int] | None = None, buckets: int = 1) -> str:
+    """Write a snapshot to a folder of its own, then append it to the pointer.
+
+    items: all rows of the buckets in `touched`, or of the whole table if that is None; other buckets stay where they
+    are. What a writer that died has left behind is never read and never in the way; what no snapshot of the newest
+    KEPT names goes.
     """
     spark = items.sparkSession
+    now = _current(spark, root)
+    parts = list(now["parts"]) if now else [None] * buckets
     folder = f"v{version:08d}-{uuid.uuid4().hex[:12]}"
-    items.write.parquet(f"{root}/{folder}")
-    spark.sql(f"SELECT CAST({version} AS BIGINT) AS version, '{folder}' AS folder").coalesce(1).write.mode("append").parquet(f"{root}/{POINTER}")
-    newest = {r["folder"] for r in _pointer(spark, root).orderBy(F.desc("version"), F.desc("folder")).limit(KEPT).collect()}
-    where = spark._jvm.org.apache.hadoop.fs.Path(root)
-    for found in where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(where):
-        name = found.getPath().getName()
-        if name.startswith("v") and name < folder[:9] and name not in newest:
-            remove(spark, f"{root}/{name}")
+    # rows of a bucket go to as many tasks as their size asks for
+    items.withColumn(BUCKET, _bucket("item_id", len(parts))).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{root}/{folder}")
+    written = _folders(spark, f"{root}/{folder}")
+    for k in range(len(parts)) if touched is None else touched:
+        parts[k] = f"{folder}/{BUCKET}={k}" if f"{BUCKET}={k}" in written else None
+    top = spark.read.schema("id bigint").parquet(f"{root}/{folder}").agg(F.max("id")).first()[0] or 0
+    row = (version, folder, parts, max(top, now["last_id"] if now else 0))
+    spark.createDataFrame([row], _POINTER_ROW).coalesce(1).write.mode("append").parquet(f"{root}/{POINTER}")
+    newest = _pointer(spark, root).orderBy(F.desc("version"), F.desc("folder")).limit(KEPT).collect()
+    live = {part for r in newest for part in r["parts"] if part}
+    for name in _folders(spark, root):
+        if name.startswith("v") and name < folder[:9]:
+            held = [f"{name}/{part}" for part in _folders(spark, f"{root}/{name}")]
+            gone = [part for part in held if part not in live]
+            for path in gone if len(gone) < len(held) else [name]:
+                remove(spark, f"{root}/{path}")
     return f"{root}/{folder}"
 
 
+def _listed(spark: SparkSession, path: str):
+    """(file system, path) for Hadoop calls."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    system, where = _listed(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(where) if f.isDirectory()]
+
+
 def _pointer(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema("version bigint, folder string").parquet(f"{root}/{POINTER}")
+    return spark.read.schema(_POINTER_ROW).parquet(f"{root}/{POINTER}")
 
 
 def _current(spark: SparkSession, root: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}")
-    if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+    system, where = _listed(spark, f"{root}/{POINTER}")
+    if not system.exists(where):
         return None
-    return _pointer(spark, root).agg(F.max(F.struct("version", "folder"))).first()[0]
+    return _pointer(spark, root).agg(F.max(F.struct("version", "folder", "parts", "last_id"))).first()[0]
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:
@@ -54,11 +90,20 @@ def current_version(spark: SparkSession, root: str) -> int | None:
     return found and found["version"]
 
 
-def read_items(spark: SparkSession, root: str) -> DataFrame:
+def last_id(spark: SparkSession, root: str) -> int:
+    """The largest id of the table so far, 0 before the first snapshot."""
+    found = _current(spark, root)
+    return found["last_id"] if found else 0
+
+
+def read_items(spark: SparkSession, root: str, touched: list[int] | None = None) -> DataFrame:
+    """The newest finished snapshot, or its buckets in `touched`."""
     found = _current(spark, root)
-    if found is None:
+    parts = found["parts"] if found else []
+    paths = [f"{root}/{part}" for k, part in enumerate(parts) if part and (touched is None or k in touched)]
+    if not paths:
         return spark.createDataFrame([], ITEMS)
-    return spark.read.schema(ITEMS).parquet(f"{root}/{found['folder']}")
+    return spark.read.schema(ITEMS).parquet(*paths)
 
 
 def append_runs(runs: DataFrame, path: str) -> None:

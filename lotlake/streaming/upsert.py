@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lotlake.operators import merge
 from lotlake.plans.ingest import stored, upsert
 from lotlake.sources.scratch import remove
-from lotlake.sources.tables import current_version, read_items, write_items
+from lotlake.sources.tables import current_version, last_id, read_items, touched_buckets, write_items
 
 
 def first_arrivals(lots: DataFrame, late: str = "1 hour", time: str = "fetched_at") -> DataFrame:
@@ -20,12 +20,17 @@ def first_arrivals(lots: DataFrame, late: str = "1 hour", time: str = "fetched_a
     return lots.withWatermark(time, late).dropDuplicatesWithinWatermark(["run_id", "category_idx", "item_id"])
 
 
-def merge_batch(root: str, counters: str, mode: str = "text") -> Callable[[DataFrame, int], None]:
+#: Buckets of a new item table: a batch reads and writes those that its items fall into.
+BUCKETS = 64
+
+
+def merge_batch(root: str, counters: str, mode: str = "text", buckets: int = 1) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: merge into the next snapshot under `root` and append the counters.
 
     The snapshot's version is the batch id plus one. A batch that is run again after a failure starts from the same
     snapshot and writes none if its own is finished; one that was cut off is written anew. The batch is stored, as it
-    is read twice.
+    is read more than once. Only the buckets that its items fall into are read and written; `buckets` is their number
+    in a table that isn't there yet.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -33,16 +38,18 @@ def merge_batch(root: str, counters: str, mode: str = "text") -> Callable[[DataF
         if (current_version(spark, root) or 0) > batch_id:
             return
         work = f"{root}/work-{uuid.uuid4().hex}"
-        items, batch = read_items(spark, root), stored(batch, f"{work}/batch")
+        batch = stored(batch, f"{work}/batch")
+        touched = touched_buckets(batch, root, buckets)
+        items = read_items(spark, root, touched)
         classes = merge.change_classes(items, batch, mode)
         totals = classes.agg(F.count("*").alias("items_found"), F.count_if(F.col("change") == "new").alias("items_added"), F.count_if(F.col("change") == "updated").alias("items_updated"))
         totals.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{counters}/batch_id={batch_id}")
-        write_items(upsert(items, batch, work, mode), root, batch_id + 1)
+        write_items(upsert(items, batch, work, mode, last_id(spark, root)), root, batch_id + 1, touched, buckets)
         remove(spark, work)
 
     return run
 
 
-def start_upsert(stream: DataFrame, root: str, counters: str, checkpoint: str, mode: str = "text") -> StreamingQuery:
+def start_upsert(stream: DataFrame, root: str, counters: str, checkpoint: str, mode: str = "text", buckets: int = BUCKETS) -> StreamingQuery:
     """Merge what there is and stop; run it again for what has arrived since."""
-    return stream.writeStream.foreachBatch(merge_batch(root, counters, mode)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(merge_batch(root, counters, mode, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

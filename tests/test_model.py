@@ -173,9 +173,9 @@ def test_a_batch_that_was_cut_off_runs_again(spark, monkeypatch):
         raise KeyboardInterrupt
 
     with monkeypatch.context() as m:
+        first = tables._current(spark, root)
         m.setattr(tables, "_pointer", dies)  # read before and after writing
-        m.setattr(tables, "_current", lambda s, r: {"version": 1, "folder": first})
-        first = [r["folder"] for r in spark.read.parquet(f"{root}/{tables.POINTER}").collect()][0]
+        m.setattr(tables, "_current", lambda s, r: first)
         m.setattr(tables, "POINTER", "elsewhere")  # the snapshot is written, the pointer isn't
         with pytest.raises(KeyboardInterrupt):
             run(batch("b"), 1)
@@ -189,6 +189,29 @@ def test_a_batch_that_was_cut_off_runs_again(spark, monkeypatch):
     assert len([f for f in left if f.startswith("v")]) == tables.KEPT and len([f for f in left if f.startswith("work")]) <= 1
 
 
+def test_a_batch_writes_only_its_buckets(spark):
+    """Buckets that a batch doesn't touch stay in their folders; ids go on over all buckets; old folders of a bucket go."""
+    root, counters = scratch_dir(spark, "items"), scratch_dir(spark, "counters")
+    row = lambda seq, item, raw: (1, seq, item, raw, None, "z", 10, None)
+    run = upsert.merge_batch(root, counters, buckets=8)
+    run(spark.createDataFrame([row(k, f"i{k}", "p") for k in range(40)], OBSERVATIONS), 0)
+    before = tables._current(spark, root)["parts"]
+    assert len(before) == 8 and all(before)
+    one = spark.createDataFrame([row(50, "i3", "q"), row(51, None, "n")], OBSERVATIONS)
+    touched = tables.touched_buckets(one, root)
+    run(one, 1)
+    after = tables._current(spark, root)["parts"]
+    assert [k for k in range(8) if before[k] != after[k]] == touched and len(touched) <= 2
+    run(spark.createDataFrame([row(60, "fresh", "f")], OBSERVATIONS), 2)
+    run(spark.createDataFrame([], OBSERVATIONS), 3)
+    items = {r["item_id"]: (r["id"], r["raw_json"]) for r in tables.read_items(spark, root).collect()}
+    want = {f"i{k}": (k + 1, "p") for k in range(40)} | {"i3": (4, "q"), None: (41, "n"), "fresh": (42, "f")}
+    assert items == want and tables.last_id(spark, root) == 42 and tables.current_version(spark, root) == 4
+    here = root.removeprefix("file://")
+    held = {f"{v}/{p}" for v in os.listdir(here) if v.startswith("v") for p in os.listdir(f"{here}/{v}") if p.startswith(tables.BUCKET)}
+    assert held == set(tables._current(spark, root)["parts"])  # the last two snapshots are the same
+
+
 def test_page_files_and_display(spark, tmp_path):
     for k, text in enumerate(["<a>\n</a>", "", "é"]):
         (tmp_path / f"{k}.html").write_text(text, encoding="utf-8")
