@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotlake.llm import bpe_automaton, chat_format, decontamination, edit_counts, jaccard_tree, metric_join, ppm_language, sharding, substring_dedup, warc_revisits
+from lotlake.llm import ball_search, bpe_automaton, chat_format, decontamination, edit_counts, jaccard_tree, metric_join, ppm_language, rule_quality, sharding, substring_dedup, warc_revisits, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_automaton": bpe_automaton.op8_bpe_automaton,
         "op9_edit_counts": edit_counts.op9_edit_counts,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+        "op11_cholesky_whitening": whitening.op11_cholesky_whitening,
+        "op12_rule_quality": rule_quality.op12_rule_quality,
+        "op13_ball_search": ball_search.op13_ball_search,
     }
 
 
@@ -33,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_rendezvous_shards": sharding.OP6_SQL,
         "op7_metric_join": metric_join.OP7_SQL,
         "op10_substring_dedup": substring_dedup.OP10_SQL,
+        "op13_ball_search": ball_search.OP13_SQL,
     }
