@@ -12,35 +12,57 @@ SCRIPT_ID, STATE_KEY = "page-state", "apollo.state"
 MAP = "map<string,variant>"
 
 
+#: Attributes of a tag: names, each with a quoted value, a bare one or none. Possessive, so nothing is tried twice.
+_ATTRIBUTE = r"""[^\s>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|))?+"""
+_ATTRIBUTES = rf"(?:[\s/=]++|{_ATTRIBUTE})*+"
+#: Tokens of HTML behind which a script tag isn't one: comments, elements whose content is text, tags. Group 1: a script element.
+_TOKEN = (
+    rf"(?is)<!--.*?(?:-->|\z)|(<script(?=[\s/>]){_ATTRIBUTES}>.*?(?:</script(?=[\s/>])|\z))"
+    rf"|<(style|textarea|title)(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\2(?=[\s/>])|\z)|</?[a-z]{_ATTRIBUTES}>"
+)
+
+
 def state_text(html: Column, script_id: str = SCRIPT_ID) -> Column:
     """Text of the first script element with the id; null if there is none or it is empty.
 
-    Scripts inside HTML comments count: the one known difference from a full HTML parser.
+    One scan over the page's tokens, so a script inside a comment, an attribute or a text element doesn't count, and a tag
+    doesn't end inside a quoted value. An element that is never closed goes on to the end. Time is linear in the page.
     """
-    pattern = rf"""(?is)<script\b(?=[^>]*?\sid\s*=\s*["']?(?-i:{re.escape(script_id)})["'\s>])[^>]*>(.*?)</script"""
-    return F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
+    scripts = F.filter(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(1)), lambda x: x != "")
+    opening = lambda x: F.regexp_extract(x, rf"(?is)^<script({_ATTRIBUTES})>", 1)
+    named = rf"""^(?i:id)\s*=\s*(?:"{re.escape(script_id)}"|'{re.escape(script_id)}'|{re.escape(script_id)})$"""
+    wanted = F.filter(scripts, lambda x: F.exists(F.regexp_extract_all(opening(x), F.lit(rf"(?s){_ATTRIBUTE}"), F.lit(0)), lambda a: a.rlike(named)))
+    found = F.get(wanted, F.lit(0))
+    return F.nullif(F.regexp_extract(found, rf"(?is)^<script{_ATTRIBUTES}>(.*?)(?:</script)?$(?!.)", 1), F.lit(""))
 
 
 def state_map(text: Column, key: str = STATE_KEY) -> Column:
-    """The cache as an ordered map of key to entity; null if it is missing or no object."""
-    return F.from_json(F.get_json_object(text, f"$['{key}']"), MAP)
+    """The cache as an ordered map of key to entity, from one parse; null if it is missing or no object, or the text is no JSON.
+
+    A key that repeats keeps its place and takes the last value.
+    """
+    found = F.from_json(text, f"`{key}` {MAP}").getField(key)
+    return F.map_from_entries(F.map_entries(found))
 
 
 def page_status(html: Column, text: Column, state: Column, key: str = STATE_KEY) -> Column:
-    """What became of a page: ok, or why it has no lots. text and state are those of the functions above."""
+    """What became of a page: ok, or why it has no lots. text and state are those of the functions above.
+
+    Only pages that aren't ok are parsed again, to say why.
+    """
     raw = F.get_json_object(text, f"$['{key}']")
     closed = F.rtrim(text).rlike(r"[}\]\"\w]$")
     whole = F.try_parse_json(text)
     return (
-        F.when(html.isNull(), "fetch_failed")
+        F.when((F.size(state) > 0) & F.rtrim(text).endswith("}"), "ok")
+        .when(html.isNull(), "fetch_failed")
         .when(html == "", "empty_body")
         .when(text.isNull(), "no_script")
         .when(whole.isNull() | ~closed, "bad_json")
         .when(~F.schema_of_variant(whole).startswith("OBJECT"), "not_object")
         .when(~F.rtrim(text).endswith("}"), "bad_json")  # readers accept text after a complete object
         .when(raw.isNull() | raw.isin("", "0", "false", "[]", "{}"), "empty_state")
-        .when(state.isNull(), "not_object")
-        .otherwise("ok")
+        .otherwise("not_object")
     )
 
 
@@ -48,48 +70,48 @@ def page_errors(status: Column) -> Column:
     return F.when(status.isin("fetch_failed", "bad_json", "not_object"), 1).otherwise(0)
 
 
-def is_kind(key: Column, entity: Column, kind: str) -> Column:
-    """Whether an entity is an object of a kind, by its type name or by its cache key."""
-    named = F.coalesce(F.try_variant_get(entity, "$.__typename", "string") == kind, F.lit(False))
-    return F.coalesce(F.schema_of_variant(entity).startswith("OBJECT"), F.lit(False)) & (named | key.startswith(f"{kind}:"))
+#: What is read of an entity. Extracted at once: null for what is no object, a null field for what doesn't fit.
+FACTS = "struct<__typename:string,id:variant,itemId:variant,eventItemId:variant,auction:struct<__ref:string>,lotState:struct<__ref:string>>"
+
+
+def facts(entity: Column) -> Column:
+    return F.try_variant_get(entity, "$", FACTS)
 
 
-def reference(entity: Column, field: str) -> Column:
-    """The cache key that entity.field refers to, null if it is no reference."""
-    return F.try_variant_get(entity, f"$.{field}.__ref", "string")
+def is_kind(key: Column, known: Column, kind: str) -> Column:
+    """Whether an entity is an object of a kind, by its type name or by its cache key. known: its facts."""
+    return known.isNotNull() & (F.coalesce(known["__typename"] == kind, F.lit(False)) | key.startswith(f"{kind}:"))
 
 
-def _shown(entity: Column, field: str) -> Column:
-    """A field as text, booleans in the stored spelling; null if missing or JSON null."""
-    value = F.try_variant_get(entity, f"$.{field}", "variant")
-    text = F.try_variant_get(entity, f"$.{field}", "string")
-    kind = F.schema_of_variant(value)
-    return F.when(kind == "BOOLEAN", F.initcap(text)).when(kind.rlike("^(ARRAY|OBJECT)"), F.to_json(value)).otherwise(text)
+def _shown(value: Column) -> Column:
+    """A value as text, booleans in the stored spelling; null if missing or JSON null."""
+    text = F.try_variant_get(value, "$", "string")
+    return F.when(F.schema_of_variant(value) == "BOOLEAN", F.initcap(text)).otherwise(text)
 
 
-def _set(entity: Column, field: str) -> Column:
-    """A field as text if it isn't empty, zero, false or null."""
-    value, text = F.try_variant_get(entity, f"$.{field}", "variant"), _shown(entity, field)
-    zero = F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (F.try_variant_get(entity, f"$.{field}", "double") == 0)
-    return F.when(~text.isin("", "False", "[]", "{}") & ~F.coalesce(zero, F.lit(False)), text)
+def _set(value: Column) -> Column:
+    """A value as text if it isn't empty, zero, false or null."""
+    kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    number = kind.startswith("BIGINT") | kind.startswith("DECIMAL") | kind.startswith("DOUBLE") | kind.startswith("FLOAT")
+    unset = (text == "") | ((kind == "BOOLEAN") & (text == "false")) | (number & (F.try_variant_get(value, "$", "double") == 0)) | (text.isin("[]", "{}") & (kind != "STRING"))
+    return F.when(~unset, F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(text))
 
 
-def item_id(entity: Column) -> Column:
+def item_id(known: Column) -> Column:
     """The lot's id: the first of id, itemId, eventItemId that is set; for a typed lot with an unset id, lot-<id>; else null."""
-    there = F.try_variant_get(entity, "$.id", "variant").isNotNull()
-    typed = F.try_variant_get(entity, "$.__typename", "string") == "Lot"
-    fallback = F.when(typed & there, F.concat(F.lit("lot-"), F.coalesce(_shown(entity, "id"), F.lit("None"))))
-    return F.coalesce(*[_set(entity, f) for f in ("id", "itemId", "eventItemId")], fallback)
+    typed = known["__typename"] == "Lot"
+    fallback = F.when(typed & known["id"].isNotNull(), F.concat(F.lit("lot-"), F.coalesce(_shown(known["id"]), F.lit("None"))))
+    return F.coalesce(*[_set(known[f]) for f in ("id", "itemId", "eventItemId")], fallback)
 
 
-def auction_index(state: Column) -> Column:
-    """Auctions of a state by cache key and by the alias Auction:<id>; later entries win."""
+def auction_index(entries: Column) -> Column:
+    """Auctions among entries (key, value, facts) by cache key and by the alias Auction:<id>; later entries win."""
 
     def names(entry: Column) -> Column:
-        own = F.when(entry["key"].startswith("Auction:"), F.replace(entry["key"], F.lit("Auction:"), F.lit(""))).otherwise(F.coalesce(_shown(entry["value"], "id"), F.lit("None")))
+        own = F.when(entry["key"].startswith("Auction:"), F.replace(entry["key"], F.lit("Auction:"), F.lit(""))).otherwise(F.coalesce(_shown(entry["facts"]["id"]), F.lit("None")))
         return F.array(F.struct(entry["key"].alias("key"), entry["value"].alias("value")), F.struct(F.concat(F.lit("Auction:"), own).alias("key"), entry["value"].alias("value")))
 
-    auctions = F.filter(F.map_entries(state), lambda e: is_kind(e["key"], e["value"], "Auction"))
+    auctions = F.filter(entries, lambda e: is_kind(e["key"], e["facts"], "Auction"))
     return F.map_from_entries(F.flatten(F.transform(auctions, names)))
 
 

@@ -22,11 +22,12 @@ def lots(states: DataFrame) -> DataFrame:
     """One row per lot of a page, with its position, id and what its references lead to. Narrow: lookups stay in the row."""
 
     def resolved(entry):
-        auction_ref, state_ref = S.reference(entry["value"], "auction"), S.reference(entry["value"], "lotState")
+        auction_ref, state_ref = entry["facts"]["auction"]["__ref"], entry["facts"]["lotState"]["__ref"]
         return F.struct(
             entry["pos"].alias("pos"),
             entry["key"].alias("key"),
             entry["value"].alias("lot"),
+            entry["facts"].alias("facts"),
             auction_ref.alias("auction_ref"),
             F.coalesce(F.map_contains_key("auctions", auction_ref), F.lit(False)).alias("has_auction"),
             F.try_element_at("auctions", auction_ref).alias("auction"),
@@ -36,10 +37,11 @@ def lots(states: DataFrame) -> DataFrame:
         )
 
     # pages without a state give no row; a filter would be pushed below the parse and parse again
-    rows = states.withColumn("auctions", S.auction_index(F.col("state")))
-    numbered = F.transform(F.map_entries("state"), lambda e, i: F.struct(i.alias("pos"), e["key"].alias("key"), e["value"].alias("value")))
-    found = F.transform(F.filter(numbered, lambda e: S.is_kind(e["key"], e["value"], "Lot")), resolved)
-    return rows.select(*KEY, F.inline(found)).withColumn("item_id", S.item_id(F.col("lot")))
+    entries = F.transform(F.map_entries("state"), lambda e, i: F.struct(i.alias("pos"), e["key"].alias("key"), e["value"].alias("value"), S.facts(e["value"]).alias("facts")))
+    rows = states.withColumn("entries", entries)
+    rows = rows.withColumn("auctions", S.auction_index(F.col("entries")))
+    found = F.transform(F.filter("entries", lambda e: S.is_kind(e["key"], e["facts"], "Lot")), resolved)
+    return rows.select(*KEY, F.inline(found)).withColumn("item_id", S.item_id(F.col("facts"))).drop("facts")
 
 
 def payloads(rows: DataFrame) -> DataFrame:

@@ -62,15 +62,28 @@ def stored(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def upsert(items: DataFrame, batch: DataFrame, scratch: str, mode: str = "text", top: int | None = None) -> DataFrame:
-    """The item table after a batch. What is merged is stored under `scratch`, as numbering new items reads it again.
+class Upserted(NamedTuple):
+    """items: the table after a batch. found, added, updated: what the batch held and did. fresh: items that are new."""
 
-    top: the largest id so far, if `items` is only the part of the table that the batch touches.
+    items: DataFrame
+    found: int
+    added: int
+    updated: int
+    fresh: int
+
+
+def upsert(items: DataFrame, batch: DataFrame, scratch: str, mode: str = "text", top: int | None = None) -> Upserted:
+    """The item table after a batch, and its counters, from one pass over stored rows and observations.
+
+    What is merged is stored under `scratch`, with what became of each item's observations, so that counters are sums of
+    what was written, whatever was run twice on the way. top: the largest id so far, if `items` is only the part of
+    the table that the batch touches.
     """
-    return merge.with_ids(stored(merge.merged(items, batch, mode), f"{scratch}/merged"), f"{scratch}/ranges", top=top).drop("inserted_seq")
+    held = stored(merge.merged(items, batch, mode, path=f"{scratch}/hot"), f"{scratch}/merged")
+    found, added, updated, fresh = held.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in merge.COUNTS], F.count_if(F.col("id").isNull())).first()
+    return Upserted(merge.with_ids(held, f"{scratch}/ranges", top=top, fresh_rows=fresh).drop("inserted_seq", *merge.COUNTS), found, added, updated, fresh)
 
 
 def counters(items: DataFrame, batch: DataFrame, mode: str = "text") -> DataFrame:
     """What a batch adds and changes, by run."""
-    classes = merge.change_classes(items, batch, mode).join(batch.select("item_id", "seq", "run_id"), ["item_id", "seq"])
-    return runs.change_totals(classes)
+    return runs.change_totals(merge.change_classes(items, batch, mode))

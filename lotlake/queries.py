@@ -118,9 +118,8 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     started = obs.groupBy("run_id").agg(F.min("scraped_at").alias("started_at"), F.max("scraped_at").alias("completed_at")).select(
         "*", F.lit("04217").alias("zip_code"), F.lit(25).alias("radius_miles"), (F.col("run_id") % 2 == 0).alias("test_mode"), status.alias("status")
     )
-    classes = merge.change_classes(_no_items(spark), obs).join(obs.select("item_id", "seq", "run_id"), ["item_id", "seq"])
     no_pages = started.select("run_id", F.lit(0).alias("errors"), F.lit(0).alias("pages_scraped"), F.lit(0).alias("lots_found"))
-    return runs.finished(started, runs.change_totals(classes), no_pages)
+    return runs.finished(started, ingest.counters(_no_items(spark), obs), no_pages)
 
 
 # sources
@@ -221,7 +220,7 @@ def full_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = scratch_dir(spark, "crawl")
     done = ingest.crawl(ingest.stored(fixtures.pages(spark, sf_dir, faults=True), f"{scratch}/pages"), scratch)
     batch = ingest.stored(ingest.observations(done.observed, "04217", 25, F.lit("2024-01-01 00:00:00").cast("timestamp")), f"{scratch}/observations")
-    items = ingest.upsert(_no_items(spark), batch, scratch)
+    items = ingest.upsert(_no_items(spark), batch, scratch).items
     per_page = done.pages.groupBy("category_idx").agg(F.count("*").alias("pages_seen"), F.sum("errors").alias("errors"))
     # an item that several categories show is one row; it counts where it was last changed, so count observations
     per_item = batch.join(items.select("item_id"), "item_id", "left_semi").groupBy("seq.category_idx").agg(F.count("*").alias("n_items"))
@@ -264,7 +263,7 @@ def run_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CLASSES} SELECT item_id, seq, change FROM classed")
 def change_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.change_classes(_no_items(spark), fixtures.observations(spark, sf_dir))
+    return merge.change_classes(_no_items(spark), fixtures.observations(spark, sf_dir)).drop("run_id")
 
 
 _MERGED_SQL = f"""WITH {_CLASSES}, f AS (SELECT item_id, row_number() OVER (ORDER BY min(seq)) AS id, arg_min(scraped_at, seq) AS created_at FROM classed GROUP BY item_id),
@@ -278,8 +277,8 @@ def merge_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = fixtures.observations(spark, sf_dir)
     half = (obs.agg(F.max("seq")).first()[0] or 0) // 2
     root = scratch_dir(spark, "items")
-    tables.write_items(ingest.upsert(_no_items(spark), obs.where(F.col("seq") <= half), f"{root}/first"), root, 1)
-    items = ingest.upsert(tables.read_items(spark, root), obs.where(F.col("seq") > half), f"{root}/second")
+    tables.write_items(ingest.upsert(_no_items(spark), obs.where(F.col("seq") <= half), f"{root}/first").items, root, 1)
+    items = ingest.upsert(tables.read_items(spark, root), obs.where(F.col("seq") > half), f"{root}/second").items
     tables.write_items(items, root, 2)
     return tables.read_items(spark, root).select("id", "item_id", "raw_json", _text("scraped_at"), "zip_code", "radius_miles", "category", _text("created_at"))
 

@@ -10,55 +10,74 @@ from pyspark.sql import functions as F
 from lotlake.schemas import ITEMS, RUNS
 from lotlake.sources.scratch import remove
 
-#: The table that names the finished snapshots: a row each, with the folder of every bucket and the largest id so far.
+#: The folder that names the finished snapshots: a table of one row each, with the folder of every bucket, the largest id
+#: so far, the table's bytes and the last batch of each stream that is in it.
 POINTER = "current_versions"
-_POINTER_ROW = "version bigint, folder string, parts array<string>, last_id bigint"
+_POINTER_ROW = "version bigint, folder string, parts array<string>, last_id bigint, bytes bigint, streams map<string,bigint>"
 
 #: Snapshots that stay, so that readers of the one before aren't disturbed.
 KEPT = 2
 
-#: Column of a written snapshot: the bucket, by hash of item_id. A table keeps the number of buckets of its first snapshot.
-BUCKET = "bucket_no"
+#: Column of a written snapshot: the bucket, by hash of item_id; and the bytes that a bucket is meant to have.
+BUCKET, BUCKET_BYTES = "bucket_no", 32 << 20
 
 
 def _bucket(item_id: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(item_id), F.lit(buckets)).cast("int")
 
 
-def touched_buckets(batch: DataFrame, root: str, buckets: int = 1) -> list[int]:
-    """The buckets that the items of `batch` fall into; `buckets` is for a table that isn't there yet."""
-    found = _current(batch.sparkSession, root)
-    n = len(found["parts"]) if found else buckets
-    return sorted(r[0] for r in batch.select(_bucket("item_id", n)).distinct().collect())  # at most a row a bucket
+def buckets_for(size: int) -> int:
+    """Buckets of a table of so many bytes: the power of two that keeps them near BUCKET_BYTES."""
+    return 1 << max(0, (size // BUCKET_BYTES).bit_length())
 
 
-def write_items(items: DataFrame, root: str, version: int, touched: list[int] | None = None, buckets: int = 1) -> str:
-    """Write a snapshot to a folder of its own, then append it to the pointer.
+def touched_buckets(batch: DataFrame, buckets: int) -> list[int]:
+    """The buckets that the items of `batch` fall into."""
+    if buckets == 1:
+        return [0]
+    return sorted(r[0] for r in batch.select(_bucket("item_id", buckets)).distinct().collect())  # at most a row a bucket
+
+
+def write_items(items: DataFrame, root: str, version: int, touched: list[int] | None = None, buckets: int | None = None, last_id: int | None = None, streams: dict[str, int] | None = None) -> str:
+    """Write a snapshot to a folder of its own, then name it in the pointer. One writer at a time.
 
     items: all rows of the buckets in `touched`, or of the whole table if that is None; other buckets stay where they
-    are. What a writer that died has left behind is never read and never in the way; what no snapshot of the newest
-    KEPT names goes.
+    are. buckets: their number; another one than the table has needs the whole table. last_id: the largest id, read from
+    what is written if it is None. streams: the last batch of each stream that the snapshot holds. What a writer that died has
+    left behind is never read and never in the way; what no snapshot of the newest KEPT names goes, the older names too.
     """
     spark = items.sparkSession
-    now = _current(spark, root)
-    parts = list(now["parts"]) if now else [None] * buckets
-    folder = f"v{version:08d}-{uuid.uuid4().hex[:12]}"
+    now = current(spark, root)
+    parts = list(now["parts"]) if now else []
+    buckets = buckets or len(parts) or 1
+    if len(parts) != buckets:
+        if parts and touched is not None:
+            raise ValueError("a new number of buckets needs the whole table")
+        parts = [None] * buckets
+    folder = f"v{version:012d}-{uuid.uuid4().hex[:12]}"
     # rows of a bucket go to as many tasks as their size asks for
-    items.withColumn(BUCKET, _bucket("item_id", len(parts))).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{root}/{folder}")
+    items.withColumn(BUCKET, _bucket("item_id", buckets)).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{root}/{folder}")
     written = _folders(spark, f"{root}/{folder}")
-    for k in range(len(parts)) if touched is None else touched:
+    old = sum(_bytes(spark, f"{root}/{parts[k]}") for k in (range(buckets) if touched is None else touched) if parts[k])
+    for k in range(buckets) if touched is None else touched:
         parts[k] = f"{folder}/{BUCKET}={k}" if f"{BUCKET}={k}" in written else None
-    top = spark.read.schema("id bigint").parquet(f"{root}/{folder}").agg(F.max("id")).first()[0] or 0
-    row = (version, folder, parts, max(top, now["last_id"] if now else 0))
-    spark.createDataFrame([row], _POINTER_ROW).coalesce(1).write.mode("append").parquet(f"{root}/{POINTER}")
-    newest = _pointer(spark, root).orderBy(F.desc("version"), F.desc("folder")).limit(KEPT).collect()
-    live = {part for r in newest for part in r["parts"] if part}
+    if last_id is None:
+        top = spark.read.schema("id bigint").parquet(f"{root}/{folder}").agg(F.max("id")).first()[0] or 0
+        last_id = max(top, now["last_id"] if now else 0)
+    whole = 0 if touched is None or not now else now["bytes"] - old
+    row = (version, folder, parts, last_id, whole + _bytes(spark, f"{root}/{folder}"), {**(now["streams"] if now else {}), **(streams or {})})
+    spark.createDataFrame([row], _POINTER_ROW).coalesce(1).write.parquet(f"{root}/{POINTER}/{folder}")
+    newest = _pointers(spark, root)[-KEPT:]
+    live = {part for name in newest for part in _pointer(spark, root, name)["parts"] if part}
     for name in _folders(spark, root):
-        if name.startswith("v") and name < folder[:9]:
+        if name.startswith("v") and name < folder[:13]:
             held = [f"{name}/{part}" for part in _folders(spark, f"{root}/{name}")]
             gone = [part for part in held if part not in live]
             for path in gone if len(gone) < len(held) else [name]:
                 remove(spark, f"{root}/{path}")
+    for name in _folders(spark, f"{root}/{POINTER}"):
+        if name < newest[0]:
+            remove(spark, f"{root}/{POINTER}/{name}")
     return f"{root}/{folder}"
 
 
@@ -73,32 +92,37 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in system.listStatus(where) if f.isDirectory()]
 
 
-def _pointer(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(_POINTER_ROW).parquet(f"{root}/{POINTER}")
+def _bytes(spark: SparkSession, path: str) -> int:
+    system, where = _listed(spark, path)
+    return system.getContentSummary(where).getLength()
 
 
-def _current(spark: SparkSession, root: str):
+def _pointers(spark: SparkSession, root: str) -> list[str]:
+    """Names of the finished pointer tables, the oldest first."""
     system, where = _listed(spark, f"{root}/{POINTER}")
     if not system.exists(where):
-        return None
-    return _pointer(spark, root).agg(F.max(F.struct("version", "folder", "parts", "last_id"))).first()[0]
+        return []
+    return sorted(name for name in _folders(spark, f"{root}/{POINTER}") if system.exists(_listed(spark, f"{root}/{POINTER}/{name}/_SUCCESS")[1]))
 
 
-def current_version(spark: SparkSession, root: str) -> int | None:
-    """The newest finished snapshot, None before the first."""
-    found = _current(spark, root)
-    return found and found["version"]
+def _pointer(spark: SparkSession, root: str, name: str):
+    return spark.read.schema(_POINTER_ROW).parquet(f"{root}/{POINTER}/{name}").first()
 
 
-def last_id(spark: SparkSession, root: str) -> int:
-    """The largest id of the table so far, 0 before the first snapshot."""
-    found = _current(spark, root)
-    return found["last_id"] if found else 0
+def current(spark: SparkSession, root: str):
+    """The row of the newest finished snapshot, None before the first."""
+    names = _pointers(spark, root)
+    return _pointer(spark, root, names[-1]) if names else None
 
 
-def read_items(spark: SparkSession, root: str, touched: list[int] | None = None) -> DataFrame:
-    """The newest finished snapshot, or its buckets in `touched`."""
-    found = _current(spark, root)
+def current_version(spark: SparkSession, root: str) -> int | None:
+    found = current(spark, root)
+    return found and found["version"]
+
+
+def read_items(spark: SparkSession, root: str, touched: list[int] | None = None, found=None) -> DataFrame:
+    """The newest finished snapshot (or that of a row of current()), or its buckets in `touched`."""
+    found = found or current(spark, root)
     parts = found["parts"] if found else []
     paths = [f"{root}/{part}" for k, part in enumerate(parts) if part and (touched is None or k in touched)]
     if not paths:
@@ -113,8 +137,3 @@ def append_runs(runs: DataFrame, path: str) -> None:
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUNS).parquet(path)
-
-
-def read_jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
-    """The same tables in a relational database; needs its driver on the class path."""
-    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()

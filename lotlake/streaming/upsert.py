@@ -5,14 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from lotlake.operators import merge
 from lotlake.plans.ingest import stored, upsert
+from lotlake.sources import tables
 from lotlake.sources.scratch import remove
-from lotlake.sources.tables import current_version, last_id, read_items, touched_buckets, write_items
 
 
 def first_arrivals(lots: DataFrame, late: str = "1 hour", time: str = "fetched_at") -> DataFrame:
@@ -20,36 +18,51 @@ def first_arrivals(lots: DataFrame, late: str = "1 hour", time: str = "fetched_a
     return lots.withWatermark(time, late).dropDuplicatesWithinWatermark(["run_id", "category_idx", "item_id"])
 
 
-#: Buckets of a new item table: a batch reads and writes those that its items fall into.
-BUCKETS = 64
+def stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the stream that a checkpoint folder belongs to, made when it is first asked for and kept in the folder."""
+    path = f"{checkpoint}/{_NAME}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "name string").coalesce(1).write.mode("overwrite").text(path)
+    return spark.read.text(path).first()[0]
 
 
-def merge_batch(root: str, counters: str, mode: str = "text", buckets: int = 1) -> Callable[[DataFrame, int], None]:
+_NAME = "stream-name"
+
+
+def merge_batch(root: str, counters: str, mode: str = "text", buckets: int | None = None, stream: str = "main") -> Callable[[DataFrame, int], None]:
     """foreachBatch function: merge into the next snapshot under `root` and append the counters.
 
-    The snapshot's version is the batch id plus one. A batch that is run again after a failure starts from the same
-    snapshot and writes none if its own is finished; one that was cut off is written anew. The batch is stored, as it
-    is read more than once. Only the buckets that its items fall into are read and written; `buckets` is their number
-    in a table that isn't there yet.
+    A snapshot names the last batch of every stream that it holds, in the same write that makes it current. So a batch
+    that is run again after a failure writes nothing if its own snapshot was finished and starts from the same one if not, and a
+    table may have come from elsewhere or from other streams. The batch is stored, as it is read more than once. Only the
+    buckets that its items fall into are read and written. buckets: their number, or None for one that follows the
+    table's bytes: when it no longer fits, the batch rewrites the table.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if (current_version(spark, root) or 0) > batch_id:
+        found = tables.current(spark, root)
+        if found and found["streams"].get(stream, -1) >= batch_id:
             return
-        work = f"{root}/work-{uuid.uuid4().hex}"
+        work = f"{root}/work-{stream}"
+        remove(spark, work)  # of a batch that was cut off
         batch = stored(batch, f"{work}/batch")
-        touched = touched_buckets(batch, root, buckets)
-        items = read_items(spark, root, touched)
-        classes = merge.change_classes(items, batch, mode)
-        totals = classes.agg(F.count("*").alias("items_found"), F.count_if(F.col("change") == "new").alias("items_added"), F.count_if(F.col("change") == "updated").alias("items_updated"))
-        totals.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{counters}/batch_id={batch_id}")
-        write_items(upsert(items, batch, work, mode, last_id(spark, root)), root, batch_id + 1, touched, buckets)
+        n = buckets or tables.buckets_for(found["bytes"] if found else 0)
+        known = len(found["parts"]) if found else 0
+        n = known if known and (buckets or n < 4 * known) else n  # rewrites are rare: a table grows fourfold between two
+        touched = tables.touched_buckets(batch, n) if n == known else None
+        done = upsert(tables.read_items(spark, root, touched, found), batch, work, mode, found["last_id"] if found else 0)
+        totals = spark.createDataFrame([(done.found, done.added, done.updated)], "items_found bigint, items_added bigint, items_updated bigint")
+        totals.coalesce(1).write.mode("overwrite").parquet(f"{counters}/stream={stream}/batch_id={batch_id}")
+        top = (found["last_id"] if found else 0) + done.fresh
+        tables.write_items(done.items, root, (found["version"] if found else 0) + 1, touched, n, top, {stream: batch_id})
         remove(spark, work)
 
     return run
 
 
-def start_upsert(stream: DataFrame, root: str, counters: str, checkpoint: str, mode: str = "text", buckets: int = BUCKETS) -> StreamingQuery:
-    """Merge what there is and stop; run it again for what has arrived since."""
-    return stream.writeStream.foreachBatch(merge_batch(root, counters, mode, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start_upsert(stream: DataFrame, root: str, counters: str, checkpoint: str, mode: str = "text", buckets: int | None = None) -> StreamingQuery:
+    """Merge what there is and stop; run it again for what has arrived since. The table may exist, whatever its version."""
+    name = stream_name(stream.sparkSession, checkpoint)
+    return stream.writeStream.foreachBatch(merge_batch(root, counters, mode, buckets, name)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -100,7 +100,7 @@ def test_random_merges(spark):
         name, state = f"i{item:03d}", None
         if random.random() < 0.4:
             state = random.choice("abc")
-            stored.append((item + 1, name, state, None, "z", 10, None, None))
+            stored.append((item + 1, name, state, None, "z", 10, None, None, None))
             want_rows[name] = (item + 1, state, None)
         for seq in sorted(random.sample(range(1000), random.randint(0, 6))):
             raw = random.choice("abc")
@@ -112,8 +112,9 @@ def test_random_merges(spark):
                 want_rows[name] = (want_rows.get(name, (None,))[0], raw, seq)
             state = raw
     s, b = spark.createDataFrame(stored, ITEMS), spark.createDataFrame(batch, OBSERVATIONS)
-    assert sorted(tuple(r) for r in merge.change_classes(s, b).collect()) == sorted(want_classes)
-    items = {r["item_id"]: r for r in ingest.upsert(s, b, scratch_dir(spark, "t")).collect()}
+    assert sorted(tuple(r) for r in merge.change_classes(s, b).drop("run_id").collect()) == sorted(want_classes)
+    assert sorted(tuple(r) for r in merge.change_classes(s, b, hot_rows=3).drop("run_id").collect()) == sorted(want_classes)  # items of over three rows by ranges
+    items = {r["item_id"]: r for r in ingest.upsert(s, b, scratch_dir(spark, "t")).items.collect()}
     assert set(items) == set(want_rows)
     first_seq = {}
     for _, seq, name, *_ in sorted(batch, key=lambda r: r[1]):
@@ -146,7 +147,7 @@ def test_runs_of_any_number_stay_in_order(spark):
     rows = [(run, 0, "c", 1, k, f"i{k}" if k else "same", f"{run}", k + 1) for run in ids for k in (0, run % 7 + 1)]
     seen = spark.createDataFrame(rows, "run_id long, category_idx int, category string, page int, pos int, item_id string, raw_json string, nth int")
     batch = ingest.observations(seen, "z", 10, F.lit(None).cast("timestamp"))
-    items = {r["item_id"]: r for r in ingest.upsert(spark.createDataFrame([], ITEMS), batch, scratch_dir(spark, "t")).collect()}
+    items = {r["item_id"]: r for r in ingest.upsert(spark.createDataFrame([], ITEMS), batch, scratch_dir(spark, "t")).items.collect()}
     assert items["same"]["raw_json"] == str(2**40) and items["same"]["id"] == 1
     order = list(dict.fromkeys(r[5] for r in sorted(rows, key=lambda r: (r[0], r[7]))))
     assert sorted(items, key=lambda k: items[k]["id"]) == order
@@ -163,53 +164,137 @@ def test_ranges_hold_about_as_many_rows(spark):
     assert {(r["run"], r["a"], r["b"], r["n"]) for r in by} == {(None, 1, 8000, 8000), (5000, 1, 8000, 8000), (10000, 1, 8000, 8000)}
 
 
+def observed(spark, *rows):
+    return spark.createDataFrame([(1, seq, item, raw, None, "z", 10, None) for seq, item, raw in rows], OBSERVATIONS)
+
+
+def payloads(spark, root):
+    return {r["item_id"]: r["raw_json"] for r in tables.read_items(spark, root).collect()}
+
+
 def test_a_batch_that_was_cut_off_runs_again(spark, monkeypatch):
     root, counters = scratch_dir(spark, "items"), scratch_dir(spark, "counters")
-    batch = lambda raw: spark.createDataFrame([(1, 5, "x", raw, None, "z", 10, None), (1, 6, raw, "p", None, "z", 10, None)], OBSERVATIONS)
+    batch = lambda raw: observed(spark, (5, "x", raw), (6, raw, "p"))
     run = upsert.merge_batch(root, counters)
     run(batch("a"), 0)
 
-    def dies(*_):
+    def dies(*_, **__):
         raise KeyboardInterrupt
 
     with monkeypatch.context() as m:
-        first = tables._current(spark, root)
-        m.setattr(tables, "_pointer", dies)  # read before and after writing
-        m.setattr(tables, "_current", lambda s, r: first)
-        m.setattr(tables, "POINTER", "elsewhere")  # the snapshot is written, the pointer isn't
+        m.setattr(tables, "_bytes", dies)  # the snapshot is written, the pointer isn't
         with pytest.raises(KeyboardInterrupt):
             run(batch("b"), 1)
-    assert tables.current_version(spark, root) == 1
+    assert tables.current_version(spark, root) == 1 and payloads(spark, root) == {"x": "a", "a": "p"}
     for k in range(1, 5):
         run(batch("abcde"[k]), k)
         run(batch("never"), k)  # finished already
-    items = {r["item_id"]: r["raw_json"] for r in tables.read_items(spark, root).collect()}
-    assert items == {"x": "e", **{k: "p" for k in "abcde"}} and tables.current_version(spark, root) == 5
-    left = [f for f in os.listdir(root.removeprefix("file://")) if f.startswith(("v", "work"))]
-    assert len([f for f in left if f.startswith("v")]) == tables.KEPT and len([f for f in left if f.startswith("work")]) <= 1
+    assert payloads(spark, root) == {"x": "e", **{k: "p" for k in "abcde"}} and tables.current_version(spark, root) == 5
+    left = os.listdir(root.removeprefix("file://"))
+    assert len([f for f in left if f.startswith("v")]) == tables.KEPT and not [f for f in left if f.startswith("work")]
+    assert len(os.listdir(f"{root}/{tables.POINTER}".removeprefix("file://"))) == tables.KEPT
+    totals = [tuple(r) for r in spark.read.parquet(counters).orderBy("batch_id").select("items_found", "items_added", "items_updated").collect()]
+    assert totals == [(2, 2, 0)] + [(2, 1, 1)] * 4
 
 
 def test_a_batch_writes_only_its_buckets(spark):
     """Buckets that a batch doesn't touch stay in their folders; ids go on over all buckets; old folders of a bucket go."""
     root, counters = scratch_dir(spark, "items"), scratch_dir(spark, "counters")
-    row = lambda seq, item, raw: (1, seq, item, raw, None, "z", 10, None)
     run = upsert.merge_batch(root, counters, buckets=8)
-    run(spark.createDataFrame([row(k, f"i{k}", "p") for k in range(40)], OBSERVATIONS), 0)
-    before = tables._current(spark, root)["parts"]
+    run(observed(spark, *[(k, f"i{k}", "p") for k in range(40)]), 0)
+    before = tables.current(spark, root)["parts"]
     assert len(before) == 8 and all(before)
-    one = spark.createDataFrame([row(50, "i3", "q"), row(51, None, "n")], OBSERVATIONS)
-    touched = tables.touched_buckets(one, root)
+    one = observed(spark, (50, "i3", "q"), (51, None, "n"))
+    touched = tables.touched_buckets(one, 8)
     run(one, 1)
-    after = tables._current(spark, root)["parts"]
+    after = tables.current(spark, root)["parts"]
     assert [k for k in range(8) if before[k] != after[k]] == touched and len(touched) <= 2
-    run(spark.createDataFrame([row(60, "fresh", "f")], OBSERVATIONS), 2)
-    run(spark.createDataFrame([], OBSERVATIONS), 3)
+    run(observed(spark, (60, "fresh", "f")), 2)
+    run(observed(spark), 3)
     items = {r["item_id"]: (r["id"], r["raw_json"]) for r in tables.read_items(spark, root).collect()}
     want = {f"i{k}": (k + 1, "p") for k in range(40)} | {"i3": (4, "q"), None: (41, "n"), "fresh": (42, "f")}
-    assert items == want and tables.last_id(spark, root) == 42 and tables.current_version(spark, root) == 4
+    now = tables.current(spark, root)
+    assert items == want and now["last_id"] == 42 and now["version"] == 4
     here = root.removeprefix("file://")
     held = {f"{v}/{p}" for v in os.listdir(here) if v.startswith("v") for p in os.listdir(f"{here}/{v}") if p.startswith(tables.BUCKET)}
-    assert held == set(tables._current(spark, root)["parts"])  # the last two snapshots are the same
+    assert held == set(now["parts"])  # the last two snapshots are the same
+    size = lambda part: sum(os.path.getsize(f"{here}/{part}/{f}") for f in os.listdir(f"{here}/{part}"))
+    assert 0.5 < now["bytes"] / sum(map(size, now["parts"])) < 1.5
+
+
+def test_buckets_follow_the_bytes(spark, monkeypatch):
+    root, counters = scratch_dir(spark, "items"), scratch_dir(spark, "counters")
+    run = upsert.merge_batch(root, counters)
+    run(observed(spark, *[(k, f"i{k}", "p") for k in range(30)]), 0)
+    assert len(tables.current(spark, root)["parts"]) == 1
+    monkeypatch.setattr(tables, "BUCKET_BYTES", 500)
+    run(observed(spark, (40, "i7", "q"), (41, "new", "n")), 1)
+    n = len(tables.current(spark, root)["parts"])
+    assert n >= 4 and payloads(spark, root) == {f"i{k}": "p" for k in range(30)} | {"i7": "q", "new": "n"}
+    monkeypatch.setattr(tables, "BUCKET_BYTES", 50_000)
+    run(observed(spark, (50, "i8", "r")), 2)
+    assert len(tables.current(spark, root)["parts"]) == n and payloads(spark, root)["i8"] == "r"
+
+
+def arriving(spark, folder, *rows):
+    observed(spark, *rows).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+
+
+def test_a_stream_joins_a_table_that_exists(spark):
+    """No batch is lost, whatever the table's version; a new checkpoint is a stream of its own."""
+    root, counters = scratch_dir(spark, "items"), scratch_dir(spark, "counters")
+    for version in (1, 2, 3):
+        tables.write_items(ingest.upsert(tables.read_items(spark, root), observed(spark, (version, "x", f"v{version}")), scratch_dir(spark, "t")).items, root, version)
+    landing, checkpoint = scratch_dir(spark, "landing"), scratch_dir(spark, "at")
+    go = lambda stream, at: upsert.start_upsert(stream, root, counters, at).awaitTermination()
+    go(arriving(spark, landing, (10, "y", "first")), checkpoint)
+    assert payloads(spark, root) == {"x": "v3", "y": "first"} and tables.current_version(spark, root) == 4
+    go(arriving(spark, landing, (11, "y", "second"), (12, "z", "p")), checkpoint)
+    assert payloads(spark, root) == {"x": "v3", "y": "second", "z": "p"}
+    go(arriving(spark, scratch_dir(spark, "landing"), (20, "x", "other")), scratch_dir(spark, "at"))  # a new checkpoint over other files
+    assert payloads(spark, root) == {"x": "other", "y": "second", "z": "p"} and tables.current_version(spark, root) == 6
+    assert sorted(tables.current(spark, root)["streams"].values()) == [0, 1]
+    again = upsert.merge_batch(root, counters, stream=upsert.stream_name(spark, checkpoint))
+    again(observed(spark, (30, "y", "never")), 1)
+    assert payloads(spark, root)["y"] == "second" and tables.current_version(spark, root) == 6
+    assert spark.read.parquet(counters).agg(F.sum("items_found")).first()[0] == 4
+
+
+def test_a_hot_item_is_many_tasks(spark):
+    """An item with a third of all observations: no task has much more than its share, and classes and the current row stay right."""
+    n = 30_000
+    rows = spark.range(n).select(
+        F.lit(1).cast("bigint").alias("run_id"), F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("i"), (F.col("id") % 5_000).cast("string"))).alias("item_id"),
+        (F.col("id") / 7).cast("int").cast("string").alias("raw_json"), F.lit(None).cast("timestamp").alias("scraped_at"), F.lit("z").alias("zip_code"), F.lit(10).alias("radius_miles"), F.lit(None).cast("string").alias("category"),
+    )
+    none, path = spark.createDataFrame([], ITEMS), scratch_dir(spark, "ranges")
+    key = lambda r: tuple(str(v) for v in r)
+    plain = sorted(merge.change_classes(none, rows).collect(), key=key)
+    split = merge.classified(none, rows, hot_rows=2_000, path=path)
+    assert sorted(split.select("run_id", "item_id", "seq", "change").collect(), key=key) == plain
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(numbering.RANGE).count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 2 * n / 3 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = lambda **kind: sorted(merge.merged(none, rows, **kind).drop("search_terms").collect(), key=key)
+    assert at(hot_rows=2_000) == at()
+
+
+def test_search_terms_unite(spark):
+    """Terms of an item stay over merges, whether an observation changes it or not."""
+    root = scratch_dir(spark, "items")
+
+    def found(*rows):
+        return spark.createDataFrame([(1, seq, item, raw, None, "z", 10, None, term) for seq, item, raw, term in rows], OBSERVATIONS + ", search_term string")
+
+    for version, batch in enumerate([found((1, "a", "p", "red"), (2, "b", "p", None), (3, "a", "p", "ring")), found((4, "a", "p", "old"), (5, "a", "q", "red"), (6, "b", "q", None)), observed(spark, (7, "a", "r"))], 1):
+        tables.write_items(ingest.upsert(tables.read_items(spark, root), batch, scratch_dir(spark, "t")).items, root, version)
+    assert {r["item_id"]: (r["raw_json"], r["search_terms"]) for r in tables.read_items(spark, root).collect()} == {"a": ("r", ["old", "red", "ring"]), "b": ("q", None)}
+
+
+def test_one_shuffle_by_item(spark):
+    """Classes, the current row and counters of a batch share one exchange."""
+    plan = merge.merged(spark.createDataFrame([], ITEMS), spark.createDataFrame([], OBSERVATIONS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_page_files_and_display(spark, tmp_path):

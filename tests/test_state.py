@@ -50,6 +50,10 @@ def test_item_ids(spark):
         ({"id": 7}, "7"),
         ({"id": "a"}, "a"),
         ({"id": True}, "True"),
+        ({"id": "False"}, "False"),
+        ({"id": "0"}, "0"),
+        ({"id": 0.0, "itemId": [], "eventItemId": 1.5}, "1.5"),
+        ({"id": {"a": 1}}, '{"a":1}'),
         ({"id": 0, "itemId": 8}, "8"),
         ({"id": "", "eventItemId": 9}, "9"),
         ({"__typename": "Lot", "id": 0}, "lot-0"),
@@ -77,9 +81,7 @@ def test_references_are_inlined(spark):
     }
     rows = entities.payloads(lots_of(spark, state)).collect()
     got = {r["key"]: json.loads(r["raw_json"]) for r in rows}
-    assert got["Lot:1"] == {"id": 1, "auction_data": {"__typename": "Auction", "id": 9, "v": "alias"}, "lot_state_data": None, "auction_ref": "Auction:9", "lot_state_ref": "S"} or got["Lot:1"] == {
-        "id": 1, "auction_data": {"__typename": "Auction", "id": 9, "v": "alias"}, "auction_ref": "Auction:9", "lot_state_ref": "S"
-    }
+    assert got["Lot:1"] == {"id": 1, "auction_data": {"__typename": "Auction", "id": 9, "v": "alias"}, "lot_state_data": None, "auction_ref": "Auction:9", "lot_state_ref": "S"}
     assert got["Lot:2"] == {"id": 2, "auction_ref": "Auction:8", "lot_state_ref": "none"}
     assert got["Lot:3"] == {"id": 3, "auction": {"name": "plain"}, "lotState": 4}
 
@@ -90,6 +92,58 @@ def test_repeated_keys_take_the_last(spark):
     assert [r["item_id"] for r in entities.lots(entities.page_states(page(spark, script(text)))).collect()] == ["2"]
 
 
+def test_repeated_cache_keys_take_the_last(spark):
+    prepare(spark)
+    text = '{"apollo.state":{"x":1},"apollo.state":{"Lot:1":{"id":1},"Lot:2":{"id":2},"Lot:1":{"id":3}}}'
+    rows = entities.lots(entities.page_states(page(spark, script(text)))).collect()
+    assert [(r["pos"], r["key"], r["item_id"]) for r in rows] == [(0, "Lot:1", "3"), (1, "Lot:2", "2")]
+
+
+def texts(spark, *htmls):
+    from lotlake.functions import state
+
+    rows = spark.createDataFrame(list(enumerate(htmls)), "k int, html string").select("k", state.state_text(F.col("html")).alias("text"))
+    return [r["text"] for r in rows.orderBy("k").collect()]
+
+
+def test_scripts_are_found_by_tokens(spark):
+    own = '<script id="page-state">{}</script>'
+    cases = {
+        '<script data-x="a>b" id="page-state">{"a":"<b>"}</script>': '{"a":"<b>"}',
+        "<SCRIPT type=a ID = 'page-state' >x</SCRIPT >": "x",
+        f"<!-- {own} --><p>{own.replace('{}', '1')}": "1",
+        f"<!-- never closed {own}": None,
+        f"<div title='{own}'></div>": None,
+        f"<div title='{own}'>{own}": "{}",
+        f"<style>{own}</style><title>{own}</title><textarea>{own}</textarea>": None,
+        f"<b title=it's>it's</b> < > \" {own}": "{}",
+        "<script>var s = '<!--';</script>" + own: "{}",
+        '<script id="page-state">a\n\nb</script><script id="page-state">c</script>': "a\n\nb",
+        '<script data-id="page-state" x=" id=page-state ">a</script><scripts id="page-state">b</scripts>': None,
+        '<script id="page-state">open to the end': "open to the end",
+        '<script id="page-state"></script>': None,
+        '<script id="page-state"': None,
+        "": None,
+    }
+    assert texts(spark, *cases, None) == [*cases.values(), None]
+
+
+def test_large_pages_take_linear_time(spark):
+    import time
+
+    state = '{"a":"' + "<x> ' " * 300_000 + '"}'
+    noise = "<a href='y'>it's</a> < b > \" ' " * 150_000
+    pages = [f'{noise}<script id="page-state">{state}</script>', noise * 2, "<script " + 'a="' * 2_000_000, "<!--" * 2_000_000, '<script id="page-state" ' + "b=c " * 1_000_000 + ">{}</script>"]
+    began = time.time()
+    got = texts(spark, *pages)
+    assert [g and len(g) for g in got] == [len(state), None, None, None, 2] and time.time() - began < 30
+
+
+def test_ok_pages_are_parsed_once(spark):
+    plan = entities.lots(entities.page_states(page(spark, "")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("struct<__typename") + plan.count("StructField(__typename") <= 2
+
+
 def test_resolution_stays_in_the_row(spark):
     plan = lots_of(spark, {"Lot:1": {"id": 1}})._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
