@@ -19,6 +19,11 @@ def first_seen(lots: DataFrame) -> DataFrame:
     return ids.groupBy(*CRAWL, "item_id").agg(F.min(F.struct("page", "pos")).alias("at")).select(*CRAWL, "item_id", "at.page", "at.pos")
 
 
+def without_id(lots: DataFrame) -> DataFrame:
+    """Rows (run_id, category_idx, n_lots): lots that yield no id. They are dropped without counting as errors."""
+    return lots.groupBy(*CRAWL).agg(F.count_if(F.col("item_id").isNull()).alias("n_lots")).where("n_lots > 0")
+
+
 def page_counts(states: DataFrame, lots: DataFrame, firsts: DataFrame) -> DataFrame:
     """One row per page: status, errors, lots in its state, lots new in its category."""
     key = [*CRAWL, "page"]

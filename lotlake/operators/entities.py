@@ -18,8 +18,11 @@ def page_states(pages: DataFrame, script_id: str = S.SCRIPT_ID) -> DataFrame:
     return rows.select(*KEY, "status", S.page_errors(F.col("status")).alias("errors"), F.when(F.col("status") == "ok", F.col("state")).alias("state"))
 
 
-def lots(states: DataFrame) -> DataFrame:
-    """One row per lot of a page, with its position, id and what its references lead to. Narrow: lookups stay in the row."""
+def lots(states: DataFrame, pages_too: bool = False) -> DataFrame:
+    """One row per lot of a page, with its position, id and what its references lead to. Narrow: lookups stay in the row.
+
+    pages_too: with status and errors, and one row more for each page, whose other columns are null.
+    """
 
     def resolved(entry):
         auction_ref, state_ref = entry["facts"]["auction"]["__ref"], entry["facts"]["lotState"]["__ref"]
@@ -41,7 +44,10 @@ def lots(states: DataFrame) -> DataFrame:
     rows = states.withColumn("entries", entries)
     rows = rows.withColumn("auctions", S.auction_index(F.col("entries")))
     found = F.transform(F.filter("entries", lambda e: S.is_kind(e["key"], e["facts"], "Lot")), resolved)
-    return rows.select(*KEY, F.inline(found)).withColumn("item_id", S.item_id(F.col("facts"))).drop("facts")
+    if pages_too:
+        found = F.concat(F.array(F.lit(None)), F.coalesce(found, F.array()))
+    shown = [*KEY, "status", "errors"] if pages_too else KEY
+    return rows.select(*shown, F.inline(found)).withColumn("item_id", S.item_id(F.col("facts"))).drop("facts")
 
 
 def payloads(rows: DataFrame) -> DataFrame:

@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotlake.operators import dedup, entities, merge, runs
 
 
+class PageRows(NamedTuple):
+    """states: a row a page (KEY, status, errors). lots: slim rows (KEY, pos, item_id)."""
+
+    states: DataFrame
+    lots: DataFrame
+
+
+def page_rows(pages: DataFrame, scratch: str) -> PageRows:
+    """What page order is decided by, from one parse of the pages: stored under `scratch` as a row a lot, and one without position a page."""
+    rows = entities.lots(entities.page_states(pages), pages_too=True).select(*entities.KEY, "status", "errors", "pos", "item_id")
+    found = stored(rows, f"{scratch}/slim")
+    return PageRows(found.where("pos IS NULL").select(*entities.KEY, "status", "errors"), found.where("pos IS NOT NULL").select(*entities.KEY, "pos", "item_id"))
+
+
 class Crawl(NamedTuple):
     """observed: rows (run_id, category_idx, category, page, pos, item_id, raw_json) that the crawl takes.
     pages: the pages it got to, with counts."""
@@ -24,25 +38,19 @@ def crawl(pages: DataFrame, scratch: str, limit: int | None = None, short: int =
     Decisions are made on slim rows, which are stored under `scratch` (a shared folder) so that the pages are
     parsed twice in all: for them, and for the payloads of the lots that are taken.
     """
-    states = entities.page_states(pages)
-    lots = entities.lots(states)
-    # one row per lot, and one with a null position per page
-    listed = lots.select(*entities.KEY, F.lit("ok").alias("status"), F.lit(0).alias("errors"), "pos", "item_id")
-    bare = states.select(*entities.KEY, "status", "errors", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("item_id"))
-    found = stored(listed.unionByName(bare), f"{scratch}/slim")
-    states = found.where("pos IS NULL").select(*entities.KEY, "status", "errors")
-    slim = found.where("pos IS NOT NULL").select(*entities.KEY, "pos", "item_id")
-    firsts = dedup.first_seen(slim)
-    got = dedup.reached(dedup.page_counts(states, slim, firsts), short, limit)
+    found = page_rows(pages, scratch)
+    firsts = dedup.first_seen(found.lots)
+    got = dedup.reached(dedup.page_counts(found.states, found.lots, firsts), short, limit)
     if limit is not None:
         got = dedup.within_run_limit(got, limit)
     taken = dedup.emitted(firsts, got)
-    rows = lots.join(taken.select("run_id", "category_idx", "page", "pos", "nth"), ["run_id", "category_idx", "page", "pos"])
+    rows = entities.lots(entities.page_states(pages)).join(taken.select("run_id", "category_idx", "page", "pos", "nth"), ["run_id", "category_idx", "page", "pos"])
     return Crawl(entities.payloads(rows), got)
 
 
-def observations(observed: DataFrame, zip_code: str, radius_miles: int, scraped_at) -> DataFrame:
-    """Observations in arrival order: seq is (run, category, place in its results)."""
+def observations(observed: DataFrame, zip_code: str, radius_miles: int, scraped_at, search_term: Column | None = None) -> DataFrame:
+    """Observations in arrival order: seq is (run, category, place in its results). search_term: what the crawl searched for, if for anything."""
+    term = [] if search_term is None else [search_term.alias("search_term")]
     seq = F.struct("run_id", "category_idx", F.col("nth").cast("bigint").alias("nth"))
     return observed.select(
         "run_id",
@@ -53,6 +61,7 @@ def observations(observed: DataFrame, zip_code: str, radius_miles: int, scraped_
         F.lit(zip_code).alias("zip_code"),
         F.lit(radius_miles).alias("radius_miles"),
         "category",
+        *term,
     )
 
 

@@ -13,7 +13,7 @@ from lotlake.plans import ingest, models
 from lotlake.schemas import ITEMS
 from lotlake.session import prepare
 from lotlake.sources import fixtures, tables
-from lotlake.sources.pages import frontier, read_pages
+from lotlake.sources.pages import frontier, read_html, read_pages, requested_pages
 from lotlake.sources.scratch import scratch_dir
 from lotlake.streaming import upsert
 
@@ -105,11 +105,9 @@ def _lots(spark: SparkSession, sf_dir: str, **kind) -> DataFrame:
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pages = ingest.stored(fixtures.pages(spark, sf_dir, faults=True), f"{scratch_dir(spark, 'pages')}/pages")
-    states = entities.page_states(pages)
-    slim = ingest.stored(entities.lots(states).select(*entities.KEY, "pos", "item_id"), f"{scratch_dir(spark, 'lots')}/slim")
-    firsts = dedup.first_seen(slim)
-    return firsts, dedup.page_counts(states, slim, firsts)
+    found = ingest.page_rows(fixtures.pages(spark, sf_dir, faults=True), scratch_dir(spark, "crawl"))
+    firsts = dedup.first_seen(found.lots)
+    return firsts, dedup.page_counts(found.states, found.lots, firsts)
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +137,15 @@ def search_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier(requests.withColumns({"zip_code": F.lit("04217"), "radius_miles": F.lit(25)}), "https://lots.example", 20)
 
 
+@query("""WITH t AS (SELECT DISTINCT p_name AS term FROM part) SELECT CAST(1 AS BIGINT) AS run_id, term AS search_term, CAST(n AS INTEGER) AS page,
+    'https://lots.example/lots/?status=open&zip=04217&miles=25&apage=' || n || '&ipp=100&q=' || replace(term, ' ', '+') AS url FROM t, range(1, 4) r(n)""")
+def term_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to fetch for each search term, here all names of parts."""
+    terms = fixtures.table(spark, sf_dir, "part").select(F.col("p_name").alias("search_term")).distinct()
+    asked = terms.withColumns({"run_id": F.lit(1).cast("bigint"), "categories": F.lit(None).cast("string"), "zip_code": F.lit("04217"), "radius_miles": F.lit(25)})
+    return frontier(asked, "https://lots.example", 3).select("run_id", "search_term", "page", "url")
+
+
 @query(f"""WITH {_FAULTS} SELECT status, count(*) AS n_pages, CAST(sum(errors) AS BIGINT) AS errors FROM (
     SELECT status, errors FROM page_list UNION ALL SELECT 'no_script', 0 FROM pages) GROUP BY status""")
 def page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,6 +159,24 @@ def page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.groupBy("status").agg(F.count("*").alias("n_pages"), F.sum("errors").alias("errors"))
 
 
+@query("""SELECT page_id, CASE WHEN page_id % 50 = 8 THEN 'fetch_failed' WHEN page_id % 50 = 7 THEN 'empty_body' ELSE 'no_script' END AS status, CASE WHEN page_id % 50 = 8 THEN 1 ELSE 0 END AS errors,
+    CASE WHEN page_id % 50 = 8 THEN NULL WHEN page_id % 50 = 7 THEN 0 ELSE length(html) END AS n_chars FROM pages""")
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages as raw files, read back against the list of what was asked for. Some files are empty, some aren't there."""
+    raw, path = fixtures.table(spark, sf_dir, "pages").select("page_id", "html"), scratch_dir(spark, "files")
+    place = F.col("page_id") % 50
+    # Spark's text writer ends each file with a line break, which is taken off again; a file of no rows is empty
+    raw.where(~place.isin(7, 8)).select(F.concat(F.lit("p"), "page_id").alias("name"), "html").repartition("name").write.partitionBy("name").text(path)
+    for r in raw.where(place == 7).select("page_id").collect():  # one page in 50
+        spark.createDataFrame([], "html string").coalesce(1).write.text(f"{path}/name=p{r['page_id']}")
+    files = read_html(spark, path).withColumn("html", F.regexp_replace("html", r"\n\z", ""))
+    asked = raw.select(F.lit(1).cast("bigint").alias("run_id"), F.lit(0).alias("category_idx"), F.lit(None).cast("string").alias("category"), F.col("page_id").cast("int").alias("page"), "page_id")
+    pages = requested_pages(asked, files, F.concat(F.lit("p"), "page_id"), F.regexp_extract("url", "name=(p[0-9]+)/", 1))
+    pages = ingest.stored(pages, f"{scratch_dir(spark, 'asked')}/pages")
+    states = entities.page_states(pages).select("page", "status", "errors")
+    return pages.select("page", "page_id", F.length("html").alias("n_chars")).join(states, "page").select("page_id", "status", "errors", "n_chars")
+
+
 # entities
 
 
@@ -227,15 +252,20 @@ def full_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_page.join(per_item, "category_idx", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
 
 
-@query(f"""WITH {_LOTS} SELECT p_type AS category, count(*) AS n_lots, count(DISTINCT number) AS n_items FROM placed WHERE p_type IN ('PROMO', 'SMALL') GROUP BY p_type
-    UNION ALL SELECT NULL, count(*), count(DISTINCT number) FROM placed WHERE p_type = 'LARGE'""")
+@query(f"""WITH {_LOTS} SELECT nullif(p_type, 'LARGE') AS category, count(*) AS n_lots, count(DISTINCT number) AS n_items FROM placed GROUP BY p_type""")
 def gather_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lots of two categories and of a pass without one, one after the other; repeats stay."""
+    """Lots of five categories and of a pass without one, one after the other; repeats stay."""
     found = ingest.stored(_lots(spark, sf_dir).select("category", "item_id"), f"{scratch_dir(spark, 'gather')}/lots")
-    parts = [(label, found.where(F.col("category") == kind).drop("category")) for label, kind in (("PROMO", "PROMO"), ("SMALL", "SMALL"), (None, "LARGE"))]
+    kinds = [r[0] for r in found.select("category").distinct().orderBy("category").collect()]  # six
+    parts = [(None if kind == "LARGE" else kind, found.where(F.col("category") == kind).drop("category")) for kind in kinds]
     return dedup.gathered(*parts).groupBy("category").agg(F.count("*").alias("n_lots"), F.count_distinct("item_id").alias("n_items"))
 
 
+@query(f"WITH {_LOTS} SELECT category_idx, count(*) AS n_lots FROM placed WHERE l_partkey % 6 = 5 GROUP BY category_idx")
+def lots_without_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.without_id(_lots(spark, sf_dir, ids="mixed")).drop("run_id")
+
+
 @query(f"""WITH {_FAULTS}, page_sum AS (SELECT CAST(sum(errors) AS BIGINT) AS errors, count(*) FILTER (status = 'ok') AS pages_scraped, CAST(sum(CASE WHEN emits THEN n_new ELSE 0 END) AS BIGINT) AS lots_found FROM seen),
     got_lots AS (
       SELECT *, lag(payload) OVER (PARTITION BY item_id ORDER BY category_idx, page, pos) AS prior
@@ -258,6 +288,24 @@ def run_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.join(met.select(F.col("run_id").alias("id"), "pages_scraped", "lots_found"), "id").select("id", "status", "items_found", "items_added", "items_updated", "errors", "pages_scraped", "lots_found")
 
 
+@query(f"""WITH {_FAULTS}, page_sum AS (SELECT CAST(sum(errors) AS INTEGER) AS errors, CAST(sum(CASE WHEN emits THEN n_new ELSE 0 END) AS INTEGER) AS found FROM seen)
+    SELECT CAST(id AS BIGINT) AS id, status, found AS items_found, 0 AS items_added, 0 AS items_updated, CAST(errors + CASE WHEN status = 'failed' THEN 1 ELSE 0 END AS INTEGER) AS errors
+    FROM page_sum, (VALUES (2, 'failed'), (3, 'interrupted')) t(id, status)""")
+def failed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows of a crawl that failed and of one that was interrupted: page errors and found lots count, stored items don't."""
+    scratch = scratch_dir(spark, "crawl")
+    pages = ingest.stored(fixtures.pages(spark, sf_dir, faults=True).withColumn("run_id", F.explode(F.array(F.lit(2).cast("bigint"), F.lit(3).cast("bigint")))), f"{scratch}/pages")
+    done = ingest.crawl(pages, scratch)
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    batch = ingest.stored(ingest.observations(done.observed, "04217", 25, at), f"{scratch}/observations")
+    started = spark.range(2, 4).select(
+        F.col("id").alias("run_id"), at.alias("started_at"), at.alias("completed_at"), F.lit("04217").alias("zip_code"), F.lit(25).alias("radius_miles"), F.lit(False).alias("test_mode"),
+        F.when(F.col("id") == 2, "failed").otherwise("interrupted").alias("status"),
+    )
+    audit = runs.finished(started, ingest.counters(_no_items(spark), batch), ingest.stored(runs.page_totals(done.pages), f"{scratch}/met"))
+    return audit.select("id", "status", "items_found", "items_added", "items_updated", "errors")
+
+
 # merge
 
 
@@ -300,6 +348,20 @@ def surrogate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.with_ids(new, f"{scratch}/ranges").select("item_id", F.col("id").cast("bigint").alias("id"))
 
 
+@query(f"""WITH {_ITEMS}, f AS (SELECT item_id, term FROM items JOIN (VALUES ('gear'), ('old'), ('red'), ('ring')) t(term) ON lead ILIKE '%' || term || '%')
+    SELECT item_id, string_agg(term, ',' ORDER BY term) AS search_terms, count(*) AS n_terms FROM f GROUP BY item_id""")
+def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches for two terms are merged, then searches for two more: an item keeps every term that has found it."""
+    listed, root = ingest.stored(fixtures.items(spark, sf_dir), f"{scratch_dir(spark, 'listed')}/items"), scratch_dir(spark, "items")
+    for version, terms in enumerate((["red", "gear"], ["ring", "old"]), 1):
+        found = models.tagged(listed, terms, P.field(F.col("raw_json"), "lead"))
+        batch = found.select(F.lit(version).cast("bigint").alias("run_id"), F.struct("search_term", "id").alias("seq"), "item_id", "raw_json", "scraped_at", "zip_code", "radius_miles", "category", "search_term")
+        work = scratch_dir(spark, "merge")
+        done = ingest.upsert(tables.read_items(spark, root), ingest.stored(batch, f"{work}/batch"), work)
+        tables.write_items(done.items, root, version)
+    return tables.read_items(spark, root).select("item_id", F.array_join("search_terms", ",").alias("search_terms"), F.size("search_terms").cast("bigint").alias("n_terms"))
+
+
 # runs
 
 
@@ -351,10 +413,11 @@ def item_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_OBS} SELECT seq, {_sql_text('scraped_at')}, epoch_us(scraped_at) % 1000000 AS micros FROM obs")
 def text_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Times stored as text in either form, read back."""
+    """Times stored as text, with T or a blank, with and without fraction and offset, read back."""
     form = lambda pattern: F.date_format("scraped_at", pattern)
     text = F.when(F.col("seq") % 2 == 0, form("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).otherwise(form("yyyy-MM-dd HH:mm:ss.SSSSSS"))
     text = F.when(F.unix_micros("scraped_at") % 1_000_000 == 0, F.left(text, F.lit(19))).otherwise(text)
+    text = F.when(F.col("seq") % 3 == 0, F.concat(text, F.lit("+00:00"))).otherwise(text)
     read = fixtures.observations(spark, sf_dir).withColumn("scraped_at", P.stored_time(text))
     return read.select("seq", _text("scraped_at"), (F.unix_micros("scraped_at") % 1_000_000).alias("micros"))
 
@@ -443,13 +506,13 @@ def recent_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 # checks and models
 
 
-@query(f"""WITH {_ITEMS}, d AS (SELECT number FROM lots GROUP BY number HAVING count(*) > 1)
-    SELECT 'repeated item_id' AS check_name, count(*) AS n FROM d UNION ALL SELECT 'null category', count(*) FILTER (category IS NULL) FROM items
+@query(f"""WITH {_ITEMS} SELECT 'repeated item_id' AS check_name, count(*) FILTER (CAST(item_id AS BIGINT) % 1000 = 1) AS n FROM items UNION ALL SELECT 'null category', count(*) FILTER (category IS NULL) FROM items
     UNION ALL SELECT 'null zip_code', count(*) FILTER (zip_code IS NULL) FROM items UNION ALL SELECT 'null raw_json', 0""")
 def dup_and_null_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lots = fixtures.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"))
-    twice = quality.repeated(lots, "item_id").agg(F.lit("repeated item_id").alias("check_name"), F.count("*").alias("n"))
-    empty = quality.nulls(fixtures.items(spark, sf_dir), ["category", "zip_code", "raw_json"])
+    """An item table into which some rows were written twice."""
+    items = fixtures.items(spark, sf_dir)
+    twice = quality.repeated(items.unionByName(items.where("id % 1000 = 1")), "item_id").agg(F.lit("repeated item_id").alias("check_name"), F.count("*").alias("n"))
+    empty = quality.nulls(items, ["category", "zip_code", "raw_json"])
     return twice.unionByName(empty.select(F.concat(F.lit("null "), "column_name").alias("check_name"), F.col("n_null").alias("n")))
 
 
@@ -470,19 +533,28 @@ def stg_auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.staged_auctions(models.staged_items(fixtures.items(spark, sf_dir)))
 
 
+@query(f"""WITH {_ITEMS} SELECT auction_ref, arg_max(event_name || ' ' || item_id, strftime(scraped_at, '%Y-%m-%d') || item_id) AS event_name, count(*) AS n_items FROM items GROUP BY auction_ref""")
+def newest_auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item says something else about its auction; the newest one counts, of equally new ones the largest id."""
+    staged = models.staged_items(fixtures.items(spark, sf_dir)).withColumn("event_name", F.concat_ws(" ", "event_name", "item_id"))
+    return models.staged_auctions(staged).select("auction_ref", "event_name", "n_items")
+
+
 @query(f"WITH {_ITEMS} SELECT item_id, lead, auction_ref, event_name, event_city, count(*) OVER (PARTITION BY auction_ref) AS auction_items FROM items")
 def fct_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     staged = models.staged_items(fixtures.items(spark, sf_dir))
     return models.fact_items(staged, models.staged_auctions(staged)).select("item_id", "lead", "auction_ref", "event_name", "event_city", "auction_items")
 
 
-@query(f"WITH {_OBS} SELECT 'run-' || run_id AS sys_run_name, count(*) AS n FROM obs WHERE run_id % 2 = 1 GROUP BY 1")
+@query(f"WITH {_OBS} SELECT 'run-' || run_id AS sys_run_name, count(*) AS n, CASE WHEN run_id % 2 = 0 THEN 1 ELSE 2 END AS build FROM obs GROUP BY run_id")
 def incremental_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of even number are in the target already, as a table partitioned by run."""
-    source = fixtures.observations(spark, sf_dir).withColumn("sys_run_name", F.concat(F.lit("run-"), F.col("run_id").cast("string")))
-    path = scratch_dir(spark, "facts")
-    models.append_runs(source.where("run_id % 2 = 0"), path)
-    return models.new_runs(source, spark.read.parquet(path)).groupBy("sys_run_name").agg(F.count("*").alias("n"))
+    """Runs of even number are built, a build of some others dies half way; the next build adds what isn't whole and nothing else."""
+    source, path = fixtures.observations(spark, sf_dir).withColumn("sys_run_name", F.concat(F.lit("run-"), F.col("run_id").cast("string"))), scratch_dir(spark, "facts")
+    model = lambda build: lambda rows: rows.select("sys_run_name", "seq", "item_id", "raw_json", F.lit(build).alias("build")).repartition("sys_run_name")
+    models.build_runs(source.where("run_id % 2 = 0"), path, model(1))
+    model(0)(source.where("run_id % 10 = 3 AND seq % 2 = 0")).write.mode("append").partitionBy("sys_run_name").parquet(path)
+    models.build_runs(source, path, model(2))
+    return spark.read.parquet(path).groupBy("sys_run_name").agg(F.count("*").alias("n"), F.max("build").alias("build"))
 
 
 @query(f"WITH {_ITEMS} SELECT term AS search_term, category, count(*) AS n FROM items JOIN (VALUES ('red'), ('gear'), ('plate')) t(term) ON lead ILIKE '%' || term || '%' GROUP BY ALL")
@@ -494,10 +566,10 @@ def search_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # streaming
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stream(spark: SparkSession, sf_dir: str, shuffled: bool = False) -> DataFrame:
     """The events as files that have arrived in a folder."""
     landed, path = fixtures.table(spark, sf_dir, "events"), scratch_dir(spark, "landing")
-    landed.write.parquet(path)
+    (landed.repartition(8, F.xxhash64("event_id")) if shuffled else landed).write.parquet(path)
     e = spark.readStream.schema(landed.schema).parquet(path)
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -513,6 +585,20 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("run_id", "category", "item_id").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {_OBS}, p AS (SELECT run_id, category, item_id, hour(scraped_at) AS page, seq AS pos FROM obs)
+    SELECT run_id, category, item_id, CAST(page AS INTEGER) AS page, pos FROM (SELECT *, row_number() OVER (PARTITION BY run_id, category, item_id ORDER BY page, pos) AS nth FROM p) WHERE nth = 1
+    AND run_id < (SELECT max(run_id) FROM p)""")
+def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First places in page order though events arrive shuffled; the last day's run is still open."""
+    day = F.to_date("ts")
+    rows = _stream(spark, sf_dir, shuffled=True).select(
+        F.date_diff(day, F.lit("2020-01-01").cast("date")).cast("bigint").alias("run_id"), F.col("event_type").alias("category_idx"), F.col("user_id").cast("string").alias("item_id"), F.hour("ts").alias("page"), F.col("event_id").alias("pos"), day.cast("timestamp").alias("started_at")
+    )
+    out, at = scratch_dir(spark, "firsts"), scratch_dir(spark, "stream")
+    upsert.first_in_order(rows, "1 day").writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("run_id", F.col("category_idx").alias("category"), "item_id", "page", "pos")
+
+
 @query(_MERGED_SQL)
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The merge as a stream over the events, read back from the last snapshot."""

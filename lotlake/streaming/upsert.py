@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lotlake.plans.ingest import stored, upsert
@@ -18,6 +19,10 @@ def first_arrivals(lots: DataFrame, late: str = "1 hour", time: str = "fetched_a
     return lots.withWatermark(time, late).dropDuplicatesWithinWatermark(["run_id", "category_idx", "item_id"])
 
 
+#: The table in a checkpoint folder that names its stream.
+_NAME = "stream-name"
+
+
 def stream_name(spark: SparkSession, checkpoint: str) -> str:
     """The name of the stream that a checkpoint folder belongs to, made when it is first asked for and kept in the folder."""
     path = f"{checkpoint}/{_NAME}"
@@ -27,7 +32,16 @@ def stream_name(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.text(path).first()[0]
 
 
-_NAME = "stream-name"
+def first_in_order(lots: DataFrame, late: str = "1 hour", started: str = "started_at") -> DataFrame:
+    """Where each item comes first in a run's category by page and position, whatever order pages arrive in.
+
+    Rows (run_id, category_idx, item_id, started, page, pos), for append mode: a run's come once the watermark, `late`
+    behind the newest start of a run, has passed its start, and its state goes then. started: when the run of a row began,
+    the same for all its rows; rows that arrive later than that are dropped. Lots without an id are left out.
+    """
+    ids = lots.where(F.col("item_id").isNotNull()).withWatermark(started, late)
+    first = ids.groupBy("run_id", "category_idx", "item_id", started).agg(F.min(F.struct("page", "pos")).alias("at"))
+    return first.select("run_id", "category_idx", "item_id", started, "at.page", "at.pos")
 
 
 def merge_batch(root: str, counters: str, mode: str = "text", buckets: int | None = None, stream: str = "main") -> Callable[[DataFrame, int], None]:

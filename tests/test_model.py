@@ -8,11 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotlake.functions import payload
-from lotlake.operators import dedup, merge, numbering
-from lotlake.plans import ingest
+from lotlake.operators import dedup, entities, merge, numbering, runs
+from lotlake.plans import ingest, models
 from lotlake.schemas import ITEMS, OBSERVATIONS
 from lotlake.sources import tables
-from lotlake.sources.pages import read_html
+from lotlake.sources.pages import frontier, read_html, requested_pages
 from lotlake.sources.scratch import scratch_dir
 from lotlake.streaming import upsert
 
@@ -297,14 +297,81 @@ def test_one_shuffle_by_item(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
-def test_page_files_and_display(spark, tmp_path):
-    for k, text in enumerate(["<a>\n</a>", "", "é"]):
-        (tmp_path / f"{k}.html").write_text(text, encoding="utf-8")
-    got = {r["url"][-6:]: r["html"] for r in read_html(spark, str(tmp_path)).collect()}
-    assert got == {"0.html": "<a>\n</a>", "1.html": "", "2.html": "é"} or got == {"0.html": "<a>\n</a>", "2.html": "é"}
+def test_page_files(spark, tmp_path):
+    """Empty files are empty pages, pages without a file weren't fetched, files that nobody asked for don't count."""
+    for name, data in {"0 +%.html": b"<a>\n</a>", "1.html": b"", "2.html": "é".encode() + b"\xff", "sub/3.html": b"", "9.html": b"x"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    files = read_html(spark, str(tmp_path))
+    assert {r["url"].rsplit("/", 1)[-1]: r["html"] for r in files.collect()} == {"0%20+%25.html": "<a>\n</a>", "1.html": "", "2.html": "é\ufffd", "3.html": "", "9.html": "x"}
+    asked = spark.createDataFrame([(1, 0, None, k) for k in (1, 2, 3, 4)], "run_id long, category_idx int, category string, page int")
+    pages = requested_pages(asked, files, F.col("page").cast("string"), F.regexp_extract("url", r"(\d+)\.html$", 1))
+    assert {r["page"]: r["html"] for r in pages.collect()} == {1: "", 2: "é\ufffd", 3: "", 4: None}
+    states = entities.page_states(pages).collect()
+    assert {r["page"]: (r["status"], r["errors"]) for r in states} == {1: ("empty_body", 0), 2: ("no_script", 0), 3: ("empty_body", 0), 4: ("fetch_failed", 1)}
+
+
+def test_terms_in_urls(spark):
+    asked = spark.createDataFrame([(1, "art", "04217", 25, "red ring & é"), (2, None, "04217", 25, None), (3, None, "04217", 25, "")], "run_id long, categories string, zip_code string, radius_miles int, search_term string")
+    got = {r["run_id"]: (r["url"], r["search_term"]) for r in frontier(asked, "b", 1).collect()}
+    plain = "?status=open&zip=04217&miles=25&apage=1&ipp=100"
+    assert got == {1: (f"b/lots/art/{plain}&q=red+ring+%26+%C3%A9", "red ring & é"), 2: (f"b/lots/{plain}", None), 3: (f"b/lots/{plain}", "")}
+
+
+def test_lots_without_id(spark):
+    lots = spark.createDataFrame([(1, 0, None), (1, 0, "a"), (1, 1, "b"), (2, 0, None), (2, 0, None)], "run_id long, category_idx int, item_id string")
+    assert {tuple(r) for r in dedup.without_id(lots).collect()} == {(1, 0, 1), (2, 0, 2)}
+
+
+def test_failed_runs_keep_page_errors(spark):
+    started = spark.createDataFrame([(k, None, None, "z", 10, False, s) for k, s in enumerate(["completed", "failed", "interrupted"])], "run_id long, started_at timestamp, completed_at timestamp, zip_code string, radius_miles int, test_mode boolean, status string")
+    changes = spark.createDataFrame([(k, 5, 3, 2) for k in range(3)], "run_id long, items_found long, items_added long, items_updated long")
+    pages = spark.createDataFrame([(k, 4, 7, 5) for k in range(3)], "run_id long, errors long, pages_scraped long, lots_found long")
+    got = {r["status"]: (r["items_found"], r["items_added"], r["items_updated"], r["errors"]) for r in runs.finished(started, changes, pages).collect()}
+    assert got == {"completed": (5, 3, 2, 4), "failed": (5, 0, 0, 5), "interrupted": (5, 0, 0, 4)}
+
+
+def test_builds_go_on_where_they_ended(spark):
+    """A run that is whole keeps its files; one that a dead writer left half is replaced; a build without new runs writes nothing."""
+    path = scratch_dir(spark, "facts")
+    rows = lambda *runs, n=4: spark.createDataFrame([(f"run {r}:00", k, "x") for r in runs for k in range(n)], "sys_run_name string, seq long, v string")
+    models.build_runs(rows("1", "2"), path)
+    files = lambda: {f"{d}/{f}" for d, _, names in os.walk(path.removeprefix("file://")) for f in names if f.startswith("part") and models.DONE not in d}
+    before = files()
+    rows("3", n=2).write.mode("append").partitionBy("sys_run_name").parquet(path)  # cut off
+    models.build_runs(rows("1", "2", "3", "4", n=5), path, lambda r: r.withColumn("v", F.lit("y")))
+    got = sorted(tuple(r) for r in spark.read.parquet(path).groupBy("sys_run_name", "v").count().collect())
+    assert got == [("run 1:00", "x", 4), ("run 2:00", "x", 4), ("run 3:00", "y", 5), ("run 4:00", "y", 5)] and before <= files()
+    after = files()
+    models.build_runs(rows("1", "2", "3", "4"), path)
+    assert files() == after
+    assert sorted(r[0] for r in models.finished_runs(spark, path).collect()) == [f"run {k}:00" for k in (1, 2, 3, 4)]
+
+
+def test_first_seen_whatever_the_arrival(spark):
+    """Shuffled arrivals give what the batch form gives; state goes with the watermark."""
+    random.seed(9)
+    lots = [(run, c, p, q, random.choice([None, *"abcdefg"]), run) for run in range(8) for c in range(2) for p in range(1, 4) for q in range(4)]
+    random.shuffle(lots)
+    folder, out, at = scratch_dir(spark, "landing"), scratch_dir(spark, "out"), scratch_dir(spark, "at")
+    schema = "run_id long, category_idx int, page int, pos int, item_id string, day long"
+    query = None
+    for part in (sorted(lots, key=lambda r: r[0] // 2 * 2)[k : k + 48] for k in range(0, len(lots), 48)):  # two runs at a time, shuffled
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        rows = spark.readStream.schema(schema).parquet(folder).withColumn("started_at", F.timestamp_seconds((100 + F.col("day")) * 86_400))
+        query = upsert.first_in_order(rows, "1 day").writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select("run_id", "category_idx", "item_id", "page", "pos").collect())
+    batch = dedup.first_seen(spark.createDataFrame(lots, schema)).select("run_id", "category_idx", "item_id", "page", "pos").collect()
+    assert got == sorted(tuple(r) for r in batch if r["run_id"] < 7)  # the last run is open
+    left = sum(r["run_id"] == 7 for r in batch)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == left
+
+
+def test_display(spark):
     row = spark.range(1).select(
         payload.category_list(F.lit(" a,,b ,")).alias("set"), payload.category_list(F.lit(" a,,b ,"), keep_empty=True).alias("line"), payload.title(F.lit("x" * 80), 60).alias("title"), payload.title(F.lit(None).cast("string"), 60).alias("none"),
-        *[payload.stored_time(F.lit(t)).cast("string").alias(f"t{k}") for k, t in enumerate(["2024-01-02T03:04:05", "2024-01-02 03:04:05.25", "later"])],
+        *[payload.stored_time(F.lit(t)).cast("string").alias(f"t{k}") for k, t in enumerate(["2024-01-02T03:04:05", "2024-01-02 03:04:05.25", "later", "2024-01-02T05:04:05.5+02:00"])],
     ).first()
     assert row["set"] == ["a", "b"] and row["line"] == ["a", "", "b", ""] and row["title"] == "x" * 60 and row["none"] == "No title"
-    assert (row["t0"], row["t1"], row["t2"]) == ("2024-01-02 03:04:05", "2024-01-02 03:04:05.25", None)
+    assert (row["t0"], row["t1"], row["t2"], row["t3"]) == ("2024-01-02 03:04:05", "2024-01-02 03:04:05.25", None, "2024-01-02 03:04:05.5")
