@@ -1,9 +1,9 @@
 """Operator 4: exact n-gram Jaccard join with signature trees, as one component per document.
 
 1. Every text becomes its set of shingle hashes; of equal sets the smallest id stands for all.
-2. Sets that share one of their least hashes are held against the first and the last id that has it.
-   This finds nearly all links of large groups without making their pairs. It decides nothing: what it
-   links is verified (after a look at the bitmaps of step 3), what it misses is found below.
+2. Sets that share one of their LEADS least hashes make groups, each searched by a signature tree (see 3). Of the
+   pairs that a tree leaves, the most promising ones that connect the group are verified, so that a group
+   of near copies costs about a pair a member and not all pairs. What this round misses is found below.
 3. Exact search: two sets that link share a token of their prefixes, the first n - ceil(0.75 n) + 1 tokens
    in one global order. Tokens whose documents are all in one component already are left out. The others
    make groups, and each group a signature tree: nodes hold the OR of their
@@ -11,9 +11,9 @@
    possible overlap is too small, or that are in one component already. A group of over GROUP members has
    upper levels in a table, a row per block of members with its range of sizes and of components (a bitmap of
    so many is full): members are dealt to blocks by component, if it is a large one, or else by size, and only
-   the pairs of blocks that those ranges leave become trees. The search runs twice. The first
-   round takes each set's most promising pair in a share of the groups and joins most of what belongs
-   together, so that the second, which takes all pairs that are left in all groups, meets few.
+   the pairs of blocks that those ranges leave become trees. This search runs twice. The first
+   time it takes each set's most promising pair in a share of the groups and joins most of what belongs
+   together, so that the second time, when it takes all pairs that are left in all groups, it meets few.
 4. Pairs are verified on the texts' whole sets; components follow from the links.
 
 The global order puts frequent tokens last. They are listed from a share of the documents, at most
@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +42,10 @@ HOT_SHARE, HOT_DOCS, HOT_LIST = 32, 256, 200_000
 GROUP = 256
 #: Groups that a set is known by (see _search), and the share of groups that the first round searches.
 FIRST, BEST_SHARE = 8, 8
+#: What a round takes of the pairs that trees leave.
+ALL, BEST, FOREST = "all", "best", "forest"
+#: Members of a tree of the first round.
+LEAD_GROUP = 64
 #: Bits of a bitmap per token. Few shared bits by chance keep pairs with half their tokens in common from verification.
 WIDE = 4
 #: Members of a lowest node, and nodes under a node.
@@ -196,10 +199,26 @@ class _Tree:
         return i[ok], j[ok], share[ok]
 
 
-def candidates(n: np.ndarray, labels: np.ndarray, bitmaps: list[bytes], percent: int = PERCENT, best: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a group that may link and aren't in one component; no pair that links is missing.
+def _forest(a: np.ndarray, b: np.ndarray, share: np.ndarray, size: int) -> np.ndarray:
+    """Of pairs over `size` members those that join what more promising ones haven't joined: fewer than members, and they connect what all connect."""
+    root, kept = list(range(size)), []
+    for k in np.argsort(-share, kind="stable").tolist():
+        x, y = int(a[k]), int(b[k])
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[x] = y
+            kept.append(k)
+    return np.array(kept, dtype=np.int64)
 
-    best: only each member's most promising pair, for a first round.
+
+def candidates(n: np.ndarray, labels: np.ndarray, bitmaps: list[bytes], percent: int = PERCENT, mode: str = ALL) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a group that may link and aren't in one component; in mode ALL no pair that links is missing.
+
+    Modes for rounds before that: BEST has each member's most promising pair only, FOREST the most promising pairs that
+    connect all that may link.
     """
     order = np.argsort(n, kind="stable")
     sizes = n[order]
@@ -229,7 +248,10 @@ def candidates(n: np.ndarray, labels: np.ndarray, bitmaps: list[bytes], percent:
     if not one:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     a, b = np.concatenate(one), np.concatenate(two)
-    if best and len(a):
+    if mode == FOREST and len(a):
+        kept = _forest(a, b, np.concatenate(share), len(n))
+        a, b = a[kept], b[kept]
+    elif mode == BEST and len(a):
         order = np.argsort(-np.concatenate(share), kind="stable")
         ends = np.stack([a[order], b[order]], axis=1).ravel()
         first = np.unique(ends, return_index=True)[1] // 2
@@ -238,26 +260,6 @@ def candidates(n: np.ndarray, labels: np.ndarray, bitmaps: list[bytes], percent:
     return a, b
 
 
-def _plausible(percent: int):
-    """Arrow function over pairs (a, b, n of a, n of b, bitmaps): those whose largest possible overlap is enough."""
-
-    def run(batches):
-        for batch in batches:
-            na, nb = (batch.column(k).to_numpy() for k in (2, 3))
-            sizes = np.stack([pc.binary_length(batch.column(k)).to_numpy() // 8 for k in (4, 5)], axis=1).reshape(-1, 2)
-            most = np.zeros(len(na), dtype=np.int64)
-            for pair in np.unique(sizes, axis=0):
-                at = np.flatnonzero((sizes == pair).all(1))
-                x, y = (np.frombuffer(b"".join(batch.column(k).take(pa.array(at)).to_pylist()), dtype=np.uint64).reshape(len(at), -1) for k in (4, 5))
-                width = int(pair.min())
-                x, y = (np.bitwise_or.reduce(z.reshape(len(at), -1, width), axis=1) for z in (x, y))
-                both = x & y
-                most[at] = np.minimum(na[at] - np.bitwise_count(x ^ both).sum(1, dtype=np.int64), nb[at] - np.bitwise_count(y ^ both).sum(1, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(most * (100 + percent) >= percent * (na + nb)))
-
-    return run
-
-
 def _open(group: int):
     """Arrow function over (token, rep, label) sorted by token: the members of the tokens that hold two components or more.
 
@@ -303,10 +305,10 @@ def _edges(columns: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(new) + 1, [len(columns[0])]])
 
 
-def _search(percent: int, best: bool):
+def _search(percent: int, mode: str):
     """Arrow function over (gid, rep, n, label, bits, first) sorted by gid: candidate pairs.
 
-    first: the smallest gids of the set's groups. If two sets have one in common there, the least of those is
+    first (mode ALL): the smallest gids of the set's groups. If two sets have one in common there, the least of those is
     the least group that holds both, and only that group gives the pair.
     """
 
@@ -320,10 +322,10 @@ def _search(percent: int, best: bool):
             a, b = [], []
             edges = _edges([gid]).tolist()
             for s, e in zip(edges[:-1], edges[1:]):
-                i, j = candidates(n[s:e], label[s:e], bits[s:e], percent, best)
+                i, j = candidates(n[s:e], label[s:e], bits[s:e], percent, mode)
                 for c in range(0, len(i), _PAIRS):
                     x, y = i[c : c + _PAIRS] + s, j[c : c + _PAIRS] + s
-                    if not best:
+                    if mode == ALL:
                         shared = np.where(first[x][:, :, None] == first[y][:, None, :], first[x][:, :, None], _NONE).min((1, 2))
                         own = (shared == gid[s]) | (shared == _NONE)
                         x, y = x[own], y[own]
@@ -389,6 +391,22 @@ def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, per
     return found
 
 
+def _lead_groups(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (gid, rep): sets that share one of their least hashes, in groups of about LEAD_GROUP.
+
+    A hash that more sets have is several groups, by a hash of the set; its first and last set are in each of them, so that
+    groups of near copies hang together.
+    """
+    shown = reps.select("rep", F.explode("leads").alias("token"))
+    held = shown.groupBy("token").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.ceil(F.count("*") / F.lit(LEAD_GROUP)).alias("parts")).where("first < last")
+    held = scratch.save(held, "held")
+    part = F.pmod(F.xxhash64("rep", F.lit("lead")), F.col("parts"))
+    members = shown.join(held.select("token", "parts"), "token").select("token", part.alias("part"), "rep")
+    ends = held.where("parts > 1").select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "first", "last")
+    ends = ends.select("token", "part", F.explode(F.array("first", "last")).alias("rep"))
+    return members.unionByName(ends).select(F.xxhash64("token", "part").alias("gid"), "rep").distinct()
+
+
 def _labels(small: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Rows (rep, label): the component of every set under the links so far."""
     found = components(links, scratch).select(F.col("node").alias("rep"), F.col("component").alias("label"))
@@ -446,23 +464,21 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT
     scratch.drop("sets")
     release(spark)
 
-    shown = reps.select("rep", "n", F.explode("leads").alias("token"))
-    ends = shown.groupBy("token").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
-    ends = scratch.save(ends, "ends")
-    seen = shown.join(ends, "token")
-    stars = seen.select(F.col("first").alias("a"), F.col("rep").alias("b")).unionByName(seen.select(F.col("last").alias("a"), F.col("rep").alias("b")))
-    # each pair once, with the id that many are held against as `a`
-    stars = stars.where("a <> b").groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("a").alias("a")).select("a", (F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x"))).alias("b"))
-    side = lambda k: small.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
-    met = stars.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    stars = met.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_plausible(percent), "a long, b long")
-    near = verified(stars, known, scratch, "near", percent, shingle)
-    scratch.drop("ends")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def searched(members: DataFrame, mode: str, name: str) -> DataFrame:
+        """The candidate pairs (a, b) of trees over members (gid, rep, label, first)."""
+        rows = members.join(small, "rep").select("gid", "rep", "n", "label", "bits", "first").repartition(parts, "gid").sortWithinPartitions("gid")
+        pairs = rows.mapInArrow(_search(percent, mode), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
+        return scratch.save(pairs.distinct(), name)
+
+    leads = _lead_groups(reps, scratch).select("gid", "rep", F.col("rep").alias("label"), F.array().cast("array<long>").alias("first"))
+    near = verified(searched(leads, FOREST, "leads"), known, scratch, "near", percent, shingle)
+    scratch.drop("held", "leads")
     release(spark)
 
     known_links = near
     labels = _labels(small, known_links, scratch, "labels0")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = lambda column: reps.select("rep", column).join(labels, "rep").select(F.explode(column).alias("token"), "rep", "label")
     members = tokens("prefix").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_open(group), "gid long, token long, rep long, label long")
     members = scratch.save(members, "members")
@@ -474,18 +490,16 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT
     scratch.drop("reps", "members", "common", "open", "large", "own", "bands", "dealt", "ranges", "blockpairs")
     release(spark)
     first = scratch.save(groups.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set("gid")), 1, FIRST).alias("first")), "first")
-    for name, best in (("best", True), ("rest", False)):
-        part = groups.where(F.pmod("gid", F.lit(BEST_SHARE)) == 0) if best else groups
+    for name, mode in (("best", BEST), ("rest", ALL)):
+        part = groups.where(F.pmod("gid", F.lit(BEST_SHARE)) == 0) if mode == BEST else groups
         labelled = part.join(labels, "rep")
         live = scratch.save(labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gid"), f"{name}live")
-        trees = labelled.join(live, "gid").join(small, "rep").join(first, "rep").select("gid", "rep", "n", "label", "bits", "first").repartition(parts, "gid").sortWithinPartitions("gid")
-        pairs = trees.mapInArrow(_search(percent, best), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        pairs = scratch.save(pairs, f"{name}found")
-        del labelled, trees
+        pairs = searched(labelled.join(live, "gid").join(first, "rep").select("gid", "rep", "label", "first"), mode, f"{name}found")
+        del labelled
         release(spark)
         known_links = known_links.unionByName(verified(pairs, known, scratch, name, percent, shingle))
         scratch.drop(f"{name}live", f"{name}found")
-        if best:
+        if mode == BEST:
             labels = _labels(small, known_links, scratch, "labels1")
         release(spark)
     scratch.drop("groups", "first", "small", "labels0", "labels1")

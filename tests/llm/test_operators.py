@@ -356,6 +356,35 @@ def test_tree_misses_no_pair():
     assert links > 100 and len(found) < 300 * 299 / 4
 
 
+def test_forest_connects_what_all_pairs_connect():
+    rng = random.Random(12)
+    for size in (2, 5, 40, 120):
+        groups = [np.unique(np.array([rng.getrandbits(64) for _ in range(60)], dtype=np.uint64)) for _ in range(6)]
+        sets = [np.unique(np.append(g[rng.randrange(8) :], np.uint64(rng.getrandbits(64)))) for g in (rng.choice(groups) for _ in range(size))]
+        n, labels, bits = np.array([len(s) for s in sets]), np.arange(size), [jaccard_tree.bitmap(s) for s in sets]
+
+        def parts(i, j):
+            root = list(range(size))
+            for _ in range(size):
+                for x, y in zip(i.tolist(), j.tolist()):
+                    root[x] = root[y] = min(root[x], root[y])
+            return root
+
+        whole, few = (jaccard_tree.candidates(n, labels, bits, mode=m) for m in (jaccard_tree.ALL, jaccard_tree.FOREST))
+        assert len(few[0]) < size and parts(*few) == parts(*whole)
+        assert set(zip(*(x.tolist() for x in few))) <= set(zip(*(x.tolist() for x in whole)))
+
+
+def test_lead_groups_are_bounded(spark, scratch):
+    """A hash that all sets have makes groups of about LEAD_GROUP, which share their first and last set."""
+    reps = spark.range(3_000).select(F.col("id").alias("rep"), F.array(F.lit(7).cast("long"), F.col("id") + 100).alias("leads"))
+    groups = collections.defaultdict(set)
+    for r in jaccard_tree._lead_groups(reps, scratch).collect():
+        groups[r["gid"]].add(r["rep"])
+    assert max(map(len, groups.values())) < 2 * jaccard_tree.LEAD_GROUP and set.union(*groups.values()) == set(range(3_000))
+    assert set.intersection(*groups.values()) == {0, 2_999}
+
+
 def test_components_of_long_chains(spark, scratch):
     links = [(k, k + 1) for k in range(300)] + [(1000, 1000), (500, 400), (400, 500)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "u long, v long"), scratch).collect()}
