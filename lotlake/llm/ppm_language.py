@@ -4,16 +4,19 @@ Per language a context tree counts which byte follows each context of up to `ord
 code length under a language is the sum over its bytes of -log2 p, where p comes from the longest
 known context, escaping to shorter ones (method C: escapes count as often as there are different
 successors; successors already offered by a longer context are excluded). The counts are frozen, so a
-byte's code length depends on its context alone: all of them are worked out once, into one table of
+byte's code length depends on its context alone: all of them are worked out once, into tables of
 (context, byte, language), and scoring is table lookups over whole texts. The least code length wins.
+Languages share a table while it stays within TABLE_BYTES, so tables grow in number and no context is left out.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,9 +24,10 @@ from lotlake.llm.common import lowered, sized, table, utf8_buffers, word_spans
 
 #: Longest context in bytes.
 ORDER = 3
-#: The fit's bounds. Text bytes read per language (expected; rows are drawn by a hash), languages (more are an
-#: error), different runs of order + 1 bytes (each language has an equal share, its most frequent), and bytes of the cost table.
-SAMPLE_BYTES, LANGUAGES, RUNS, TABLE_BYTES = 1_500_000, 200, 400_000, 64 << 20
+#: The fit's bounds: text bytes read per language (expected; rows are drawn by a hash), and languages (more are an error).
+SAMPLE_BYTES, LANGUAGES = 1_500_000, 64
+#: Bytes of a table that several languages share. A language by itself has a table of any size, which its sample bounds.
+TABLE_BYTES = 64 << 20
 #: What stands before a text.
 _PAD = 0x0A
 #: Bytes that are scored at a time.
@@ -63,22 +67,22 @@ def _count_runs(order: int):
     return run
 
 
-class Model:
-    """Frozen code lengths.
+class Table:
+    """Frozen code lengths of some languages.
 
     classes: byte -> class (0: a byte that no sample had). down[node, class]: the context one byte longer,
     0 if unknown. costs[node, class, language]: bits.
     """
 
-    def __init__(self, languages: list[str], order: int, classes: np.ndarray, down: np.ndarray, costs: np.ndarray):
-        self.languages, self.order, self.classes, self.down, self.costs = languages, order, classes, down, costs
+    def __init__(self, order: int, classes: np.ndarray, down: np.ndarray, costs: np.ndarray):
+        self.order, self.classes, self.down, self.costs = order, classes, down, costs
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of each row under each language, worked out in strips of STRIP bytes, so memory doesn't follow a row's length."""
-        order, width, down = self.order, self.down.shape[1], self.down.ravel()
-        flat, pad = self.costs.reshape(-1, len(self.languages)), int(self.classes[_PAD])
-        out = np.zeros((len(offsets) - 1, len(self.languages)))
-        sums = np.zeros((STRIP + 1, len(self.languages)))
+        order, width, down, languages = self.order, self.down.shape[1], self.down.ravel(), self.costs.shape[2]
+        flat, pad = self.costs.reshape(-1, languages), int(self.classes[_PAD])
+        out = np.zeros((len(offsets) - 1, languages))
+        sums = np.zeros((STRIP + 1, languages))
         for s in range(0, len(data), STRIP):
             e = min(s + STRIP, len(data))
             back = min(order, s)
@@ -101,35 +105,58 @@ class Model:
         return out
 
 
+class Model(NamedTuple):
+    """languages, by name, and the tables that hold them one after the other."""
+
+    languages: list[str]
+    tables: list[Table]
+
+    def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return np.concatenate([t.bits(data, offsets) for t in self.tables], axis=1)
+
+
 def build(rows: list[tuple[str, int, int]], order: int = ORDER, table_bytes: int = TABLE_BYTES) -> Model | None:
     """The model of counted runs (language, run of order + 1 bytes as a base-256 number, count)."""
-    if not rows:
+    lang, code, count = zip(*rows) if rows else ((), (), ())
+    return built(pa.array(lang, pa.string()), np.array(code, dtype=np.int64), np.array(count, dtype=np.int64), order, table_bytes)
+
+
+def built(lang: pa.Array, code: np.ndarray, count: np.ndarray, order: int = ORDER, table_bytes: int = TABLE_BYTES) -> Model | None:
+    """The model of counted runs, as columns. How languages fall to tables changes no code length."""
+    if not len(code):
         return None
-    languages = sorted({r[0] for r in rows})
-    lang = np.array([languages.index(r[0]) for r in rows])
-    code, count = np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.int64)
+    coded = lang.dictionary_encode()
+    names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    order_of = sorted(range(len(names)), key=names.__getitem__)
+    tables, held, shared = [], [], None
+    for k in order_of:
+        mine = code[at == k]
+        own = [np.unique((mine >> 8) & ((1 << 8 * d) - 1)) for d in range(order + 1)], np.unique([(mine >> 8 * d) & 255 for d in range(order + 1)])
+        both = own if shared is None else ([np.union1d(x, y) for x, y in zip(shared[0], own[0])], np.union1d(shared[1], own[1]))
+        if held and 4 * sum(map(len, both[0])) * (len(both[1]) + 1) * (len(held) + 1) > table_bytes:
+            tables.append(_table(held, at, code, count, order))
+            held, both = [], own
+        held, shared = [*held, k], both
+    tables.append(_table(held, at, code, count, order))
+    return Model([names[k] for k in order_of], tables)
+
+
+def _table(languages: list[int], at: np.ndarray, code: np.ndarray, count: np.ndarray, order: int) -> Table:
+    """The table of some languages; at: the language of each run."""
+    mine = np.isin(at, languages)
+    lang, code, count = np.array([languages.index(k) for k in at[mine].tolist()]), code[mine], count[mine]
     digits = np.stack([(code >> (8 * k)) & 255 for k in range(order + 1)])  # the symbol, then its context, nearest first
     seen = np.unique(digits)
     classes = np.zeros(256, dtype=np.int32)
     classes[seen] = np.arange(1, len(seen) + 1)
     width = len(seen) + 1
     digits = classes[digits].astype(np.int64)
-    # contexts of each length, most frequent first and shorter ones before longer: suffixes come before what they end
-    keys, totals = [], []
+    keys = []
     key = np.zeros(len(code), dtype=np.int64)
     for depth in range(order + 1):
         if depth:
             key = key * width + digits[depth]
-        own, where = np.unique(key, return_inverse=True)
-        keys.append(own)
-        totals.append(np.bincount(where, weights=count).astype(np.int64))
-    most = max(1, table_bytes // (4 * width * len(languages)))
-    depth_of = np.concatenate([np.full(len(k), d) for d, k in enumerate(keys)])
-    chosen = np.lexsort((np.concatenate(keys), depth_of, -np.concatenate(totals)))[:most]
-    kept = np.zeros(len(depth_of), dtype=bool)
-    kept[chosen] = True
-    parts = np.split(kept, np.cumsum([len(k) for k in keys])[:-1])
-    keys = [k[p] for k, p in zip(keys, parts)]
+        keys.append(np.unique(key))
     first = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
     down = np.zeros((first[-1], width), dtype=np.int32)
     for depth in range(1, order + 1):
@@ -153,7 +180,7 @@ def build(rows: list[tuple[str, int, int]], order: int = ORDER, table_bytes: int
             total = _code_lengths(counts, above, parent)
             costs[first[depth] : first[depth + 1], :, l] = total[0]
             above = (counts, *total)
-    return Model(languages, order, classes, down, costs)
+    return Table(order, classes, down, costs)
 
 
 def _code_lengths(counts: np.ndarray, above: tuple | None, parent: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +210,7 @@ def held_out(key: Column) -> Column:
 def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """Count runs over a sample of `rows`; None if no row has text and language, an error if there are over LANGUAGES languages.
 
-    The driver receives one size per language and at most RUNS counted runs, shared out evenly over the languages.
+    The driver receives one size per language and the counted runs of the sample, all of them.
     """
     known = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("n")).limit(LANGUAGES + 1).collect()
@@ -195,9 +222,8 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     share = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     drawn = known.where(share < F.coalesce(part[F.col("lang")], F.lit(0.0))).select("lang", "text")
     counted = drawn.mapInArrow(_count_runs(order), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))  # over one language's sample
-    most = counted.withColumn("place", place).where(F.col("place") <= RUNS // len(sizes)).toArrow()
-    return build(list(zip(*(most.column(c).to_pylist() for c in ("lang", "code", "n")))), order)
+    runs = counted.toArrow()
+    return built(runs.column("lang").combine_chunks(), runs.column("code").to_numpy(), runs.column("n").to_numpy(), order)
 
 
 def _scored(model: Model | None, text: pa.Array, letters: pa.Array) -> tuple[np.ndarray, np.ndarray, list]:

@@ -1,6 +1,7 @@
 """Each operator on the small tables against SQL or brute force, and on tables made of edge cases."""
 
 import collections
+import functools
 import hashlib
 import json
 import math
@@ -150,15 +151,74 @@ def test_long_texts_are_scored_in_bounded_memory():
 
 def test_code_lengths_are_a_distribution():
     model = ppm_language.build(counted([("a", "abracadabra"), ("b", "bananas and more")]))
-    many = np.ones(model.costs.shape[1])
+    (table,) = model.tables
+    many = np.ones(table.costs.shape[1])
     many[0] = 256 - (len(many) - 1)
-    assert np.allclose((np.exp2(-model.costs.astype(float)) * many[None, :, None]).sum(1), 1, atol=1e-4)
+    assert np.allclose((np.exp2(-table.costs.astype(float)) * many[None, :, None]).sum(1), 1, atol=1e-4)
+
+
+def test_tables_change_no_code_length():
+    """Languages that don't fit into one table go to several; nothing is left out."""
+    rows = counted([("b", "bananas and more"), ("a", "abracadabra " * 5), ("c", "die katze über"), ("d", "dadada\x00")])
+    one, some, each = (ppm_language.build(rows, table_bytes=b) for b in (1 << 30, 9_000, 1))
+    assert [len(m.tables) for m in (one, each)] == [1, 4] and 1 < len(some.tables) < 4
+    assert one.languages == some.languages == each.languages == ["a", "b", "c", "d"]
+    texts = common.utf8_buffers(pa.array(["banana", "", "über die\x00 abra\xff", "zzz"]))
+    for m in (some, each):
+        assert m.bits(*texts) == pytest.approx(one.bits(*texts), rel=1e-5, abs=1e-4)
+
+
+def test_many_languages_are_told_apart(spark):
+    """Forty languages, the same words in alphabets of their own; and more than LANGUAGES are an error."""
+    words = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").where("lang = 'en' AND length(text) > 200").orderBy("doc_id").limit(12).collect()]
+    shifted = lambda text, k: "".join(chr(0x4E00 + 28 * k + ord(c) - 97) if "a" <= c <= "z" else c for c in text[:1_500].lower())
+    rows = [(100 * k + j, shifted(text, k), f"l{k:02d}") for k in range(40) for j, text in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = ppm_language.fit(docs.where("doc_id % 100 < 8"))
+    assert len(model.languages) == 40 and len(model.tables) > 1
+    got = {r["doc_id"]: r["lang_pred"] for r in ppm_language.predict(docs, model).collect()}
+    assert all(got[k] == lang for k, _, lang in rows)
+    with pytest.raises(ValueError, match="languages"):
+        ppm_language.fit(spark.range(ppm_language.LANGUAGES + 1).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.col("id").cast("string").alias("lang")))
+
+
+def test_language_query_equals_brute_force(spark):
+    """Every document's language and score from the definition, counts of whole texts kept by context."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect()
+    seen = collections.defaultdict(lambda: collections.defaultdict(collections.Counter))
+    padded = lambda text: b"\n\n\n" + (text or "").encode()
+    for r in docs:
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            data = padded(r["text"])
+            for k in range(3, len(data)):
+                for d in range(4):
+                    seen[r["lang"]][data[k - d : k]][data[k]] += 1
+
+    @functools.cache
+    def bits(lang, context, symbol):
+        out, total = set(), 0.0
+        for d in range(3, -1, -1):
+            counts = {s: n for s, n in seen[lang].get(context[3 - d :], {}).items() if s not in out}
+            if counts:
+                mass = sum(counts.values()) + len(counts)
+                if symbol in counts:
+                    return total - math.log2(counts[symbol] / mass)
+                total -= math.log2(len(counts) / mass)
+                out |= set(counts)
+        return total + math.log2(256 - len(out))
 
-
-def test_small_tables_keep_contexts_closed():
-    rows = counted([("a", "abracadabra " * 5), ("b", "bananas and more")])
-    model = ppm_language.build(rows, table_bytes=2400)
-    assert 1000 < model.costs.nbytes <= 2400 and model.down.max() < len(model.down)
+    got = {r["doc_id"]: r for r in ppm_language.op2_ppm_language(spark, DATA).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        data, own = padded(r["text"]), got[r["doc_id"]]
+        if r["text"] is None or not any(c.isalpha() for c in r["text"]):
+            assert (own["lang_pred"], own["score"]) == ("und", 0)
+            continue
+        lengths = {lang: sum(bits(lang, data[k - 3 : k], data[k]) for k in range(3, len(data))) for lang in sorted(seen)}
+        best = min(lengths, key=lengths.get)
+        share = 1 / sum(2 ** max(-1_000, min(lengths.values()) - x) for x in lengths.values())
+        assert own["lang_pred"] == best and own["score"] == pytest.approx(share, abs=1e-3)
+        assert own["bits_per_byte"] == pytest.approx(lengths[best] / (len(data) - 3), rel=1e-5)
 
 
 def test_held_out_languages(spark):
@@ -514,6 +574,22 @@ def test_encoding_equals_the_library(spark, vocabulary):
         assert own.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def test_encoding_query_equals_the_library(spark):
+    """The query's counts and digests, both directions, against the library."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    want = {}
+    for k, text in documents(spark):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        want[k] = (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+    got = bpe_automaton.op8_bpe_automaton(spark, DATA).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got} == want and len(got) == len(documents(spark))
+
+
 def test_automaton_of_any_merges():
     """Against merging by rank, the leftmost pair first, with and without a word-end suffix."""
     random.seed(11)
