@@ -469,8 +469,10 @@ def test_leaks(spark, scratch):
         (7, "Alone HERE five words exactly now and then"),
     ]
     got = sorted(tuple(r) for r in decontamination.find_leaks(frame(spark, docs), frame(spark, items, "item_id long, text string"), scratch).collect())
-    assert got == [(1, 1, 26, 26), (2, 1, 26, 20), (4, 2, 1, 1), (7, 5, 2, 2)]
-    sizes = [(k, " ".join(f"i{k}w{j}" for j in range(k))) for k in (5, 6, 7, 8, 11, 12, 19, 20, 36, 67, 68, 69, 260)]
+    assert got == [(1, 1, 26, 26), (2, 1, 26, 20), (4, 2, 1, 1), (5, 2, 1, 1), (7, 5, 2, 2)]
+    alone = sorted(tuple(r) for r in decontamination.find_leaks(frame(spark, docs), frame(spark, items, "item_id long, text string"), scratch, alone=5).collect())
+    assert alone == [r for r in got if r != (5, 2, 1, 1)]
+    sizes = [(k, " ".join(f"i{k}w{j}" for j in range(k))) for k in (1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 19, 20, 36, 67, 68, 69, 260)]
     whole = [(k, t) for k, t in sizes] + [(1000 + k, "pad " * 900 + t) for k, t in sizes]
     found = decontamination.find_leaks(spark.createDataFrame(whole, "doc_id long, text string"), spark.createDataFrame(sizes, "item_id long, text string"), scratch).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in found) == sorted((k + more, k) for k, _ in sizes for more in (0, 1000))
