@@ -50,8 +50,12 @@ class Counter(dict):
             self[piece] = n
         return n
 
-    def pattern(self, text: str):
-        return self._near if self._alike(text) else self._exact
+    def alike(self, text: str) -> bool:
+        """Whether the faster pattern splits the text, or any that is made of its characters, as the exact one does."""
+        return self._alike(text)
+
+    def pattern(self, alike: bool):
+        return self._near if alike else self._exact
 
 
 def _built(pairs: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
@@ -69,7 +73,7 @@ def _built(pairs: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
 
 
 def build(text: str, counter: Counter) -> tuple[list[int], list[int]]:
-    pieces = counter.pattern(text).findall(text)
+    pieces = counter.pattern(counter.alike(text)).findall(text)
     counts, lengths = list(map(counter.__getitem__, pieces)), list(map(len, pieces))
     return _built([(sum(lengths[k : k + LEAF]), sum(counts[k : k + LEAF])) for k in range(0, len(pieces), LEAF)])
 
@@ -79,7 +83,7 @@ class Document:
 
     def __init__(self, text: str, chars: list[int], tokens: list[int], counter: Counter):
         self.text, self.chars, self.tokens, self.counter = text, chars, tokens, counter
-        self.encoded = 0
+        self.encoded, self.alike = 0, counter.alike(text)
 
     def _leaf(self, at: int) -> tuple[int, int]:
         """The leaf that holds character `at` (the last one for the end), and where it starts."""
@@ -110,13 +114,14 @@ class Document:
             leaf, start = self._leaf(start - 1)
         old_end, shift = at + deleted, len(inserted) - deleted
         self.text = self.text[:at] + inserted + self.text[old_end:]
+        self.alike = self.alike and self.counter.alike(inserted)  # only what is new is looked at
         last, edge = self._leaf(old_end)  # the first leaf start that may stay: behind the deleted part
         if edge < old_end or edge <= start:
             edge += self.chars[last]
             last += 1
         size, end, pieces = len(self.chars) // 2, len(self.chars), []
         to = start
-        for m in self.counter.pattern(self.text).finditer(self.text, start):
+        for m in self.counter.pattern(self.alike).finditer(self.text, start):
             while last < end and edge + shift < to:
                 edge += self.chars[last]
                 last += 1

@@ -49,16 +49,20 @@ def write_archives(pages: DataFrame, scratch: Scratch, path: str, least: int = L
 
     A null html is an empty payload, a null url an empty target. Of repeated rows with the smallest
     page_id each is a response; a null page_id is always a response. Record ids are made of page id and digest, with a
-    number behind them for repeated rows, so they are unique and a rerun makes the same. An empty table gives no record.
+    number behind them for repeated rows and for rows without an id, so they are unique and a rerun makes the same. An empty table gives no record.
     The date of the fresh records is that of the job, as the input has none.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload"), hex_sha256(payload).alias("payload_digest"))
-    rows = rows.join(decisions(pages, scratch, least), ["page_id", "payload_digest"], "left")
+    # rows without an id decide nothing and take no part in the shuffle: many of them may share a payload
+    none = rows.where(F.col("page_id").isNull()).withColumn("refers_to", F.lit(None).cast(pages.schema["page_id"].dataType))
+    rows = rows.where(F.col("page_id").isNotNull()).join(decisions(pages, scratch, least), ["page_id", "payload_digest"], "left")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     record = lambda page, end: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), F.col("payload_digest"), end)
     copy = F.row_number().over(Window.partitionBy("page_id", "payload_digest").orderBy("url"))  # dealt by these keys already
     rows = rows.withColumn("end", F.when(copy > 1, F.concat(F.lit(":"), copy.cast("string"), F.lit(">"))).otherwise(">"))
+    none = none.withColumn("end", F.concat(F.lit(":"), F.monotonically_increasing_id().cast("string"), F.lit(">")))
+    rows = rows.unionByName(none.select(rows.columns))
     now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     revisit = F.col("refers_to").isNotNull()
     # control characters and blanks can't stand in a header line

@@ -86,6 +86,20 @@ def test_archives_keep_every_page(spark, scratch):
     assert warc_revisits.read_archives(spark, none).count() == 0
 
 
+def test_pages_without_id_stay_apart(spark, scratch):
+    """Many rows without an id and with one payload: each a response with a record id of its own, the same in a rerun."""
+    rows = spark.range(0, 3_000, 1, 6).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("page_id"), F.lit("u").alias("url"), F.lit("a" * 200).alias("html"))
+    ids = []
+    for name in ("one", "two"):
+        path = scratch.path(name)
+        warc_revisits.write_archives(rows, scratch, path)
+        read = warc_revisits.read_archives(spark, path).select("page_id", "record_id", "record_type").collect()
+        assert collections.Counter(r["record_type"] for r in read if r["page_id"] is None) == {"response": 2_000}
+        assert collections.Counter(r["record_type"] for r in read if r["page_id"] is not None) == {"response": 1, "revisit": 999}
+        ids.append({r["record_id"] for r in read})
+    assert len(ids[0]) == 3_000 and ids[0] == ids[1]
+
+
 # 2
 
 
