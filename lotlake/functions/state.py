@@ -71,11 +71,12 @@ def page_errors(status: Column) -> Column:
 
 
 #: What is read of an entity. Extracted at once: null for what is no object, a null field for what doesn't fit.
-FACTS = "struct<__typename:string,id:variant,itemId:variant,eventItemId:variant,auction:struct<__ref:string>,lotState:struct<__ref:string>>"
+IDS = "struct<__typename:string,id:variant,itemId:variant,eventItemId:variant>"
+FACTS = IDS[:-1] + ",auction:struct<__ref:string>,lotState:struct<__ref:string>>"
 
 
-def facts(entity: Column) -> Column:
-    return F.try_variant_get(entity, "$", FACTS)
+def facts(entity: Column, fields: str = FACTS) -> Column:
+    return F.try_variant_get(entity, "$", fields)
 
 
 def is_kind(key: Column, known: Column, kind: str) -> Column:

@@ -18,12 +18,27 @@ def page_states(pages: DataFrame, script_id: str = S.SCRIPT_ID) -> DataFrame:
     return rows.select(*KEY, "status", S.page_errors(F.col("status")).alias("errors"), F.when(F.col("status") == "ok", F.col("state")).alias("state"))
 
 
-def lots(states: DataFrame, pages_too: bool = False) -> DataFrame:
-    """One row per lot of a page, with its position, id and what its references lead to. Narrow: lookups stay in the row.
+def lot_ids(states: DataFrame, pages_too: bool = False) -> DataFrame:
+    """One row per lot of a page: KEY, position, cache key and id, all that page order is decided by. Narrow.
 
     pages_too: with status and errors, and one row more for each page, whose other columns are null.
     """
 
+    found = F.transform(F.filter(_entries(S.IDS), lambda e: S.is_kind(e["key"], e["facts"], "Lot")), lambda e: F.struct(e["pos"].alias("pos"), e["key"].alias("key"), e["facts"].alias("facts")))
+    if pages_too:
+        found = F.concat(F.array(F.lit(None)), F.coalesce(found, F.array()))
+    shown = [*KEY, "status", "errors"] if pages_too else KEY
+    return states.select(*shown, F.inline(found)).withColumn("item_id", S.item_id(F.col("facts"))).drop("facts")
+
+
+def _entries(fields: str):
+    """The entities of a state in order: pos, key, value and, of what is read of them, `fields`."""
+    return F.transform(F.map_entries("state"), lambda e, i: F.struct(i.alias("pos"), e["key"].alias("key"), e["value"].alias("value"), S.facts(e["value"], fields).alias("facts")))
+
+
+def lots(states: DataFrame) -> DataFrame:
+    """The rows of lot_ids() with the lot and what its references lead to. Narrow: lookups stay in the row."""
+
     def resolved(entry):
         auction_ref, state_ref = entry["facts"]["auction"]["__ref"], entry["facts"]["lotState"]["__ref"]
         return F.struct(
@@ -40,14 +55,10 @@ def lots(states: DataFrame, pages_too: bool = False) -> DataFrame:
         )
 
     # pages without a state give no row; a filter would be pushed below the parse and parse again
-    entries = F.transform(F.map_entries("state"), lambda e, i: F.struct(i.alias("pos"), e["key"].alias("key"), e["value"].alias("value"), S.facts(e["value"]).alias("facts")))
-    rows = states.withColumn("entries", entries)
+    rows = states.withColumn("entries", _entries(S.FACTS))
     rows = rows.withColumn("auctions", S.auction_index(F.col("entries")))
     found = F.transform(F.filter("entries", lambda e: S.is_kind(e["key"], e["facts"], "Lot")), resolved)
-    if pages_too:
-        found = F.concat(F.array(F.lit(None)), F.coalesce(found, F.array()))
-    shown = [*KEY, "status", "errors"] if pages_too else KEY
-    return rows.select(*shown, F.inline(found)).withColumn("item_id", S.item_id(F.col("facts"))).drop("facts")
+    return rows.select(*KEY, F.inline(found)).withColumn("item_id", S.item_id(F.col("facts"))).drop("facts")
 
 
 def payloads(rows: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ class PageRows(NamedTuple):
 
 def page_rows(pages: DataFrame, scratch: str) -> PageRows:
     """What page order is decided by, from one parse of the pages: stored under `scratch` as a row a lot, and one without position a page."""
-    rows = entities.lots(entities.page_states(pages), pages_too=True).select(*entities.KEY, "status", "errors", "pos", "item_id")
+    rows = entities.lot_ids(entities.page_states(pages), pages_too=True).select(*entities.KEY, "status", "errors", "pos", "item_id")
     found = stored(rows, f"{scratch}/slim")
     return PageRows(found.where("pos IS NULL").select(*entities.KEY, "status", "errors"), found.where("pos IS NOT NULL").select(*entities.KEY, "pos", "item_id"))
 

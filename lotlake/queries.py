@@ -104,6 +104,10 @@ def _lots(spark: SparkSession, sf_dir: str, **kind) -> DataFrame:
     return entities.lots(entities.page_states(fixtures.pages(spark, sf_dir, **kind)))
 
 
+def _ids(spark: SparkSession, sf_dir: str, **kind) -> DataFrame:
+    return entities.lot_ids(entities.page_states(fixtures.pages(spark, sf_dir, **kind)))
+
+
 def _counted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     found = ingest.page_rows(fixtures.pages(spark, sf_dir, faults=True), scratch_dir(spark, "crawl"))
     firsts = dedup.first_seen(found.lots)
@@ -182,7 +186,7 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_LOTS} SELECT category_idx, page, count(*) AS n_lots FROM placed GROUP BY ALL")
 def lot_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lots(spark, sf_dir).groupBy(*PAGE).agg(F.count("*").alias("n_lots"))
+    return _ids(spark, sf_dir).groupBy(*PAGE).agg(F.count("*").alias("n_lots"))
 
 
 @query(f"""WITH {_LOTS} SELECT category_idx, page, pos, 'Auction:' || l_orderkey AS auction_ref, CASE WHEN l_orderkey % 7 <> 0 THEN 'Sale ' || l_orderkey END AS event_name FROM placed""")
@@ -198,7 +202,7 @@ def resolve_lot_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_LOTS} SELECT category_idx, page, pos, CASE l_partkey % 6 WHEN 0 THEN CAST(number AS VARCHAR) WHEN 1 THEN 'i' || number WHEN 2 THEN CAST(number AS VARCHAR)
     WHEN 3 THEN 'lot-0' WHEN 4 THEN 'lot-False' END AS item_id FROM placed""")
 def item_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lots(spark, sf_dir, ids="mixed").select(*PAGE, "pos", "item_id")
+    return _ids(spark, sf_dir, ids="mixed").select(*PAGE, "pos", "item_id")
 
 
 @query(f"""WITH {_LOTS} SELECT category_idx, page, pos, CAST(number AS VARCHAR) AS item_id, p_name AS lead, CAST(round(l_extendedprice * 100) AS BIGINT) AS bid,
@@ -218,7 +222,7 @@ def enriched_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FAULTS} SELECT category_idx, item_id, page, pos FROM firsts")
 def dedup_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.first_seen(_lots(spark, sf_dir, faults=True)).drop("run_id")
+    return dedup.first_seen(_ids(spark, sf_dir, faults=True)).drop("run_id")
 
 
 @query(f"WITH {_FAULTS} SELECT category_idx, page, status, errors, n_lots, n_new, emits FROM seen")
@@ -255,7 +259,7 @@ def full_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_LOTS} SELECT nullif(p_type, 'LARGE') AS category, count(*) AS n_lots, count(DISTINCT number) AS n_items FROM placed GROUP BY p_type""")
 def gather_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lots of five categories and of a pass without one, one after the other; repeats stay."""
-    found = ingest.stored(_lots(spark, sf_dir).select("category", "item_id"), f"{scratch_dir(spark, 'gather')}/lots")
+    found = ingest.stored(_ids(spark, sf_dir).select("category", "item_id"), f"{scratch_dir(spark, 'gather')}/lots")
     kinds = [r[0] for r in found.select("category").distinct().orderBy("category").collect()]  # six
     parts = [(None if kind == "LARGE" else kind, found.where(F.col("category") == kind).drop("category")) for kind in kinds]
     return dedup.gathered(*parts).groupBy("category").agg(F.count("*").alias("n_lots"), F.count_distinct("item_id").alias("n_items"))
@@ -263,7 +267,7 @@ def gather_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_LOTS} SELECT category_idx, count(*) AS n_lots FROM placed WHERE l_partkey % 6 = 5 GROUP BY category_idx")
 def lots_without_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.without_id(_lots(spark, sf_dir, ids="mixed")).drop("run_id")
+    return dedup.without_id(_ids(spark, sf_dir, ids="mixed")).drop("run_id")
 
 
 @query(f"""WITH {_FAULTS}, page_sum AS (SELECT CAST(sum(errors) AS BIGINT) AS errors, count(*) FILTER (status = 'ok') AS pages_scraped, CAST(sum(CASE WHEN emits THEN n_new ELSE 0 END) AS BIGINT) AS lots_found FROM seen),

@@ -144,6 +144,18 @@ def test_ok_pages_are_parsed_once(spark):
     assert plan.count("from_json(") == 1 and plan.count("struct<__typename") + plan.count("StructField(__typename") <= 2
 
 
+def test_ids_alone_are_those_of_the_lots(spark):
+    state = {"Lot:1": {"id": 1, "auction": {"__ref": "Auction:9"}}, "x": {"__typename": "Lot", "id": 0}, "Auction:9": {"id": 9}, "Lot:2": 5, "Lot:3": {"no": 1}}
+    prepare(spark)
+    states = entities.page_states(page(spark, script(state), None, script({"a": 1})))
+    columns = [*entities.KEY, "pos", "key", "item_id"]
+    ids = entities.lot_ids(states).select(columns).collect()
+    assert ids == entities.lots(states).select(columns).collect() and [r["item_id"] for r in ids] == ["1", "lot-0", None]
+    both = entities.lot_ids(states, pages_too=True)
+    assert [(r["page"], r["status"]) for r in both.where("pos IS NULL").orderBy("page").collect()] == [(1, "ok"), (2, "fetch_failed"), (3, "ok")]
+    assert both.where("pos IS NOT NULL").select(columns).collect() == ids
+
+
 def test_resolution_stays_in_the_row(spark):
     plan = lots_of(spark, {"Lot:1": {"id": 1}})._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
