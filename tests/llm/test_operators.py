@@ -569,6 +569,21 @@ def test_vectors_with_near_equal_pivots(spark, scratch, exact):
     assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(((unit @ unit.T >= 0.9).sum(1) - 1).tolist()))
 
 
+def test_spread_vectors_at_the_threshold(spark, scratch):
+    """Vectors that fill 64 dimensions, eight pivots, and partners a hair above and below the cosine."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(800, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.normal(size=(800, 64))
+    side -= (side * x).sum(1)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cosine = 0.9 + np.where(np.arange(800) % 2, 1e-9, -1e-9)[:, None]
+    y = (cosine * x + np.sqrt(1 - cosine**2) * side) * rng.uniform(0.01, 100, size=(800, 1))
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(np.concatenate([x, y]))]
+    got = {r["vec_id"]: r["n_links"] for r in metric_join.near_vectors(frame(spark, rows, "vec_id long, embedding array<double>"), scratch, cell=200, block=300).collect()}
+    assert got == {k: int(k % 2) for k in range(1_600)}
+
+
 # 8
 
 
@@ -721,6 +736,15 @@ def test_repeated_passages(spark, scratch, hot_rows):
     assert sorted((tuple(r) for r in got), key=repr) == brute_repeats(rows)
 
 
+def test_very_long_words(spark, scratch):
+    """Windows of a megabyte, in two documents and in one that comes twice under one id."""
+    words_of = [f"{k}x" * 10_000 for k in range(60)]
+    rows = [(1, " ".join(["a", *words_of])), (2, " ".join([*words_of[5:], "b"])), (3, " ".join(reversed(words_of))), (3, " ".join(reversed(words_of))), (4, "one " + "y" * 2_000_000)]
+    for hot_rows in (20_000, 2):
+        got = substring_dedup.remove_repeats(frame(spark, rows), scratch, hot_rows=hot_rows).collect()
+        assert sorted((tuple(r) for r in got), key=repr) == brute_repeats(rows)
+
+
 def test_rewritten_documents(spark, scratch):
     shared = " ".join(f"s{k}" for k in range(60))
     rows = [(1, f"start {shared}\nend", 5), (2, f"two  words {shared}", 9), (3, shared, 7), (4, "stays  as\nit is", 1), (5, None, 0), (None, shared, 2)]
