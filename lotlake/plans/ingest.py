@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from lotlake.operators import dedup, entities, merge, runs
 
 
+#: Categories of runs up to which their last pages are broadcast (some 30 bytes each).
+CUTS = 100_000
+
+
 class PageRows(NamedTuple):
     """states: a row a page (KEY, status, errors). lots: slim rows (KEY, pos, item_id)."""
 
@@ -36,14 +40,18 @@ def crawl(pages: DataFrame, scratch: str, limit: int | None = None, short: int =
     """First-seen lots up to the end of results and the limits, with their payloads.
 
     Decisions are made on slim rows, which are stored under `scratch` (a shared folder) so that the pages are
-    parsed twice in all: for them, and for the payloads of the lots that are taken.
+    parsed twice in all: for them, and, up to the last page that a lot is taken from, for payloads.
     """
     found = page_rows(pages, scratch)
     firsts = dedup.first_seen(found.lots)
     got = dedup.reached(dedup.page_counts(found.states, found.lots, firsts), short, limit)
     if limit is not None:
         got = dedup.within_run_limit(got, limit)
+    got = stored(got, f"{scratch}/got")
     taken = dedup.emitted(firsts, got)
+    last = stored(got.where("take > 0").groupBy(*dedup.CRAWL).agg(F.max("page").alias("last page")), f"{scratch}/last")
+    if last.count() <= CUTS:  # what no lot is taken from isn't parsed again; html doesn't shuffle for it
+        pages = pages.join(F.broadcast(last), dedup.CRAWL).where(F.col("page") <= F.col("last page")).select(pages.columns)
     rows = entities.lots(entities.page_states(pages)).join(taken.select("run_id", "category_idx", "page", "pos", "nth"), ["run_id", "category_idx", "page", "pos"])
     return Crawl(entities.payloads(rows), got)
 
