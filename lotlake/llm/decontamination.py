@@ -74,15 +74,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, scratch: Scratch, percent: int
     depth = F.greatest(F.lit(1), F.size("h") - F.col("need") + 1)
     found = sized.agg(F.max(band(F.col("need"))), F.sort_array(F.collect_set("k"))).first()
     top, sizes = found[0] or 1, found[1] or [SHINGLE]  # all larger documents share the last band; sizes are SHINGLE and what shorter items have
-    least = sized.select("item", "k", "need", F.slice(F.sort_array("h"), F.lit(1), depth).alias("h"), F.explode(F.sequence(band(F.col("need")), F.lit(top))).alias("band"))
-    sketch = scratch.save(least.select("band", "k", "item", "need", F.explode("h").alias("h")), "sketch")
+    least = sized.select("item", "need", F.slice(F.sort_array("h"), F.lit(1), depth).alias("h"), F.explode(F.sequence(band(F.col("need")), F.lit(top))).alias("band"))
+    sketch = scratch.save(least.select("band", "item", "need", F.explode("h").alias("h")), "sketch")
     small = sketch.count() <= BROADCAST_ROWS
     held = docs.where(F.col("doc_id").isNotNull()).select("doc_id", words(F.col("text")).alias("w"))
-    probe = lambda k: F.transform(hashes(F.col("w"), k), lambda h: F.struct(F.lit(k).alias("k"), h.alias("h")))
-    none = F.array().cast("array<struct<k:int,h:long>>")
-    probes = held.select("doc_id", F.size("w").alias("words"), F.explode(F.concat(*[probe(k) for k in sizes], none)).alias("p")).select("doc_id", "p.k", "p.h", (F.col("words") - F.col("p.k") + 1).alias("n"))
-    probes = probes.withColumn("band", F.least(band(F.col("n")), F.lit(top)))
-    met = probes.join(F.broadcast(sketch) if small else sketch, ["band", "k", "h"]).where("n >= need")
+    # shorter items need one shingle, which any band may hold, so one number of shingles serves all sizes
+    held = held.withColumn("n", F.greatest(F.lit(1), F.size("w") - SHINGLE + 1))
+    every_hash = F.concat(*[hashes(F.col("w"), k) for k in sizes]) if len(sizes) > 1 else hashes(F.col("w"), sizes[0])
+    probes = held.select("doc_id", "n", F.least(band(F.col("n")), F.lit(top)).alias("band"), F.explode(every_hash).alias("h"))
+    met = probes.join(F.broadcast(sketch) if small else sketch, ["band", "h"]).where("n >= need")
     pairs = scratch.save(met.select("doc_id", "item").distinct(), "pairs")
     wanted = pairs.join(sized.select("item", "item_id", "k", "set", "m", "need"), "item")
     shared = F.size(F.array_intersect("set", _by_size(sizes, F.col("k"), lambda k: shingles(F.col("w"), k))))
