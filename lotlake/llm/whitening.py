@@ -3,7 +3,7 @@
 Vectors become integer vectors x = floor(256 c); the fit list holds each different x once, n in all, with sums S.
 Its centred rows X = x - S / n are never formed as a matrix. A pass sends each row through the triangular solves
 found so far and adds up the Gram matrix G of what comes out, task by task. The Cholesky factor R_k of G (plus a
-shift of its diagonal while G is ill-conditioned) is the next triangular solve, so passes make the rows ever
+shift of its diagonal, at first and while G is ill-conditioned) is the next triangular solve, so passes make the rows ever
 more orthogonal: X = Q R_k ... R_1 with Q'Q = G of the last pass. The R factors are composed, what G still
 lacks of the identity goes in as its square root, and the SVD of the result gives the eigenvectors of X'X. No pass
 squares the condition of X, as an eigensolver for X'X would. The driver holds d by d matrices.
@@ -23,8 +23,9 @@ from lotlake.llm.common import Scratch, table
 
 #: Integers to a unit of a vector's entries, and components that are returned.
 SCALE, COMPONENTS = 256, 4
-#: Passes at most; more only sharpen what any number of them gets right.
-PASSES = 8
+#: Triangular factors at least (the first one shifted, two more to make up for it) and at most; more only sharpen what any
+#: number of them gets right.
+FACTORS, PASSES = 3, 8
 #: What G of an orthogonal list may be off by; below NULL an eigenvalue of G is a direction that X doesn't have.
 ORTHOGONAL, NULL = 1e-8, 1e-6
 #: Components whose singular value is less than this share of the largest are rounding.
@@ -130,11 +131,11 @@ def _column_sums(fit: DataFrame, width: int, of, kind: str) -> dict[int, float]:
     return {r["i"]: r["s"] for r in fit.mapInArrow(run, f"i int, s {kind}").groupBy("i").agg(F.sum("s").alias("s")).collect()}  # a row a column
 
 
-def _shift(gram: np.ndarray, n: int) -> float:
-    """0 for a well-conditioned G, else what keeps its Cholesky factor from breaking down by rounding."""
+def _shift(gram: np.ndarray, n: int, first: bool) -> float:
+    """What keeps the Cholesky factor of G from breaking down by rounding; behind the first one, 0 for a well-conditioned G."""
     low, high = np.linalg.eigvalsh(gram)[[0, -1]]
     d = len(gram)
-    return 0.0 if low > 0.25 * high else 11 * (n * d + d * (d + 1)) * _UNIT * high
+    return 0.0 if low > 0.25 * high and not first else 11 * (n * d + d * (d + 1)) * _UNIT * high
 
 
 def fit_components(fit: DataFrame, width: int, components: int = COMPONENTS) -> Whitening:
@@ -153,9 +154,9 @@ def fit_components(fit: DataFrame, width: int, components: int = COMPONENTS) ->
         return Whitening(n, sums, np.zeros((width, 0)), np.zeros(0), 0.0, 0.0, 1)
     while len(factors) < PASSES:
         held = np.linalg.eigvalsh(gram)
-        if factors and ((np.abs(held - 1) < ORTHOGONAL) | (held < NULL)).all():
+        if len(factors) >= FACTORS and ((np.abs(held - 1) < ORTHOGONAL) | (held < NULL)).all():
             break
-        factors.append(np.linalg.cholesky(gram + _shift(gram, n) * np.eye(width)).T)
+        factors.append(np.linalg.cholesky(gram + _shift(gram, n, not factors) * np.eye(width)).T)
         gram = _gram(fit, width, n, s, lambda y, r=list(factors): solved(y, r))
     composed = np.eye(width)
     for r in factors:
