@@ -37,6 +37,32 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_files(pages: DataFrame, path: str) -> None:
+    """A file <name>.html for each row (name, html), as a fetcher leaves them; null or empty html is a file without a byte. 256 folders.
+
+    Tasks write the files themselves: a Spark writer takes a job for each empty file, and for any file a folder, a checksum and two renames.
+    A task that runs twice writes the same bytes again.
+    """
+
+    def write(batches):
+        import zlib
+
+        import pyarrow as pa
+        from pyarrow.fs import FileSystem
+
+        files, root = FileSystem.from_uri(path)
+        for batch in batches:
+            for name, html in zip(batch["name"].to_pylist(), batch["html"].to_pylist(), strict=True):
+                folder = f"{root}/{zlib.crc32(name.encode()) % 256:03d}"
+                files.create_dir(folder, recursive=True)
+                with files.open_output_stream(f"{folder}/{name}.html") as out:
+                    out.write((html or "").encode())
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    rows = pages.select("name", F.col("html").cast("string").alias("html"))
+    rows.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+
 def _lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")

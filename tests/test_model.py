@@ -375,3 +375,13 @@ def test_display(spark):
     ).first()
     assert row["set"] == ["a", "b"] and row["line"] == ["a", "", "b", ""] and row["title"] == "x" * 60 and row["none"] == "No title"
     assert (row["t0"], row["t1"], row["t2"], row["t3"]) == ("2024-01-02 03:04:05", "2024-01-02 03:04:05.25", None, "2024-01-02 03:04:05.5")
+
+
+def test_written_files_take_no_job_each(spark):
+    from lotlake.sources import fixtures
+
+    path = scratch_dir(spark, "written")
+    rows = spark.createDataFrame([("p1", "é\n"), ("p2", ""), ("p3", None)], "name string, html string")
+    fixtures.write_files(rows, path)
+    read = read_html(spark, path).select(F.regexp_extract("url", "/(p[0-9]+)[.]html$", 1).alias("name"), "html")
+    assert sorted(map(tuple, read.collect())) == [("p1", "é\n"), ("p2", ""), ("p3", "")]
