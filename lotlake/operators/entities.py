@@ -32,37 +32,53 @@ def lot_ids(states: DataFrame, pages_too: bool = False) -> DataFrame:
 
 
 def _entries(fields: str):
-    """The entities of a state in order: pos, key, value and, of what is read of them, `fields`."""
-    return F.transform(F.map_entries("state"), lambda e, i: F.struct(i.alias("pos"), e["key"].alias("key"), e["value"].alias("value"), S.facts(e["value"], fields).alias("facts")))
+    """The entities of a state in order: pos, key and, of what is read of them, `fields`."""
+    return F.transform(F.map_entries("state"), lambda e, i: F.struct(i.alias("pos"), e["key"].alias("key"), S.facts(e["value"], fields).alias("facts")))
 
 
 def lots(states: DataFrame) -> DataFrame:
-    """The rows of lot_ids() with the lot and what its references lead to. Narrow: lookups stay in the row."""
+    """The rows of lot_ids() with the lot and what its references lead to. Narrow: lookups stay in the row.
 
-    def resolved(entry):
-        auction_ref, state_ref = entry["facts"]["auction"]["__ref"], entry["facts"]["lotState"]["__ref"]
+    Entities stay in the page's state, an entry leads to them by its place. A key is looked up by its hash, once.
+    """
+    c = F.col
+    # pages without a state give no row; a filter would be pushed below the parse and parse again
+    rows = states.withColumn("entries", _entries(S.FACTS))
+    rows = rows.withColumns({"auctions": S.auction_index(c("entries")), "state hashes": S.hashes(F.map_keys("state"))})
+    rows = rows.withColumn("auction hashes", S.hashes(F.map_keys("auctions")))
+    entity = lambda at: F.get(F.map_values("state"), at)
+
+    def named(e):
+        auction_ref, state_ref = e["facts"]["auction"]["__ref"], e["facts"]["lotState"]["__ref"]
+        hits = S.hash_place(c("auction hashes"), auction_ref).alias("auction_hit"), S.hash_place(c("state hashes"), state_ref).alias("state_hit")
+        return F.struct(e["pos"].alias("pos"), e["key"].alias("key"), e["facts"].alias("facts"), auction_ref.alias("auction_ref"), state_ref.alias("lot_state_ref"), *hits)
+
+    def placed(e):
+        auction_at = F.get(F.map_values("auctions"), S.place(F.map_keys("auctions"), e["auction_hit"], e["auction_ref"]))
+        return F.struct(*[e[x].alias(x) for x in ("pos", "key", "facts", "auction_ref", "lot_state_ref")], auction_at.alias("auction_at"), S.place(F.map_keys("state"), e["state_hit"], e["lot_state_ref"]).alias("state_at"))
+
+    def resolved(e):
         return F.struct(
-            entry["pos"].alias("pos"),
-            entry["key"].alias("key"),
-            entry["value"].alias("lot"),
-            entry["facts"].alias("facts"),
-            auction_ref.alias("auction_ref"),
-            F.coalesce(F.map_contains_key("auctions", auction_ref), F.lit(False)).alias("has_auction"),
-            F.try_element_at("auctions", auction_ref).alias("auction"),
-            state_ref.alias("lot_state_ref"),
-            F.coalesce(F.map_contains_key("state", state_ref), F.lit(False)).alias("has_lot_state"),
-            F.try_element_at("state", state_ref).alias("lot_state"),
+            *[e[x].alias(x) for x in ("pos", "key", "facts", "auction_ref", "lot_state_ref")],
+            entity(e["pos"]).alias("lot"),
+            e["auction_at"].isNotNull().alias("has_auction"),
+            entity(e["auction_at"]).alias("auction"),
+            e["state_at"].isNotNull().alias("has_lot_state"),
+            entity(e["state_at"]).alias("lot_state"),
         )
 
-    # pages without a state give no row; a filter would be pushed below the parse and parse again
-    rows = states.withColumn("entries", _entries(S.FACTS))
-    rows = rows.withColumn("auctions", S.auction_index(F.col("entries")))
-    found = F.transform(F.filter("entries", lambda e: S.is_kind(e["key"], e["facts"], "Lot")), resolved)
-    return rows.select(*KEY, F.inline(found)).withColumn("item_id", S.item_id(F.col("facts"))).drop("facts")
+    found = F.filter("entries", lambda e: S.is_kind(e["key"], e["facts"], "Lot"))
+    for step in (named, placed, resolved):
+        found = F.transform(found, step)
+    return rows.select(*KEY, F.inline(found)).withColumn("item_id", S.item_id(c("facts"))).drop("facts")
 
 
 def payloads(rows: DataFrame) -> DataFrame:
-    """`rows` of lots() with raw_json in place of what it is made of."""
+    """`rows` of lots() with raw_json in place of what it is made of. Array functions without lambdas, which are compiled."""
     c = F.col
-    text = S.enriched(c("lot"), c("has_auction"), c("auction"), c("auction_ref"), c("has_lot_state"), c("lot_state"), c("lot_state_ref"))
-    return rows.withColumn("raw_json", text).drop("lot", "auction", "lot_state", "has_auction", "has_lot_state")
+    own = rows.withColumn("own", S.own_fields(c("lot"))).withColumns({"keys of lot": F.map_keys("own"), "values of lot": F.map_values("own")})
+    for name, ref in (("auction", "auction_ref"), ("lotState", "lot_state_ref")):
+        own = own.withColumn("at", S.reference_place(c("keys of lot"), name, c(ref)))
+        own = own.withColumns({"keys of lot": S.without(c("keys of lot"), c("at")), "values of lot": S.without(c("values of lot"), c("at"))})
+    text = S.enriched(c("keys of lot"), c("values of lot"), c("has_auction"), c("auction"), c("auction_ref"), c("has_lot_state"), c("lot_state"), c("lot_state_ref"))
+    return own.withColumn("raw_json", text).drop("lot", "auction", "lot_state", "has_auction", "has_lot_state", "own", "keys of lot", "values of lot", "at")

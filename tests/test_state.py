@@ -175,3 +175,24 @@ def test_payload_predicates(spark):
     assert pick(P.contains_text(raw, "TRUE")) == [0, 2]
     assert pick(P.contains_text(raw, "x\\\\y")) == [6]
     assert pick(P.contains_text(raw, "n_t")) == [7]
+
+
+def test_key_is_found_by_hash_and_told_from_another_with_the_same(spark):
+    from lotlake.functions import state
+
+    rows = spark.createDataFrame([(["a", "b", "c"], "b"), (["a", "b", "c"], "x"), (["a", "b", "c"], None)], "keys array<string>, key string")
+    hashed = state.hashes(F.col("keys"))
+    found = rows.select(state.place(F.col("keys"), state.hash_place(hashed, F.col("key")), F.col("key")).alias("at"))
+    assert [r["at"] for r in found.collect()] == [1, None, None]
+    # as if the first key had the hash of the one that is looked for
+    forged = rows.select(state.place(F.col("keys"), F.lit(1).cast("bigint"), F.col("key")).alias("at"))
+    assert [r["at"] for r in forged.collect()] == [1, None, None]
+
+
+def test_page_scan_tries_no_match_at_each_character(spark):
+    from lotlake.functions import state
+
+    assert ".*?" not in state._TOKEN
+    htmls = ["<!-- a - -- b --->" + script({"a": 1}), '<script id="page-state">a</scripty>b</SCRIPT >', '<script id="page-state">a</script', "<style>a</stylex></style><script id=page-state>b<c</script>"]
+    rows = spark.createDataFrame(list(enumerate(htmls)), "k int, html string").select("k", state.state_text(F.col("html")).alias("text"))
+    assert [r["text"] for r in rows.orderBy("k").collect()] == ['{"apollo.state": {"a": 1}}', "a</scripty>b", "a", "b<c"]
