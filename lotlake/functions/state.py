@@ -12,14 +12,15 @@ SCRIPT_ID, STATE_KEY = "page-state", "apollo.state"
 MAP = "map<string,variant>"
 
 
-#: Attributes of a tag: names, each with a quoted value, a bare one or none. Possessive, so nothing is tried twice.
-_ATTRIBUTE = r"""[^\s>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|))?+"""
+#: Attributes of a tag: names, each with a quoted value, a bare one or none. Possessive, so nothing is tried twice. Long runs
+#: are atomic groups, which Java reads in a tight loop, as it doesn't a possessive run.
+_ATTRIBUTE = r"""[^\s>/=]++(?:\s*+=\s*+(?:"(?>[^"]*)"|'(?>[^']*)'|[^\s>"'](?>[^\s>]*)|))?+"""
 _ATTRIBUTES = rf"(?:[\s/=]++|{_ATTRIBUTE})*+"
 #: The rest of an element whose content is text, up to its end tag: runs without a tag at a stride, not a match tried at each character.
-_CONTENT = r"[^<]*+(?:<(?!/{0}(?:[\s/>]|\z))[^<]*+)*+"
+_CONTENT = r"(?>[^<]*)(?:<(?!/{0}(?:[\s/>]|\z))(?>[^<]*))*+"
 #: Tokens of HTML behind which a script tag isn't one: comments, elements whose content is text, tags. Group 1: a script element up to its end tag.
 _TOKEN = (
-    rf"(?is)<!--(?:[^-]++|-(?!->))*+(?:-->)?+|(<script(?=[\s/>]){_ATTRIBUTES}>{_CONTENT.format('script')})(?:</script)?+"
+    rf"(?is)<!--(?:(?>[^-]+)|-(?!->))*+(?:-->)?+|(<script(?=[\s/>]){_ATTRIBUTES}>{_CONTENT.format('script')})(?:</script)?+"
     rf"|<(style|textarea|title)(?=[\s/>]){_ATTRIBUTES}>" + _CONTENT.format(r"\2") + rf"(?:</\2)?+|</?[a-z]{_ATTRIBUTES}>"
 )
 
@@ -35,7 +36,8 @@ def state_text(html: Column, script_id: str = SCRIPT_ID) -> Column:
     named = rf"""^(?i:id)\s*=\s*(?:"{re.escape(script_id)}"|'{re.escape(script_id)}'|{re.escape(script_id)})$"""
     wanted = F.filter(scripts, lambda x: F.exists(F.regexp_extract_all(opening(x), F.lit(rf"(?s){_ATTRIBUTE}"), F.lit(0)), lambda a: a.rlike(named)))
     found = F.get(wanted, F.lit(0))
-    return F.nullif(F.regexp_extract(found, rf"(?is)^<script{_ATTRIBUTES}>(.*+)", 1), F.lit(""))
+    opened = F.length(F.regexp_extract(found, rf"(?is)^<script{_ATTRIBUTES}>", 0))
+    return F.nullif(F.substr(found, opened + 1), F.lit(""))
 
 
 def state_map(text: Column, key: str = STATE_KEY) -> Column:
@@ -93,11 +95,12 @@ def _shown(value: Column) -> Column:
 
 
 def _set(value: Column) -> Column:
-    """A value as text if it isn't empty, zero, false or null."""
+    """A value as text if it isn't empty, zero, false or null. Strings and whole numbers, which ids are, are told first."""
     kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
-    number = kind.startswith("BIGINT") | kind.startswith("DECIMAL") | kind.startswith("DOUBLE") | kind.startswith("FLOAT")
-    unset = (text == "") | ((kind == "BOOLEAN") & (text == "false")) | (number & (F.try_variant_get(value, "$", "double") == 0)) | (text.isin("[]", "{}") & (kind != "STRING"))
-    return F.when(~unset, F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(text))
+    number = kind.startswith("DECIMAL") | kind.startswith("DOUBLE") | kind.startswith("FLOAT")
+    unset = ((kind == "BOOLEAN") & (text == "false")) | (number & (F.try_variant_get(value, "$", "double") == 0)) | text.isin("[]", "{}")
+    other = F.when(~unset, F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(text))
+    return F.when(kind.isin("STRING", "BIGINT"), F.when(text != F.when(kind == "STRING", "").otherwise("0"), text)).otherwise(other)
 
 
 def item_id(known: Column) -> Column:

@@ -196,3 +196,21 @@ def test_page_scan_tries_no_match_at_each_character(spark):
     htmls = ["<!-- a - -- b --->" + script({"a": 1}), '<script id="page-state">a</scripty>b</SCRIPT >', '<script id="page-state">a</script', "<style>a</stylex></style><script id=page-state>b<c</script>"]
     rows = spark.createDataFrame(list(enumerate(htmls)), "k int, html string").select("k", state.state_text(F.col("html")).alias("text"))
     assert [r["text"] for r in rows.orderBy("k").collect()] == ['{"apollo.state": {"a": 1}}', "a</scripty>b", "a", "b<c"]
+
+
+def test_long_runs_are_read_in_a_tight_loop(spark):
+    from lotlake.functions import state
+
+    assert "[^<]*+" not in state._TOKEN and '[^"]*+' not in state._TOKEN
+    cut = spark.createDataFrame([("<SCRIPT x='é>' id=page-state >é\U0001f600<b></script>",)], "html string").select(state.state_text(F.col("html")))
+    assert cut.first()[0] == "é\U0001f600<b>"
+    assert "(.*+)" not in cut._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_set_ids_of_every_kind(spark):
+    from lotlake.functions import state
+
+    prepare(spark)
+    cases = {"1": "1", "0": None, "-0": None, "0.0": None, "1.50": "1.5", "1e3": "1000.0", '""': None, '"0"': "0", '"[]"': "[]", '"false"': "false", "false": None, "true": "True", "[]": None, "{}": None, "[0]": "[0]", "null": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", state._set(F.try_parse_json("raw")).alias("id"))
+    assert {r["raw"]: r["id"] for r in rows.collect()} == cases
