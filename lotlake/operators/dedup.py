@@ -13,10 +13,13 @@ SHORT_PAGE = 50
 def first_seen(lots: DataFrame) -> DataFrame:
     """Rows (run_id, category_idx, item_id, page, pos): where each id comes first in a category, by page and position.
 
-    Lots without an id are left out. An aggregate, so it combines before the shuffle; only slim columns move.
+    Lots without an id are left out. An aggregate, so it combines before the shuffle; only slim columns move. Page and position
+    (ints) are one number, page above position: Spark hashes for the least number, and sorts all rows for a struct.
     """
     ids = lots.where(F.col("item_id").isNotNull())
-    return ids.groupBy(*CRAWL, "item_id").agg(F.min(F.struct("page", "pos")).alias("at")).select(*CRAWL, "item_id", "at.page", "at.pos")
+    at = F.min(F.shiftleft(F.col("page").cast("int").cast("bigint"), 32) + F.col("pos").cast("int")).alias("at")
+    page, pos = F.shiftright("at", 32).cast(lots.schema["page"].dataType), F.col("at").bitwiseAND(F.lit(2**31 - 1)).cast(lots.schema["pos"].dataType)
+    return ids.groupBy(*CRAWL, "item_id").agg(at).select(*CRAWL, "item_id", page.alias("page"), pos.alias("pos"))
 
 
 def without_id(lots: DataFrame) -> DataFrame:

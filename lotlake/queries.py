@@ -220,7 +220,8 @@ def enriched_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FAULTS} SELECT category_idx, item_id, page, pos FROM firsts")
 def dedup_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.first_seen(_ids(spark, sf_dir, faults=True)).drop("run_id")
+    found = ingest.page_rows(fixtures.pages(spark, sf_dir, faults=True), scratch_dir(spark, "crawl"))  # stored, or each use of an id works it out again
+    return dedup.first_seen(found.lots).drop("run_id")
 
 
 @query(f"WITH {_FAULTS} SELECT category_idx, page, status, errors, n_lots, n_new, emits FROM seen")

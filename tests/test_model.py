@@ -385,3 +385,21 @@ def test_written_files_take_no_job_each(spark):
     fixtures.write_files(rows, path)
     read = read_html(spark, path).select(F.regexp_extract("url", "/(p[0-9]+)[.]html$", 1).alias("name"), "html")
     assert sorted(map(tuple, read.collect())) == [("p1", "é\n"), ("p2", ""), ("p3", "")]
+
+
+def test_first_places_are_hashed_and_not_sorted(spark):
+    lots = spark.createDataFrame([(1, 0, p, q, "a") for p, q in ((3, 0), (2, 2**31 - 1), (2, 7), (2**31 - 1, 0))], "run_id long, category_idx int, page int, pos int, item_id string")
+    got = dedup.first_seen(lots)
+    assert [tuple(r) for r in got.collect()] == [(1, 0, "a", 2, 7)] and got.schema["page"].dataType == got.schema["pos"].dataType == lots.schema["pos"].dataType
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_grouped_as_they_come_sorted(spark):
+    from lotlake.session import prepare
+    from lotlake.sources import fixtures
+
+    plan = fixtures.pages(prepare(spark), "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    made = fixtures.pages(spark, "/root/testdata/sf0.001")
+    made.collect()
+    final = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "collect_list" in plan and "ObjectHashAggregate" not in final
