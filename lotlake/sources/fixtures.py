@@ -107,7 +107,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     rows = rows.withColumn("page", (1 + F.floor(F.col("l_orderkey") / ORDERS_PER_PAGE)).cast("int"))
-    place = Window.partitionBy("p_type", "page").orderBy("l_orderkey", "l_linenumber", *_ORDER, "l_discount", "l_tax")
+    # page before type: rows are sorted by the first bytes of the first column
+    place = Window.partitionBy("page", "p_type").orderBy("l_orderkey", "l_linenumber", *_ORDER, "l_discount", "l_tax")
     return rows.withColumn("pos", F.row_number().over(place) - 1)
 
 
@@ -149,8 +150,8 @@ def pages(spark: SparkSession, sf_dir: str, ids: str = "plain", faults: bool = F
         ),
     )
     lot_state = F.concat(F.lit('"LotState:'), F.col("l_returnflag"), F.col("l_linestatus"), F.lit('":{"flag":"'), F.col("l_returnflag"), F.lit('"}'))
-    made = rows.groupBy("p_type", "page").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", lot.alias("x")))), lambda e: e["x"]).alias("lots"), F.array_sort(F.collect_set(auction)).alias("auctions"), F.array_sort(F.collect_set(lot_state)).alias("states")
+    made = rows.groupBy("page", "p_type").agg(
+        F.sort_array(F.collect_list(F.struct("pos", lot.alias("x"))))["x"].alias("lots"), F.sort_array(F.collect_set(auction)).alias("auctions"), F.sort_array(F.collect_set(lot_state)).alias("states")
     )
     doc = F.concat(F.lit('{"apollo.state":{'), F.array_join(F.concat("lots", "auctions", "states"), ","), F.lit("}}"))
     page = lambda text: F.concat(F.lit('<html><body><script>var a=1;</script><script id="page-state" type="application/json">'), text, F.lit("</script></body></html>"))
