@@ -297,8 +297,8 @@ def run_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def failed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit rows of a crawl that failed and of one that was interrupted: page errors and found lots count, stored items don't."""
     scratch = scratch_dir(spark, "crawl")
-    pages = ingest.stored(fixtures.pages(spark, sf_dir, faults=True).withColumn("run_id", F.explode(F.array(F.lit(2).cast("bigint"), F.lit(3).cast("bigint")))), f"{scratch}/pages")
-    done = ingest.crawl(pages, scratch)
+    pages = ingest.stored(fixtures.pages(spark, sf_dir, faults=True), f"{scratch}/pages")
+    done = ingest.crawl(pages.withColumn("run_id", F.explode(F.array(F.lit(2).cast("bigint"), F.lit(3).cast("bigint")))), scratch)
     at = F.lit("2024-01-01 00:00:00").cast("timestamp")
     batch = ingest.stored(ingest.observations(done.observed, "04217", 25, at), f"{scratch}/observations")
     started = spark.range(2, 4).select(
