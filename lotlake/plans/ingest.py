@@ -40,7 +40,8 @@ def crawl(pages: DataFrame, scratch: str, limit: int | None = None, short: int =
     """First-seen lots up to the end of results and the limits, with their payloads.
 
     Decisions are made on slim rows, which are stored under `scratch` (a shared folder) so that the pages are
-    parsed twice in all: for them, and, up to the last page that a lot is taken from, for payloads.
+    parsed twice in all: for them, and, up to the last page that a lot is taken from, for payloads. A lot's first place is
+    on a page that is taken if it is so among the lots up to there, so those behind are counted once.
     """
     found = page_rows(pages, scratch)
     firsts = dedup.first_seen(found.lots)
@@ -48,10 +49,12 @@ def crawl(pages: DataFrame, scratch: str, limit: int | None = None, short: int =
     if limit is not None:
         got = dedup.within_run_limit(got, limit)
     got = stored(got, f"{scratch}/got")
-    taken = dedup.emitted(firsts, got)
     last = stored(got.where("take > 0").groupBy(*dedup.CRAWL).agg(F.max("page").alias("last page")), f"{scratch}/last")
-    if last.count() <= CUTS:  # what no lot is taken from isn't parsed again; html doesn't shuffle for it
-        pages = pages.join(F.broadcast(last), dedup.CRAWL).where(F.col("page") <= F.col("last page")).select(pages.columns)
+    known, top = last.agg(F.count("*"), F.max("last page")).first()
+    if known <= CUTS:  # what no lot is taken from isn't parsed or compared again; html doesn't shuffle for it, and readers skip what is behind `top`
+        cut = lambda rows: rows.where(F.col("page") <= F.lit(top)).join(F.broadcast(last), dedup.CRAWL).where(F.col("page") <= F.col("last page")).select(rows.columns)
+        pages, firsts = cut(pages), dedup.first_seen(cut(found.lots))
+    taken = dedup.emitted(firsts, got)
     rows = entities.lots(entities.page_states(pages)).join(taken.select("run_id", "category_idx", "page", "pos", "nth"), ["run_id", "category_idx", "page", "pos"])
     return Crawl(entities.payloads(rows), got)
 

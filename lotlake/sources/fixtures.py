@@ -120,9 +120,9 @@ def pages(spark: SparkSession, sf_dir: str, ids: str = "plain", faults: bool = F
     pages of each category: seen ids again, no fetch, an empty body, no script, cut JSON, no entities.
     """
     rows = _numbered(spark, sf_dir)
-    if faults:  # page 5 of the first category repeats page 4
-        again = rows.where((F.col("p_type") == "ECONOMY") & (F.col("page") == 4)).withColumn("page", F.lit(5))
-        rows = rows.where(~((F.col("p_type") == "ECONOMY") & (F.col("page") == 5))).unionByName(again)
+    first = F.col("p_type") == "ECONOMY"
+    if faults:
+        rows = rows.where(~(first & (F.col("page") == 5)))
     number = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     order = F.col("l_orderkey").cast("string")
     q = lambda text: F.concat(F.lit('"'), text, F.lit('"'))
@@ -153,6 +153,8 @@ def pages(spark: SparkSession, sf_dir: str, ids: str = "plain", faults: bool = F
     made = rows.groupBy("page", "p_type").agg(
         F.sort_array(F.collect_list(F.struct("pos", lot.alias("x"))))["x"].alias("lots"), F.sort_array(F.collect_set(auction)).alias("auctions"), F.sort_array(F.collect_set(lot_state)).alias("states")
     )
+    if faults:  # page 5 of the first category repeats page 4: as a page, so that lots are read once and stay in their order
+        made = made.withColumn("page", F.explode(F.when(first & (F.col("page") == 4), F.array(F.lit(4), F.lit(5))).otherwise(F.array("page"))))
     doc = F.concat(F.lit('{"apollo.state":{'), F.array_join(F.concat("lots", "auctions", "states"), ","), F.lit("}}"))
     page = lambda text: F.concat(F.lit('<html><body><script>var a=1;</script><script id="page-state" type="application/json">'), text, F.lit("</script></body></html>"))
     html = page(doc)

@@ -403,3 +403,25 @@ def test_pages_are_grouped_as_they_come_sorted(spark):
     made.collect()
     final = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "collect_list" in plan and "ObjectHashAggregate" not in final
+
+
+def test_faulty_pages_are_made_in_one_pass(spark):
+    """The page that repeats another is made from it, so lots are read, sorted and grouped once."""
+    from lotlake.session import prepare
+    from lotlake.sources import fixtures
+
+    made = fixtures.pages(prepare(spark), "/root/testdata/sf0.01", faults=True)
+    rows = {(r["category"], r["page"]): r["html"] for r in made.where("page IN (4, 5) AND category = 'ECONOMY'").collect()}
+    assert len(rows) == 2 and rows["ECONOMY", 4] == rows["ECONOMY", 5]
+    made.collect()
+    final = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan parquet") == 2 and "Union" not in final and "ObjectHashAggregate" not in final
+
+
+def test_lots_behind_the_last_taken_page_are_looked_at_once(spark):
+    from lotlake.session import prepare
+    from lotlake.sources import fixtures
+
+    done = ingest.crawl(fixtures.pages(prepare(spark), "/root/testdata/sf0.001", faults=True).where("page < 3"), scratch_dir(spark, "crawl"))
+    plan = done.observed._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(page," in plan and done.observed.count() == done.pages.agg(F.sum("take")).first()[0] > 0
