@@ -61,6 +61,11 @@ def build_runs(source: DataFrame, target_path: str, model: Callable[[DataFrame],
 
 
 def tagged(rows: DataFrame, terms: list[str], text: Column) -> DataFrame:
-    """A row for each search term that `text` holds, in one scan."""
-    hits = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.lower(text), F.lower(t)))
-    return rows.withColumn("search_term", F.explode(hits))
+    """A row for each search term that `text` holds, in one scan.
+
+    `text` is worked out once a row: in a lambda it would be for each term, and below an inner explode, from whose array Spark makes
+    a filter, once more.
+    """
+    low = F.lower(text)
+    hits = F.array(*[F.when(F.contains(low, F.lower(F.lit(t))), F.lit(t)) for t in terms])
+    return rows.withColumn("search_term", hits).withColumn("search_term", F.explode_outer("search_term")).where(F.col("search_term").isNotNull())

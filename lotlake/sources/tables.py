@@ -55,8 +55,10 @@ def write_items(items: DataFrame, root: str, version: int, touched: list[int] |
             raise ValueError("a new number of buckets needs the whole table")
         parts = [None] * buckets
     folder = f"v{version:012d}-{uuid.uuid4().hex[:12]}"
-    # rows of a bucket go to as many tasks as their size asks for
-    items.withColumn(BUCKET, _bucket("item_id", buckets)).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{root}/{folder}")
+    if buckets == 1:  # written as it comes: no bucket to deal rows to
+        items.write.parquet(f"{root}/{folder}/{BUCKET}=0")
+    else:  # rows of a bucket go to as many tasks as their size asks for
+        items.withColumn(BUCKET, _bucket("item_id", buckets)).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{root}/{folder}")
     written = _folders(spark, f"{root}/{folder}")
     old = sum(_bytes(spark, f"{root}/{parts[k]}") for k in (range(buckets) if touched is None else touched) if parts[k])
     for k in range(buckets) if touched is None else touched:

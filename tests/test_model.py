@@ -405,6 +405,35 @@ def test_pages_are_grouped_as_they_come_sorted(spark):
     assert "collect_list" in plan and "ObjectHashAggregate" not in final
 
 
+def test_lines_shuffle_by_part_and_by_order_only(spark):
+    """What hangs on an order is joined per order, so that lines aren't dealt by customer and once more by line."""
+    from lotlake.sources import fixtures
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fixtures.items(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(l_") == 2
+
+
+def test_tags_take_the_text_once(spark):
+    rows = spark.createDataFrame([(1, '{"lead":"Red RING"}'), (2, '{"lead":"\\u0072ed"}'), (3, '{"lead":null}'), (4, None), (5, '{"lead":"gold"}')], "id long, raw_json string")
+    got = models.tagged(rows, ["red", "Ring", "red"], payload.field(F.col("raw_json"), "lead"))
+    assert sorted(tuple(r) for r in got.select("id", "search_term").collect()) == [(1, "Ring"), (1, "red"), (1, "red"), (2, "red"), (2, "red")]
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_bucket_is_written_as_it_comes(spark):
+    root = scratch_dir(spark, "items")
+    rows = spark.range(0, 300, 1, 3).select("id", F.col("id").cast("string").alias("item_id"), *[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in ITEMS.split(", ")[2:])])
+    folder = tables.write_items(rows, root, 1).removeprefix("file://")
+    assert sum(f.endswith(".parquet") for _, _, names in os.walk(folder) for f in names) == 3
+    assert sorted(r["id"] for r in tables.read_items(spark, root).collect()) == list(range(300)) and tables.current(spark, root)["last_id"] == 299
+    tables.write_items(rows.limit(0), root, 2)
+    assert tables.read_items(spark, root).count() == 0 and tables.current(spark, root)["last_id"] == 299
+
+
 def test_faulty_pages_are_made_in_one_pass(spark):
     """The page that repeats another is made from it, so lots are read, sorted and grouped once."""
     from lotlake.session import prepare
