@@ -584,6 +584,38 @@ def test_spread_vectors_at_the_threshold(spark, scratch):
     assert got == {k: int(k % 2) for k in range(1_600)}
 
 
+def test_vectors_are_stored_once(spark, scratch):
+    """Spread vectors, which no bound keeps apart: what is stored and shuffled grows as the input does, not with its cells."""
+    rng = np.random.default_rng(3)
+    executor = spark.sparkContext._jsc.sc().statusStore().executorList
+    shuffled = lambda: executor(True).head().totalShuffleWrite()
+    size = {}
+    for n in (1_000, 4_000):
+        x = rng.normal(size=(n, 64)).astype(np.float32)
+        scratch, before = Scratch(spark, "vectors"), shuffled()
+        rows = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+        unit = x / np.linalg.norm(x.astype(float), axis=1)[:, None]
+        got = metric_join.near_vectors(rows, scratch, cell=50, block=100).select("vec_id", "n_links").collect()
+        assert dict(map(tuple, got)) == dict(enumerate(((unit @ unit.T >= 0.9).sum(1) - 1).tolist()))
+        size[n] = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(scratch.root.removeprefix("file://")) for f in names), shuffled() - before
+    for few, many in zip(size[1_000], size[4_000]):
+        assert many < 5 * few and many < 3 * 4_000 * 64 * 4
+
+
+def test_links_of_one_block_meet(spark, scratch):
+    """A star, one leaf of which has a further link, in rows so far apart that they are compared one after another."""
+    rng, axes = np.random.default_rng(5), np.eye(64)
+    lean = lambda v, k: 0.92 * v + np.sqrt(1 - 0.92**2) * axes[k]
+    leaf = {k: lean(axes[0], k) for k in (3, 1, 4)}
+    at = {5: axes[0], **leaf, 0: lean(leaf[4], 9)}
+    rows = []
+    for k, v in at.items():
+        rows += [(k, v.tolist()), *((1_000 * (k + 1) + f, rng.normal(size=64).tolist()) for f in range(600))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in metric_join.near_vectors(vectors, scratch).collect()}
+    assert {k: got[k] for k in at} == {5: (3, 0), 3: (1, 0), 1: (1, 0), 4: (2, 0), 0: (1, 0)}
+
+
 # 8
 
 
