@@ -22,15 +22,15 @@ def fingerprint(raw: Column, mode: str = "text") -> Column:
     return F.coalesce(F.sha2(raw, 256), F.lit(""))
 
 
-def _with_stored(stored: DataFrame, batch: DataFrame, mode: str) -> DataFrame:
-    """Stored rows and observations together, with their fingerprints and `when`, which orders them, stored ones first."""
+def _with_stored(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored rows and observations together, with `when`, which orders them, stored ones first."""
     no = lambda kind: F.lit(None).cast(kind)
     run = batch["run_id"] if "run_id" in batch.columns else no("bigint")
     terms = F.when(F.col("search_term").isNotNull(), F.array("search_term")) if "search_term" in batch.columns else no("array<string>")
     held = F.col("search_terms") if "search_terms" in stored.columns else no("array<string>")
     old = stored.select("item_id", no(batch.schema["seq"].dataType).alias("seq"), *COLUMNS[2:], no("bigint").alias("run_id"), held.alias("search_terms"), "id", "created_at", F.lit(True).alias("stored"))
     new = batch.select(*COLUMNS, run.alias("run_id"), terms.alias("search_terms"), no("bigint").alias("id"), no("timestamp").alias("created_at"), F.lit(False).alias("stored"))
-    return old.unionByName(new).withColumn("mark", fingerprint(F.col("raw_json"), mode)).withColumn("when", F.struct((~F.col("stored")).alias("observed"), "seq"))
+    return old.unionByName(new).withColumn("when", F.struct((~F.col("stored")).alias("observed"), "seq"))
 
 
 def hot_items(batch: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame | None:
@@ -63,17 +63,19 @@ def _before_in_ranges(rows: DataFrame, path: str) -> DataFrame:
 def classified(stored: DataFrame, batch: DataFrame, mode: str = "text", hot_rows: int = HOT_ROWS, path: str | None = None) -> DataFrame:
     """Stored rows and observations with `change`: stored, or new, updated or unchanged against the one before.
 
-    One shuffle by item serves the window and what is grouped by item behind it. Items of over `hot_rows`
-    observations are dealt by ranges instead, under `path`. seq may be of any type that has an order.
+    One shuffle by item serves the window and what is grouped by item behind it; fingerprints, which don't compress, are made
+    behind it. Items of over `hot_rows` observations are dealt by ranges instead, under `path`. seq may be of any type that
+    has an order.
     """
-    rows = _with_stored(stored, batch, mode)
+    rows = _with_stored(stored, batch)
     hot = hot_items(batch, hot_rows)
-    own = F.lag("mark").over(Window.partitionBy("item_id").orderBy("when"))
+    marked = lambda rows: rows.withColumn("mark", fingerprint(F.col("raw_json"), mode))
+    by_item = lambda rows: marked(rows.repartition("item_id")).withColumn("before", F.lag("mark").over(Window.partitionBy("item_id").orderBy("when")))
     if hot is None:
-        rows = rows.withColumn("before", own)
+        rows = by_item(rows)
     else:
-        dealt = _before_in_ranges(rows.join(hot, "item_id", "left_semi"), path or scratch_dir(batch.sparkSession, "ranges"))
-        rows = rows.join(hot, "item_id", "left_anti").withColumn("before", own).unionByName(dealt)
+        dealt = _before_in_ranges(marked(rows.join(hot, "item_id", "left_semi")), path or scratch_dir(batch.sparkSession, "ranges"))
+        rows = by_item(rows.join(hot, "item_id", "left_anti")).unionByName(dealt)
     kind = F.when(F.col("stored"), "stored").when(F.col("before").isNull(), "new").when(F.col("before") != F.col("mark"), "updated").otherwise("unchanged")
     return rows.withColumn("change", kind)
 

@@ -77,8 +77,8 @@ def observations(observed: DataFrame, zip_code: str, radius_miles: int, scraped_
 
 
 def stored(rows: DataFrame, path: str) -> DataFrame:
-    """`rows` written and read again, so that what uses them twice doesn't work them out twice."""
-    rows.write.parquet(path)
+    """`rows` written and read again, so that what uses them twice doesn't work them out twice. zstd takes no longer here than snappy and less disk."""
+    rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

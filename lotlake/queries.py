@@ -14,7 +14,7 @@ from lotlake.schemas import ITEMS
 from lotlake.session import prepare
 from lotlake.sources import fixtures, tables
 from lotlake.sources.pages import frontier, read_html, read_pages, requested_pages
-from lotlake.sources.scratch import scratch_dir
+from lotlake.sources.scratch import remove, scratch_dir
 from lotlake.streaming import upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -329,8 +329,10 @@ def merge_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = (obs.agg(F.max("seq")).first()[0] or 0) // 2
     root = scratch_dir(spark, "items")
     tables.write_items(ingest.upsert(_no_items(spark), obs.where(F.col("seq") <= half), f"{root}/first").items, root, 1)
+    remove(spark, f"{root}/first")
     items = ingest.upsert(tables.read_items(spark, root), obs.where(F.col("seq") > half), f"{root}/second").items
     tables.write_items(items, root, 2)
+    remove(spark, f"{root}/second")
     return tables.read_items(spark, root).select("id", "item_id", "raw_json", _text("scraped_at"), "zip_code", "radius_miles", "category", _text("created_at"))
 
 
@@ -354,14 +356,19 @@ def surrogate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_ITEMS}, f AS (SELECT item_id, term FROM items JOIN (VALUES ('gear'), ('old'), ('red'), ('ring')) t(term) ON lead ILIKE '%' || term || '%')
     SELECT item_id, string_agg(term, ',' ORDER BY term) AS search_terms, count(*) AS n_terms FROM f GROUP BY item_id""")
 def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searches for two terms are merged, then searches for two more: an item keeps every term that has found it."""
-    listed, root = ingest.stored(fixtures.items(spark, sf_dir), f"{scratch_dir(spark, 'listed')}/items"), scratch_dir(spark, "items")
-    for version, terms in enumerate((["red", "gear"], ["ring", "old"]), 1):
-        found = models.tagged(listed, terms, P.field(F.col("raw_json"), "lead"))
-        batch = found.select(F.lit(version).cast("bigint").alias("run_id"), F.struct("search_term", "id").alias("seq"), "item_id", "raw_json", "scraped_at", "zip_code", "radius_miles", "category", "search_term")
+    """Searches for two terms are merged, then searches for two more: an item keeps every term that has found it.
+
+    All four look through the listing in one scan; what they find is stored, and the listing is not.
+    """
+    root, runs_of = scratch_dir(spark, "items"), {"red": 1, "gear": 1, "ring": 2, "old": 2}
+    found = models.tagged(fixtures.items(spark, sf_dir), list(runs_of), P.field(F.col("raw_json"), "lead"))
+    run = F.element_at(F.create_map(*[F.lit(x) for pair in runs_of.items() for x in pair]), F.col("search_term")).cast("bigint")
+    found = ingest.stored(found.select(run.alias("run_id"), F.struct("search_term", "id").alias("seq"), "item_id", "raw_json", "scraped_at", "zip_code", "radius_miles", "category", "search_term"), scratch_dir(spark, "found"))
+    for version in (1, 2):
         work = scratch_dir(spark, "merge")
-        done = ingest.upsert(tables.read_items(spark, root), ingest.stored(batch, f"{work}/batch"), work)
+        done = ingest.upsert(tables.read_items(spark, root), found.where(F.col("run_id") == version), work)
         tables.write_items(done.items, root, version)
+        remove(spark, work)
     return tables.read_items(spark, root).select("item_id", F.array_join("search_terms", ",").alias("search_terms"), F.size("search_terms").cast("bigint").alias("n_terms"))
 
 

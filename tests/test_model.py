@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -164,6 +165,20 @@ def test_ranges_hold_about_as_many_rows(spark):
     assert {(r["run"], r["a"], r["b"], r["n"]) for r in by} == {(None, 1, 8000, 8000), (5000, 1, 8000, 8000), (10000, 1, 8000, 8000)}
 
 
+def shuffled(spark):
+    """Bytes that shuffles have written so far."""
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+
+
+def test_whole_rows_shuffle_once_to_be_numbered(spark):
+    rows = spark.range(20_000).select((F.xxhash64("id") % 1_000).alias("nth"), F.xxhash64("id").cast("string").alias("text"))
+    at = [shuffled(spark)]
+    for deal in (lambda: rows.repartitionByRange(4, "nth"), lambda: numbering.numbered(rows, ["nth"], scratch_dir(spark, "ranges"))):
+        deal().write.format("noop").mode("overwrite").save()
+        at.append(shuffled(spark))
+    assert at[2] - at[1] < 1.5 * (at[1] - at[0])
+
+
 def observed(spark, *rows):
     return spark.createDataFrame([(1, seq, item, raw, None, "z", 10, None) for seq, item, raw in rows], OBSERVATIONS)
 
@@ -297,6 +312,41 @@ def test_one_shuffle_by_item(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_fingerprints_do_not_shuffle(spark):
+    """A merge shuffles what the items are, not 64 hexadecimal digits more for each."""
+    batch = spark.range(20_000).select(
+        F.lit(1).cast("bigint").alias("run_id"), F.col("id").alias("seq"), F.col("id").cast("string").alias("item_id"), F.col("id").cast("string").alias("raw_json"),
+        F.lit(None).cast("timestamp").alias("scraped_at"), F.lit("z").alias("zip_code"), F.lit(10).alias("radius_miles"), F.lit(None).cast("string").alias("category"),
+    )
+    before = shuffled(spark)
+    merge.merged(spark.createDataFrame([], ITEMS), batch).write.format("noop").mode("overwrite").save()
+    assert shuffled(spark) - before < 20_000 * 64
+
+
+def test_search_terms_leave_nothing_but_what_they_found(spark):
+    """No listing, no work of a finished merge and no shuffle file stays."""
+    from lotlake.queries import QUERIES
+
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    files = lambda: {f.getName() for f in iter_scala(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())}
+    before, held = set(os.listdir(shared)), files()
+    rows = QUERIES["search_terms"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len({r["item_id"] for r in rows}) > 0
+    made = set(os.listdir(shared)) - before
+    assert sorted(name.rsplit("-", 1)[0] for name in made) == ["found", "items"]
+    for _ in range(50):  # they go in the background
+        if not (left := [f for f in files() - held if f.startswith("shuffle_")]):
+            break
+        time.sleep(0.1)
+    assert not left
+
+
+def iter_scala(seq):
+    it = seq.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
 def test_page_files(spark, tmp_path):
     """Empty files are empty pages, pages without a file weren't fetched, files that nobody asked for don't count."""
     for name, data in {"0 +%.html": b"<a>\n</a>", "1.html": b"", "2.html": "é".encode() + b"\xff", "sub/3.html": b"", "9.html": b"x"}.items():
